@@ -150,7 +150,7 @@ def _bucket_links(distinct: DataFrame, mask: int, t: int, tau: int) -> DataFrame
     probe = base
     if t > 0:
         probe = base.select("fp", F.explode(F.array(*[F.lit(x) for x in flips])).alias("flip"))
-        probe = probe.select("fp", F.col("fp").bitwiseAND(F.lit(_signed(mask))).bitwiseXOR("flip").alias("key"))
+        probe = probe.select("fp", F.col("fp").bitwiseAND(F.lit(_signed(mask))).bitwiseXOR(F.col("flip")).alias("key"))
         # Values off by some bits: no bucket of copies is met here but through its few neighbours.
         return probe.join(build, "key").where((F.col("fp") > F.col("other")) & near).select(F.col("fp").alias("a"), F.col("other").alias("b"))
     small = probe.join(large, "key", "left_anti")
@@ -160,7 +160,7 @@ def _bucket_links(distinct: DataFrame, mask: int, t: int, tau: int) -> DataFrame
     free = [b for b in range(64) if not mask >> b & 1]
     masks = [_signed(~_mask(c) & (1 << 64) - 1) for c in combinations(free, min(tau, len(free)))]
     crowd = base.join(large, "key", "left_semi").select("fp", F.explode(F.array(*[F.lit(x) for x in masks])).alias("m"))
-    crowd = crowd.select("fp", "m", F.col("fp").bitwiseAND("m").alias("v"))
+    crowd = crowd.select("fp", "m", F.col("fp").bitwiseAND(F.col("m")).alias("v"))
     least = crowd.groupBy("m", "v").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
     stars = crowd.join(least, ["m", "v"]).where("fp > b").select(F.col("fp").alias("a"), "b").distinct()
     return pairs.unionByName(stars)
