@@ -29,14 +29,9 @@ FEATURES = ["n_words", "mean_word", "symbol_share", "upper_share", "dup_line_sha
 
 
 def _covered(positions: Column, width: int) -> Column:
-    """Words covered by windows that start at the sorted ``positions``."""
-    start = F.struct(F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("e"))
-
-    def step(acc, p):
-        end = p + width
-        return F.struct((acc["c"] + end - F.greatest(p, acc["e"])).alias("c"), end.alias("e"))
-
-    return F.aggregate(positions, start, step, lambda a: a["c"])
+    """Words covered by windows that start at the sorted, distinct ``positions``."""
+    steps = F.zip_with(positions, F.slice(positions, 2, F.size(positions)), lambda a, b: F.least(F.coalesce(b - a, F.lit(width)), F.lit(width)))
+    return F.aggregate(steps, F.lit(0).cast("long"), lambda total, x: total + x)
 
 
 def text_stats(docs: DataFrame, *keep: str) -> DataFrame:
@@ -49,22 +44,24 @@ def text_stats(docs: DataFrame, *keep: str) -> DataFrame:
     df = docs.select(*keep, text.alias("_t"))
     df = df.withColumn("_w", F.array_remove(F.split("_t", SPACE), ""))
     df = df.withColumn("n_words", F.size("_w").cast("long"))
-    at = [lambda i, k=k: F.get(F.col("_w"), i + k) for k in range(WINDOW)]
-    none = F.array().cast("array<bigint>")
-    hashes = F.transform(F.sequence(F.lit(0), F.col("n_words").cast("int") - WINDOW), lambda i: F.xxhash64(*[f(i) for f in at]))
-    df = df.withColumn("_h", F.when(F.col("n_words") >= WINDOW, hashes).otherwise(none))
+    # Loops are kept to one or two small steps each: the JVM compiles deep ones at a great cost of memory.
+    n = F.col("n_words").cast("int")
+    df = df.withColumn("_h", F.transform("_w", lambda x: F.xxhash64(x)))
+    df = df.withColumn("_p", F.zip_with("_h", F.slice("_h", 2, F.greatest(n, F.lit(1))), lambda a, b: F.xxhash64(a, b)))
+    df = df.withColumn("_q", F.zip_with("_p", F.slice("_p", 3, F.greatest(n, F.lit(1))), lambda a, b: F.xxhash64(a, b)))
+    df = df.withColumn("_q", F.zip_with("_q", F.slice("_h", 5, F.greatest(n, F.lit(1))), lambda a, b: F.xxhash64(a, b)))
+    df = df.withColumn("_h", F.slice("_q", 1, F.greatest(n - (WINDOW - 1), F.lit(0))))
     df = df.withColumn("_again", F.size(F.array_distinct("_h")) < F.size("_h"))
     spelt = F.transform(
-        F.sequence(F.lit(0), F.col("n_words").cast("int") - WINDOW),
+        F.sequence(F.lit(0), n - WINDOW),
         lambda i: F.struct(F.array_join(F.slice(F.col("_w"), i + 1, WINDOW), " ").alias("s"), i.cast("long").alias("i")),
     )
     df = df.withColumn("_s", F.when(F.col("_again"), F.sort_array(spelt)))
-    twice = F.filter(
-        F.col("_s"),
-        lambda x, k: F.coalesce(F.get(F.col("_s"), k - 1)["s"] == x["s"], F.lit(False)) | F.coalesce(F.get(F.col("_s"), k + 1)["s"] == x["s"], F.lit(False)),
-    )
-    repeat = F.when(F.col("_again"), _covered(F.sort_array(F.transform(twice, lambda x: x["i"])), WINDOW)).otherwise(F.lit(0).cast("long"))
-    df = df.withColumn("n_repeat_words", repeat)
+    df = df.withColumn("_t2", F.slice("_s", 2, F.greatest(n, F.lit(1))))
+    first = F.zip_with("_s", "_t2", lambda a, b: F.when(a["s"] == b["s"], a["i"]))
+    second = F.zip_with("_s", "_t2", lambda a, b: F.when(a["s"] == b["s"], b["i"]))
+    df = df.withColumn("_at", F.sort_array(F.array_compact(F.array_distinct(F.concat(first, second)))))
+    df = df.withColumn("n_repeat_words", F.when(F.col("_again"), _covered(F.col("_at"), WINDOW)).otherwise(F.lit(0).cast("long")))
     df = df.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     df = df.withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"))
     df = df.withColumn("word_chars", F.length(F.array_join("_w", "")).cast("long"))
