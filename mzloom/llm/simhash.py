@@ -199,9 +199,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, tau: int = 2, width: int = 3) -> DataFrame:
-    """doc_id, fp, component_id: the smallest doc_id reachable through links, itself included."""
-    fps = materialise(fingerprints(docs, width))
+def group(fps: DataFrame, tau: int) -> DataFrame:
+    """(fp, n, component_id) of every distinct fingerprint of ``fps`` (doc_id, fp)."""
     distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     comp = components(links(distinct, tau))
     member = comp.unionByName(comp.select(F.col("root").alias("node"), "root")).distinct()
@@ -209,11 +208,83 @@ def near_duplicates(docs: DataFrame, tau: int = 2, width: int = 3) -> DataFrame:
     roots = member.groupBy("root").agg(F.min("least").alias("component_id"))
     named = member.join(roots, "root").select(F.col("node").alias("fp"), "component_id")
     named = distinct.join(named, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"))
-    named = materialise(named)
+    return materialise(named)
+
+
+def spread(fps: DataFrame, named: DataFrame) -> DataFrame:
+    """``fps`` with the component_id of its fingerprint, whatever share of the rows one fingerprint holds."""
     total = fps.count()
     # At most 200 fingerprints can each hold more than a 200th of the rows: small enough to broadcast.
     hot = named.where(F.col("n") * 200 > total).select("fp", F.col("component_id").alias("hot_id"), F.lit(True).alias("hot"))
     dealt = fps.join(F.broadcast(hot), "fp", "left")
-    common = dealt.where("hot").select("doc_id", "fp", F.col("hot_id").alias("component_id"))
-    rest = dealt.where("hot is null").select("doc_id", "fp").join(named.select("fp", "component_id"), "fp")
-    return common.unionByName(rest.select("doc_id", "fp", "component_id"))
+    common = dealt.where("hot").select(*fps.columns, F.col("hot_id").alias("component_id"))
+    rest = dealt.where("hot is null").select(*fps.columns).join(named.select("fp", "component_id"), "fp")
+    return common.unionByName(rest.select(*fps.columns, "component_id"))
+
+
+def near_duplicates(docs: DataFrame, tau: int = 2, width: int = 3) -> DataFrame:
+    """doc_id, fp, component_id: the smallest doc_id reachable through links, itself included."""
+    fps = materialise(fingerprints(docs, width))
+    return spread(fps, group(fps, tau))
+
+
+# --- verified near copies ---------------------------------------------------------------------
+
+
+def word_fingerprint(text: str | None) -> int:
+    """Majority bits of XXH64 over the distinct words: near copies differ in fewer bits than with shingles."""
+    import xxhash
+
+    words = sorted(set(text.encode("utf-8", "replace").lower().split())) if text else []
+    if not words:
+        return 0
+    h = np.array([xxhash.xxh64_intdigest(w, 42) for w in words], dtype="<u8")
+    counts = np.bincount((h.view(np.uint8).reshape(-1, 8) + _PLACE).ravel(), minlength=2048).reshape(8, 256) @ _BITS
+    return int(np.packbits((2 * counts.ravel() > len(h)).astype(np.uint8), bitorder="little").view("<u8")[0])
+
+
+def shingle_hashes(text: str | None, width: int = 5) -> list[int]:
+    """Distinct hashes of all word shingles of a whole text (fewer words: of the whole sequence)."""
+    import xxhash
+
+    words = text.encode("utf-8", "replace").lower().split() if text else []
+    parts = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+    return sorted(_signed(xxhash.xxh64_intdigest(x)) for x in parts)
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tau: int = 5) -> DataFrame:
+    """doc_id, component_id of groups of near copies.
+
+    First, texts within 2 bits of each other's shingle fingerprints form classes, as in
+    ``near_duplicates``. Then the first documents of the classes are compared with each other: candidates
+    have word fingerprints within ``tau`` bits, and count if the Jaccard similarity of their
+    ``shingle``-word shingles is ``similarity`` or more. Rows without doc_id keep to themselves.
+    """
+
+    def run(batches):
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            both = [np.array([f(t) for t in texts], dtype=np.uint64).view(np.int64) for f in (fingerprint, word_fingerprint)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, both)], names=["doc_id", "fp", "words"])
+
+    fps = materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, words long"))
+    first = materialise(spread(fps, group(fps.select("doc_id", "fp"), 2)))
+    heads = materialise(first.where("doc_id = component_id").groupBy("doc_id").agg(F.min("words").alias("fp")))
+    near = links(heads.select("fp").distinct(), tau)
+    a, b = heads.select(F.col("doc_id").alias("x"), F.col("fp").alias("a")), heads.select(F.col("doc_id").alias("y"), F.col("fp").alias("b"))
+    alike = heads.select(F.col("doc_id").alias("x"), "fp").join(heads.select(F.col("doc_id").alias("y"), "fp"), "fp").where("x < y").select("x", "y")
+    pairs = materialise(near.join(a, "a").join(b, "b").select("x", "y").unionByName(alike).distinct())
+    wanted = pairs.select(F.col("x").alias("d")).unionByName(pairs.select(F.col("y").alias("d"))).distinct()
+
+    def hashes(batches):
+        for t in batches:
+            sets = [shingle_hashes(x, shingle) for x in t.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([t.column("d"), pa.array(sets, pa.list_(pa.int64()))], names=["d", "s"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("d"), "text").join(wanted, "d", "left_semi")
+    sets = materialise(texts.mapInArrow(hashes, "d long, s array<long>").groupBy("d").agg(F.min("s").alias("s")))
+    both = pairs.join(sets.select(F.col("d").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("d").alias("y"), F.col("s").alias("sy")), "y")
+    shared = F.size(F.array_intersect("sx", "sy"))
+    good = both.where(shared >= similarity * (F.size("sx") + F.size("sy") - shared)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    comp = components(good).select(F.col("node").alias("component_id"), F.col("root"))
+    return first.join(comp, "component_id", "left").select("doc_id", F.coalesce("root", "component_id").alias("component_id"))
