@@ -109,3 +109,10 @@ def duration_seconds(c) -> Column:
         return F.when(found == "", 0.0).otherwise(found.cast("double"))
 
     return part("H") * 3600 + part("M") * 60 + part("S")
+
+
+def normalised_distance(mz_a, rt_a, s_mz_a, s_rt_a, mz_b, rt_b, s_mz_b, s_rt_b) -> Column:
+    """Distance of two peaks in units of their summed sigmas."""
+    dr = (col(rt_a) - col(rt_b)) / (col(s_rt_a) + col(s_rt_b))
+    dm = (col(mz_a) - col(mz_b)) / (col(s_mz_a) + col(s_mz_b))
+    return F.sqrt(dr * dr + dm * dm)

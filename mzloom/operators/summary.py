@@ -81,3 +81,14 @@ def smoothed_xic(cells: DataFrame, min_mz: float, max_mz: float, min_rt: float,
     """Sums over m/z of located grid cells in an open box, per time."""
     c = cells.where((F.col("mz") > min_mz) & (F.col("mz") < max_mz) & (F.col("rt") > min_rt) & (F.col("rt") < max_rt))
     return c.groupBy("file_id", "j", "rt").agg(F.sum("value").alias("intensity"))
+
+
+def histogram(df: DataFrame, value: str, width: float) -> DataFrame:
+    """(file_id, bin, count) for density plots."""
+    return df.groupBy("file_id", F.floor(F.col(value) / width).cast("long").alias("bin")).agg(F.count("*").alias("count"))
+
+
+def scatter(peaks: DataFrame, most: int = 200_000) -> DataFrame:
+    """Values for drift and width plots: the ``most`` highest peaks of every run."""
+    k = peaks.where(F.col("peak_id") < most)
+    return k.select("file_id", "peak_id", F.col("fitted_rt").alias("rt"), "rt_delta", F.col("fitted_mz").alias("mz"), F.col("fitted_sigma_mz").alias("sigma_mz"))

@@ -185,3 +185,15 @@ def warp_times(times: DataFrame, maps: DataFrame) -> DataFrame:
     for c in ("rt_start", "rt_end", "sample_rt_start", "sample_rt_end"):
         j = j.withColumn(c, F.coalesce(c, f"_{c}"))
     return j.withColumn("warped_rt", warp_rt("rt")).select(*times.columns, "warped_rt")
+
+
+def peaks_in_rt_range(peaks: DataFrame, start: float, end: float) -> DataFrame:
+    """Peaks with start <= fitted_rt < end."""
+    return peaks.where((F.col("fitted_rt") >= start) & (F.col("fitted_rt") < end))
+
+
+def interpolate(peaks: DataFrame, src_start: float, src_end: float, ref_start: float, ref_end: float) -> DataFrame:
+    """Moves the peaks of a source segment onto a reference segment; widths stay."""
+    p = peaks_in_rt_range(peaks, src_start, src_end)
+    new = ref_start + (F.col("fitted_rt") - src_start) / (src_end - src_start) * (ref_end - ref_start)
+    return p.withColumn("_new", new).withColumn("rt_delta", F.col("_new") - F.col("fitted_rt")).withColumn("fitted_rt", F.col("_new")).drop("_new")

@@ -14,6 +14,7 @@ from mzloom.adapters import duckdb_view, view
 from mzloom.functions import exprs as X
 from mzloom.operators import features, grid, link, match, peaks, points, proteins, quant, similarity, summary, warp
 from mzloom.params import Resampling, Run, Warping
+from mzloom.sources import encode, spectra
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -599,3 +600,122 @@ def ratio_summary(k):
     SELECT file_id, rt, mz, intensity FROM n UNION ALL SELECT file_id, rt, mz + 1, 0.0 FROM n WHERE nx - mz > 10 UNION ALL SELECT file_id, rt, nx - 1, 0.0 FROM n WHERE nx - mz > 10""")
 def fill_gaps(p):
     return summary.fill_gaps(p.groupBy("file_id", "rt", "mz").agg(F.max("intensity").alias("intensity")), 10.0, 1.0)
+
+
+# --- smaller operators ------------------------------------------------------------------------
+
+
+@query("peaks", sql="SELECT file_id, peak_id FROM peaks WHERE fitted_rt >= 500 AND fitted_rt < 800")
+def peaks_in_rt_range(k):
+    return warp.peaks_in_rt_range(k, 500, 800).select("file_id", "peak_id")
+
+
+@query("peaks", sql="""WITH o AS (SELECT file_id, min(fitted_rt) AS lo, max(fitted_rt) AS hi FROM peaks GROUP BY file_id), r AS (SELECT lo, hi FROM o WHERE file_id = 0),
+    b AS (SELECT file_id, least(o.lo, r.lo) AS a, greatest(o.hi, r.hi) AS b FROM o, r), m AS (SELECT file_id, b, a - (b - a) * CAST(0.2 AS DOUBLE) AS rt_min FROM b)
+    SELECT file_id, round(rt_min, 6) AS rt_min, round(b + (b - rt_min) * CAST(0.2 AS DOUBLE), 6) AS rt_max FROM m""")
+def warp_rt_range(k):
+    return rounded(warp.rt_range(k, 0, 0.2), 6, "rt_min", "rt_max")
+
+
+@query("peaks", sql="""WITH p AS (SELECT *, CAST(floor(fitted_rt / CAST(100 AS DOUBLE)) AS BIGINT) AS segment FROM peaks), k AS (SELECT *, row_number() OVER (PARTITION BY file_id, segment ORDER BY fitted_height DESC, peak_id) AS k FROM p)
+    SELECT file_id, segment, peak_id FROM k WHERE k <= 100 AND segment >= 0 AND segment < 20""")
+def segment_top_peaks(k):
+    ranges = k.select("file_id").distinct().select("file_id", F.lit(0.0).alias("rt_min"), F.lit(1999.0).alias("rt_max"))
+    return warp.segment_peaks(k, ranges, 20, 2000, 100, 100).select("file_id", "segment", "peak_id")
+
+
+@query("peaks", sql="SELECT file_id, peak_id, round(100 + (fitted_rt - 80) / CAST(60 AS DOUBLE) * 50, 9) AS fitted_rt, round(100 + (fitted_rt - 80) / CAST(60 AS DOUBLE) * 50 - fitted_rt, 9) AS rt_delta FROM peaks WHERE fitted_rt >= 80 AND fitted_rt < 140")
+def interpolate_segment(k):
+    return rounded(warp.interpolate(k, 80, 140, 100, 150).select("file_id", "peak_id", "fitted_rt", "rt_delta"), 9, "fitted_rt", "rt_delta")
+
+
+@query("points", sql="SELECT DISTINCT file_id, CASE WHEN file_id % 2 = 0 THEN 0 ELSE 1 END AS group_id FROM points")
+def group_numbers(p):
+    files = p.select("file_id").distinct().withColumn("group", F.when(F.col("file_id") % 2 == 0, "zeta").otherwise("alpha"))
+    return match.group_numbers(files)
+
+
+@query("peaks", "msms", sql="""SELECT p.file_id, p.peak_id, e.event_id, round(sqrt(power((p.fitted_rt - e.rt) / (p.fitted_sigma_rt + 10), 2) + power((p.fitted_mz - e.mz) / (p.fitted_sigma_mz + 0.5), 2)), 6) AS distance
+    FROM peaks p JOIN msms e ON e.file_id = p.file_id AND e.event_id = p.peak_id""")
+def normalised_distance(k, e):
+    j = k.join(e.withColumnRenamed("event_id", "peak_id"), ["file_id", "peak_id"])
+    d = X.normalised_distance("fitted_mz", "fitted_rt", "fitted_sigma_mz", "fitted_sigma_rt", "mz", "rt", 0.5, 10.0)
+    return j.select("file_id", "peak_id", F.col("peak_id").alias("event_id"), F.round(d, 6).alias("distance"))
+
+
+@query("peaks", sql="SELECT file_id, peak_id, round((1 - 0.25) * fitted_mz + 0.25 * fitted_rt, 9) AS value FROM peaks")
+def linear_interpolation(k):
+    return k.select("file_id", "peak_id", F.round(X.lerp("fitted_mz", "fitted_rt", F.lit(0.25)), 9).alias("value"))
+
+
+@query("signal", sql="WITH " + _SPLAT + " SELECT file_id, i, j, round(value, 5) AS value FROM cells WHERE i >= 10 AND i < 40 AND j >= 5 AND j < 60")
+def grid_subset(s):
+    cells = grid.subset(grid.splat(s, _bounds(s), GRID_RUN, GRID), 10, 40, 5, 60)
+    return rounded(cells, 5, "value")
+
+
+@query("signal", sql="WITH " + _SPLAT + " SELECT DISTINCT c.file_id, i, round(min_mz + i * (max_mz - min_mz) / (n - 1), 6) AS mz, j, round(min_rt + j * (max_rt - min_rt) / (m - 1), 2) AS rt FROM cells c JOIN g ON g.file_id = c.file_id")
+def grid_positions(s):
+    b = _bounds(s)
+    cells = grid.locate(grid.splat(s, b, GRID_RUN, GRID), b, GRID_RUN, GRID)
+    return rounded(rounded(cells.select("file_id", "i", "mz", "j", "rt"), 6, "mz"), 2, "rt")
+
+
+@query("points")
+def find_peaks_serial(p):
+    return peaks.find_peaks(p, _maxima(p), _ROI_RUN, 100, bin_mz=4.0, serial=True).drop("fit")
+
+
+@query("psms", sql="SELECT file_id, psm_index, CASE WHEN psm_index % 3 = 0 THEN '' WHEN psm_index % 3 = 1 THEN 'Oxidation(15.9949)@3' ELSE 'Oxidation(15.9949)@3.|.Acetyl(42.0106)@-1' END AS modifications, CAST(psm_index % 3 AS INT) AS n FROM psms")
+def modification_text(q):
+    mod = lambda name, mass, at: F.struct(F.lit(mass).alias("monoisotopic_mass_delta"), F.lit(at).alias("location"), F.array(F.lit(name)).alias("id"))
+    both = F.array(mod("Oxidation", 15.99491, 3), mod("Acetyl", 42.01057, -1))
+    q = q.withColumn("modifications", F.slice(both, F.lit(1), (F.col("psm_index") % 3).cast("int")))
+    return q.select("file_id", "psm_index", quant.modification_text().alias("modifications"), F.size("modifications").alias("n"))
+
+
+@query("edges", "psms", sql="SELECT s.file_id, s.psm_index, e.protein, concat('protein ', CAST(e.protein AS VARCHAR)) AS description FROM psms s JOIN edges e ON e.peptide = s.psm_index")
+def evidence_joins(e, q):
+    told = q.select("file_id", "psm_index", F.col("psm_index").alias("peptide_id"))
+    proof = e.select(F.col("peptide").alias("peptide_id"), F.col("protein").alias("db_sequence_id"))
+    seqs = e.select(F.col("protein").alias("db_sequence_id"), F.col("protein"), F.concat(F.lit("protein "), F.col("protein").cast("string")).alias("description")).distinct()
+    return quant.with_proteins(told, proof, seqs).select("file_id", "psm_index", "protein", "description")
+
+
+@query("peaks", sql="WITH " + _FEATURES + " SELECT file_id, first AS feature_id, 2 AS charge_state, peak_id FROM c")
+def feature_peaks(k):
+    return quant.feature_peaks(_triples(k).withColumnRenamed("first_id", "feature_id"))
+
+
+@query("peaks", sql="SELECT file_id, CAST(floor(fitted_height) AS BIGINT) AS bin, count(*) AS peaks FROM peaks GROUP BY ALL")
+def height_histogram(k):
+    return summary.histogram(k, "fitted_height", 1.0).withColumnRenamed("count", "peaks")
+
+
+@query("peaks", sql="SELECT file_id, peak_id, fitted_rt AS rt, rt_delta, fitted_mz AS mz, fitted_sigma_mz AS sigma_mz FROM peaks WHERE peak_id < 200000")
+def scatter_points(k):
+    return summary.scatter(k, 200_000)
+
+
+# --- sources ----------------------------------------------------------------------------------
+
+
+def _encoded(p, write):
+    s = p.groupBy("file_id", "rt").agg(F.sort_array(F.collect_list(F.struct("mz", "intensity"))).alias("v"))
+    s = s.select(F.col("file_id").cast("string").alias("path"), F.col("rt").cast("long").alias("number"), "rt", F.col("v.mz").alias("mz"), F.col("v.intensity").alias("intensity"))
+    return encode.pieces(s.withColumn("number", F.col("number") + 1), write)
+
+
+def _decoded(pieces, parse, **limits):
+    s = spectra.decode_pieces(pieces, parse, **limits).withColumn("file_id", F.col("path").cast("int"))
+    return spectra.to_points(s).select("file_id", "rt", "mz", "intensity")
+
+
+@query("points", sql="SELECT file_id, rt, mz, intensity FROM points WHERE mz BETWEEN 400 AND 900 AND rt BETWEEN 100 AND 2000 AND intensity <> 0")
+def read_mzxml(p):
+    return _decoded(_encoded(p, encode.mzxml_scan), spectra.parse_mzxml, min_mz=400.0, max_mz=900.0, min_rt=100.0, max_rt=2000.0)
+
+
+@query("points", sql="SELECT file_id, rt, mz, intensity FROM points WHERE intensity <> 0")
+def read_mzml(p):
+    return _decoded(_encoded(p, encode.mzml_spectrum), spectra.parse_mzml, polarity="+", ms_level=1)

@@ -121,8 +121,13 @@ def parse_mzml(piece: str) -> dict | None:
 
 
 def _read(spark: SparkSession, path, mark: str, parse, min_mz, max_mz, min_rt, max_rt, polarity, ms_level) -> DataFrame:
-    (lo_mz, hi_mz), (lo_rt, hi_rt), wanted = check_range(min_mz, max_mz, "mz"), check_range(min_rt, max_rt, "rt"), polarity_of(polarity)
     pieces = spark.read.text(path, lineSep=mark).select(F.col("_metadata.file_path").alias("path"), "value")
+    return decode_pieces(pieces, parse, min_mz, max_mz, min_rt, max_rt, polarity, ms_level)
+
+
+def decode_pieces(pieces: DataFrame, parse, min_mz=-1.0, max_mz=-1.0, min_rt=-1.0, max_rt=-1.0, polarity="", ms_level=0) -> DataFrame:
+    """Scans from (path, value), where value is one piece of a spectrum file."""
+    (lo_mz, hi_mz), (lo_rt, hi_rt), wanted = check_range(min_mz, max_mz, "mz"), check_range(min_rt, max_rt, "rt"), polarity_of(polarity)
     names = ["path", "scan_number", "ms_level", "retention_time", "polarity", "centroid", "num_points", "max_intensity", "total_intensity", "precursor", "points"]
     types = [
         pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.string(), pa.bool_(), pa.int64(), pa.float64(), pa.float64(),
