@@ -1,7 +1,7 @@
 """Secret scanning: a pattern proposes candidates, a random forest removes false positives.
 
-A candidate is a run of 16 to 512 key characters holding a digit, or mixed case, within a whole
-text. The forest judges length, character classes and transitions, entropy, dictionary coverage,
+A candidate is a run of 16 to 512 key characters holding a digit, mixed case or a known prefix, within
+a whole text. The forest judges length, character classes and transitions, entropy, dictionary coverage,
 the path around the candidate and neighbouring words. It's trained in numpy from labelled
 findings (text, start, end, secret); ``labelled_findings`` builds a default set of them.
 
@@ -56,7 +56,7 @@ FEATURES = [
 def candidates(text: str | None) -> list[tuple[int, int]]:
     if not text:
         return []
-    return [m.span() for m in CANDIDATE.finditer(text) if _DIGIT.search(m.group()) or _MIXED.search(m.group())]
+    return [m.span() for m in CANDIDATE.finditer(text) if _DIGIT.search(m.group()) or _MIXED.search(m.group()) or m.group().startswith(PREFIXES)]
 
 
 def _kind(c: str) -> int:
