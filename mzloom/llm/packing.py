@@ -217,7 +217,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, keep_id
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens (ids), sequence_id, offset."""
     spark: SparkSession = docs.sparkSession
     cut = materialise(pieces(docs, path or default_path(), length, keep_ids))
-    cut = cut.withColumn("class", _class_of(length)).withColumn("whole", F.col("length") == length)
+    cut = cut.withColumn("class", _class_of(length))
     # Blocks spread a class that holds most remainders; the rank within a block is made global below.
     cut = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(BLOCKS)))
     counts = cut.groupBy("class", "block").agg(F.count("*").alias("n")).collect()  # classes times BLOCKS rows at most
@@ -226,15 +226,11 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, keep_id
     for r in sorted(counts, key=lambda r: (r["class"], r["block"])):
         base.append((r["class"], r["block"], totals.get(r["class"], 0)))
         totals[r["class"]] = totals.get(r["class"], 0) + r["n"]
-    whole = totals.get(length, 0)
-    small = {k: n for k, n in totals.items() if k != length}
-    near, full = small, 0
-    if whole:
-        full = whole
-    order = sorted(near)
+    full = totals.pop(length, 0)
+    order = sorted(totals)
     start_of = dict.fromkeys(order, 0)
     rows, seq = [], full
-    for counts_p, times in plan(near, length):
+    for counts_p, times in plan(totals, length):
         for k, a in zip(order, counts_p.tolist(), strict=True):
             if a:
                 rows.append((k, start_of[k], start_of[k] + a * times, seq, a))
