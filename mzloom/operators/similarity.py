@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from mzloom.functions.exprs import boxes_touch, overlap
+from mzloom.operators.components import materialise
 
 
 def top_peaks(peaks: DataFrame, n: int, *keys: str) -> DataFrame:
@@ -40,10 +41,11 @@ def overlaps(peaks: DataFrame, width: float = 5.0) -> DataFrame:
 
 def similarity(peaks: DataFrame, n_peaks: int = 2000, width: float = 5.0) -> DataFrame:
     """(file_a, file_b, self_a, self_b, overlap, geometric_ratio, mean_ratio) of all pairs of files a <= b."""
-    o = overlaps(top_peaks(peaks, n_peaks), width)
+    # One row per pair of runs, used three times: written once, so the peaks are joined once. Every
+    # run with peaks overlaps itself, so its own rows name all runs.
+    o = materialise(overlaps(top_peaks(peaks, n_peaks), width))
     own = o.where("file_a = file_b").select(F.col("file_a").alias("f"), F.col("overlap").alias("s"))
-    files = peaks.select("file_id").distinct()
-    pairs = files.select(F.col("file_id").alias("file_a")).join(files.select(F.col("file_id").alias("file_b")), F.col("file_a") <= F.col("file_b"))  # one row per pair of runs
+    pairs = own.select(F.col("f").alias("file_a")).join(own.select(F.col("f").alias("file_b")), F.col("file_a") <= F.col("file_b"))
     p = pairs.join(o, ["file_a", "file_b"], "left")
     p = p.join(own.select(F.col("f").alias("file_a"), F.col("s").alias("self_a")), "file_a", "left").join(own.select(F.col("f").alias("file_b"), F.col("s").alias("self_b")), "file_b", "left")
     p = p.fillna(0.0, ["overlap", "self_a", "self_b"])

@@ -64,6 +64,8 @@ class Parameters:
     match_n_sig_mz: float = 1.5
     match_n_sig_rt: float = 1.5
     match_intensity: float = 0.5
+    #: Clusters as a known older pipeline made them: intensity threshold 1.5 and 1.5 sigma in time, whatever is set.
+    match_compat: bool = False
     similarity_peaks: int = 2000
     identification_by: str = "theoretical_mz"
     quant_isotopes: str = "height"

@@ -89,7 +89,8 @@ def dda_pipeline(spark: SparkSession, params: Parameters, files: list[RunFile],
     sizes: dict[int, int] = {}
     for r in groups.collect():  # one row per run
         sizes[r.group_id] = sizes.get(r.group_id, 0) + 1
-    args = (sizes, params.match_fraction, params.match_intensity, params.match_n_sig_mz, params.match_n_sig_rt)
+    least, sig_mz, sig_rt = (1.5, params.match_n_sig_rt, 1.5) if params.match_compat else (params.match_intensity, params.match_n_sig_mz, params.match_n_sig_rt)
+    args = (sizes, params.match_fraction, least, sig_mz, sig_rt)
     pc = stage("peak_clusters", lambda: match.clusters(match.peak_items(aligned, groups), *args, width=0.5))
     fc = stage("feature_clusters", lambda: match.clusters(match.feature_items(feats, groups), *args, width=0.5))
 
@@ -104,6 +105,8 @@ def dda_pipeline(spark: SparkSession, params: Parameters, files: list[RunFile],
     t["peak_clusters_volume"] = quant.wide_matrix(members, "volume", stems)
     fmembers = fc.select("cluster_id", "file_id", (F.col("uid") % part).alias("feature_id")).join(feats, ["file_id", "feature_id"]).withColumnRenamed("file_id", "file")
     t["feature_clusters_measure"] = quant.wide_matrix(fmembers, params.quant_features, stems, quant.MEASURES)
+    t["raw_summary"] = summary.raw_summary(ms1)
+    t["isotope_counts"] = summary.isotope_counts(feats)
     t["peak_summary"] = summary.describe(aligned, "fitted_height", "file_id")
     t["linking"] = summary.linking_efficiency(aligned, peak_events)
 
