@@ -3,8 +3,8 @@
 Every document is tokenized, cut into full sequences and one remainder, and remainders are put into
 length classes. A linear program over patterns (how many remainders of each class share one
 sequence) is solved by column generation: the simplex keeps one basis matrix, a knapsack dynamic
-program prices new patterns, and generation ends when the Lagrangian bound is within ``GAP`` of
-the value. Patterns are rounded down; what is left (fewer remainders than patterns times pattern
+program prices new patterns, and generation ends when the value is within ``GAP`` of a
+lower bound (the tokens' volume, or the Lagrangian bound). Patterns are rounded down; what is left (fewer remainders than patterns times pattern
 size, whatever the input) is packed first-fit decreasing by class. Only the histogram reaches the
 driver. Remainders are ranked within their class by distributed prefix counts and the rank decides the
 sequence.
@@ -32,7 +32,7 @@ from mzloom.llm.common import materialise
 
 LENGTH = 2048
 END = 1
-GAP = 0.001
+GAP = 0.002
 #: A class of remainders is dealt to at least this many blocks for ranking, however few classes there are.
 BLOCKS = 64
 
@@ -138,8 +138,10 @@ def column_generation(size: np.ndarray, demand: np.ndarray, room: int, gap: floa
     inverse = np.diag(1.0 / np.diag(cols))
     cost = np.ones(m)
     x = inverse @ demand
-    bound = 0.0
+    bound = float(size @ demand) / room  # no packing has fewer sequences than tokens fill
     for _ in range(rounds):
+        if float(cost @ x) - bound <= gap * bound:
+            break
         dual = cost @ inverse
         low = int(dual.argmin())
         if dual[low] < -1e-9:  # a surplus column helps
