@@ -9,7 +9,8 @@ t_i bits finds every link. Candidates are verified on all 64 bits.
 
 Groups of equal fingerprints are reduced to one representative before any join. A bucket with
 more than ``PAIR_LIMIT`` distinct fingerprints isn't paired: its members are linked to the
-smallest member that agrees outside ``tau`` masked bits, which is exact and linear in the bucket.
+smallest member that agrees outside ``tau`` masked bits, which is exact and linear in the bucket (for
+small ``tau``; beyond ``MOST_MASKS`` masks such buckets are paired as well).
 
 Null and empty texts have fingerprint zero and link like any other. Repeated rows share a
 fingerprint. An empty table gives an empty result. Null doc_ids are kept and don't count for the
@@ -18,6 +19,7 @@ smallest id. Other columns of the input aren't read.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -28,7 +30,9 @@ from pyspark.sql import functions as F
 from mzloom.llm.common import materialise
 
 PAIR_LIMIT = 1500
-SAMPLE = 20_000
+#: With more masks than this, crowded buckets are paired after all.
+MOST_MASKS = 5_000
+SAMPLE = 10_000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _PLACE = (np.arange(8, dtype=np.int64) * 256)[None, :]
 
@@ -96,7 +100,7 @@ def _mask(bits) -> int:
 def _collisions(values: np.ndarray, width: int, radius: int) -> float:
     """Chance that two fingerprints lie within ``radius`` in this partition, from a sample."""
     n = len(values)
-    ball = sum(len(list(combinations(range(width), r))) for r in range(radius + 1))
+    ball = sum(math.comb(width, r) for r in range(radius + 1))
     floor = ball / 2.0**width
     if n < 2:
         return floor
@@ -119,7 +123,7 @@ def plan(sample: np.ndarray, total: int, tau: int, most: int = 4) -> list[tuple[
                 for t in range(-1, tau - used + 1):
                     if t > len(g):
                         continue
-                    probes = sum(len(list(combinations(g, r))) for r in range(t + 1)) if t >= 0 else 0
+                    probes = sum(math.comb(len(g), r) for r in range(t + 1))
                     more = probes * total * 4.0 + (total**2 / 2 * _collisions(values, len(g), t) if t >= 0 else 0)
                     key = used + t + 1
                     if key <= tau + 1 and (key not in nxt or cost + more < nxt[key][0]):
@@ -143,7 +147,9 @@ def _bucket_links(distinct: DataFrame, mask: int, t: int, tau: int) -> DataFrame
     """Links (a > b) between distinct fingerprints that this partition's probe finds."""
     base = distinct.select("fp", F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("key"))
     sizes = base.groupBy("key").count()
-    large = sizes.where(F.col("count") > PAIR_LIMIT).select("key")
+    free = [b for b in range(64) if not mask >> b & 1]
+    few_masks = math.comb(len(free), min(tau, len(free))) <= MOST_MASKS
+    large = sizes.where((F.col("count") > PAIR_LIMIT) & F.lit(few_masks)).select("key")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= tau
     flips = _flips(mask, t)
     build = base.select("key", F.col("fp").alias("other"))
@@ -157,7 +163,6 @@ def _bucket_links(distinct: DataFrame, mask: int, t: int, tau: int) -> DataFrame
     pairs = small.join(build, "key").where((F.col("fp") > F.col("other")) & near).select(F.col("fp").alias("a"), F.col("other").alias("b"))
     if large.isEmpty():
         return pairs
-    free = [b for b in range(64) if not mask >> b & 1]
     masks = [_signed(~_mask(c) & (1 << 64) - 1) for c in combinations(free, min(tau, len(free)))]
     crowd = base.join(large, "key", "left_semi").select("fp", F.explode(F.array(*[F.lit(x) for x in masks])).alias("m"))
     crowd = crowd.select("fp", "m", F.col("fp").bitwiseAND(F.col("m")).alias("v"))
@@ -252,13 +257,42 @@ def shingle_hashes(text: str | None, width: int = 5) -> list[int]:
     return sorted(_signed(xxhash.xxh64_intdigest(x)) for x in parts)
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tau: int = 5) -> DataFrame:
+def _similar(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Those of ``pairs`` (x, y: doc_ids) whose whole texts share enough shingles."""
+    wanted = pairs.select(F.col("x").alias("d")).unionByName(pairs.select(F.col("y").alias("d"))).distinct()
+
+    def hashes(batches):
+        for t in batches:
+            sets = [shingle_hashes(x, shingle) for x in t.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([t.column("d"), pa.array(sets, pa.list_(pa.int64()))], names=["d", "s"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("d"), "text").join(wanted, "d", "left_semi")
+    sets = materialise(texts.mapInArrow(hashes, "d long, s array<long>").groupBy("d").agg(F.min("s").alias("s")))
+    both = pairs.join(sets.select(F.col("d").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("d").alias("y"), F.col("s").alias("sy")), "y")
+    shared = F.size(F.array_intersect("sx", "sy"))
+    return materialise(both.where(shared >= similarity * (F.size("sx") + F.size("sy") - shared)).select("x", "y"))
+
+
+def _stars(heads: DataFrame, tau: int) -> DataFrame:
+    """Pairs of a head with the first head of each of its buckets, if near: linear however crowded a bucket is."""
+    masks = [_signed(0xFFFF << s) for s in (0, 16, 32, 48)]
+    sent = heads.select("doc_id", "fp", F.explode(F.array(*[F.lit(m) for m in masks])).alias("m"))
+    sent = sent.select("doc_id", "fp", "m", F.col("fp").bitwiseAND(F.col("m")).alias("v"))
+    first = sent.groupBy("m", "v").agg(F.min(F.struct("doc_id", "fp")).alias("h"), F.count("*").alias("n")).where("n > 1").select("m", "v", "h")
+    near = (F.col("doc_id") > F.col("h.doc_id")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("h.fp"))) <= tau)
+    return sent.join(first, ["m", "v"]).where(near).select(F.col("h.doc_id").alias("x"), F.col("doc_id").alias("y")).distinct()
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tau: int = 5, star_rounds: int = 2) -> DataFrame:
     """doc_id, component_id of groups of near copies.
 
     First, texts within 2 bits of each other's shingle fingerprints form classes, as in
-    ``near_duplicates``. Then the first documents of the classes are compared with each other: candidates
-    have word fingerprints within ``tau`` bits, and count if the Jaccard similarity of their
-    ``shingle``-word shingles is ``similarity`` or more. Rows without doc_id keep to themselves.
+    ``near_duplicates``. Then the first documents of the classes (heads) are compared with each other:
+    candidates have word fingerprints within ``tau`` bits, and count if the Jaccard similarity of their
+    ``shingle``-word shingles is ``similarity`` or more. Before all candidate pairs are formed, heads are
+    compared with the first head of their buckets only, ``star_rounds`` times, and heads found similar leave: a
+    large group of near copies shrinks to few heads at a cost linear in its size. Rows without doc_id keep to
+    themselves.
     """
 
     def run(batches):
@@ -270,21 +304,15 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tau:
     fps = materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, words long"))
     first = materialise(spread(fps, group(fps.select("doc_id", "fp"), 2)))
     heads = materialise(first.where("doc_id = component_id").groupBy("doc_id").agg(F.min("words").alias("fp")))
+    good = None
+    for _ in range(star_rounds):
+        found = _similar(docs, materialise(_stars(heads, tau)), similarity, shingle)
+        good = found if good is None else good.unionByName(found)
+        heads = materialise(heads.join(found.select(F.col("y").alias("doc_id")).distinct(), "doc_id", "left_anti"))
     near = links(heads.select("fp").distinct(), tau)
     a, b = heads.select(F.col("doc_id").alias("x"), F.col("fp").alias("a")), heads.select(F.col("doc_id").alias("y"), F.col("fp").alias("b"))
     alike = heads.select(F.col("doc_id").alias("x"), "fp").join(heads.select(F.col("doc_id").alias("y"), "fp"), "fp").where("x < y").select("x", "y")
     pairs = materialise(near.join(a, "a").join(b, "b").select("x", "y").unionByName(alike).distinct())
-    wanted = pairs.select(F.col("x").alias("d")).unionByName(pairs.select(F.col("y").alias("d"))).distinct()
-
-    def hashes(batches):
-        for t in batches:
-            sets = [shingle_hashes(x, shingle) for x in t.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([t.column("d"), pa.array(sets, pa.list_(pa.int64()))], names=["d", "s"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("d"), "text").join(wanted, "d", "left_semi")
-    sets = materialise(texts.mapInArrow(hashes, "d long, s array<long>").groupBy("d").agg(F.min("s").alias("s")))
-    both = pairs.join(sets.select(F.col("d").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("d").alias("y"), F.col("s").alias("sy")), "y")
-    shared = F.size(F.array_intersect("sx", "sy"))
-    good = both.where(shared >= similarity * (F.size("sx") + F.size("sy") - shared)).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    comp = components(good).select(F.col("node").alias("component_id"), F.col("root"))
+    good = good.unionByName(_similar(docs, pairs, similarity, shingle))
+    comp = components(good.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("component_id"), F.col("root"))
     return first.join(comp, "component_id", "left").select("doc_id", F.coalesce("root", "component_id").alias("component_id"))
