@@ -66,3 +66,14 @@ def one_thread() -> None:
             if hasattr(lib, name):
                 getattr(lib, name)(1)
                 break
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system; fitting on the driver leaves large gaps otherwise."""
+    import contextlib
+    import ctypes
+    import gc
+
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
