@@ -68,6 +68,13 @@ def one_thread() -> None:
                 break
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches of at most ``rows`` rows, so that only so many texts become Python strings at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def release_memory() -> None:
     """Give freed memory back to the system; fitting on the driver leaves large gaps otherwise."""
     import contextlib
