@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mzloom.llm.common import materialise
+from mzloom.llm.common import materialise, slices
 
 PAIR_LIMIT = 1500
 #: With more masks than this, crowded buckets are paired after all.
@@ -236,18 +236,6 @@ def near_duplicates(docs: DataFrame, tau: int = 2, width: int = 3) -> DataFrame:
 # --- verified near copies ---------------------------------------------------------------------
 
 
-def word_fingerprint(text: str | None) -> int:
-    """Majority bits of XXH64 over the distinct words: near copies differ in fewer bits than with shingles."""
-    import xxhash
-
-    words = sorted(set(text.encode("utf-8", "replace").lower().split())) if text else []
-    if not words:
-        return 0
-    h = np.array([xxhash.xxh64_intdigest(w, 42) for w in words], dtype="<u8")
-    counts = np.bincount((h.view(np.uint8).reshape(-1, 8) + _PLACE).ravel(), minlength=2048).reshape(8, 256) @ _BITS
-    return int(np.packbits((2 * counts.ravel() > len(h)).astype(np.uint8), bitorder="little").view("<u8")[0])
-
-
 def shingle_hashes(text: str | None, width: int = 5) -> list[int]:
     """Distinct hashes of all word shingles of a whole text (fewer words: of the whole sequence)."""
     import xxhash
@@ -273,46 +261,140 @@ def _similar(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: int)
     return materialise(both.where(shared >= similarity * (F.size("sx") + F.size("sy") - shared)).select("x", "y"))
 
 
-def _stars(heads: DataFrame, tau: int) -> DataFrame:
-    """Pairs of a head with the first head of each of its buckets, if near: linear however crowded a bucket is."""
-    masks = [_signed(0xFFFF << s) for s in (0, 16, 32, 48)]
-    sent = heads.select("doc_id", "fp", F.explode(F.array(*[F.lit(m) for m in masks])).alias("m"))
-    sent = sent.select("doc_id", "fp", "m", F.col("fp").bitwiseAND(F.col("m")).alias("v"))
-    first = sent.groupBy("m", "v").agg(F.min(F.struct("doc_id", "fp")).alias("h"), F.count("*").alias("n")).where("n > 1").select("m", "v", "h")
-    near = (F.col("doc_id") > F.col("h.doc_id")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("h.fp"))) <= tau)
-    return sent.join(first, ["m", "v"]).where(near).select(F.col("h.doc_id").alias("x"), F.col("doc_id").alias("y")).distinct()
+#: Bits of a parity bitmap: it rules pairs out while their sets have fewer than about 4.5 x BITMAP elements together.
+BITMAP = 1024
+#: Counters of the table by which common shingles are put last.
+COUNTERS = 1 << 18
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tau: int = 5, star_rounds: int = 2) -> DataFrame:
-    """doc_id, component_id of groups of near copies.
+def _shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    return np.array(shingle_hashes(text, shingle), dtype=np.int64).view(np.uint64)
 
-    First, texts within 2 bits of each other's shingle fingerprints form classes, as in
-    ``near_duplicates``. Then the first documents of the classes (heads) are compared with each other:
-    candidates have word fingerprints within ``tau`` bits, and count if the Jaccard similarity of their
-    ``shingle``-word shingles is ``similarity`` or more. Before all candidate pairs are formed, heads are
-    compared with the first head of their buckets only, ``star_rounds`` times, and heads found similar leave: a
-    large group of near copies shrinks to few heads at a cost linear in its size. Rows without doc_id keep to
-    themselves.
-    """
+
+def _counter(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(8)).astype(np.int64) & COUNTERS - 1
+
+
+def _parity(h: np.ndarray) -> np.ndarray:
+    """BITMAP parity bits of a set: two bitmaps differ in no more bits than their sets in elements."""
+    odd = np.bincount((h & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _frequencies(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Texts per counter of their shingles, summed over all of ``docs``."""
+    blocks = 16
 
     def run(batches):
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            both = [np.array([f(t) for t in texts], dtype=np.uint64).view(np.int64) for f in (fingerprint, word_fingerprint)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, both)], names=["doc_id", "fp", "words"])
+        out = np.zeros(COUNTERS, np.int32)
+        for b in slices(batches):
+            for t in b.column("text").to_pylist():
+                np.add.at(out, _counter(_shingle_set(t, shingle)), 1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([p.tobytes() for p in np.split(out, blocks)], pa.binary())], names=["block", "data"])
+
+    def add(key, rows):
+        total = sum(np.frombuffer(d, np.int32).astype(np.int64) for d in rows.column("data").to_pylist())
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
+
+    parts = docs.select("text").mapInArrow(run, "block int, data binary").groupBy("block").applyInArrow(add, "block int, data binary").collect()
+    found = {p.block: np.frombuffer(p.data, np.int64) for p in parts}
+    return np.concatenate([found.get(k, np.zeros(COUNTERS // blocks, np.int64)) for k in range(blocks)])
+
+
+def shingle_sets(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """doc_id, fp (128-bit digest of the set of shingles), size, b0 to b15 (parity bitmap) and prefix of every text.
+
+    The prefix holds the rarest |s| - ceil(similarity |s|) + 1 shingles. Sets of Jaccard similarity ``similarity``
+    share that part of either, so their prefixes meet. Any fixed order will do; the rarest first give few candidates.
+    """
+    common = _frequencies(docs, shingle)
+    words = BITMAP // 64
+    names = ["doc_id", "fp", "size", *[f"b{i}" for i in range(words)], "prefix"]
 
-    fps = materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, words long"))
-    first = materialise(spread(fps, group(fps.select("doc_id", "fp"), 2)))
-    heads = materialise(first.where("doc_id = component_id").groupBy("doc_id").agg(F.min("words").alias("fp")))
+    def run(batches):
+        import xxhash
+
+        for b in slices(batches):
+            digest, size, bits, prefix = [], [], [], []
+            for t in b.column("text").to_pylist():
+                h = _shingle_set(t, shingle)
+                k = len(h) - math.ceil(similarity * len(h) - 1e-6) + 1
+                prefix.append(h[np.lexsort((h, common[_counter(h)]))[:k]].view(np.int64))
+                digest.append(xxhash.xxh3_128_digest(h.tobytes()))
+                size.append(len(h))
+                bits.append(_parity(h))
+            bits = np.array(bits, np.int64).reshape(-1, words)
+            columns = [b.column("doc_id"), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), *[pa.array(bits[:, i]) for i in range(words)], pa.array(prefix, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = "doc_id long, fp binary, size int, " + ", ".join(f"b{i} long" for i in range(words)) + ", prefix array<long>"
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+
+
+def _buckets(sets: DataFrame) -> DataFrame:
+    """(bucket, doc_id, size, b0 to b15): the texts whose prefixes hold the same shingle."""
+    held = sets.select("doc_id", F.explode("prefix").alias("h")).groupBy("h").agg(F.sort_array(F.collect_set("doc_id")).alias("docs"))
+    # Groups of copies share many shingles: equal buckets count once.
+    held = materialise(held.where(F.size("docs") > 1).select("docs").distinct().select(F.xxhash64("docs").alias("bucket"), "docs"))
+    return materialise(held.select("bucket", F.explode("docs").alias("doc_id")).join(sets.drop("prefix", "fp"), "doc_id"))
+
+
+def _may_match(a: str, b: str, similarity: float):
+    """False only for pairs whose bitmaps or sizes rule ``similarity`` out."""
+    both = F.col(f"{a}.size") + F.col(f"{b}.size")
+    differ = sum((F.bit_count(F.col(f"{a}.b{i}").bitwiseXOR(F.col(f"{b}.b{i}"))) for i in range(BITMAP // 64)), F.lit(0))
+    sizes = F.least(f"{a}.size", f"{b}.size") + 1e-6 >= similarity * F.greatest(f"{a}.size", f"{b}.size")
+    return sizes & (differ <= both * (1 - similarity) / (1 + similarity) + 1e-6)
+
+
+def _with_component(members: DataFrame, good: DataFrame | None) -> DataFrame:
+    if good is None:
+        return members.withColumn("comp", F.col("doc_id"))
+    comp = components(good.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("doc_id"), "root")
+    named = members.drop("comp").join(comp, "doc_id", "left").select(*members.drop("comp").columns, F.coalesce("root", "doc_id").alias("comp"))
+    # Only buckets of several components can still give links.
+    open_ = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
+    return materialise(named.join(open_, "bucket", "left_semi"))
+
+
+def similar_pairs(docs: DataFrame, sets: DataFrame, similarity: float, shingle: int, star_rounds: int = 2) -> DataFrame:
+    """(x, y) that connect all ``sets`` of ``similarity`` or more, as all such pairs would: none is missed.
+
+    ``star_rounds`` times all texts of a bucket are compared with one of them, another one each time; then all
+    pairs are whose components still differ. A text that a star has linked stays a candidate for the others.
+    """
+    members = _with_component(_buckets(sets), None)
     good = None
-    for _ in range(star_rounds):
-        found = _similar(docs, materialise(_stars(heads, tau)), similarity, shingle)
+    for k in range(star_rounds + 1):
+        if k < star_rounds:
+            hub = members.groupBy("bucket").agg(F.min_by(F.struct(*[c for c in members.columns if c != "bucket"]), F.xxhash64("doc_id", F.lit(k))).alias("h")).select("bucket", "h.*")
+        else:
+            hub = members
+        on = (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.comp") != F.col("q.comp")) & _may_match("p", "q", similarity)
+        if k == star_rounds:
+            on = on & (F.col("p.doc_id") < F.col("q.doc_id"))
+        pairs = hub.alias("p").join(members.alias("q"), on).select(F.least("p.doc_id", "q.doc_id").alias("x"), F.greatest("p.doc_id", "q.doc_id").alias("y"))
+        found = _similar(docs, materialise(pairs.distinct()), similarity, shingle)
         good = found if good is None else good.unionByName(found)
-        heads = materialise(heads.join(found.select(F.col("y").alias("doc_id")).distinct(), "doc_id", "left_anti"))
-    near = links(heads.select("fp").distinct(), tau)
-    a, b = heads.select(F.col("doc_id").alias("x"), F.col("fp").alias("a")), heads.select(F.col("doc_id").alias("y"), F.col("fp").alias("b"))
-    alike = heads.select(F.col("doc_id").alias("x"), "fp").join(heads.select(F.col("doc_id").alias("y"), "fp"), "fp").where("x < y").select("x", "y")
-    pairs = materialise(near.join(a, "a").join(b, "b").select("x", "y").unionByName(alike).distinct())
-    good = good.unionByName(_similar(docs, pairs, similarity, shingle))
+        if k < star_rounds:
+            members = _with_component(members, good)
+    return good
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, star_rounds: int = 2) -> DataFrame:
+    """doc_id, component_id of groups of near copies.
+
+    Two texts are near copies if the Jaccard similarity of their ``shingle``-word shingles is ``similarity`` or
+    more, or if a chain of such pairs joins them. Candidates come from an exact prefix join, not from
+    fingerprints, and each is verified on whole texts: no pair is missed and none is merged unverified. Texts of
+    equal shingles are reduced to the first before. Rows without doc_id keep to themselves.
+    """
+    sets = materialise(shingle_sets(docs, similarity, shingle))
+    known = sets.where("doc_id is not null")
+    heads = known.groupBy("fp").agg(F.min(F.struct("doc_id", *[c for c in sets.columns if c not in ("doc_id", "fp")])).alias("h"), F.count("*").alias("n"))
+    heads = materialise(heads.select("fp", "n", "h.*"))
+    first = materialise(spread(known.select("doc_id", "fp"), heads.select("fp", "n", F.col("doc_id").alias("component_id"))))
+    good = similar_pairs(docs, heads.drop("n"), similarity, shingle, star_rounds)
     comp = components(good.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("component_id"), F.col("root"))
-    return first.join(comp, "component_id", "left").select("doc_id", F.coalesce("root", "component_id").alias("component_id"))
+    out = first.join(comp, "component_id", "left").select("doc_id", F.coalesce("root", "component_id").alias("component_id"))
+    return out.unionByName(sets.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("component_id")))
