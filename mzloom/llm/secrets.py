@@ -1,6 +1,6 @@
 """Secret scanning: a pattern proposes candidates, a random forest removes false positives.
 
-A candidate is a run of 16 to 512 key characters holding a digit, mixed case or a known prefix, within
+A candidate is a run of 16 or more key characters holding a digit, mixed case or a known prefix, within
 a whole text. The forest judges length, character classes and transitions, entropy, dictionary coverage,
 the path around the candidate and neighbouring words. It's trained in numpy from labelled
 findings (text, start, end, secret); ``labelled_findings`` builds a default set of them.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,512}={0,2}(?![A-Za-z0-9+/_\-])")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}={0,2}(?![A-Za-z0-9+/_\-])")
 _DIGIT = re.compile(r"[0-9]")
 _MIXED = re.compile(r"[a-z][A-Z]|[A-Z][a-z]+[A-Z]")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")

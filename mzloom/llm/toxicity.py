@@ -18,6 +18,7 @@ judged alike. Without labels of both kinds nothing is rejected. Extra columns ar
 from __future__ import annotations
 
 import re
+import string
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +35,8 @@ LIFT = 5.0
 FOLDS = 5
 CATEGORIES = ("junk", "toxic", "toxic_junk")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_UPPER = string.ascii_uppercase.encode()
+_BEYOND_ASCII = re.compile(r"[^\x00-\x7f]")
 _STATS = 4
 PREFIXES = (4, 5, 6, 7)
 
@@ -47,12 +50,18 @@ def marks_of(words: list[str]) -> list[str]:
     return words + [w[:k] + "*" for k in PREFIXES for w in words if len(w) > k]
 
 
+def upper_case(text: str) -> int:
+    """Upper-case letters in all of ``text``; the ASCII ones by deletion, which is many times faster than a loop."""
+    raw = text.encode("utf-8", "replace")
+    count = len(raw) - len(raw.translate(None, _UPPER))
+    return count if text.isascii() else count + sum(map(str.isupper, _BEYOND_ASCII.findall(text)))
+
+
 def statistics(text: str, n_words: int) -> list[float]:
     n = max(len(text), 1)
     lines = [x for x in text.split("\n") if x.strip()]
     symbols = sum(map(text.count, "#*$%&|<>!"))
-    upper = sum(map(str.isupper, text[:: max(1, n // 2000)])) / min(n, 2000)
-    return [min(symbols / n * 10, 2.0), upper, 1 - len(set(lines)) / max(len(lines), 1), 1 / (1 + n_words)]
+    return [min(symbols / n * 10, 2.0), upper_case(text) / n, 1 - len(set(lines)) / max(len(lines), 1), 1 / (1 + n_words)]
 
 
 @dataclass

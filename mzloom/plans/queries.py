@@ -312,7 +312,7 @@ ORACLES["warp_edges"] = _LEVELS + """, e AS (SELECT a.level, a.start, a."end", b
 
 @query("peaks")
 def time_maps(k):
-    return warp.time_map(similarity.top_peaks(k, 2000), 0, Warping(slack=4, window=20, num_points=200, peaks_per_window=50))
+    return warp.time_map(k, 0, Warping())
 
 
 @query("peaks", "time_map", sql="SELECT p.file_id, peak_id, fitted_rt, round(rt_start + (fitted_rt - sample_rt_start) / (sample_rt_end - sample_rt_start) * (rt_end - rt_start) - fitted_rt, 8) AS rt_delta FROM peaks p JOIN time_map t ON t.file_id = p.file_id AND fitted_rt >= sample_rt_start AND fitted_rt < sample_rt_end")

@@ -40,3 +40,14 @@ def test_drifting_copies_keep_all_links(spark):
             root[max(a, b)] = min(a, b)
     got = {x.doc_id: x.component_id for x in simhash.near_copies(docs_frame(spark, texts)).collect()}
     assert got == {i: find(i) for i in range(len(texts))}
+
+
+@needs_larger
+def test_near_copies_far_apart_in_bits_are_found(spark):
+    """Pairs of 0.8 or more whose word fingerprints differ in 6 to 8 bits."""
+    pairs = [(4, 2540), (1004, 7065), (2789, 8154)]
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet").where(f"doc_id in ({', '.join(str(x) for p in pairs for x in p)})")
+    text = {x.doc_id: x.text for x in docs.collect()}
+    assert all(jaccard(text[a], text[b]) >= 0.8 for a, b in pairs)
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(docs).collect()}
+    assert got == {x: a for a, b in pairs for x in (a, b)}
