@@ -51,3 +51,14 @@ def test_near_copies_far_apart_in_bits_are_found(spark):
     assert all(jaccard(text[a], text[b]) >= 0.8 for a, b in pairs)
     got = {x.doc_id: x.component_id for x in simhash.near_copies(docs).collect()}
     assert got == {x: a for a, b in pairs for x in (a, b)}
+
+
+@needs_larger
+def test_close_fingerprints_alone_do_not_merge(spark):
+    """Pairs within 2 bits of each other's fingerprints, but below 0.8."""
+    pairs = [(589, 6676), (385, 4738), (3, 212), (2528, 5966)]
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet").where(f"doc_id in ({', '.join(str(x) for p in pairs for x in p)})")
+    text = {x.doc_id: x.text for x in docs.collect()}
+    for a, b in pairs:
+        assert (simhash.fingerprint(text[a]) ^ simhash.fingerprint(text[b])).bit_count() <= 2 and jaccard(text[a], text[b]) < 0.8
+    assert all(x.doc_id == x.component_id for x in simhash.near_copies(docs).collect())
