@@ -1,12 +1,13 @@
 """Operators do the whole job: nothing is cut by length, size of a group or width of an index."""
 
 import random
+import string
 from itertools import combinations
 from pathlib import Path
 
 import pytest
 
-from mzloom.llm import simhash
+from mzloom.llm import secrets, simhash
 from tests.llm.data import docs_frame
 
 LARGER = Path("/root/testdata/sf0.1")
@@ -62,3 +63,14 @@ def test_close_fingerprints_alone_do_not_merge(spark):
     for a, b in pairs:
         assert (simhash.fingerprint(text[a]) ^ simhash.fingerprint(text[b])).bit_count() <= 2 and jaccard(text[a], text[b]) < 0.8
     assert all(x.doc_id == x.component_id for x in simhash.near_copies(docs).collect())
+
+
+def test_long_secrets_are_found_and_redacted(spark):
+    r = random.Random(11)
+    chars = string.ascii_letters + string.digits
+    texts = [f'token = "{head}{"".join(r.choices(chars, k=n))}" and more words' for n in (513, 900, 1600, 4000) for head in ("", "ghp_", "eyJ")]
+    forest = secrets.fit()
+    assert all(len(secrets.candidates(t)) == 1 for t in texts)
+    found = {x.doc_id: x for x in secrets.scan(docs_frame(spark, texts), forest).collect()}
+    assert {k: (x.start, x.end) for k, x in found.items()} == {k: secrets.candidates(t)[0] for k, t in enumerate(texts)}
+    assert {x.text for x in secrets.redact(docs_frame(spark, texts), forest).collect()} == {'token = "[SECRET]" and more words'}
