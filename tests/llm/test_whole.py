@@ -7,7 +7,7 @@ from pathlib import Path
 
 import pytest
 
-from mzloom.llm import secrets, simhash
+from mzloom.llm import secrets, simhash, toxicity
 from tests.llm.data import docs_frame
 
 LARGER = Path("/root/testdata/sf0.1")
@@ -74,3 +74,9 @@ def test_long_secrets_are_found_and_redacted(spark):
     found = {x.doc_id: x for x in secrets.scan(docs_frame(spark, texts), forest).collect()}
     assert {k: (x.start, x.end) for k, x in found.items()} == {k: secrets.candidates(t)[0] for k, t in enumerate(texts)}
     assert {x.text for x in secrets.redact(docs_frame(spark, texts), forest).collect()} == {'token = "[SECRET]" and more words'}
+
+
+def test_upper_case_share_covers_the_whole_text():
+    for n in (100, 2001, 3999, 4000, 9000):
+        text = "".join("A" if k % 4 == 1 else "É" if k % 4 == 3 and k < n // 2 else "b" for k in range(n))
+        assert toxicity.statistics(text, 1)[1] == sum(c.isupper() for c in text) / n
