@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every SimHash group stays, the one with the smallest doc_id; repeated rows stay once."""
+    """One document of every group of near copies stays, the one with the smallest doc_id; repeated rows stay once."""
     groups = materialise(simhash.near_copies(docs))
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
