@@ -2,42 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mzloom.storage import discard, materialise
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write to the shared checkpoint folder and read back, which cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not root:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-        root = sc.getCheckpointDir()
-    path = f"{root.rstrip('/')}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["connected_components", "dealt", "discard", "materialise"]
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of edges (a, b) of any orderable type; the component is its smallest node.
 
-    Large-star and small-star rounds; nothing is collected but a checksum per round.
+    Large-star and small-star rounds until nothing changes; nothing is collected but a checksum per round, and
+    every round's table is deleted once the next one is written.
     """
     e = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = materialise(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        e = materialise(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), e)
         now = tuple(e.agg(F.count("*"), F.expr("sum(cast(xxhash64(a, b) as decimal(38,0)))")).first())
-        if mark == now:
+        if mark == now or not now[0]:
             break
         mark = now
     nodes = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
