@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mzloom.storage import discard, materialise, shared_dir
+
+__all__ = ["SPACE", "WORD", "bounded_ids", "byte_words", "discard", "labelled_texts", "materialise", "one_thread", "release_memory", "row_key", "shared_dir", "slices", "table"]
+
 #: Words are maximal runs without blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -17,35 +18,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none (tests)."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-        found = sc.getCheckpointDir()
-    return found.rstrip("/")
+def row_key() -> Column:
+    """(doc_id, 64-bit hash of the text): rows with equal keys are repeated rows, whatever doc_id is."""
+    return F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("t"))
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def bounded_ids(labels: DataFrame, bound: int, seed: int = 0) -> DataFrame:
+    """At most ``bound`` rows of ``labels``, one per doc_id, chosen by a hash of doc_id.
 
+    Of several labels of one doc_id the smallest counts, column by column. The result is small by
+    construction, so it may be broadcast.
+    """
+    ids = labels.where(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long"))
+    values = [F.min(c).alias(c) for c in labels.columns if c != "doc_id"]
+    one = ids.groupBy("doc_id").agg(*values) if values else ids.distinct()
+    return one.orderBy(F.xxhash64(F.col("doc_id"), F.lit(seed)), "doc_id").limit(bound)
 
-def bounded_ids(labels: DataFrame, bound: int, seed: int = 0) -> DataFrame:
-    """At most ``bound`` rows of ``labels`` (one per doc_id), chosen by a hash of doc_id.
 
-    The result is small by construction, so it may be broadcast.
+def labelled_texts(docs: DataFrame, labels: DataFrame, bound: int, seed: int = 0) -> DataFrame:
+    """doc_id, text and the columns of ``labels`` for at most ``bound`` documents, one row each.
+
+    Of several texts of one doc_id the smallest counts, so repeated rows neither exceed the bound nor leave
+    anything to chance.
     """
-    return (
-        labels.where(F.col("doc_id").isNotNull())
-        .dropDuplicates(["doc_id"])
-        .orderBy(F.xxhash64(F.col("doc_id"), F.lit(seed)), "doc_id")
-        .limit(bound)
-    )
+    chosen = bounded_ids(labels, bound, seed)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", *[c for c in labels.columns if c != "doc_id"])
 
 
 def byte_words(text: str | None) -> list[bytes]:

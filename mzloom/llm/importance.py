@@ -4,11 +4,11 @@ Two generative models over hashed word unigrams and bigrams (``BUCKETS`` buckets
 target (texts labelled good), one for all raw text. A text's log weight is the sum over its n-grams of
 log p_target / p_raw. Adding a Gumbel variate to each log weight and taking the k largest keys
 samples k texts without replacement in proportion to their weights (Gumbel top-k). The variate
-comes from a hash of doc_id and the seed, so recomputed tasks repeat it.
+comes from a hash of doc_id (of the text where doc_id is null) and the seed, so recomputed tasks repeat it.
 
 The target model uses at most ``TARGETS`` labelled texts, chosen by a hash of doc_id; raw counts cover all
-rows. k is ``share`` of the texts that have words (default: the share of good labels). The k-th key
-is found exactly by histogram refinement, never by sorting on one node.
+rows. k is ``share`` of the texts that have words (default: the share of good labels among labelled doc_ids; of
+conflicting labels the smallest counts). The k-th key is found exactly by histogram refinement, never by sorting on one node.
 
 Null and empty texts and those without words are never kept and have weight 0. Repeated rows have
 equal keys; rows that tie with the k-th key are all kept. Without good labels the target equals the raw
@@ -82,11 +82,13 @@ def weigh(docs: DataFrame, ratios: np.ndarray, seed: int = 11) -> DataFrame:
             h = [buckets_of(t) for t in b.column("text").to_pylist()]
             n = np.array([len(x) for x in h], np.int64)
             w = np.array([float(ratios[x].sum()) for x in h])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(w)], names=["doc_id", "n_grams", "log_weight"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(w), b.column("hash")], names=["doc_id", "n_grams", "log_weight", "hash"])
 
-    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_grams long, log_weight double")
-    u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) + 0.5) / float(1 << 53)
-    return out.withColumn("gumbel_key", F.when(F.col("n_grams") > 0, F.col("log_weight") - F.log(-F.log(u))))
+    who = F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(seed))).otherwise(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)))
+    out = docs.select(F.col("doc_id").cast("long"), "text", who.alias("hash")).mapInArrow(run, "doc_id long, n_grams long, log_weight double, hash long")
+    u = (F.shiftrightunsigned("hash", 11) + 0.5) / float(1 << 53)
+    out = out.withColumn("gumbel_key", F.when(F.col("n_grams") > 0, F.col("log_weight") - F.log(-F.log(u))))
+    return out.drop("hash")
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> float | None:
@@ -115,7 +117,7 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float | None:
 
 def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, bound: int = TARGETS, seed: int = 11) -> DataFrame:
     """doc_id, n_grams, log_weight, gumbel_key, kept for every row of ``docs``."""
-    known = labels.where("quality is not null")
+    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     good, n = known.agg(F.sum((F.col("quality") == 1).cast("int")), F.count("*")).first()
     if share is None:
         share = good / n if n else 1.0

@@ -9,7 +9,8 @@ into one CASE expression.
 Null and empty texts have no words and fail the base test. Repeated rows are judged alike; ties
 between candidate thresholds go to the first feature and lowest threshold. Without labels or
 with one class only the list is empty and only the base test decides. Extra columns are ignored.
-The learner sees at most ``LABELLED`` labelled rows, chosen by a hash of doc_id.
+The learner sees at most ``LABELLED`` labelled rows, one per doc_id, chosen by a hash of it; of conflicting
+labels or texts of one doc_id the smallest counts.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mzloom.llm.common import SPACE, bounded_ids
+from mzloom.llm.common import SPACE, labelled_texts
 
 LABELLED = 12_000
 WINDOW = 5
@@ -165,8 +166,7 @@ def verdict(rules: list[Rule]) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> list[Rule]:
     """Learn rules that reject quality 0, from at most ``bound`` labelled rows."""
-    chosen = bounded_ids(labels.where("quality is not null").select("doc_id", "quality"), bound)
-    rows = text_stats(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "doc_id", "quality")
+    rows = text_stats(labelled_texts(docs, labels.where("quality is not null").select("doc_id", "quality"), bound), "doc_id", "quality")
     rows = rows.where((F.col("n_words") >= 10) & (F.col("n_repeat_words") * 100 <= F.col("n_words") * 20)).select("doc_id", "quality", *FEATURES)
     got = sorted(tuple(r) for r in rows.collect())
     x = np.array([r[2:] for r in got], float).reshape(len(got), len(FEATURES))
