@@ -106,8 +106,10 @@ PRIVATE = (
 
 
 def test_surrogates_keep_type_format_and_identity(spark):
-    df = spark.createDataFrame([(1, PRIVATE, "k"), (2, None, None), (3, "", "k"), (4, "nothing here", "k"), (1, PRIVATE, "k")], "doc_id long, text string, _found string").withColumnRenamed("_found", "extra")
-    rows = sorted(pii.replace_entities(df).collect(), key=lambda r: (r.doc_id, r.text or ""))
+    rows = [(1, PRIVATE, "k", 5), (2, None, None, 5), (3, "", "k", 5), (4, "nothing here", "k", 5), (1, PRIVATE, "k", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _piifound string, n_entities long")
+    rows = sorted(pii.replace_entities(df, "k").collect(), key=lambda r: (r.doc_id, r.text or ""))
+    assert rows[0].asDict().keys() == {"doc_id", "text", "_piifound", "n_entities"} and [r._piifound for r in rows] == ["k", "k", None, "k", "k"]
     t = rows[0].text
     assert rows[1].text == t and [r.text for r in rows[2:]] == [None, "", "nothing here"] and rows[0].n_entities == 12
     for s in ("figa.20", "772", "8768", "4614953556326981", "4111 1111 1111 1111", "10.1.2.3", "87.229", "Smith", "Müller", "Петрова", "123-45-6789"):
@@ -125,6 +127,6 @@ def test_surrogates_keep_type_format_and_identity(spark):
 def test_collisions_are_resolved(spark):
     # 300 short e-mail addresses with 26 ** 1 * 10 ** 1 shapes collide often.
     texts = [f"{c}{d}@x{d}.example.com" for c in "abcdefghijklmnopqrstuvwxyz" for d in range(6)]
-    out = [r.text for r in pii.replace_entities(docs_frame(spark, texts)).collect()]
+    out = [r.text for r in pii.replace_entities(docs_frame(spark, texts), "k").collect()]
     assert len(set(out)) == len(texts) and not set(out) & set(texts)
-    assert pii.replace_entities(docs_frame(spark, []).limit(0)).count() == 0
+    assert pii.replace_entities(docs_frame(spark, []).limit(0), "k").count() == 0
