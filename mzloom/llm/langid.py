@@ -3,18 +3,17 @@
 Whole texts are cut into windows of ``WINDOW`` bytes (the last one is shorter). Within a window a
 forward and a backward GRU read the bytes; a softmax over both states labels every position, and
 a document's probabilities are the mean over all its positions. Trained in numpy by
-backpropagation through time with Adam, on windows spread over whole texts of a bounded sample:
-at most ``PER_LANGUAGE`` documents of each of the ``LANGUAGES`` most frequent languages, chosen
-by a hash of doc_id.
+backpropagation through time with Adam, on all windows of the whole texts of a bounded sample: at most
+``PER_LANGUAGE`` texts of each language, chosen by a hash of doc_id and text. All languages are learned.
+States start anew in every window, in training as in use, so a text of any length is read in parallel.
 
-Null texts and texts without a letter get ``und`` and score 0, and so does every text if nothing
-can be learned. Repeated rows are labelled alike; ties go to the alphabetically first language.
-Extra columns are ignored.
+Null texts and texts without a letter (Unicode categories L) get ``und`` and score 0, and so does every text
+if nothing can be learned. Repeated rows are labelled alike and learned once; ties go to the alphabetically
+first language. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,9 +26,7 @@ from mzloom.llm.common import one_thread
 
 WINDOW = 64
 HIDDEN = 8
-PER_LANGUAGE = 250
-LANGUAGES = 64
-_LETTER = re.compile(r"[^\W\d_]")
+PER_LANGUAGE = 120
 NAMES = ("E", "U", "b", "O", "c")
 
 
@@ -147,16 +144,17 @@ def _gradients(m: Model, x: np.ndarray, y: np.ndarray):
 
 
 def train(windows: np.ndarray, target: np.ndarray, languages: list[str], steps: int = 160, batch: int = 96, hidden: int = HIDDEN, seed: int = 5) -> Model:
-    """Adam on the mean cross-entropy of all positions."""
+    """Adam on the mean cross-entropy of all positions; every language is drawn equally often."""
     one_thread()
     rng = np.random.default_rng(seed)
+    by = [k for k in (np.flatnonzero(target == j) for j in range(len(languages))) if len(k)]
     h2, L = 2 * hidden, len(languages)
     f = lambda *shape: (rng.normal(size=shape) / np.sqrt(shape[0])).astype(np.float32)
     m = Model(languages, f(257, 3 * h2) * 4, f(h2, 3 * h2) * _mask(hidden), np.zeros(3 * h2, np.float32), f(h2, L), np.zeros(L, np.float32))
     first = [np.zeros_like(getattr(m, k)) for k in NAMES]
     second = [np.zeros_like(v) for v in first]
     for step in range(1, steps + 1):
-        take = rng.integers(0, len(windows), batch)
+        take = np.array([k[int(u * len(k))] for k, u in zip((by[j] for j in rng.integers(0, len(by), batch)), rng.random(batch))])
         _, grads = _gradients(m, windows[take], target[take])
         rate = 0.03 * min(1.0, 2 * (1 - step / (steps + 1)))
         for k, (name, g) in enumerate(zip(NAMES, grads, strict=True)):
@@ -168,45 +166,34 @@ def train(windows: np.ndarray, target: np.ndarray, languages: list[str], steps:
 
 
 def _windows(data: bytes) -> np.ndarray:
-    a = np.frombuffer(data, np.uint8).astype(np.int64)
+    a = np.frombuffer(data, np.uint8)
     n = -(-len(a) // WINDOW)
-    out = np.full(n * WINDOW, 256)
+    out = np.full(n * WINDOW, 256, np.int16)
     out[: len(a)] = a
     return out.reshape(n, WINDOW)
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, n_windows: int = 4) -> Model | None:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """Learn from rows with non-null lang; ``docs`` holds the rows to learn from."""
-    known = docs.where("lang is not null and text is not null and doc_id is not null")
-    top = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    if not top:
-        return None
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.where(F.col("lang").isin(top)).select("doc_id", "lang").withColumn("k", F.row_number().over(order))
-    ids = ids.where(F.col("k") <= per_language).select("doc_id").distinct().limit(per_language * LANGUAGES)
+    key = F.xxhash64("doc_id", "text")
+    known = docs.where("lang is not null and text is not null")
+    # Only keys are ranked, and at most ``per_language`` of a language leave each task.
+    order = W.partitionBy("lang").orderBy("k")
+    keys = known.select("lang", key.alias("k")).distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).drop("n")
+    rows = known.select("lang", key.alias("k"), "text").join(keys, ["lang", "k"], "left_semi").groupBy("lang", "k").agg(F.min("text").alias("text"))
 
     def run(batches):
         for b in batches:
-            rows = []
-            for doc, lang, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "lang", "text")), strict=True):
-                w = _windows(text.encode("utf-8", "replace"))
-                spread = np.unique(np.linspace(0, len(w) - 1, n_windows).astype(int)) if len(w) else []
-                rows += [(doc, int(i), lang, w[i].astype(np.int16).tobytes()) for i in spread]
-            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            types = (pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "place", "lang", "bytes"])
-
-    got = known.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id").mapInArrow(run, "doc_id long, place long, lang string, bytes binary").collect()
-    got = sorted((r for r in got if r.lang in top), key=lambda r: (r.doc_id, r.place, r.lang))
+            data = [_windows(t.encode("utf-8", "replace")).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("k"), pa.array(data, pa.binary())], names=["lang", "k", "bytes"])
+
+    got = sorted((r for r in rows.mapInArrow(run, "lang string, k long, bytes binary").collect() if r.bytes), key=lambda r: (r.lang, r.k))
     if not got:
         return None
-    languages = sorted(top)
-    x = np.stack([np.frombuffer(r.bytes, np.int16) for r in got]).astype(np.int64)
-    y = np.array([languages.index(r.lang) for r in got])
-    by = [np.flatnonzero(y == k) for k in range(len(languages))]
-    most = max(map(len, by))
-    even = np.concatenate([np.resize(k, most) for k in by if len(k)])
-    return train(x[even], y[even], languages)
+    languages = sorted({r.lang for r in got})
+    parts = [np.frombuffer(r.bytes, np.int16).reshape(-1, WINDOW) for r in got]
+    y = np.repeat([languages.index(r.lang) for r in got], [len(p) for p in parts])
+    return train(np.concatenate(parts), y, languages)
 
 
 def pooled(m: Model, texts: list[bytes], at_once: int = 1024) -> np.ndarray:
@@ -236,6 +223,10 @@ def pooled(m: Model, texts: list[bytes], at_once: int = 1024) -> np.ndarray:
     return total / np.maximum(total.sum(1, keepdims=True), 1e-12)
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def predict(docs: DataFrame, m: Model | None) -> DataFrame:
     """doc_id, lang_pred, score for every row."""
 
@@ -243,7 +234,7 @@ def predict(docs: DataFrame, m: Model | None) -> DataFrame:
         one_thread()
         for b in batches:
             texts = b.column("text").to_pylist()
-            lettered = [bool(t and _LETTER.search(t)) and m is not None for t in texts]
+            lettered = [m is not None and has_letter(t) for t in texts]
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
             if any(lettered):
                 p = pooled(m, [t.encode("utf-8", "replace") if ok else b"" for t, ok in zip(texts, lettered, strict=True)])
