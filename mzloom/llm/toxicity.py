@@ -10,8 +10,8 @@ Categories here, from the labels: ``junk`` (quality 0), ``toxic`` (toxic 1), ``t
 Words and word beginnings come from the labelled sample: those whose presence is most associated
 with a category.
 
-At most ``LABELLED`` labelled rows are used, one per distinct text, chosen by a hash of doc_id. Null and
-empty texts have no features and get the base rates; they're never rejected. Repeated rows are
+At most ``LABELLED`` labelled rows are used, one per doc_id and distinct text, chosen by a hash of doc_id; of
+conflicting labels of one doc_id the smallest counts, of one text the largest. Null and empty texts have no features and get the base rates; they're never rejected. Repeated rows are
 judged alike. Without labels of both kinds nothing is rejected. Extra columns are ignored.
 """
 
@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from mzloom.llm.common import bounded_ids, one_thread, release_memory, slices
+from mzloom.llm.common import discard, labelled_texts, materialise, one_thread, release_memory, slices
 
 LABELLED = 8_000
 WORDS = 400
@@ -149,11 +150,12 @@ def _word_sets(batches):
 def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED, n_words: int = WORDS) -> Chain | None:
     """Fit from labelled rows; None without both kinds of label."""
     labelled = labels.where("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"), (F.coalesce(F.col("quality"), F.lit(1)) == 0).cast("int").alias("junk"))
-    chosen = bounded_ids(labelled, bound)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").dropDuplicates(["text"])
+    rows = labelled_texts(docs, labelled, bound).where("text is not null").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.max("junk").alias("junk"))
+    rows = materialise(rows)  # read for counts, vocabulary and features
     stats = rows.mapInArrow(_word_sets, "toxic int, junk int, words array<string>")
     total = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("t"), F.sum("junk").alias("j")).first()
     if not total.t or total.t == total.n:
+        discard(rows)
         return None
     counts = stats.select("toxic", "junk", F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"), F.sum("junk").alias("j"))
 
@@ -170,7 +172,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED, n_words: int
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), b.column("junk"), pa.array(x, pa.binary())], names=["doc_id", "toxic", "junk", "x"])
 
     got = rows.select("doc_id", "toxic", "junk", "text").mapInArrow(run, "doc_id long, toxic int, junk int, x binary").collect()
-    got.sort(key=lambda r: r.doc_id)
+    discard(rows)
+    got.sort(key=lambda r: r.doc_id)  # doc_ids are distinct here
     x = np.stack([np.frombuffer(r.x, np.float32) for r in got]).astype(float)
     y = np.array([(r.junk, r.toxic, r.junk * r.toxic) for r in got])
     del got
@@ -180,24 +183,39 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED, n_words: int
     return chain
 
 
-def score(docs: DataFrame, chain: Chain | None, *keep: str) -> DataFrame:
-    """``keep`` plus p_<category> and toxic for every row."""
-    schema = [docs.schema[c] for c in keep]
-    from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
+def _probabilities(texts: list[str | None], chain: Chain | None) -> np.ndarray:
+    if not chain or not texts:
+        return np.zeros((len(texts), len(CATEGORIES)))
+    return chain.probabilities(np.stack([features(t, chain.words) for t in texts]))
 
-    out = StructType([*schema, *[StructField(f"p_{c}", DoubleType()) for c in CATEGORIES], StructField("toxic", BooleanType())])
+
+def _judged(texts: list[str | None], p: np.ndarray, chain: Chain | None) -> list[bool]:
     at = CATEGORIES.index("toxic")
+    return [bool(t) and chain is not None and q >= chain.threshold for t, q in zip(texts, p[:, at], strict=True)]
+
+
+def score(docs: DataFrame, chain: Chain | None, *keep: str) -> DataFrame:
+    """``keep`` plus p_<category> and toxic for every row."""
+    out = StructType([*[docs.schema[c] for c in keep], *[StructField(f"p_{c}", DoubleType()) for c in CATEGORIES], StructField("toxic", BooleanType())])
 
     def run(batches):
         one_thread()
         for b in slices(batches):
-            texts = b.column("_text").to_pylist()
-            p = np.zeros((len(texts), len(CATEGORIES)))
-            for lo in range(0, len(texts) if chain else 0, 512):
-                x = np.stack([features(t, chain.words) for t in texts[lo : lo + 512]])
-                p[lo : lo + 512] = chain.probabilities(x)
-            judged = [bool(t) and chain is not None and q >= chain.threshold for t, q in zip(texts, p[:, at], strict=True)]
-            columns = [b.column(c) for c in keep] + [pa.array(p[:, k]) for k in range(p.shape[1])] + [pa.array(judged, pa.bool_())]
+            texts = b.column(b.num_columns - 1).to_pylist()
+            p = _probabilities(texts, chain)
+            columns = [b.column(k) for k in range(len(keep))] + [pa.array(p[:, k]) for k in range(p.shape[1])] + [pa.array(_judged(texts, p, chain), pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, out)
+
+
+def reject(docs: DataFrame, chain: Chain | None) -> DataFrame:
+    """``docs`` without the rows that the chain takes for toxic; all columns stay as they are."""
+
+    def run(batches):
+        one_thread()
+        for b in slices(batches):
+            texts = b.column("text").to_pylist()
+            yield b.filter(pa.array([not j for j in _judged(texts, _probabilities(texts, chain), chain)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
