@@ -42,7 +42,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text")
     )
-    return chat.digest(chat.render(chat.fold(chat.message_log(told.unionByName(more)))))
+    return chat.digest(chat.render(chat.fold(chat.stream_log(told.unionByName(more)), partitioned=True)))
 
 
 def op7_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,8 @@ def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    key = spark.conf.get("spark.mzloom.pii.key", "for test tables only")
+    return pii.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
 
 
 def op10_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,9 +82,9 @@ ORACLES = {
           SELECT *, length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'))
                   + length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')) AS shown FROM c)
         SELECT conv_id, count(*) AS n_turns,
-               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
                coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                sum(shown + length('<s>[role][/role]</s>'))::BIGINT AS formatted_chars
         FROM e GROUP BY conv_id
     """,
