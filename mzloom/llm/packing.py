@@ -6,8 +6,8 @@ sequence) is solved by column generation: the simplex keeps one basis matrix, a
 program prices new patterns, and generation ends when the value is within ``GAP`` of a
 lower bound (the tokens' volume, or the Lagrangian bound). Patterns are rounded down; what is left (fewer remainders than patterns times pattern
 size, whatever the input) is packed first-fit decreasing by class. Only the histogram reaches the
-driver. Remainders are ranked within their class by distributed prefix counts and the rank decides the
-sequence.
+driver. Pieces are ranked within their class by distributed prefix counts over blocks, whose number grows with
+the input, and the rank decides the sequence.
 
 Null and empty texts are the single end token. Copies and ties are ranked by doc_id, start and
 checksum. Repeated rows are packed each. An empty table packs nothing. Extra columns aren't read.
@@ -33,8 +33,8 @@ from mzloom.llm.common import materialise
 LENGTH = 2048
 END = 1
 GAP = 0.002
-#: A class of remainders is dealt to at least this many blocks for ranking, however few classes there are.
-BLOCKS = 64
+#: Pieces of a class are dealt to blocks for ranking: about this many pieces a block, and so many blocks at least.
+BLOCK_ROWS, BLOCKS = 100_000, 64
 
 
 def sizes(length: int = LENGTH) -> list[int]:
@@ -220,33 +220,31 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, keep_id
     spark: SparkSession = docs.sparkSession
     cut = materialise(pieces(docs, path or default_path(), length, keep_ids))
     cut = cut.withColumn("class", _class_of(length))
-    # Blocks spread a class that holds most remainders; the rank within a block is made global below.
-    cut = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(BLOCKS)))
-    counts = cut.groupBy("class", "block").agg(F.count("*").alias("n")).collect()  # classes times BLOCKS rows at most
-    totals: dict[int, int] = {}
-    base = []
-    for r in sorted(counts, key=lambda r: (r["class"], r["block"])):
-        base.append((r["class"], r["block"], totals.get(r["class"], 0)))
-        totals[r["class"]] = totals.get(r["class"], 0) + r["n"]
+    # Blocks spread a class that holds most pieces; the rank within a block is made global below.
+    blocks = max(BLOCKS, cut.count() // BLOCK_ROWS)
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(blocks)))
+    counts = cut.groupBy("class", "block").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("class").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    bases = materialise(counts.select("class", "block", "n", F.coalesce(before, F.lit(0)).alias("base")))
+    totals = {r["class"]: r.n for r in bases.groupBy("class").agg(F.sum("n").alias("n")).collect()}  # one row per class
     full = totals.pop(length, 0)
+    spans: dict[int, list] = {length: [(0, full, 0, 1)]}
     order = sorted(totals)
     start_of = dict.fromkeys(order, 0)
-    rows, seq = [], full
+    seq = full
     for counts_p, times in plan(totals, length):
         for k, a in zip(order, counts_p.tolist(), strict=True):
             if a:
-                rows.append((k, start_of[k], start_of[k] + a * times, seq, a))
+                spans.setdefault(k, []).append((start_of[k], start_of[k] + a * times, seq, a))
                 start_of[k] += a * times
         seq += times
-    rows.append((length, 0, full, 0, 1))
-    # Both tables are bounded by the number of classes, blocks and patterns, not by the input.
-    bases = spark.createDataFrame(base or [(0, 0, 0)], "class long, block long, base long")
-    spans = spark.createDataFrame(rows, "class long, rank_from long, rank_to long, first long, each long")
+    # Bounded by the number of classes and patterns, not by the input; a piece finds its span in its row.
+    told = spark.createDataFrame(sorted(spans.items()), "class long, spans array<struct<rank_from:long,rank_to:long,first:long,each:long>>")
     ids = ["ids"] * keep_ids
     rank = F.row_number().over(W.partitionBy("class", "block").orderBy("doc_id", "start", "ids_crc32")) - 1
-    ranked = cut.withColumn("rank", rank).join(F.broadcast(bases), ["class", "block"]).withColumn("rank", F.col("rank") + F.col("base"))
-    dealt = ranked.join(F.broadcast(spans), "class").where("rank >= rank_from and rank < rank_to")
-    dealt = dealt.withColumn("sequence_id", F.expr("first + (rank - rank_from) div each"))
+    ranked = cut.withColumn("rank", rank).join(bases.drop("n"), ["class", "block"]).withColumn("rank", F.col("rank") + F.col("base"))
+    span = F.get(F.filter("spans", lambda s: (F.col("rank") >= s["rank_from"]) & (F.col("rank") < s["rank_to"])), F.lit(0))
+    dealt = ranked.join(F.broadcast(told), "class").withColumn("span", span).withColumn("sequence_id", F.expr("span.first + (rank - span.rank_from) div span.each"))
     order_in = W.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start", "rank").rowsBetween(W.unboundedPreceding, -1)
     return dealt.withColumn("offset", F.coalesce(F.sum("length").over(order_in), F.lit(0).cast("long"))).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", *ids, "sequence_id", "offset"
