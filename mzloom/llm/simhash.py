@@ -8,9 +8,9 @@ t_i bits, more than tau bits would differ in all, so probing each partition for
 t_i bits finds every link. Candidates are verified on all 64 bits.
 
 Groups of equal fingerprints are reduced to one representative before any join. A bucket with
-more than ``PAIR_LIMIT`` distinct fingerprints isn't paired: its members are linked to the
-smallest member that agrees outside ``tau`` masked bits, which is exact and linear in the bucket (for
-small ``tau``; beyond ``MOST_MASKS`` masks such buckets are paired as well).
+more than ``PAIR_LIMIT`` distinct fingerprints isn't paired: all fingerprints that probe it are linked to the
+smallest one that agrees outside of ``tau`` masked bits, at most t of them in the partition. Two fingerprints that
+the probe would pair agree under such a mask, so the same ones are connected, by rows linear in the bucket.
 
 Null and empty texts have fingerprint zero and link like any other. Repeated rows share a
 fingerprint. An empty table gives an empty result. Null doc_ids are kept and don't count for the
@@ -27,11 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mzloom.llm.common import materialise, slices
+from mzloom.llm.common import discard, materialise, row_key, slices
+from mzloom.operators.components import connected_components
 
 PAIR_LIMIT = 1500
-#: With more masks than this, crowded buckets are paired after all.
-MOST_MASKS = 5_000
 SAMPLE = 10_000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _PLACE = (np.arange(8, dtype=np.int64) * 256)[None, :]
@@ -49,7 +48,11 @@ def fingerprint(text: str | None, width: int = 3) -> int:
         hashes = [digest(b" ".join(words), 42)]
     else:
         hashes = [digest(b" ".join(s), 42) for s in zip(*(words[i:] for i in range(width)))]
-    h = np.array(hashes, dtype="<u8")
+    return majority(np.array(hashes, dtype="<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the 64-bit hashes ``h``."""
     counts = np.bincount((h.view(np.uint8).reshape(-1, 8) + _PLACE).ravel(), minlength=2048).reshape(8, 256) @ _BITS
     ones = (2 * counts.ravel() > len(h)).astype(np.uint8)
     return int(np.packbits(ones, bitorder="little").view("<u8")[0])
@@ -111,6 +114,7 @@ def _collisions(values: np.ndarray, width: int, radius: int) -> float:
 
 def plan(sample: np.ndarray, total: int, tau: int, most: int = 4) -> list[tuple[int, int]]:
     """Masks and thresholds [(mask, t)] of least estimated cost over 1 to ``most`` partitions."""
+    total = max(total, 2)  # else all plans would cost the same
     best = None
     for m in range(1, most + 1):
         groups = bit_groups(sample, m)
@@ -143,28 +147,36 @@ def _flips(mask: int, t: int) -> list[int]:
     return [_signed(_mask(c)) for r in range(t + 1) for c in combinations(bits, r)]
 
 
+def _crowd_masks(mask: int, t: int, tau: int) -> list[int]:
+    """Masks that leave out ``tau`` bits, at most ``t`` of them within the partition."""
+    inside, free = [b for b in range(64) if mask >> b & 1], [b for b in range(64) if not mask >> b & 1]
+    most = min(tau, 64)
+    out = []
+    for k in range(min(t, len(inside)) + 1):
+        # A smaller choice is within a larger one, unless no bits are left to choose.
+        n = min(most - k, len(free))
+        if n == most - k or k == min(t, len(inside)):
+            out += [_signed(~_mask(x + y) & (1 << 64) - 1) for x in combinations(inside, k) for y in combinations(free, n)]
+    return out
+
+
 def _bucket_links(distinct: DataFrame, mask: int, t: int, tau: int) -> DataFrame:
     """Links (a > b) between distinct fingerprints that this partition's probe finds."""
     base = distinct.select("fp", F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("key"))
-    sizes = base.groupBy("key").count()
-    free = [b for b in range(64) if not mask >> b & 1]
-    few_masks = math.comb(len(free), min(tau, len(free))) <= MOST_MASKS
-    large = sizes.where((F.col("count") > PAIR_LIMIT) & F.lit(few_masks)).select("key")
+    large = base.groupBy("key").count().where(F.col("count") > PAIR_LIMIT).select("key")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= tau
-    flips = _flips(mask, t)
     build = base.select("key", F.col("fp").alias("other"))
     probe = base
     if t > 0:
-        probe = base.select("fp", F.explode(F.array(*[F.lit(x) for x in flips])).alias("flip"))
+        probe = base.select("fp", F.explode(F.array(*[F.lit(x) for x in _flips(mask, t)])).alias("flip"))
         probe = probe.select("fp", F.col("fp").bitwiseAND(F.lit(_signed(mask))).bitwiseXOR(F.col("flip")).alias("key"))
-        # Values off by some bits: no bucket of copies is met here but through its few neighbours.
-        return probe.join(build, "key").where((F.col("fp") > F.col("other")) & near).select(F.col("fp").alias("a"), F.col("other").alias("b"))
-    small = probe.join(large, "key", "left_anti")
+    crowded = not large.isEmpty()
+    small = probe.join(large, "key", "left_anti") if crowded else probe
     pairs = small.join(build, "key").where((F.col("fp") > F.col("other")) & near).select(F.col("fp").alias("a"), F.col("other").alias("b"))
-    if large.isEmpty():
+    if not crowded:
         return pairs
-    masks = [_signed(~_mask(c) & (1 << 64) - 1) for c in combinations(free, min(tau, len(free)))]
-    crowd = base.join(large, "key", "left_semi").select("fp", F.explode(F.array(*[F.lit(x) for x in masks])).alias("m"))
+    crowd = probe.join(large, "key", "left_semi").select("fp").distinct()
+    crowd = crowd.select("fp", F.explode(F.array(*[F.lit(x) for x in _crowd_masks(mask, t, tau)])).alias("m"))
     crowd = crowd.select("fp", "m", F.col("fp").bitwiseAND(F.col("m")).alias("v"))
     least = crowd.groupBy("m", "v").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
     stars = crowd.join(least, ["m", "v"]).where("fp > b").select(F.col("fp").alias("a"), "b").distinct()
@@ -174,6 +186,8 @@ def _bucket_links(distinct: DataFrame, mask: int, t: int, tau: int) -> DataFrame
 def links(distinct: DataFrame, tau: int = 2, sample: int = SAMPLE) -> DataFrame:
     """All links, or within crowded buckets a set that connects the same fingerprints: a > b."""
     total = distinct.count()
+    if total < 2:
+        return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
     rows = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()
     values = np.array([r.fp for r in rows], dtype=np.int64).view(np.uint64)
     out = None
@@ -183,48 +197,26 @@ def links(distinct: DataFrame, tau: int = 2, sample: int = SAMPLE) -> DataFrame:
     return out.distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of edges (a, b): (node, root), the root being the smallest node.
-
-    Alternates large-star and small-star rounds; every round is written to the shared folder.
-    """
-    e = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
-    for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = materialise(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
-        now = e.agg(F.count("*"), F.expr("sum(cast(xxhash64(a, b) as decimal(38,0)))")).first()
-        if mark == tuple(now):
-            break
-        mark = tuple(now)
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-
-
 def group(fps: DataFrame, tau: int) -> DataFrame:
     """(fp, n, component_id) of every distinct fingerprint of ``fps`` (doc_id, fp)."""
     distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    comp = components(links(distinct, tau))
-    member = comp.unionByName(comp.select(F.col("root").alias("node"), "root")).distinct()
-    member = member.join(distinct.select(F.col("fp").alias("node"), "least"), "node")
+    member = connected_components(links(distinct, tau)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    member = member.join(distinct.select("fp", "least"), "fp")
     roots = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = member.join(roots, "root").select(F.col("node").alias("fp"), "component_id")
+    named = member.join(roots, "root").select("fp", "component_id")
     named = distinct.join(named, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"))
-    return materialise(named)
+    return materialise(named, distinct)
 
 
-def spread(fps: DataFrame, named: DataFrame) -> DataFrame:
-    """``fps`` with the component_id of its fingerprint, whatever share of the rows one fingerprint holds."""
-    total = fps.count()
-    # At most 200 fingerprints can each hold more than a 200th of the rows: small enough to broadcast.
-    hot = named.where(F.col("n") * 200 > total).select("fp", F.col("component_id").alias("hot_id"), F.lit(True).alias("hot"))
-    dealt = fps.join(F.broadcast(hot), "fp", "left")
-    common = dealt.where("hot").select(*fps.columns, F.col("hot_id").alias("component_id"))
-    rest = dealt.where("hot is null").select(*fps.columns).join(named.select("fp", "component_id"), "fp")
-    return common.unionByName(rest.select(*fps.columns, "component_id"))
+def spread(rows: DataFrame, named: DataFrame, key: str = "fp") -> DataFrame:
+    """``rows`` with the columns of ``named`` (``key``, n, others) for its key, whatever share of the rows one key holds."""
+    total = rows.count()
+    others = [c for c in named.columns if c not in (key, "n")]
+    # At most 200 keys can each hold more than a 200th of the rows: small enough to broadcast.
+    hot = named.where(F.col("n") * 200 > total).drop("n")
+    common = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(named.drop("n"), key)
+    return common.unionByName(rest).select(*rows.columns, *others)
 
 
 def near_duplicates(docs: DataFrame, tau: int = 2, width: int = 3) -> DataFrame:
@@ -245,22 +237,6 @@ def shingle_hashes(text: str | None, width: int = 5) -> list[int]:
     return sorted(_signed(xxhash.xxh64_intdigest(x)) for x in parts)
 
 
-def _similar(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Those of ``pairs`` (x, y: doc_ids) whose whole texts share enough shingles."""
-    wanted = pairs.select(F.col("x").alias("d")).unionByName(pairs.select(F.col("y").alias("d"))).distinct()
-
-    def hashes(batches):
-        for t in batches:
-            sets = [shingle_hashes(x, shingle) for x in t.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([t.column("d"), pa.array(sets, pa.list_(pa.int64()))], names=["d", "s"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("d"), "text").join(wanted, "d", "left_semi")
-    sets = materialise(texts.mapInArrow(hashes, "d long, s array<long>").groupBy("d").agg(F.min("s").alias("s")))
-    both = pairs.join(sets.select(F.col("d").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("d").alias("y"), F.col("s").alias("sy")), "y")
-    shared = F.size(F.array_intersect("sx", "sy"))
-    return materialise(both.where(shared >= similarity * (F.size("sx") + F.size("sy") - shared)).select("x", "y"))
-
-
 #: Bits of a parity bitmap: it rules pairs out while their sets have fewer than about 4.5 x BITMAP elements together.
 BITMAP = 1024
 #: Counters of the table by which common shingles are put last.
@@ -302,41 +278,55 @@ def _frequencies(docs: DataFrame, shingle: int) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """doc_id, fp (128-bit digest of the set of shingles), size, b0 to b15 (parity bitmap) and prefix of every text.
+    """row (``row_key``), set (128-bit digest of the shingles), fp (their SimHash), size, b0 to b15 (parity bitmap) and prefix.
 
     The prefix holds the rarest |s| - ceil(similarity |s|) + 1 shingles. Sets of Jaccard similarity ``similarity``
     share that part of either, so their prefixes meet. Any fixed order will do; the rarest first give few candidates.
     """
     common = _frequencies(docs, shingle)
     words = BITMAP // 64
-    names = ["doc_id", "fp", "size", *[f"b{i}" for i in range(words)], "prefix"]
+    names = ["row", "set", "fp", "size", *[f"b{i}" for i in range(words)], "prefix"]
 
     def run(batches):
         import xxhash
 
         for b in slices(batches):
-            digest, size, bits, prefix = [], [], [], []
+            digest, fp, size, bits, prefix = [], [], [], [], []
             for t in b.column("text").to_pylist():
                 h = _shingle_set(t, shingle)
                 k = len(h) - math.ceil(similarity * len(h) - 1e-6) + 1
                 prefix.append(h[np.lexsort((h, common[_counter(h)]))[:k]].view(np.int64))
                 digest.append(xxhash.xxh3_128_digest(h.tobytes()))
+                fp.append(majority(h))
                 size.append(len(h))
                 bits.append(_parity(h))
             bits = np.array(bits, np.int64).reshape(-1, words)
-            columns = [b.column("doc_id"), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), *[pa.array(bits[:, i]) for i in range(words)], pa.array(prefix, pa.list_(pa.int64()))]
+            columns = [b.column("row"), pa.array(digest, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(size, pa.int32())]
+            columns += [pa.array(bits[:, i]) for i in range(words)] + [pa.array(prefix, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = "doc_id long, fp binary, size int, " + ", ".join(f"b{i} long" for i in range(words)) + ", prefix array<long>"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    schema = "row struct<id:long,t:long>, set binary, fp long, size int, " + ", ".join(f"b{i} long" for i in range(words)) + ", prefix array<long>"
+    return docs.select(row_key().alias("row"), "text").mapInArrow(run, schema)
 
 
-def _buckets(sets: DataFrame) -> DataFrame:
-    """(bucket, doc_id, size, b0 to b15): the texts whose prefixes hold the same shingle."""
-    held = sets.select("doc_id", F.explode("prefix").alias("h")).groupBy("h").agg(F.sort_array(F.collect_set("doc_id")).alias("docs"))
-    # Groups of copies share many shingles: equal buckets count once.
-    held = materialise(held.where(F.size("docs") > 1).select("docs").distinct().select(F.xxhash64("docs").alias("bucket"), "docs"))
-    return materialise(held.select("bucket", F.explode("docs").alias("doc_id")).join(sets.drop("prefix", "fp"), "doc_id"))
+def _similar(docs: DataFrame, heads: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Those of ``pairs`` (x, y: sets of ``heads``) whose whole texts share enough shingles."""
+    wanted = pairs.select(F.col("x").alias("set")).unionByName(pairs.select(F.col("y").alias("set"))).distinct()
+    wanted = wanted.join(heads.select("set", "row"), "set").select("row")
+
+    def hashes(batches):
+        import xxhash
+
+        for t in slices(batches):
+            found = [_shingle_set(x, shingle) for x in t.column("text").to_pylist()]
+            digest = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([digest, pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))], names=["set", "s"])
+
+    texts = docs.select(row_key().alias("row"), "text").join(wanted, "row", "left_semi").select("text")
+    sets = materialise(texts.mapInArrow(hashes, "set binary, s array<long>").groupBy("set").agg(F.first("s").alias("s")))
+    both = pairs.join(sets.select(F.col("set").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("set").alias("y"), F.col("s").alias("sy")), "y")
+    shared = F.size(F.array_intersect("sx", "sy"))
+    return materialise(both.where(shared >= similarity * (F.size("sx") + F.size("sy") - shared) - 1e-6).select("x", "y"), sets)
 
 
 def _may_match(a: str, b: str, similarity: float):
@@ -347,54 +337,83 @@ def _may_match(a: str, b: str, similarity: float):
     return sizes & (differ <= both * (1 - similarity) / (1 + similarity) + 1e-6)
 
 
-def _with_component(members: DataFrame, good: DataFrame | None) -> DataFrame:
-    if good is None:
-        return members.withColumn("comp", F.col("doc_id"))
-    comp = components(good.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("doc_id"), "root")
-    named = members.drop("comp").join(comp, "doc_id", "left").select(*members.drop("comp").columns, F.coalesce("root", "doc_id").alias("comp"))
-    # Only buckets of several components can still give links.
-    open_ = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-    return materialise(named.join(open_, "bucket", "left_semi"))
+def _pair(x, y):
+    return F.least(x, y).alias("x"), F.greatest(x, y).alias("y")
+
+
+def _fingerprint_pairs(heads: DataFrame, tau: int) -> DataFrame:
+    """Pairs of sets whose SimHashes link, one for each linked pair of fingerprints, and stars of sets with the same one."""
+    first = materialise(heads.groupBy("fp").agg(F.min("set").alias("least")))
+    same = heads.select("set", "fp").join(first, "fp").where("set <> least").select(*_pair("set", "least"))
+    far = links(first, tau).join(first.select(F.col("fp").alias("a"), F.col("least").alias("one")), "a").join(first.select(F.col("fp").alias("b"), F.col("least").alias("other")), "b")
+    return same.unionByName(far.select(*_pair("one", "other")))
+
+
+def _bounded_pairs(pairs: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs that sizes and bitmaps don't rule out."""
+    info = heads.select("set", "size", *[f"b{i}" for i in range(BITMAP // 64)])
+    j = pairs.distinct().alias("k").join(info.alias("p"), F.col("k.x") == F.col("p.set")).join(info.alias("q"), F.col("k.y") == F.col("q.set"))
+    return materialise(j.where(_may_match("p", "q", similarity)).select("k.x", "k.y"))
+
+
+#: Sets of an open bucket that are compared with the whole bucket in one task.
+SALT_ROWS = 1000
+
+
+def _open_pairs(held: DataFrame, buckets: DataFrame, comp: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of a bucket's sets in different components; crowded buckets are dealt to several tasks."""
+    m = held.join(buckets.select("h"), "h").join(comp, held.set == comp.node, "left").select("h", "set", F.coalesce("component", "set").alias("comp"))
+    m = materialise(m)
+    left = m.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    left = left.select("h", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts"))
+    m = materialise(m.join(left, "h").join(heads.drop("row", "fp", "prefix", "n"), "set"), m)
+    p = m.withColumn("salt", F.pmod(F.xxhash64("set"), F.col("salts")).cast("int"))
+    q = m.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    on = (F.col("p.h") == F.col("q.h")) & (F.col("p.salt") == F.col("q.salt")) & (F.col("p.set") < F.col("q.set")) & (F.col("p.comp") != F.col("q.comp"))
+    return materialise(p.alias("p").join(q.alias("q"), on & _may_match("p", "q", similarity)).select(*_pair("p.set", "q.set")).distinct(), m)
 
 
-def similar_pairs(docs: DataFrame, sets: DataFrame, similarity: float, shingle: int, star_rounds: int = 2) -> DataFrame:
-    """(x, y) that connect all ``sets`` of ``similarity`` or more, as all such pairs would: none is missed.
+def similar_pairs(docs: DataFrame, heads: DataFrame, similarity: float, shingle: int, tau: int) -> DataFrame:
+    """(x, y) that connect all sets of ``similarity`` or more, as all such pairs would: none is missed.
 
-    ``star_rounds`` times all texts of a bucket are compared with one of them, another one each time; then all
-    pairs are whose components still differ. A text that a star has linked stays a candidate for the others.
+    First come the pairs that SimHash finds, and of the sets that share a shingle of their prefixes each with one
+    or two of them; then all pairs of a prefix bucket whose components still differ. A set that has been linked
+    stays a candidate for the others. Every pair is verified on whole texts.
     """
-    members = _with_component(_buckets(sets), None)
-    good = None
-    for k in range(star_rounds + 1):
-        if k < star_rounds:
-            hub = members.groupBy("bucket").agg(F.min_by(F.struct(*[c for c in members.columns if c != "bucket"]), F.xxhash64("doc_id", F.lit(k))).alias("h")).select("bucket", "h.*")
-        else:
-            hub = members
-        on = (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.comp") != F.col("q.comp")) & _may_match("p", "q", similarity)
-        if k == star_rounds:
-            on = on & (F.col("p.doc_id") < F.col("q.doc_id"))
-        pairs = hub.alias("p").join(members.alias("q"), on).select(F.least("p.doc_id", "q.doc_id").alias("x"), F.greatest("p.doc_id", "q.doc_id").alias("y"))
-        found = _similar(docs, materialise(pairs.distinct()), similarity, shingle)
-        good = found if good is None else good.unionByName(found)
-        if k < star_rounds:
-            members = _with_component(members, good)
-    return good
-
-
-def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, star_rounds: int = 2) -> DataFrame:
-    """doc_id, component_id of groups of near copies.
+    held = heads.select("set", F.explode("prefix").alias("h"))
+    hub = lambda k: F.min(F.struct(F.xxhash64("set", F.lit(k)), "set"))["set"].alias(f"hub{k}")
+    mark = lambda k: F.bit_xor(F.xxhash64("set", F.lit(k))).alias(f"mark{k}")
+    buckets = held.groupBy("h").agg(F.count("*").alias("n"), mark(2), mark(3), hub(0), hub(1)).where("n > 1")
+    # Groups of copies share many shingles: buckets of the same sets count once.
+    buckets = materialise(buckets.groupBy("n", "mark2", "mark3").agg(F.min(F.struct("h", "hub0", "hub1")).alias("b")).select("b.*"))
+    members = held.join(buckets, "h")
+    stars = members.select("set", F.explode(F.array("hub0", "hub1")).alias("hub")).where("set <> hub").select(*_pair("set", "hub"))
+    first = _similar(docs, heads, _bounded_pairs(_fingerprint_pairs(heads, tau).unionByName(stars), heads, similarity), similarity, shingle)
+    comp = materialise(connected_components(first.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    rest = _similar(docs, heads, _open_pairs(held, buckets, comp, heads, similarity), similarity, shingle)
+    discard(comp, buckets)
+    return first.unionByName(rest)
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tau: int = 3) -> DataFrame:
+    """row (``row_key``), component_id (least doc_id of its group), kept (the first row of its group) for every row.
 
     Two texts are near copies if the Jaccard similarity of their ``shingle``-word shingles is ``similarity`` or
-    more, or if a chain of such pairs joins them. Candidates come from an exact prefix join, not from
-    fingerprints, and each is verified on whole texts: no pair is missed and none is merged unverified. Texts of
-    equal shingles are reduced to the first before. Rows without doc_id keep to themselves.
+    more, or if a chain of such pairs joins them. SimHashes within ``tau`` bits give the first candidates; an exact
+    prefix join gives those that are farther apart in bits. Each is verified on whole texts: no pair is missed and
+    none is merged unverified. Texts of equal shingles are reduced to the first before. Rows without doc_id come
+    last in their group; repeated rows have the same key and are kept or not together.
     """
     sets = materialise(shingle_sets(docs, similarity, shingle))
-    known = sets.where("doc_id is not null")
-    heads = known.groupBy("fp").agg(F.min(F.struct("doc_id", *[c for c in sets.columns if c not in ("doc_id", "fp")])).alias("h"), F.count("*").alias("n"))
-    heads = materialise(heads.select("fp", "n", "h.*"))
-    first = materialise(spread(known.select("doc_id", "fp"), heads.select("fp", "n", F.col("doc_id").alias("component_id"))))
-    good = similar_pairs(docs, heads.drop("n"), similarity, shingle, star_rounds)
-    comp = components(good.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("component_id"), F.col("root"))
-    out = first.join(comp, "component_id", "left").select("doc_id", F.coalesce("root", "component_id").alias("component_id"))
-    return out.unionByName(sets.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("component_id")))
+    place = F.struct(F.col("row.id").isNull().alias("last"), F.col("row.id").alias("id"), F.col("row.t").alias("t"))
+    same = [c for c in sets.columns if c not in ("row", "set")]
+    heads = sets.groupBy("set").agg(F.min(place).alias("first"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in same])
+    heads = materialise(heads.withColumn("row", F.struct("first.id", "first.t")))
+    good = similar_pairs(docs, heads.drop("first"), similarity, shingle, tau)
+    comp = connected_components(good.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    named = heads.join(comp, heads.set == comp.node, "left").select("set", "n", "first", F.coalesce("component", "set").alias("comp"))
+    named = materialise(named)
+    best = named.groupBy("comp").agg(F.min("first").alias("best"))
+    named = materialise(named.join(best, "comp").select("set", "n", F.struct("best.id", "best.t").alias("best")), named)
+    out = spread(sets.select("row", "set"), named, "set")
+    return out.select("row", F.col("best.id").alias("component_id"), (F.col("row") == F.col("best")).alias("kept"))

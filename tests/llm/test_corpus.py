@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from mzloom.llm import decontaminate, packing, simhash
+from mzloom.operators.components import connected_components
 from tests.llm.data import DATA, docs_frame, needs_data
 
 
@@ -53,9 +54,9 @@ def test_links_find_every_pair(spark, tau, monkeypatch):
     df = spark.createDataFrame([(v,) for v in signed], "fp long")
     want = {frozenset((a, b)) for (a, x), (b, y) in combinations(zip(signed, values, strict=True), 2) if (x ^ y).bit_count() <= tau}
     assert {frozenset((r.a, r.b)) for r in simhash.links(df, tau).collect()} == want
-    if tau == 2:  # crowded buckets are linked through masks: same components
+    if tau < 3:  # crowded buckets are linked through masks: same components
         monkeypatch.setattr(simhash, "PAIR_LIMIT", 2)
-        got = {r.node: r.root for r in simhash.components(simhash.links(df, tau)).collect()}
+        got = {r.node: r.component for r in connected_components(simhash.links(df, tau)).collect()}
         brute = dict(zip(signed, brute_components(values, signed, tau), strict=True))
         assert all(got.get(v, v) == brute[v] for v in signed if brute[v] != v or v in got)
 
@@ -80,8 +81,9 @@ def test_near_duplicates_against_brute_force(spark):
 
 def test_plan_covers_the_threshold():
     rng = np.random.default_rng(0)
-    for tau in (0, 1, 2, 3, 5):
-        p = simhash.plan(rng.integers(0, 2**63, 500).astype(np.uint64), 10**6, tau)
+    for tau, rows, n in [(t, 500, 10**6) for t in (0, 1, 2, 3, 5)] + [(5, k, k) for k in (0, 1, 2)]:
+        p = simhash.plan(rng.integers(0, 2**63, rows).astype(np.uint64), n, tau)
+        assert sum(len(simhash._flips(m, t)) for m, t in p) < 10_000
         assert sum(t + 1 for _, t in p) == tau + 1
         assert all(a & b == 0 for (a, _), (b, _) in combinations(p, 2))
 
@@ -220,7 +222,7 @@ def test_near_copies_against_brute_force(spark):
     docs = docs.unionByName(spark.createDataFrame(near, docs.schema))
     rows = docs.collect()
     sets = {r.doc_id: set(simhash.shingle_hashes(r.text)) for r in rows}
-    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    got = {r.row.id: r.component_id for r in simhash.near_copies(docs).collect()}
     pairs = [(a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     assert len(pairs) >= 20 and sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs)
     linked = {x for p in pairs for x in p}

@@ -39,7 +39,7 @@ def test_drifting_copies_keep_all_links(spark):
         if jaccard(texts[i], texts[j]) >= 0.8:
             a, b = find(i), find(j)
             root[max(a, b)] = min(a, b)
-    got = {x.doc_id: x.component_id for x in simhash.near_copies(docs_frame(spark, texts)).collect()}
+    got = {x.row.id: x.component_id for x in simhash.near_copies(docs_frame(spark, texts)).collect()}
     assert got == {i: find(i) for i in range(len(texts))}
 
 
@@ -50,7 +50,7 @@ def test_near_copies_far_apart_in_bits_are_found(spark):
     docs = spark.read.parquet(f"{LARGER}/documents.parquet").where(f"doc_id in ({', '.join(str(x) for p in pairs for x in p)})")
     text = {x.doc_id: x.text for x in docs.collect()}
     assert all(jaccard(text[a], text[b]) >= 0.8 for a, b in pairs)
-    got = {x.doc_id: x.component_id for x in simhash.near_copies(docs).collect()}
+    got = {x.row.id: x.component_id for x in simhash.near_copies(docs).collect()}
     assert got == {x: a for a, b in pairs for x in (a, b)}
 
 
@@ -62,7 +62,7 @@ def test_close_fingerprints_alone_do_not_merge(spark):
     text = {x.doc_id: x.text for x in docs.collect()}
     for a, b in pairs:
         assert (simhash.fingerprint(text[a]) ^ simhash.fingerprint(text[b])).bit_count() <= 2 and jaccard(text[a], text[b]) < 0.8
-    assert all(x.doc_id == x.component_id for x in simhash.near_copies(docs).collect())
+    assert all(x.row.id == x.component_id and x.kept for x in simhash.near_copies(docs).collect())
 
 
 def test_long_secrets_are_found_and_redacted(spark):
