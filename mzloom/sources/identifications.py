@@ -11,6 +11,7 @@ from mzloom.sources.spectra import check_range
 
 _CV = "array<struct<_accession:string,_name:string,_value:string,_unitAccession:string>>"
 _MOD = "array<struct<_location:int,_residues:string,_monoisotopicMassDelta:double,_avgMassDelta:double,cvParam:" + _CV + ">>"
+_SUB = "array<struct<_location:int,_residues:string,_monoisotopicMassDelta:double,_avgMassDelta:double,_originalResidue:string,_replacementResidue:string>>"
 _ITEM = (
     "array<struct<_id:string,_peptide_ref:string,_passThreshold:boolean,_rank:int,_chargeState:int,_experimentalMassToCharge:double,_calculatedMassToCharge:double,"
     "PeptideEvidenceRef:array<struct<_peptideEvidence_ref:string>>,cvParam:" + _CV + ">>"
@@ -19,7 +20,7 @@ _ITEM = (
 
 @dataclass
 class Identifications:
-    """db_sequences, peptides, peptide_evidence, spectrum_matches."""
+    """db_sequences, peptides, peptide_evidence, spectrum_matches; each with the path of its file, since ids are local to it."""
 
     db_sequences: DataFrame
     peptides: DataFrame
@@ -28,40 +29,49 @@ class Identifications:
 
 
 def _rows(spark: SparkSession, path, tag: str, schema: str) -> DataFrame:
-    return spark.read.format("xml").option("rowTag", tag).option("attributePrefix", "_").schema(schema).load(path)
+    rows = spark.read.format("xml").option("rowTag", tag).option("attributePrefix", "_").schema(schema)
+    return rows.load(path).select(F.col("_metadata.file_path").alias("path"), "*")
 
 
 def _value(params, *accessions: str):
     return F.get(F.filter(params, lambda p: p["_accession"].isin(*accessions)), F.lit(0))
 
 
-def read_mzidentml(spark: SparkSession, path, ignore_decoy=True, require_threshold=True, max_rank_only=True, min_mz=-1.0, max_mz=-1.0, min_rt=-1.0, max_rt=-1.0) -> Identifications:
+def read_mzidentml(spark: SparkSession, path: str | list[str], ignore_decoy=True, require_threshold=True, max_rank_only=True, min_mz=-1.0, max_mz=-1.0, min_rt=-1.0, max_rt=-1.0) -> Identifications:
     (lo_mz, hi_mz), (lo_rt, hi_rt) = check_range(min_mz, max_mz, "mz"), check_range(min_rt, max_rt, "rt")
     seq = _rows(spark, path, "DBSequence", f"_id string, _accession string, _searchDatabase_ref string, cvParam {_CV}")
-    seq = seq.select(F.col("_id").alias("db_sequence_id"), F.col("_accession").alias("accession"), F.col("_searchDatabase_ref").alias("db_reference"), _value("cvParam", "MS:1001088")["_value"].alias("description"))
-    pep = _rows(spark, path, "Peptide", f"_id string, PeptideSequence string, Modification {_MOD}")
-    mods = F.transform(
-        F.coalesce("Modification", F.array().cast(_MOD)),
-        lambda m: F.struct(m["_monoisotopicMassDelta"].alias("monoisotopic_mass_delta"), m["_avgMassDelta"].alias("average_mass_delta"), m["_residues"].alias("residues"), F.coalesce(m["_location"], F.lit(-1)).alias("location"), F.transform(m["cvParam"], lambda p: p["_name"]).alias("id")),
-    )
-    pep = pep.select(F.col("_id").alias("peptide_id"), F.col("PeptideSequence").alias("sequence"), mods.alias("modifications"))
+    seq = seq.select("path", F.col("_id").alias("db_sequence_id"), F.col("_accession").alias("accession"), F.col("_searchDatabase_ref").alias("db_reference"), _value("cvParam", "MS:1001088")["_value"].alias("description"))
+    pep = _rows(spark, path, "Peptide", f"_id string, PeptideSequence string, Modification {_MOD}, SubstitutionModification {_SUB}")
+
+    def described(m, ids):
+        return F.struct(
+            F.coalesce(m["_monoisotopicMassDelta"], F.lit(0.0)).alias("monoisotopic_mass_delta"), F.coalesce(m["_avgMassDelta"], F.lit(0.0)).alias("average_mass_delta"),
+            F.coalesce(m["_residues"], F.lit("")).alias("residues"), F.coalesce(m["_location"], F.lit(-1)).alias("location"), ids.alias("id"),
+        )
+
+    text = lambda c: F.coalesce(c, F.lit(""))
+    named = lambda m: F.coalesce(F.transform(m["cvParam"], lambda p: F.concat(text(p["_accession"]), F.lit("|"), text(p["_name"]))), F.array().cast("array<string>"))
+    swapped = lambda m: F.array(F.concat(F.lit("SUBSTITUTION|"), text(m["_originalResidue"]), F.lit("->"), text(m["_replacementResidue"])))
+    mods = F.transform(F.coalesce("Modification", F.array().cast(_MOD)), lambda m: described(m, named(m)))
+    mods = F.concat(mods, F.transform(F.coalesce("SubstitutionModification", F.array().cast(_SUB)), lambda m: described(m, swapped(m))))
+    pep = pep.select("path", F.col("_id").alias("peptide_id"), F.col("PeptideSequence").alias("sequence"), mods.alias("modifications"))
     ev = _rows(spark, path, "PeptideEvidence", "_id string, _peptide_ref string, _dBSequence_ref string, _isDecoy boolean")
-    ev = ev.where(F.col("_peptide_ref").isNotNull()).select(F.col("_id").alias("evidence_id"), F.col("_peptide_ref").alias("peptide_id"), F.col("_dBSequence_ref").alias("db_sequence_id"), F.coalesce("_isDecoy", F.lit(False)).alias("decoy"))
+    ev = ev.where(F.col("_peptide_ref").isNotNull()).select("path", F.col("_id").alias("evidence_id"), F.col("_peptide_ref").alias("peptide_id"), F.col("_dBSequence_ref").alias("db_sequence_id"), F.coalesce("_isDecoy", F.lit(False)).alias("decoy"))
     res = _rows(spark, path, "SpectrumIdentificationResult", f"_id string, _spectrumID string, SpectrumIdentificationItem {_ITEM}, cvParam {_CV}")
     time = _value("cvParam", "MS:1000894", "MS:1000016")
     rt = time["_value"].cast("double") * F.when(time["_unitAccession"] == "UO:0000031", 60).otherwise(1)
-    items = res.select(F.col("_id").alias("result_id"), F.col("_spectrumID").alias("spectrum_id"), rt.alias("rt"), F.posexplode("SpectrumIdentificationItem").alias("place", "i"))
+    items = res.select("path", F.col("_id").alias("result_id"), F.col("_spectrumID").alias("spectrum_id"), rt.alias("rt"), F.posexplode("SpectrumIdentificationItem").alias("place", "i"))
     items = items.select(
-        "result_id", "spectrum_id", "rt", "place", F.col("i._id").alias("match_id"), F.col("i._peptide_ref").alias("peptide_id"), F.coalesce("i._passThreshold", F.lit(False)).alias("pass_threshold"), F.col("i._rank").alias("rank"),
+        "path", "result_id", "spectrum_id", "rt", "place", F.col("i._id").alias("match_id"), F.col("i._peptide_ref").alias("peptide_id"), F.coalesce("i._passThreshold", F.lit(False)).alias("pass_threshold"), F.col("i._rank").alias("rank"),
         F.col("i._chargeState").alias("charge_state"), F.col("i._experimentalMassToCharge").alias("experimental_mz"), F.col("i._calculatedMassToCharge").alias("theoretical_mz"),
     )
     if require_threshold:
         items = items.where("pass_threshold")
     items = items.where(F.col("experimental_mz").between(lo_mz, hi_mz) & F.coalesce("rt", F.lit(0.0)).between(lo_rt, hi_rt))
     if ignore_decoy:
-        items = items.join(ev.where("decoy").select("peptide_id").distinct(), "peptide_id", "left_anti")
+        items = items.join(ev.where("decoy").select("path", "peptide_id").distinct(), ["path", "peptide_id"], "left_anti")
         ev = ev.where("not decoy")
     if max_rank_only:
-        best = items.groupBy("result_id").agg(F.min(F.struct("rank", "place")).alias("b"))
-        items = items.join(best, "result_id").where("rank = b.rank and place = b.place").drop("b")
+        best = items.groupBy("path", "result_id").agg(F.min(F.struct("rank", "place")).alias("b"))
+        items = items.join(best, ["path", "result_id"]).where("rank = b.rank and place = b.place").drop("b")
     return Identifications(seq, pep, ev, items)

@@ -6,6 +6,7 @@ import dataclasses
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mzloom.params import Parameters
 
@@ -26,8 +27,29 @@ def stage(spark: SparkSession, make, path: str, force: bool = False, by_file: bo
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """One CSV file with a header; for result tables that a person reads."""
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    """CSV files with a header, as many as there are tasks; arrays are joined by blanks, maps and structs become JSON."""
+    flat = [F.array_join(F.col(c).cast("array<string>"), " ").alias(c) if k.startswith("array<") and "struct" not in k else F.to_json(c).alias(c) if k.startswith(("struct", "map", "array")) else F.col(c) for c, k in df.dtypes]
+    df.select(*flat).write.mode("overwrite").csv(path, header=True)
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small text file on the driver's account, in any store."""
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(sc._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small text file, or None if it isn't there."""
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(sc._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
 
 
 def parameters_json(params: Parameters) -> str:

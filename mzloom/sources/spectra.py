@@ -7,6 +7,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +58,7 @@ def decode(text: str, bits: int, big_endian: bool, compressed: bool) -> np.ndarr
 
 
 def parse_mzxml(piece: str) -> dict | None:
-    """One scan from the text between two ``<scan`` marks."""
+    """One scan from the text behind a ``<scan`` mark, up to the next one."""
     head = piece.split(">", 1)[0]
     a = attributes(head)
     if "num" not in a:
@@ -81,7 +82,7 @@ def parse_mzxml(piece: str) -> dict | None:
 
 
 def parse_mzml(piece: str) -> dict | None:
-    """One spectrum from the text between two ``<spectrum`` marks."""
+    """One spectrum from the text behind a ``<spectrum`` mark, up to the next one."""
     head = attributes(piece.split(">", 1)[0])
     if "index" not in head:
         return None
@@ -109,9 +110,9 @@ def parse_mzml(piece: str) -> dict | None:
             "scan_number": int(num.group(1)) if num else None, "charge": int(number("MS:1000041")), "mz": number("MS:1000827") or number("MS:1000744"), "intensity": number("MS:1000042"),
             "activation": "HCD" if "MS:1000422" in p else "CID" if "MS:1000133" in p else "unknown", "window": number("MS:1000828") + number("MS:1000829"),
         }
-    for block in data.split("<binaryDataArray ")[1:]:
+    for block in re.split(r"<binaryDataArray(?=[\s>])", data)[1:]:
         p = {x.get("accession") for x in params(block)}
-        m = re.search(r"<binary>(.*?)</binary>", block, re.S)
+        m = re.search(r"<binary\s*>(.*?)</binary\s*>", block, re.S)
         values = decode(m.group(1) if m else "", 64 if "MS:1000523" in p else 32, False, "MS:1000574" in p)
         if "MS:1000514" in p:
             out["mz"] = values
@@ -122,11 +123,26 @@ def parse_mzml(piece: str) -> dict | None:
 
 def _read(spark: SparkSession, path, mark: str, parse, min_mz, max_mz, min_rt, max_rt, polarity, ms_level) -> DataFrame:
     pieces = spark.read.text(path, lineSep=mark).select(F.col("_metadata.file_path").alias("path"), "value")
-    return decode_pieces(pieces, parse, min_mz, max_mz, min_rt, max_rt, polarity, ms_level)
-
-
-def decode_pieces(pieces: DataFrame, parse, min_mz=-1.0, max_mz=-1.0, min_rt=-1.0, max_rt=-1.0, polarity="", ms_level=0) -> DataFrame:
-    """Scans from (path, value), where value is one piece of a spectrum file."""
+    return decode_pieces(pieces, parse, min_mz, max_mz, min_rt, max_rt, polarity, ms_level, mark)
+
+
+def _whole(rows, mark: str | None):
+    """(path, piece) rows; a piece that goes on with a longer tag name (``<scanOrigin``) belongs to the one before it."""
+    held = None
+    for path, piece in rows:
+        longer = mark is not None and piece[:1] not in ("", " ", "\t", "\n", "\r", ">", "/")
+        if held is not None and longer and held[0] == path:
+            held = (path, held[1] + mark + piece)
+            continue
+        if held is not None:
+            yield held
+        held = (path, piece)
+    if held is not None:
+        yield held
+
+
+def decode_pieces(pieces: DataFrame, parse, min_mz=-1.0, max_mz=-1.0, min_rt=-1.0, max_rt=-1.0, polarity="", ms_level=0, mark: str | None = None) -> DataFrame:
+    """Scans from (path, value), where value is one piece of a spectrum file (as it lies in the file, if it was split at ``mark``)."""
     (lo_mz, hi_mz), (lo_rt, hi_rt), wanted = check_range(min_mz, max_mz, "mz"), check_range(min_rt, max_rt, "rt"), polarity_of(polarity)
     names = ["path", "scan_number", "ms_level", "retention_time", "polarity", "centroid", "num_points", "max_intensity", "total_intensity", "precursor", "points"]
     types = [
@@ -136,31 +152,36 @@ def decode_pieces(pieces: DataFrame, parse, min_mz=-1.0, max_mz=-1.0, min_rt=-1.
     ]
 
     def run(batches):
-        for b in batches:
-            rows = []
-            for p, text in zip(b.column("path").to_pylist(), b.column("value").to_pylist(), strict=True):
+        pieces = ((p, t) for b in batches for p, t in zip(b.column("path").to_pylist(), b.column("value").to_pylist(), strict=True))
+        whole = _whole(pieces, mark)
+        while part := list(islice(whole, 256)):
+            rows, points = [], []
+            for p, text in part:
                 s = parse(text)
                 if s is None or (ms_level and s["ms_level"] != ms_level) or not lo_rt <= s["retention_time"] <= hi_rt or (wanted != "both" and s["polarity"] not in (wanted, "both")):
                     continue
                 ok = (s["mz"] >= lo_mz) & (s["mz"] <= hi_mz) & (s["intensity"] != 0)
                 mz, v = s["mz"][ok], s["intensity"][ok]
                 if len(mz):
-                    pts = [{"mz": float(x), "intensity": float(y)} for x, y in zip(mz, v, strict=True)]
-                    rows.append((p, s["scan_number"], s["ms_level"], s["retention_time"], s["polarity"], s["centroid"], len(mz), float(v.max()), float(v.sum()), s["precursor"], pts))
-            columns = list(zip(*rows, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+                    points.append((mz, v))
+                    rows.append((p, s["scan_number"], s["ms_level"], s["retention_time"], s["polarity"], s["centroid"], len(mz), float(v.max()), float(v.sum()), s["precursor"]))
+            columns = list(zip(*rows, strict=True)) or [()] * (len(names) - 1)
+            offsets = np.cumsum([0, *[len(mz) for mz, _ in points]]).astype(np.int32)
+            flat = [np.concatenate([x[k] for x in points]) if points else np.zeros(0) for k in (0, 1)]
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(x) for x in flat], ["mz", "intensity"]))
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(columns, types[:-1], strict=True)], lists], names=names)
 
     return pieces.mapInArrow(run, SCHEMA)
 
 
 def read_mzxml(spark: SparkSession, path, min_mz=-1.0, max_mz=-1.0, min_rt=-1.0, max_rt=-1.0, polarity="", ms_level=1) -> DataFrame:
     """Scans of mzXML files; ms_level 0 reads all levels."""
-    return _read(spark, path, "<scan ", parse_mzxml, min_mz, max_mz, min_rt, max_rt, polarity, ms_level)
+    return _read(spark, path, "<scan", parse_mzxml, min_mz, max_mz, min_rt, max_rt, polarity, ms_level)
 
 
 def read_mzml(spark: SparkSession, path, min_mz=-1.0, max_mz=-1.0, min_rt=-1.0, max_rt=-1.0, polarity="+", ms_level=1) -> DataFrame:
     """Scans of mzML files; the scan number is the spectrum's index plus one."""
-    return _read(spark, path, "<spectrum ", parse_mzml, min_mz, max_mz, min_rt, max_rt, polarity, ms_level)
+    return _read(spark, path, "<spectrum", parse_mzml, min_mz, max_mz, min_rt, max_rt, polarity, ms_level)
 
 
 def with_parents(scans: DataFrame) -> DataFrame:
@@ -172,10 +193,12 @@ def with_parents(scans: DataFrame) -> DataFrame:
 
 
 def numbered(scans: DataFrame, files: dict[str, int]) -> DataFrame:
-    """Adds file_id by file name; ``files`` has one entry per run."""
-    name = F.element_at(F.split("path", "/"), -1)
-    pairs = F.create_map(*[F.lit(x) for k, v in files.items() for x in (k.rsplit("/", 1)[-1], v)])
-    return scans.withColumn("file_id", pairs[name].cast("int"))
+    """Adds file_id by file name; ``files`` has one entry per run, and their names must differ."""
+    names = {k.rsplit("/", 1)[-1]: v for k, v in files.items()}
+    if len(names) < len(files):
+        raise ValueError("runs need distinct file names")
+    runs = scans.sparkSession.createDataFrame(sorted(names.items()), "_name string, file_id int")
+    return scans.withColumn("_name", F.element_at(F.split("path", "/"), -1)).join(F.broadcast(runs), "_name").drop("_name")
 
 
 def to_points(scans: DataFrame) -> DataFrame:

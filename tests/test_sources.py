@@ -53,6 +53,31 @@ def test_mzidentml(spark, tmp_path):
     assert [(r.match_id, r.rt) for r in d.spectrum_matches.collect()] == [("m0", 30.0)]
     assert d.db_sequences.where("accession = 'P1'").collect()[0].description == "about P1"
     m = d.peptides.where("peptide_id = 'p0'").collect()[0].modifications
-    assert len(m) == 1 and m[0].location == 2 and m[0].id == ["Oxidation"]
+    assert len(m) == 1 and m[0].location == 2 and m[0].id == ["UNIMOD:35|Oxidation"] and m[0].average_mass_delta == 0.0 and m[0].residues == ""
     loose = identifications.read_mzidentml(spark, str(tmp_path / "a.mzid"), ignore_decoy=False, require_threshold=False, max_rank_only=False)
     assert loose.spectrum_matches.count() == 4
+
+
+def test_substitutions_and_several_files(spark, tmp_path):
+    for k in range(2):
+        (tmp_path / f"{k}.mzid").write_text(
+            f'<MzIdentML><DBSequence id="d" accession="P{k}"/><Peptide id="p"><PeptideSequence>PEP{k}</PeptideSequence>'
+            f'<SubstitutionModification originalResidue="A" replacementResidue="G" location="{k + 1}" monoisotopicMassDelta="-14.01"/></Peptide><PeptideEvidence id="e" peptide_ref="p" dBSequence_ref="d"/>'
+            f'<SpectrumIdentificationResult id="r" spectrumID="s"><SpectrumIdentificationItem id="m" peptide_ref="p" passThreshold="true" rank="1" chargeState="2" experimentalMassToCharge="400"/></SpectrumIdentificationResult></MzIdentML>\n'
+        )
+    d = identifications.read_mzidentml(spark, [str(tmp_path / f"{k}.mzid") for k in range(2)])
+    got = {(r.sequence, r.modifications[0].id[0], r.modifications[0].location) for r in d.spectrum_matches.join(d.peptides, ["path", "peptide_id"]).collect()}
+    assert got == {("PEP0", "SUBSTITUTION|A->G", 1), ("PEP1", "SUBSTITUTION|A->G", 2)}
+
+
+def test_white_space_and_longer_tag_names(spark, tmp_path):
+    mzxml(tmp_path / "a.mzXML", SCANS)
+    text = (tmp_path / "a.mzXML").read_text()
+    (tmp_path / "b.mzXML").write_text(text.replace("<scan ", "<scan\n\t").replace("<peaks", '<scanOrigin parentFileID="x" num="9"/><peaks'))
+    plain, odd = (spectra.read_mzxml(spark, str(tmp_path / f"{n}.mzXML"), ms_level=0).drop("path").orderBy("scan_number").collect() for n in "ab")
+    assert plain == odd and len(plain) == 3
+    mzml(tmp_path / "a.mzML", SCANS)
+    text = (tmp_path / "a.mzML").read_text()
+    (tmp_path / "b.mzML").write_text(text.replace("<spectrum ", "<spectrum\r\n ").replace("<binaryDataArray ", "<binaryDataArray\n").replace("<binary>", "<binary >"))
+    plain, odd = (spectra.read_mzml(spark, str(tmp_path / f"{n}.mzML"), polarity="", ms_level=0).drop("path").orderBy("scan_number").collect() for n in "ab")
+    assert plain == odd and len(plain) == 3
