@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from mzloom.operators.components import connected_components, dealt, materialise
+from mzloom.operators.rangejoin import bin_of, bins
 
 ISOTOPE_STEP = 1.0033
 PROTON = 1.00728
@@ -99,20 +100,23 @@ def rolling_cosine(a: list[float], b: list[float], ratio: float = 4.0) -> tuple[
     return best
 
 
-def candidate_graph(peaks: DataFrame, charges: list[int], width: float = 0.5) -> DataFrame:
+def candidate_graph(peaks: DataFrame, charges: list[int], width: float = 0.5, width_rt: float = 30.0) -> DataFrame:
     """Edges (file_id, charge, lower, upper): the next isotope lies one step on, within the lower peak's sigmas (strict)."""
     p = peaks.select("file_id", "peak_id", "fitted_mz", "fitted_rt", "fitted_sigma_mz", "fitted_sigma_rt")
     z = F.explode(F.array(*[F.lit(c) for c in charges if c != 0])).alias("charge")
     lo = p.select("file_id", F.col("peak_id").alias("lower"), F.col("fitted_mz").alias("m"), F.col("fitted_rt").alias("r"), F.col("fitted_sigma_mz").alias("sm"), F.col("fitted_sigma_rt").alias("sr"), z)
     lo = lo.withColumn("want", F.col("m") + ISOTOPE_STEP / F.col("charge"))
-    lo = lo.withColumn("_bin", F.explode(F.sequence(F.floor((F.col("want") - F.col("sm")) / width).cast("long"), F.floor((F.col("want") + F.col("sm")) / width).cast("long"))))
-    up = p.select(F.col("file_id").alias("f"), F.col("peak_id").alias("upper"), F.col("fitted_mz").alias("um"), F.col("fitted_rt").alias("ur"), F.floor(F.col("fitted_mz") / width).cast("long").alias("_bin"))
+    lo = lo.withColumn("_bin", bins(F.col("want") - F.col("sm"), F.col("want") + F.col("sm"), width)).withColumn("_time", bins(F.col("r") - F.col("sr"), F.col("r") + F.col("sr"), width_rt))
+    up = p.select(F.col("file_id").alias("f"), F.col("peak_id").alias("upper"), F.col("fitted_mz").alias("um"), F.col("fitted_rt").alias("ur"), bin_of(F.col("fitted_mz"), width).alias("_bin"), bin_of(F.col("fitted_rt"), width_rt).alias("_time"))
     near = (F.abs(F.col("um") - F.col("want")) < F.col("sm")) & (F.abs(F.col("ur") - F.col("r")) < F.col("sr"))
-    return lo.join(up, (lo.file_id == up.f) & (lo._bin == up._bin) & near).select("file_id", "charge", "lower", "upper")
+    return lo.join(up, (lo.file_id == up.f) & (lo._bin == up._bin) & (lo._time == up._time) & near).select("file_id", "charge", "lower", "upper")
 
 
 def walk(peaks: pd.DataFrame, edges: dict[int, tuple[dict, dict]], charges: list[int]) -> list[tuple[int, float, list[int]]]:
-    """Greedy (charge, score, peak ids) by descending height; ``edges`` has (next, previous) per charge."""
+    """Greedy (charge, score, peak ids) by descending height; ``edges`` has (next, previous) per charge.
+
+    A path takes a peak once, also where sigmas wider than the isotope step make a peak its own neighbour.
+    """
     table = averagine_table()
     info = {r.peak_id: r for r in peaks.itertuples(index=False)}
     order = peaks.sort_values(["fitted_height", "peak_id"], ascending=[False, True]).peak_id
@@ -124,15 +128,16 @@ def walk(peaks: pd.DataFrame, edges: dict[int, tuple[dict, dict]], charges: list
         s, best = info[seed], (0.0, 0, [])
         for z in charges:
             nxt, prev = edges.get(z, ({}, {}))
-            path = [seed]
+            path, on_path = [seed], {seed}
             for links, forward in ((prev, False), (nxt, True)):
                 at = seed
                 while True:
-                    free = [(abs(info[u].fitted_rt - s.fitted_rt), info[u].fitted_mz, u) for u in links.get(at, []) if u not in used]
+                    free = [(abs(info[u].fitted_rt - s.fitted_rt), info[u].fitted_mz, u) for u in links.get(at, []) if u not in used and u not in on_path]
                     free = [x for x in free if x[0] <= s.fitted_sigma_rt]
                     if not free:
                         break
                     at = min(free)[2]
+                    on_path.add(at)
                     path = [*path, at] if forward else [at, *path]
             if len(path) < 2:
                 continue
@@ -148,10 +153,10 @@ def walk(peaks: pd.DataFrame, edges: dict[int, tuple[dict, dict]], charges: list
     return out
 
 
-def detect(peaks: DataFrame, charges: list[int]) -> DataFrame:
+def detect(peaks: DataFrame, charges: list[int], width_rt: float = 30.0) -> DataFrame:
     """Features of every file: score, charge, averages, sums, monoisotopic values, peak_ids, feature_id by volume."""
     peaks = materialise(peaks)
-    edges = materialise(candidate_graph(peaks, charges))
+    edges = materialise(candidate_graph(peaks, charges, width_rt=width_rt))
     uid = lambda c: F.struct(F.col("file_id"), F.col(c).alias("id"))
     comp = connected_components(edges.select(uid("lower").alias("a"), uid("upper").alias("b")))
     comp = comp.select(F.col("node.file_id").alias("file_id"), F.col("node.id").alias("peak_id"), "component")

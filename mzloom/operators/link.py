@@ -1,12 +1,19 @@
-"""Nearest-neighbour links between fragmentation events, identifications and peaks."""
+"""Nearest-neighbour links between fragmentation events, identifications and peaks.
+
+A link holds only if its event lies in the box of the nearest target, and then their distance is bounded. Farther
+targets can't be that nearest one, so the joins leave them out: they are equi-joins on bins of m/z and time, and
+give what an unbounded search would.
+"""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mzloom.functions.exprs import sigma_mz, sigma_rt
-from mzloom.operators.rangejoin import binned
+from mzloom.operators.rangejoin import bin_of, binned, bins
 from mzloom.params import Run
 
 
@@ -20,30 +27,46 @@ def _nearest(j: DataFrame, event: list[str], distance, target: str, box) -> Data
 def link_peaks(peaks: DataFrame, events: DataFrame, run: Run, n_sig_mz: float = 3, n_sig_rt: float = 3, mz: str = "mz", bin_mz: float = 1.0, key: str = "event_id") -> DataFrame:
     """(file_id, event id, peak_id, distance): the peak nearest in units of its own sigmas.
 
-    The search window is ``n_sig_mz`` theoretical sigmas around the event, unbounded in time.
+    The search window is ``n_sig_mz`` theoretical sigmas around the event. A peak whose box holds the event is at most
+    sqrt(n_sig_mz^2 + n_sig_rt^2) away, so peaks farther off in time alone never matter.
     """
-    e = events.select("file_id", key, F.col(mz).alias("ev_mz"), F.col("rt").alias("ev_rt"))
+    reach = math.hypot(n_sig_mz, n_sig_rt)
+    bin_rt = 2 * reach * sigma_rt(run)
     half = n_sig_mz * sigma_mz("ev_mz", run)
-    j = binned(peaks, e, ["file_id"], F.col("fitted_mz"), F.col("ev_mz") - half, F.col("ev_mz") + half, bin_mz)
-    j = j.select("p.file_id", f"r.{key}", "r.ev_mz", "r.ev_rt", "p.peak_id", "p.fitted_mz", "p.fitted_rt", "p.fitted_sigma_mz", "p.fitted_sigma_rt").withColumn("_mz", F.col("fitted_mz"))
+    e = events.select("file_id", key, F.col(mz).alias("ev_mz"), F.col("rt").alias("ev_rt"), bin_of(F.col("rt"), bin_rt).alias("_rt"))
+    e = e.withColumn("_half", half).withColumn("_mz", bins(F.col("ev_mz") - F.col("_half"), F.col("ev_mz") + F.col("_half"), bin_mz))
+    far = reach * F.col("fitted_sigma_rt")
+    p = peaks.select("file_id", "peak_id", "fitted_mz", "fitted_rt", "fitted_sigma_mz", "fitted_sigma_rt", bin_of(F.col("fitted_mz"), bin_mz).alias("_mz"), bins(F.col("fitted_rt") - far, F.col("fitted_rt") + far, bin_rt).alias("_rt"))
     dm, dr = F.abs(F.col("ev_mz") - F.col("fitted_mz")), F.abs(F.col("ev_rt") - F.col("fitted_rt"))
+    j = p.join(e, ["file_id", "_mz", "_rt"]).where((F.col("fitted_mz") >= F.col("ev_mz") - F.col("_half")) & (F.col("fitted_mz") <= F.col("ev_mz") + F.col("_half")) & (dr <= far))
     d = F.sqrt(F.pow(dm / F.col("fitted_sigma_mz"), F.lit(2.0)) + F.pow(dr / F.col("fitted_sigma_rt"), F.lit(2.0)))
     box = (dm <= n_sig_mz * F.col("fitted_sigma_mz")) & (dr <= n_sig_rt * F.col("fitted_sigma_rt"))
-    return _nearest(j, ["file_id", key], d, "peak_id", box)
+    return _nearest(j.withColumn("_mz", F.col("fitted_mz")), ["file_id", key], d, "peak_id", box)
 
 
 def link_idents(psms: DataFrame, scans: DataFrame, run: Run, n_sig_mz: float = 3, n_sig_rt: float = 3, bin_mz: float = 1.0) -> DataFrame:
     """(file_id, psm_index, event_id, distance): the fragmentation event nearest by relative difference.
 
-    ``psms``: file_id, psm_index, mz (experimental), rt; ``scans``: file_id, event_id, mz (precursor), rt.
+    ``psms``: file_id, psm_index, mz (experimental), rt; ``scans``: file_id, event_id, mz (precursor), rt. Events at
+    time or m/z zero have no relative difference and are never nearest.
     """
-    q = psms.select("file_id", "psm_index", F.col("mz").alias("q_mz"), F.col("rt").alias("q_rt"))
-    half = n_sig_mz * sigma_mz("q_mz", run)
-    j = binned(scans, q, ["file_id"], F.col("mz"), F.col("q_mz") - half, F.col("q_mz") + half, bin_mz)
-    j = j.select("p.file_id", "r.psm_index", "r.q_mz", "r.q_rt", "p.event_id", "p.mz", "p.rt").withColumn("_mz", F.col("mz"))
+    off = n_sig_rt * sigma_rt(run)
+    q = psms.select("file_id", "psm_index", F.col("mz").alias("q_mz"), F.col("rt").alias("q_rt")).withColumn("_half", n_sig_mz * sigma_mz("q_mz", run))
+    s = scans.select("file_id", "event_id", "mz", "rt").where("mz <> 0 and rt <> 0")
+    # An event in the box is at most this far, relative to itself; beyond four times ``off`` that bounds its time.
+    most = F.sqrt(F.pow(F.col("_half") / (F.col("q_mz") - F.col("_half")), F.lit(2.0)) + F.pow(off / (F.col("q_rt") - off), F.lit(2.0)))
+    late = (F.col("q_rt") >= 4 * off) & (F.col("_half") < F.col("q_mz") / 4)
+    in_mz = (F.col("mz") >= F.col("q_mz") - F.col("_half")) & (F.col("mz") <= F.col("q_mz") + F.col("_half"))
+    x = q.where(late).withColumn("_most", most).withColumn("_mz", bins(F.col("q_mz") - F.col("_half"), F.col("q_mz") + F.col("_half"), bin_mz))
+    x = x.withColumn("_rt", bins(F.col("q_rt") / (1 + F.col("_most")), F.col("q_rt") / (1 - F.col("_most")), 2 * off)).drop("_most")
+    y = s.withColumn("_mz", bin_of(F.col("mz"), bin_mz)).withColumn("_rt", bin_of(F.col("rt"), 2 * off))
+    columns = ["file_id", "psm_index", "q_mz", "q_rt", "event_id", "mz", "rt"]
+    near = x.join(y, ["file_id", "_mz", "_rt"]).where(in_mz).select(*columns)
+    early = binned(s, q.where(~F.coalesce(late, F.lit(False))), ["file_id"], F.col("mz"), F.col("q_mz") - F.col("_half"), F.col("q_mz") + F.col("_half"), bin_mz)
+    j = near.unionByName(early.select("p.file_id", "r.psm_index", "r.q_mz", "r.q_rt", "p.event_id", "p.mz", "p.rt")).withColumn("_mz", F.col("mz"))
     dm, dr = F.abs(F.col("q_mz") - F.col("mz")), F.abs(F.col("q_rt") - F.col("rt"))
-    d = F.sqrt(F.pow(F.try_divide(dm, F.col("mz")), F.lit(2.0)) + F.pow(F.try_divide(dr, F.col("rt")), F.lit(2.0)))
-    box = (dm <= n_sig_mz * sigma_mz("q_mz", run)) & (dr <= n_sig_rt * sigma_rt(run))
+    d = F.sqrt(F.pow(dm / F.col("mz"), F.lit(2.0)) + F.pow(dr / F.col("rt"), F.lit(2.0)))
+    box = (dm <= n_sig_mz * sigma_mz("q_mz", run)) & (dr <= off)
     return _nearest(j, ["file_id", "psm_index"], d, "event_id", box)
 
 

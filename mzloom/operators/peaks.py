@@ -171,10 +171,11 @@ def quality_bits() -> dict[int, Column]:
 
 
 def failure_text(code) -> Column:
-    """The decoded mask as text."""
+    """The decoded mask as text: a heading and a line for every bit."""
     code = F.col(code) if isinstance(code, str) else code
     said = F.filter(F.transform(F.array(*[F.lit(x) for x in FAILURES]), lambda m, i: F.when(F.call_function("shiftright", code, i).bitwiseAND(F.lit(1)) == 1, m)), lambda x: x.isNotNull())
-    return F.when(code == 0, "No errors detected.").otherwise(F.concat(F.lit("Fit Failure Errors:\n"), F.array_join(F.transform(said, lambda x: F.concat(F.lit("- "), x)), "\n")))
+    lines = F.when(code == 0, F.array(F.lit("No errors detected."))).otherwise(F.transform(said, lambda x: F.concat(F.lit("- "), x)))
+    return F.concat(F.array_join(F.concat(F.array(F.lit("Fit Failure Errors:")), lines), "\n"), F.lit("\n"))
 
 
 def rank(peaks: DataFrame, max_peaks: int, by: str = "fitted_height") -> DataFrame:

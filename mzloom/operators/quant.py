@@ -45,8 +45,14 @@ def annotate_peaks(peaks: DataFrame, peak_events: DataFrame, psms: DataFrame, li
 
 
 def modification_text(mods: str = "modifications") -> Column:
-    """Modifications as text: mass delta at location, joined by ``.|.``."""
-    return F.array_join(F.transform(F.col(mods), lambda m: F.format_string("%s(%s)@%s", F.coalesce(m["id"][0], F.lit("")), F.round(m["monoisotopic_mass_delta"], 4).cast("string"), m["location"].cast("string"))), ".|.")
+    """Modifications as text: mass deltas, residues, location and all ids, joined by `` / ``."""
+
+    def one(m):
+        shown = [("monoisotopic_mass_delta", m["monoisotopic_mass_delta"], "0.0"), ("average_mass_delta", m["average_mass_delta"], "0.0"), ("residues", m["residues"], ""), ("location", m["location"], "-1")]
+        parts = [F.concat(F.lit(f"{name}: "), F.coalesce(value.cast("string"), F.lit(none))) for name, value, none in shown]
+        return F.concat_ws(", ", *parts, F.concat(F.lit("id: "), F.array_join(m["id"], "; ")))
+
+    return F.array_join(F.transform(F.col(mods), one), " / ")
 
 
 def with_proteins(annotations: DataFrame, evidence: DataFrame, sequences: DataFrame) -> DataFrame:

@@ -22,3 +22,33 @@ def binned(points: DataFrame, intervals: DataFrame, keys: list[str], x: Column,
     p, r = p.withColumn("_x", x).alias("p"), r.alias("r")
     same = reduce(and_, [F.col(f"p.{k}") == F.col(f"r.{k}") for k in [*keys, "_bin"]])
     return p.join(r, same & (F.col("p._x") >= F.col("r._low")) & (F.col("p._x") <= F.col("r._high")), how)
+
+
+def bin_of(x: Column, width: float) -> Column:
+    return F.floor(x / width).cast("long")
+
+
+def bins(low: Column, high: Column, width: float) -> Column:
+    """One row for each bin of ``width`` that [low, high] meets."""
+    return F.explode(F.sequence(bin_of(low, width), bin_of(high, width)))
+
+
+def touching(a: DataFrame, b: DataFrame, keys: list[str], axes: list[tuple[Column, Column, Column, Column, float]]) -> DataFrame:
+    """Pairs (aliased a, b) with equal ``keys`` whose intervals touch on every axis.
+
+    An axis is (centre and half width in a, centre and half width in b, bin width). Both sides are repeated for the
+    bins they meet; a pair is kept in the first bin the two share, so it appears once.
+    """
+
+    def dealt(df: DataFrame, name: str, side: int) -> DataFrame:
+        for k, axis in enumerate(axes):
+            c, h = axis[2 * side], axis[2 * side + 1]
+            df = df.withColumns({f"_low{k}": c - h, f"_high{k}": c + h})
+            df = df.withColumn(f"_first{k}", bin_of(F.col(f"_low{k}"), axis[4])).withColumn(f"_bin{k}", bins(F.col(f"_low{k}"), F.col(f"_high{k}"), axis[4]))
+        return df.alias(name)
+
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*keys, *[f"_bin{k}" for k in range(len(axes))]]]
+    for k in range(len(axes)):
+        on.append(F.col(f"a._bin{k}") == F.greatest(F.col(f"a._first{k}"), F.col(f"b._first{k}")))
+        on.append((F.col(f"a._low{k}") <= F.col(f"b._high{k}")) & (F.col(f"b._low{k}") <= F.col(f"a._high{k}")))
+    return dealt(a, "a", 0).join(dealt(b, "b", 1), reduce(and_, on))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from mzloom.functions.exprs import boxes_touch, overlap
 from mzloom.operators.components import materialise
+from mzloom.operators.rangejoin import touching
 
 
 def top_peaks(peaks: DataFrame, n: int, *keys: str) -> DataFrame:
@@ -16,26 +17,11 @@ def top_peaks(peaks: DataFrame, n: int, *keys: str) -> DataFrame:
     return peaks.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n).drop("_k")
 
 
-def touching(a: DataFrame, b: DataFrame, width: float, n: float = 3.0) -> DataFrame:
-    """Pairs (aliased a, b) of peaks whose n-sigma boxes touch.
-
-    Both boxes are binned in m/z; a pair is kept in the first bin the two share, so it appears once.
-    """
-    half = lambda p: F.col(f"{p}.fitted_sigma_mz") * n
-
-    def dealt(df, name):
-        df = df.alias(name)
-        lo, hi = F.floor((F.col(f"{name}.fitted_mz") - half(name)) / width), F.floor((F.col(f"{name}.fitted_mz") + half(name)) / width)
-        return df.select("*", lo.cast("long").alias("_first"), F.explode(F.sequence(lo.cast("long"), hi.cast("long"))).alias("_bin")).alias(name)
-
-    x, y = dealt(a, "a"), dealt(b, "b")
-    once = F.col("a._bin") == F.greatest(F.col("a._first"), F.col("b._first"))
-    return x.join(y, (F.col("a._bin") == F.col("b._bin")) & once & boxes_touch("a", "b", n))
-
-
-def overlaps(peaks: DataFrame, width: float = 5.0) -> DataFrame:
+def overlaps(peaks: DataFrame, width: float = 5.0, width_rt: float = 60.0) -> DataFrame:
     """Cumulative overlap of every pair of files a <= b: (file_a, file_b, overlap)."""
-    j = touching(peaks, peaks, width).where(F.col("a.file_id") <= F.col("b.file_id"))
+    rt = F.col("fitted_rt") + F.col("rt_delta")
+    axes = [(x, 3.0 * F.col(s), x, 3.0 * F.col(s), w) for x, s, w in ((F.col("fitted_mz"), "fitted_sigma_mz", width), (rt, "fitted_sigma_rt", width_rt))]
+    j = touching(peaks, peaks, [], axes).where(boxes_touch("a", "b") & (F.col("a.file_id") <= F.col("b.file_id")))
     return j.groupBy(F.col("a.file_id").alias("file_a"), F.col("b.file_id").alias("file_b")).agg(F.sum(overlap("a", "b")).alias("overlap"))
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from mzloom.operators.rangejoin import touching
+
 
 def describe(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """count, mean, median and population deviation of ``value`` per key."""
@@ -45,19 +49,21 @@ def ma_summary(pairs: DataFrame) -> DataFrame:
     return m.groupBy("file_id").agg(F.avg("m").alias("mean"), p(0.5).alias("median"), F.stddev_samp("m").alias("std"), p(0.05).alias("p5"), p(0.95).alias("p95"))
 
 
-def closest_peak(targets: DataFrame, peaks: DataFrame, n_mz: float = 3.0, n_rt: float = 3.0, width: float = 5.0, reach: float = 5.0) -> DataFrame:
+def closest_peak(targets: DataFrame, peaks: DataFrame, n_mz: float = 3.0, n_rt: float = 3.0, width: float = 5.0, width_rt: float = 60.0) -> DataFrame:
     """(target_id, peak_id, distance): the nearest peak in units of both sigmas, then a tolerance box.
 
-    Peaks farther than ``reach`` in m/z aren't considered; the box must lie within it.
+    A peak in the box is at most sqrt(n_mz^2 + n_rt^2) away, so only peaks within that are joined.
     """
-    t = targets.withColumn("_bin", F.explode(F.sequence(F.floor((F.col("t_mz") - reach) / width).cast("long"), F.floor((F.col("t_mz") + reach) / width).cast("long"))))
-    p = peaks.select(F.col("file_id").alias("_f"), "peak_id", "fitted_mz", (F.col("fitted_rt") + F.col("rt_delta")).alias("_rt"), "fitted_sigma_mz", "fitted_sigma_rt", F.floor(F.col("fitted_mz") / width).cast("long").alias("_b"))
-    dm, dr = F.abs(F.col("t_mz") - F.col("fitted_mz")), F.abs(F.col("t_rt") - F.col("_rt"))
-    j = t.join(p, (t.file_id == p._f) & (t._bin == p._b) & (dm <= reach))
-    j = j.withColumn("_d", F.sqrt(F.pow(dr / (F.col("t_sigma_rt") + F.col("fitted_sigma_rt")), F.lit(2.0)) + F.pow(dm / (F.col("t_sigma_mz") + F.col("fitted_sigma_mz")), F.lit(2.0))))
-    ok = (dm <= n_mz * F.col("t_sigma_mz")) & (dr <= n_rt * F.col("t_sigma_rt"))
-    best = j.groupBy("file_id", "target_id").agg(F.min_by(F.struct("peak_id", F.col("_d").alias("d"), ok.alias("ok")), F.struct("_d", "peak_id")).alias("b"))
-    return best.where("b.ok").select("file_id", "target_id", F.col("b.peak_id").alias("peak_id"), F.col("b.d").alias("distance"))
+    r = math.hypot(n_mz, n_rt) * (1 + 1e-9)
+    t = targets.select("file_id", "target_id", "t_mz", "t_rt", "t_sigma_mz", "t_sigma_rt")
+    p = peaks.select("file_id", "peak_id", "fitted_mz", (F.col("fitted_rt") + F.col("rt_delta")).alias("_rt"), "fitted_sigma_mz", "fitted_sigma_rt")
+    c = F.col
+    j = touching(t, p, ["file_id"], [(c("t_mz"), r * c("t_sigma_mz"), c("fitted_mz"), r * c("fitted_sigma_mz"), width), (c("t_rt"), r * c("t_sigma_rt"), c("_rt"), r * c("fitted_sigma_rt"), width_rt)])
+    dm, dr = F.abs(c("t_mz") - c("fitted_mz")), F.abs(c("t_rt") - c("_rt"))
+    j = j.withColumn("_d", F.sqrt(F.pow(dr / (c("t_sigma_rt") + c("fitted_sigma_rt")), F.lit(2.0)) + F.pow(dm / (c("t_sigma_mz") + c("fitted_sigma_mz")), F.lit(2.0))))
+    ok = (dm <= n_mz * c("t_sigma_mz")) & (dr <= n_rt * c("t_sigma_rt"))
+    best = j.groupBy(c("a.file_id").alias("file_id"), "target_id").agg(F.min_by(F.struct("peak_id", c("_d").alias("d"), ok.alias("ok")), F.struct("_d", "peak_id")).alias("b"))
+    return best.where("b.ok").select("file_id", "target_id", c("b.peak_id").alias("peak_id"), c("b.d").alias("distance"))
 
 
 def segment_of(times: DataFrame, maps: DataFrame) -> DataFrame:
@@ -68,12 +74,17 @@ def segment_of(times: DataFrame, maps: DataFrame) -> DataFrame:
     return j.groupBy(*times.columns).agg(F.coalesce(F.min("segment"), F.lit(-1)).alias("segment"), F.min_by(at, "segment").alias("warped_rt"))
 
 
-def fill_gaps(points: DataFrame, gap: float, step: float) -> DataFrame:
-    """Zero points a ``step`` inside both ends of every gap wider than ``gap`` in a scan's spectrum."""
+def fill_gaps(points: DataFrame, spacing: float = 0.0035, factor: float = 1.3) -> DataFrame:
+    """Zero points in the gaps of a scan's spectrum, where the distance exceeds ``factor`` spacings.
+
+    Below two spacings there is one zero in the middle, else one a spacing inside either end. The spacing would only
+    widen at a distance that is no gap and yet above ``factor`` spacings, so it stays.
+    """
     w = W.partitionBy("file_id", "rt").orderBy("mz")
     p = points.withColumn("_next", F.lead("mz").over(w))
-    wide = p.where(F.col("_next") - F.col("mz") > gap)
-    zeros = wide.select("file_id", "rt", F.explode(F.array(F.col("mz") + step, F.col("_next") - step)).alias("mz"), F.lit(0.0).alias("intensity"))
+    wide = p.withColumn("_gap", F.col("_next") - F.col("mz")).where(F.col("_gap") > spacing * factor)
+    at = F.when(F.col("_gap") < 2 * spacing, F.array(F.col("mz") + F.col("_gap") / 2)).otherwise(F.array(F.col("mz") + spacing, F.col("_next") - spacing))
+    zeros = wide.select("file_id", "rt", F.explode(at).alias("mz"), F.lit(0.0).alias("intensity"))
     return points.select("file_id", "rt", "mz", "intensity").unionByName(zeros)
 
 

@@ -165,6 +165,13 @@ _RESAMPLED = "WITH " + _SPLAT + """,
     smooth AS (SELECT sm.file_id, sm.i, sm.j, up / down AS value FROM sm JOIN nm ON nm.file_id = sm.file_id AND nm.i = sm.i)"""
 
 
+_MAXIMA = """,
+    q AS MATERIALIZED (SELECT file_id, i, j, round(value, 6) AS value FROM smooth),
+    moved AS (SELECT file_id, i, j, value AS own, CAST(NULL AS DOUBLE) AS other FROM q UNION ALL SELECT file_id, i + di, j + dj, CAST(NULL AS DOUBLE), value FROM q, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) d(di, dj)),
+    best AS (SELECT file_id, i, j, max(own) AS value, max(other) AS other FROM moved GROUP BY ALL),
+    top AS MATERIALIZED (SELECT best.file_id, best.i, best.j, best.value FROM best JOIN g ON g.file_id = best.file_id WHERE value > 0 AND value > coalesce(other, 0) AND best.i BETWEEN 1 AND n - 2 AND best.j BETWEEN 1 AND m - 2)"""
+
+
 @query("signal", sql=_RESAMPLED + " SELECT file_id, i, j, round(value, 5) AS value FROM smooth")
 def grid_resample(s):
     return rounded(grid.resample(s, _bounds(s), GRID_RUN, GRID), 5, "value")
@@ -172,11 +179,7 @@ def grid_resample(s):
 
 @query(
     "signal",
-    sql=_RESAMPLED + """,
-    q AS (SELECT file_id, i, j, round(value, 6) AS value FROM smooth),
-    near AS (SELECT file_id, i + di AS i, j + dj AS j, max(value) AS other FROM q, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) d(di, dj) GROUP BY ALL)
-    SELECT q.file_id, q.i, q.j, q.value FROM q LEFT JOIN near ON near.file_id = q.file_id AND near.i = q.i AND near.j = q.j JOIN g ON g.file_id = q.file_id
-    WHERE value > 0 AND value > coalesce(other, 0) AND q.i BETWEEN 1 AND n - 2 AND q.j BETWEEN 1 AND m - 2""",
+    sql=_RESAMPLED + _MAXIMA + " SELECT * FROM top",
 )
 def grid_local_maxima(s):
     b = _bounds(s)
@@ -202,36 +205,40 @@ def grid_smoothed_xic(s):
 
 # --- peaks ------------------------------------------------------------------------------------
 
-_ROI_RUN = Run("quad", resolution_ms1=100, reference_mz=200, fwhm_rt=40)
-_ROI = """s AS (SELECT 2.0 / (2 * sqrt(2 * ln(2))) AS sm, 40 / (2 * sqrt(2 * ln(2))) AS sr),
-    r AS (SELECT DISTINCT file_id, mz AS lm, rt AS lr FROM points WHERE intensity = 50),
-    x AS (SELECT r.file_id, lm, lr, p.mz, p.rt, p.intensity AS w FROM r, s JOIN points p ON p.file_id = r.file_id AND p.mz BETWEEN lm - 2 * sm AND lm + 2 * sm AND p.rt BETWEEN lr - 2 * sr AND lr + 2 * sr),
-    a AS (SELECT file_id, lm, lr, sum(w) AS sw, max(w) AS mw, count(*) AS np, count(DISTINCT rt) AS ns, sum(w * mz) / sum(w) AS am, sum(w * rt) / sum(w) AS ar FROM x GROUP BY ALL HAVING count(DISTINCT rt) >= 3),
-    c AS (SELECT a.file_id, a.lm, a.lr, max(sw) AS sw, max(mw) AS mw, max(np) AS np, max(ns) AS ns, max(am) AS am, max(ar) AS ar, sum(w * power(mz - am, 2)) / max(sw) AS m2, sum(w * power(mz - am, 3)) / max(sw) AS m3,
-          sum(w * power(rt - ar, 2)) / max(sw) AS r2, sum(w * power(rt - ar, 4)) / max(sw) AS r4 FROM a JOIN x ON x.file_id = a.file_id AND x.lm = a.lm AND x.lr = a.lr GROUP BY a.file_id, a.lm, a.lr)"""
+_ROI_RUN = GRID_RUN
+_ROI = _RESAMPLED + _MAXIMA + """,
+    s AS (SELECT 2.0 / (2 * sqrt(2 * ln(2))) AS sm, 86400 / (2 * sqrt(2 * ln(2))) AS sr),
+    r AS MATERIALIZED (SELECT t.file_id, t.i, t.j, min_mz + t.i * (max_mz - min_mz) / (n - 1) AS lm, min_rt + t.j * (max_rt - min_rt) / (m - 1) AS lr FROM top t JOIN g ON g.file_id = t.file_id),
+    x AS MATERIALIZED (SELECT r.file_id, i, j, lm, lr, p.mz, p.rt, p.intensity AS w FROM r, s JOIN signal p ON p.file_id = r.file_id AND p.mz BETWEEN lm - 2 * sm AND lm + 2 * sm AND p.rt BETWEEN lr - 2 * sr AND lr + 2 * sr),
+    a AS (SELECT file_id, i, j, sum(w) AS sw, max(w) AS mw, count(*) AS np, count(DISTINCT rt) AS ns, sum(w * mz) / sum(w) AS am, sum(w * rt) / sum(w) AS ar FROM x GROUP BY ALL HAVING count(DISTINCT rt) >= 3),
+    c AS (SELECT a.file_id, a.i, a.j, max(lm) AS lm, max(lr) AS lr, max(sw) AS sw, max(mw) AS mw, max(np) AS np, max(ns) AS ns, max(am) AS am, max(ar) AS ar, sum(w * power(mz - am, 2)) / max(sw) AS m2, sum(w * power(mz - am, 3)) / max(sw) AS m3,
+          sum(w * power(rt - ar, 2)) / max(sw) AS r2, sum(w * power(rt - ar, 4)) / max(sw) AS r4 FROM a JOIN x ON x.file_id = a.file_id AND x.i = a.i AND x.j = a.j GROUP BY a.file_id, a.i, a.j)"""
 
 
-def _maxima(p):
-    return p.where("intensity = 50").select("file_id", "mz", "rt", F.lit(50.0).alias("value")).distinct()
+def _maxima(s):
+    """Local maxima of the smoothed grid; values are rounded so that both engines see the same ones."""
+    b = _bounds(s)
+    return grid.locate(grid_local_maxima(s), b, GRID_RUN, GRID)
 
 
-@query("points", sql="WITH " + _ROI + " SELECT file_id, lm AS mz, lr AS rt, sw AS total, mw AS highest, np AS num_points, ns AS num_scans, round(am, 9) AS mean_mz, round(ar, 9) AS mean_rt, round(sqrt(m2), 6) AS sigma_mz, round(sqrt(r2), 6) AS sigma_rt, round(m3 / power(m2, 1.5), 4) AS skewness_mz, round(r4 / power(r2, 2), 4) AS kurtosis_rt FROM c")
+@query("signal", sql=_ROI + " SELECT file_id, round(lm, 6) AS mz, round(lr, 2) AS rt, round(sw, 6) AS total, mw AS highest, np AS num_points, ns AS num_scans, round(am, 6) AS mean_mz, round(ar, 2) AS mean_rt, round(sqrt(m2), 5) AS sigma_mz, round(sqrt(r2), 1) AS sigma_rt, CASE WHEN m2 > 1e-9 THEN round(m3 / power(m2, 1.5), 3) END AS skewness_mz, round(r4 / power(r2, 2), 3) AS kurtosis_rt FROM c")
 def region_moments(p):
     m = peaks.raw_moments(peaks.in_regions(p, peaks.regions(_maxima(p), _ROI_RUN), 4.0))
     c = F.col
     return m.select(
-        "file_id", c("local_max_mz").alias("mz"), c("local_max_rt").alias("rt"), c("raw_roi_total_intensity").alias("total"), c("raw_roi_max_height").alias("highest"),
-        c("raw_roi_num_points").alias("num_points"), c("raw_roi_num_scans").alias("num_scans"), F.round("raw_roi_mean_mz", 9).alias("mean_mz"), F.round("raw_roi_mean_rt", 9).alias("mean_rt"),
-        F.round("raw_roi_sigma_mz", 6).alias("sigma_mz"), F.round("raw_roi_sigma_rt", 6).alias("sigma_rt"), F.round("raw_roi_skewness_mz", 4).alias("skewness_mz"), F.round("raw_roi_kurtosis_rt", 4).alias("kurtosis_rt"),
+        "file_id", F.round("local_max_mz", 6).alias("mz"), F.round("local_max_rt", 2).alias("rt"), F.round("raw_roi_total_intensity", 6).alias("total"), c("raw_roi_max_height").alias("highest"),
+        c("raw_roi_num_points").alias("num_points"), c("raw_roi_num_scans").alias("num_scans"), F.round("raw_roi_mean_mz", 6).alias("mean_mz"), F.round("raw_roi_mean_rt", 2).alias("mean_rt"),
+        F.round("raw_roi_sigma_mz", 5).alias("sigma_mz"), F.round("raw_roi_sigma_rt", 1).alias("sigma_rt"),
+        F.when(c("raw_roi_sigma_mz") * c("raw_roi_sigma_mz") > 1e-9, F.round("raw_roi_skewness_mz", 3)).alias("skewness_mz"), F.round("raw_roi_kurtosis_rt", 3).alias("kurtosis_rt"),
     )
 
 
-@query("points")
+@query("signal")
 def find_peaks(p):
     return peaks.find_peaks(p, _maxima(p), _ROI_RUN, 1_000_000, bin_mz=4.0).drop("fit")
 
 
-@query("points")
+@query("signal")
 def find_failed_peaks(p):
     f = peaks.find_peaks(p, _maxima(p), _ROI_RUN, 1_000_000, centroid=True, failed=True, bin_mz=4.0)
     return f.select("file_id", "peak_id", "fit_failure_code", "peak_fit_failure", peaks.failure_text("fit_failure_code").alias("errors"))
@@ -239,7 +246,7 @@ def find_failed_peaks(p):
 
 @query(
     "edges",
-    sql="SELECT protein, peptide, code, CASE WHEN code = 0 THEN 'No errors detected.' ELSE 'Fit Failure Errors:' || chr(10) || array_to_string(list_transform(list_filter(range(1, 40), lambda n: (code >> (n - 1)) & 1 = 1), lambda n: '- ' || t[n]), chr(10)) END AS errors "
+    sql="SELECT protein, peptide, code, 'Fit Failure Errors:' || chr(10) || CASE WHEN code = 0 THEN 'No errors detected.' ELSE array_to_string(list_transform(list_filter(range(1, 40), lambda n: (code >> (n - 1)) & 1 = 1), lambda n: '- ' || t[n]), chr(10)) END || chr(10) AS errors "
     "FROM (SELECT protein, peptide, CASE WHEN peptide % 10 = 0 THEN 0 ELSE (CAST(1 AS BIGINT) << (peptide % 39)) | (CAST(1 AS BIGINT) << (protein % 39)) END AS code, [" + ", ".join("'" + t.replace("'", "''") + "'" for t in peaks.FAILURES) + "] AS t FROM edges) x",
 )
 def failure_messages(e):
@@ -336,19 +343,15 @@ def segment_lookup(p, t):
 # --- features ---------------------------------------------------------------------------------
 
 
-@query("peaks", sql="SELECT a.file_id, z AS charge, a.peak_id AS lower, b.peak_id AS upper FROM peaks a CROSS JOIN (VALUES (1), (2), (3)) c(z) JOIN peaks b ON b.file_id = a.file_id AND abs(b.fitted_mz - (a.fitted_mz + CAST(1.0033 AS DOUBLE) / z)) < a.fitted_sigma_mz AND abs(b.fitted_rt - a.fitted_rt) < a.fitted_sigma_rt")
+@query("peaks", sql="WITH a AS (SELECT p.*, z, CAST(floor(fitted_mz + CAST(1.0033 AS DOUBLE) / z) AS BIGINT) + k AS bin FROM peaks p, (VALUES (1), (2), (3)) c(z), generate_series(-2, 2) d(k)), b AS (SELECT *, CAST(floor(fitted_mz) AS BIGINT) AS bin FROM peaks) SELECT a.file_id, z AS charge, a.peak_id AS lower, b.peak_id AS upper FROM a JOIN b ON b.file_id = a.file_id AND a.bin = b.bin AND abs(b.fitted_mz - (a.fitted_mz + CAST(1.0033 AS DOUBLE) / z)) < a.fitted_sigma_mz AND abs(b.fitted_rt - a.fitted_rt) < a.fitted_sigma_rt")
 def isotope_candidates(k):
     return features.candidate_graph(k, [1, 2, 3])
 
 
-def _narrow(k):
-    """Peaks whose sigmas keep the candidate components small."""
-    return k.withColumns({"fitted_sigma_mz": F.col("fitted_sigma_mz") / 5, "fitted_sigma_rt": F.col("fitted_sigma_rt") / 2})
-
-
 @query("peaks")
 def detect_features(k):
-    return features.detect(_narrow(k), [5, 4, 3, 2, 1])
+    # Isotopes of charge 5 are 0.2 apart, less than the m/z sigma of the stand-in peaks.
+    return features.detect(k.withColumn("fitted_sigma_mz", F.col("fitted_sigma_mz") / 5), [5, 4, 3, 2, 1])
 
 
 _FEATURES = """c AS (SELECT *, peak_id // 3 AS first, peak_id % 3 AS pos FROM peaks)"""
@@ -403,20 +406,20 @@ def link_psm(k, e):
 
 @query("psms", "msms", sql="""WITH s AS (SELECT *, 0.1 * power(mz / 200, 1.5) / (2 * sqrt(2 * ln(2))) AS sm FROM psms),
     j AS (SELECT s.file_id, psm_index, e.event_id, e.mz, abs(s.mz - e.mz) AS dm, abs(s.rt - e.rt) AS dr, e.rt AS ert, sm FROM s JOIN msms e ON e.file_id = s.file_id AND e.mz BETWEEN s.mz - 3 * sm AND s.mz + 3 * sm),
-    d AS (SELECT *, sqrt(power(dm / mz, 2) + power(CASE WHEN ert <> 0 THEN dr / ert END, 2)) AS distance, dm <= 3 * sm AND dr <= 3 * 20 / (2 * sqrt(2 * ln(2))) AS ok FROM j),
-    b AS (SELECT *, row_number() OVER (PARTITION BY file_id, psm_index ORDER BY distance NULLS FIRST, mz, event_id) AS k FROM d)
+    d AS (SELECT *, sqrt(power(dm / mz, 2) + power(dr / ert, 2)) AS distance, dm <= 3 * sm AND dr <= 3 * 20 / (2 * sqrt(2 * ln(2))) AS ok FROM j WHERE ert <> 0),
+    b AS (SELECT *, row_number() OVER (PARTITION BY file_id, psm_index ORDER BY distance, mz, event_id) AS k FROM d)
     SELECT file_id, psm_index, event_id, round(distance, 6) AS distance FROM b WHERE k = 1 AND ok""")
 def link_idents(q, e):
     return rounded(link.link_idents(q, e, RUN), 6, "distance")
 
 
-@query("peaks", "msms", sql="""WITH j AS (SELECT e.file_id, e.event_id AS target_id, p.peak_id, abs(e.mz - fitted_mz) AS dm, abs(e.rt - fitted_rt - rt_delta) AS dr, fitted_sigma_mz AS sm, fitted_sigma_rt AS sr FROM msms e JOIN peaks p ON p.file_id = e.file_id AND abs(e.mz - fitted_mz) <= 2),
+@query("peaks", "msms", sql="""WITH j AS (SELECT e.file_id, e.event_id AS target_id, p.peak_id, abs(e.mz - fitted_mz) AS dm, abs(e.rt - fitted_rt - rt_delta) AS dr, fitted_sigma_mz AS sm, fitted_sigma_rt AS sr FROM msms e JOIN peaks p ON p.file_id = e.file_id AND abs(e.mz - fitted_mz) <= 4 * (0.5 + fitted_sigma_mz)),
     d AS (SELECT *, sqrt(power(dr / (10 + sr), 2) + power(dm / (0.5 + sm), 2)) AS distance, dm <= 1.5 AND dr <= 30 AS ok FROM j),
     b AS (SELECT *, row_number() OVER (PARTITION BY file_id, target_id ORDER BY distance, peak_id) AS k FROM d)
     SELECT file_id, target_id, peak_id, round(distance, 6) AS distance FROM b WHERE k = 1 AND ok""")
 def closest_peaks(k, e):
     t = e.select("file_id", F.col("event_id").alias("target_id"), F.col("mz").alias("t_mz"), F.col("rt").alias("t_rt"), F.lit(0.5).alias("t_sigma_mz"), F.lit(10.0).alias("t_sigma_rt"))
-    return rounded(summary.closest_peak(t, k, reach=2.0, width=2.0), 6, "distance")
+    return rounded(summary.closest_peak(t, k, width=4.0), 6, "distance")
 
 
 # --- matching ---------------------------------------------------------------------------------
@@ -426,28 +429,28 @@ def _groups(k):
     return k.select("file_id").distinct().withColumn("group_id", (F.col("file_id") % 2).cast("int"))
 
 
-@query("peaks", sql="SELECT a.file_id AS file_a, a.peak_id AS peak_a, b.file_id AS file_b, b.peak_id AS peak_b FROM peaks a JOIN peaks b ON b.fitted_mz BETWEEN a.fitted_mz - a.fitted_sigma_mz * 1.5 AND a.fitted_mz + a.fitted_sigma_mz * 1.5 AND b.fitted_rt + b.rt_delta BETWEEN a.fitted_rt + a.rt_delta - a.fitted_sigma_rt * 1.5 AND a.fitted_rt + a.rt_delta + a.fitted_sigma_rt * 1.5")
+@query("peaks", sql="WITH a AS (SELECT p.*, CAST(floor(fitted_mz) AS BIGINT) + k AS bin FROM peaks p, generate_series(-3, 3) d(k)), b AS (SELECT *, CAST(floor(fitted_mz) AS BIGINT) AS bin FROM peaks) SELECT a.file_id AS file_a, a.peak_id AS peak_a, b.file_id AS file_b, b.peak_id AS peak_b FROM a JOIN b ON a.bin = b.bin AND b.fitted_mz BETWEEN a.fitted_mz - a.fitted_sigma_mz * 1.5 AND a.fitted_mz + a.fitted_sigma_mz * 1.5 AND b.fitted_rt + b.rt_delta BETWEEN a.fitted_rt + a.rt_delta - a.fitted_sigma_rt * 1.5 AND a.fitted_rt + a.rt_delta + a.fitted_sigma_rt * 1.5")
 def match_candidates(k):
-    e = match.candidates(match.peak_items(k, _groups(k)), 1.5, 1.5, 2.0)
+    e = match.candidates(match.peak_items(k, _groups(k)), 1.5, 1.5, 1.0)
     part = F.lit(1 << 40)
     return e.select((F.expr(f"ref div {1 << 40}")).cast("int").alias("file_a"), (F.col("ref") % part).alias("peak_a"), (F.expr(f"other div {1 << 40}")).cast("int").alias("file_b"), (F.col("other") % part).alias("peak_b"))
 
 
 @query("peaks")
 def peak_clusters(k):
-    return match.clusters(match.peak_items(_narrow(k), _groups(k)), {0: 4, 1: 3}, 0.5)
+    return match.clusters(match.peak_items(k, _groups(k)), {0: 4, 1: 3}, 0.5)
 
 
 @query("peaks")
 def feature_clusters(k):
-    f = features.table_of(_triples(k), _narrow(k))
+    f = features.table_of(_triples(k), k)
     return match.clusters(match.feature_items(f, _groups(k)), {0: 4, 1: 3}, 0.5)
 
 
 @query("peaks")
 def match_within_sigma(k):
-    k = _narrow(k).select((F.col("file_id") % 2).alias("side"), "peak_id", F.col("fitted_mz").alias("mz"), F.col("fitted_rt").alias("rt"), F.col("fitted_sigma_mz").alias("s_mz"), F.col("fitted_sigma_rt").alias("s_rt"), F.col("fitted_height").alias("height"), "file_id")
-    a, b = k.where("side = 0 and file_id < 6").drop("side"), k.where("side = 1").drop("side").withColumn("file_id", F.col("file_id") - 1)
+    k = k.select("peak_id", F.col("fitted_mz").alias("mz"), F.col("fitted_rt").alias("rt"), F.col("fitted_sigma_mz").alias("s_mz"), F.col("fitted_sigma_rt").alias("s_rt"), F.col("fitted_height").alias("height"), "file_id")
+    a, b = k, k.withColumn("file_id", (F.col("file_id") + 6) % 7)  # every file with the next one
     return rounded(match.match_within_sigma(a, b), 6, "distance", "log2_ratio")
 
 
@@ -489,12 +492,22 @@ def protein_groups(e):
     return proteins.protein_groups(proteins.peptide_classes(e))
 
 
-@query("edges")
+@query("edges", sql="WITH kept AS (SELECT * FROM edges WHERE protein NOT IN (SELECT a FROM (SELECT a.protein AS a, b.protein AS b, count(*) AS k FROM edges a JOIN edges b ON a.peptide = b.peptide AND a.protein <> b.protein GROUP BY ALL) s JOIN (SELECT protein, count(*) AS n FROM edges GROUP BY protein) x ON x.protein = a JOIN (SELECT protein, count(*) AS n FROM edges GROUP BY protein) y ON y.protein = b WHERE k = x.n AND x.n < y.n)), " + _CLASSES.replace("FROM edges", "FROM kept") + """,
+    single AS (SELECT DISTINCT protein FROM classes WHERE kind = 'unique'), rest AS (SELECT * FROM classes WHERE protein NOT IN (SELECT protein FROM single)),
+    step AS (SELECT DISTINCT a.protein AS a, b.protein AS b FROM rest a JOIN rest b USING (peptide)),
+    reach AS (SELECT a, b FROM step UNION SELECT r.a, s.b FROM reach r JOIN step s ON s.a = r.b),
+    grp AS (SELECT protein, protein AS leader, 0 AS late FROM single UNION ALL SELECT a, min(b), 1 FROM reach GROUP BY a),
+    ids AS (SELECT leader, row_number() OVER (ORDER BY late, leader) - 1 AS group_id FROM (SELECT DISTINCT leader, late FROM grp) d),
+    picked AS (SELECT DISTINCT group_id, leader, protein, peptide FROM classes JOIN grp USING (protein) JOIN ids USING (leader) WHERE kind IN ('unique', 'razor')),
+    own AS (SELECT peptide, max(group_id) AS group_id FROM picked GROUP BY peptide)
+    SELECT p.group_id, p.leader, max(h) AS height, string_agg(DISTINCT CAST(peptide AS VARCHAR), '.|.' ORDER BY CAST(peptide AS VARCHAR)) AS sequences, string_agg(DISTINCT CAST(protein AS VARCHAR), '.|.' ORDER BY CAST(protein AS VARCHAR)) AS proteins,
+           string_agg(DISTINCT 'protein ' || CAST(protein AS VARCHAR), '.|.' ORDER BY 'protein ' || CAST(protein AS VARCHAR)) AS descriptions, count(DISTINCT protein) AS n_proteins
+    FROM picked p LEFT JOIN (SELECT group_id, CAST(sum(peptide) AS DOUBLE) AS h FROM own GROUP BY group_id) o ON o.group_id = p.group_id GROUP BY p.group_id, p.leader""")
 def protein_quantities(e):
     data = e.select(F.col("peptide").alias("cluster_id"), F.col("peptide").cast("double").alias("height")).distinct()
     notes = e.select(F.col("peptide").alias("cluster_id"), "peptide", "protein", F.concat(F.lit("protein "), F.col("protein").cast("string")).alias("description"))
     sums, about = proteins.quantify(data, notes, ["height"], least_peptides=1)
-    return sums.join(about, "leader", "full")
+    return sums.join(about, ["group_id", "leader"], "full")
 
 
 # --- quantification ---------------------------------------------------------------------------
@@ -559,9 +572,9 @@ def peptide_quantities(k, q):
     return rounded(quant.peptide_table(_members(k), notes, ["height"]), 6, "height")
 
 
-@query("annotations", sql="SELECT sequence, string_agg(DISTINCT cluster_id, '.|.' ORDER BY cluster_id) AS cluster_id, string_agg(DISTINCT protein, '.|.' ORDER BY protein) AS protein FROM annotations WHERE sequence IN ('de', 'en') GROUP BY sequence")
+@query("annotations", sql="WITH " + _CONSENSUS + " SELECT sequence, string_agg(DISTINCT cluster_id, '.|.' ORDER BY cluster_id) AS cluster_id, string_agg(DISTINCT protein, '.|.' ORDER BY protein) AS protein FROM annotations WHERE sequence IN (SELECT sequence FROM c) GROUP BY sequence")
 def peptide_metadata(a):
-    wanted = a.where("sequence in ('de', 'en')").select("sequence").distinct()
+    wanted = quant.sequence_consensus(a).select("sequence").distinct()
     return quant.peptide_metadata(a.select("sequence", "cluster_id", "protein"), wanted)
 
 
@@ -596,10 +609,11 @@ def ratio_summary(k):
     return rounded(summary.ma_summary(a.join(b, ["file_id", "peak_id"])), 6, "mean", "median", "std", "p5", "p95")
 
 
-@query("points", sql="""WITH u AS (SELECT DISTINCT file_id, rt, mz, intensity FROM points), n AS (SELECT *, lead(mz) OVER (PARTITION BY file_id, rt ORDER BY mz) AS nx FROM (SELECT file_id, rt, mz, max(intensity) AS intensity FROM u GROUP BY ALL) q)
-    SELECT file_id, rt, mz, intensity FROM n UNION ALL SELECT file_id, rt, mz + 1, 0.0 FROM n WHERE nx - mz > 10 UNION ALL SELECT file_id, rt, nx - 1, 0.0 FROM n WHERE nx - mz > 10""")
+@query("points", sql="""WITH u AS (SELECT DISTINCT file_id, rt, mz, intensity FROM points), n AS MATERIALIZED (SELECT *, lead(mz) OVER (PARTITION BY file_id, rt ORDER BY mz) AS nx FROM (SELECT file_id, rt, mz, max(intensity) AS intensity FROM u GROUP BY ALL) q)
+    SELECT file_id, rt, mz, intensity FROM n UNION ALL SELECT file_id, rt, mz + (nx - mz) / 2, 0.0 FROM n WHERE nx - mz > CAST(8 AS DOUBLE) * CAST(1.3 AS DOUBLE) AND nx - mz < 16
+    UNION ALL SELECT file_id, rt, mz + 8, 0.0 FROM n WHERE nx - mz >= 16 UNION ALL SELECT file_id, rt, nx - 8, 0.0 FROM n WHERE nx - mz >= 16""")
 def fill_gaps(p):
-    return summary.fill_gaps(p.groupBy("file_id", "rt", "mz").agg(F.max("intensity").alias("intensity")), 10.0, 1.0)
+    return summary.fill_gaps(p.groupBy("file_id", "rt", "mz").agg(F.max("intensity").alias("intensity")), 8.0)
 
 
 # --- smaller operators ------------------------------------------------------------------------
@@ -661,15 +675,15 @@ def grid_positions(s):
     return rounded(rounded(cells.select("file_id", "i", "mz", "j", "rt"), 6, "mz"), 2, "rt")
 
 
-@query("points")
+@query("signal")
 def find_peaks_serial(p):
     return peaks.find_peaks(p, _maxima(p), _ROI_RUN, 100, bin_mz=4.0, serial=True).drop("fit")
 
 
-@query("psms", sql="SELECT file_id, psm_index, CASE WHEN psm_index % 3 = 0 THEN '' WHEN psm_index % 3 = 1 THEN 'Oxidation(15.9949)@3' ELSE 'Oxidation(15.9949)@3.|.Acetyl(42.0106)@-1' END AS modifications, CAST(psm_index % 3 AS INT) AS n FROM psms")
+@query("psms", sql="WITH t AS (SELECT *, 'monoisotopic_mass_delta: 15.99491, average_mass_delta: 15.9994, residues: M, location: ' || CAST(psm_index % 20 AS VARCHAR) || ', id: UNIMOD:35|Oxidation; XL:1|again' AS one, 'monoisotopic_mass_delta: 42.01057, average_mass_delta: 0.0, residues: , location: -1, id: UNIMOD:1|Acetyl' AS two FROM psms) SELECT file_id, psm_index, CASE WHEN psm_index % 3 = 0 THEN '' WHEN psm_index % 3 = 1 THEN one ELSE one || ' / ' || two END AS modifications, CAST(psm_index % 3 AS INT) AS n FROM t")
 def modification_text(q):
-    mod = lambda name, mass, at: F.struct(F.lit(mass).alias("monoisotopic_mass_delta"), F.lit(at).alias("location"), F.array(F.lit(name)).alias("id"))
-    both = F.array(mod("Oxidation", 15.99491, 3), mod("Acetyl", 42.01057, -1))
+    mod = lambda mono, avg, residues, at, *ids: F.struct(F.lit(mono).alias("monoisotopic_mass_delta"), F.lit(avg).cast("double").alias("average_mass_delta"), F.lit(residues).cast("string").alias("residues"), at.cast("int").alias("location"), F.array(*map(F.lit, ids)).alias("id"))
+    both = F.array(mod(15.99491, 15.9994, "M", F.col("psm_index") % 20, "UNIMOD:35|Oxidation", "XL:1|again"), mod(42.01057, None, None, F.lit(-1), "UNIMOD:1|Acetyl"))
     q = q.withColumn("modifications", F.slice(both, F.lit(1), (F.col("psm_index") % 3).cast("int")))
     return q.select("file_id", "psm_index", quant.modification_text().alias("modifications"), F.size("modifications").alias("n"))
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mzloom.functions import exprs
-from mzloom.operators import components, features, grid, match, peaks, proteins, quant, similarity, summary, warp
+from mzloom.operators import components, features, grid, link, match, peaks, proteins, quant, similarity, summary, warp
 from mzloom.params import Resampling, Run, Warping, default_parameters, instrument
 
 RNG = np.random.default_rng(7)
@@ -69,7 +69,7 @@ def test_solve_agrees_with_least_squares():
 
 def test_failure_text(spark):
     df = spark.createDataFrame([(0,), (1 | 1 << 38,)], "code long").select(peaks.failure_text("code").alias("t")).collect()
-    assert df[0].t == "No errors detected." and df[1].t == "Fit Failure Errors:\n- Weight sum is zero\n- Fitted sigma_rt is too large"
+    assert df[0].t == "Fit Failure Errors:\nNo errors detected.\n" and df[1].t == "Fit Failure Errors:\n- Weight sum is zero\n- Fitted sigma_rt is too large\n"
 
 
 def _dense(points, b, run, how):
@@ -179,6 +179,77 @@ def test_razor_and_groups(spark):
         proteins.chosen_peptides(proteins.peptide_classes(n), n.select("protein", F.col("protein").alias("leader")), "best")
 
 
+def test_razor_against_repeated_stable_sorts(spark):
+    pairs = sorted({(f"P{a:02d}", int(b)) for a, b in RNG.integers(0, 40, (300, 2))})
+    left: dict = {}
+    for p, m in pairs:
+        left.setdefault(p, set()).add(m)
+    queue, want = sorted(sorted(left), key=lambda p: -len(left[p])), set()
+    while queue:
+        p, *queue = queue
+        taken = set(left[p])
+        want |= {(p, m) for m in taken}
+        for q in queue:
+            left[q] -= taken
+        queue = sorted((q for q in queue if left[q]), key=lambda q: -len(left[q]))
+    assert {(r.protein, r.psm) for r in proteins.razor(spark.createDataFrame(pairs, "protein string, psm long")).collect()} == want
+
+
+def test_subsets_against_all_pairs(spark):
+    pairs = sorted({(int(a), int(b)) for a, b in RNG.integers(0, 25, (90, 2))} | {(99, 3), (98, 3), (98, 4), (97, 3), (97, 4)})
+    of: dict = {}
+    for p, m in pairs:
+        of.setdefault(p, set()).add(m)
+    want = {p for p in of if not any(of[p] < of[q] for q in of)}
+    assert {r.protein for r in proteins.without_subsets(spark.createDataFrame(pairs, "protein long, peptide long")).collect()} == want
+
+
+def test_group_order_and_metadata(spark):
+    # B has a unique peptide; A and C share one, so they are a component, which comes after B and gets the shared cluster.
+    notes = [(0, "b1", "B"), (1, "ac", "A"), (1, "ac", "C"), (0, "ac", "A"), (0, "ac", "C"), (2, "b2", "B")]
+    a = spark.createDataFrame([(c, p, q, f"about {q}") for c, p, q in notes], "cluster_id long, peptide string, protein string, description string")
+    data = spark.createDataFrame([(0, 1.0), (1, 2.0), (2, 4.0)], "cluster_id long, height double")
+    sums, about = proteins.quantify(data, a, ["height"], add_ambiguous=True)
+    assert {(r.group_id, r.leader, r.height) for r in sums.collect()} == {(0, "B", 4.0), (1, "A", 3.0)}
+    assert {(r.group_id, r.sequences, r.proteins, r.descriptions) for r in about.collect()} == {(0, "b1.|.b2", "B", "about B"), (1, "ac", "A.|.C", "about A.|.about C")}
+    sums, about = proteins.quantify(data, a, ["height"])  # the tied peptide counts for nobody
+    assert [(r.leader, r.height) for r in sums.collect()] == [("B", 5.0)] and [r.proteins for r in about.collect()] == ["B"]
+
+
+def test_fill_gaps(spark):
+    mz = [400.0, 400.003, 400.008, 400.02]
+    got = sorted((r.mz, r.intensity) for r in summary.fill_gaps(spark.createDataFrame([(0, 1.0, m, 5.0) for m in mz], "file_id int, rt double, mz double, intensity double")).collect())
+    assert np.allclose([m for m, v in got if v == 0], [400.0055, 400.0115, 400.0165])
+
+
+def _nearest_brute(events, rows, n=3.0, idents=False):
+    out = {}
+    run = Run("orbitrap", resolution_ms1=2000, fwhm_rt=20)
+    for f, key, mz, rt in events:
+        s = 0.1 * (mz / 200) ** 1.5 / exprs.SIGMA
+        near = [r for r in rows if r[0] == f and abs(r[2] - mz) <= n * s]
+        if idents:
+            near = [(math.hypot((mz - r[2]) / r[2], (rt - r[3]) / r[3]), r[2], r[1], abs(mz - r[2]) <= n * s and abs(rt - r[3]) <= n * run.fwhm_rt / exprs.SIGMA) for r in near if r[3]]
+        else:
+            near = [(math.hypot((mz - r[2]) / r[5], (rt - r[3]) / r[6]), r[2], r[1], abs(mz - r[2]) <= n * r[5] and abs(rt - r[3]) <= n * r[6]) for r in near]
+        if near and min(near)[3]:
+            out[f, key] = min(near)[2]
+    return out
+
+
+def test_links_against_unbounded_search(spark):
+    run = Run("orbitrap", resolution_ms1=2000, fwhm_rt=20)
+    rows = _random_peaks(150)
+    events = [(int(RNG.integers(0, 3)), k, float(RNG.uniform(400, 440)), float(RNG.choice([0.0, RNG.uniform(0, 30), RNG.uniform(0, 300)]))) for k in range(300)]
+    e = spark.createDataFrame(events, "file_id int, event_id long, mz double, rt double")
+    got = {(r.file_id, r.event_id): r.peak_id for r in link.link_peaks(_peaks(spark, rows), e, run).collect()}
+    assert got == _nearest_brute(events, rows) and len(got) > 10
+    scans = [(r[0], r[1], r[2], r[3] if r[1] % 9 else 0.0) for r in rows]
+    s = spark.createDataFrame(scans, "file_id int, event_id long, mz double, rt double")
+    got = {(r.file_id, r.psm_index): r.event_id for r in link.link_idents(e.withColumnRenamed("event_id", "psm_index"), s, run).collect()}
+    assert got == _nearest_brute(events, scans, idents=True) and len(got) > 10
+
+
 def test_warp_moves_peaks_back(spark):
     ref = [(0, k, 400.0 + 2 * k, 20.0 + 15 * k, 100.0 - k, 0.3, 3.0) for k in range(20)]
     moved = [(1, k, m, r + 6.0, h, a, b) for _, k, m, r, h, a, b in ref]
@@ -209,8 +280,10 @@ def test_quant_choices(spark):
         quant.wide_matrix(m, "colour", [0], ("height",))
     a = spark.createDataFrame([(0, None), (0, "b"), (0, "a"), (1, None)], "cluster_id int, sequence string")
     assert {r.cluster_id: r.sequence for r in quant.aggregate_annotations(a).collect()} == {0: "a.|.b", 1: ""}
-    mods = spark.sql("select array(named_struct('id', array('Ox'), 'monoisotopic_mass_delta', 15.99491D, 'location', 3)) as modifications")
-    assert mods.select(quant.modification_text().alias("t")).first().t == "Ox(15.9949)@3"
+    mods = spark.sql("select array(named_struct('id', array('U:35|Ox', 'X'), 'monoisotopic_mass_delta', 15.99491D, 'average_mass_delta', 16D, 'residues', 'M', 'location', 3), named_struct('id', array('a'), 'monoisotopic_mass_delta', 1D, 'average_mass_delta', null, 'residues', null, 'location', -1)) as modifications")
+    one, two = mods.select(quant.modification_text().alias("t")).first().t.split(" / ")
+    assert one == "monoisotopic_mass_delta: 15.99491, average_mass_delta: 16.0, residues: M, location: 3, id: U:35|Ox; X"
+    assert two == "monoisotopic_mass_delta: 1.0, average_mass_delta: 0.0, residues: , location: -1, id: a"
 
 
 def test_duration(spark):
