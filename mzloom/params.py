@@ -71,6 +71,7 @@ class Parameters:
     quant_isotopes: str = "height"
     quant_features: str = "max_height"
     charge_state_filter: bool = True
+    consensus: bool = True
     consensus_min: int = 1
     protein_min_peptides: int = 1
     protein_remove_subsets: bool = True

@@ -6,12 +6,14 @@ reuses unless ``force`` is set.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mzloom.operators import features, grid, link, match, peaks, proteins, quant, similarity, summary, warp
+from mzloom.functions.exprs import sigma_mz, sigma_rt
+from mzloom.operators import features, grid, link, match, peaks, points, proteins, quant, similarity, summary, warp
 from mzloom.params import Parameters
 from mzloom.sources import identifications, sinks, spectra
 
@@ -42,35 +44,83 @@ def _scans(spark: SparkSession, params: Parameters, files: list[RunFile], level:
 
 
 def _identifications(spark: SparkSession, files: list[RunFile]) -> tuple[DataFrame, DataFrame] | None:
-    """(psms, protein annotations) of all runs; annotations are psm_index, peptide_id, accession, description."""
-    psms = notes = None
-    for k, f in enumerate(files):
-        if not f.identifications:
-            continue
-        d = identifications.read_mzidentml(spark, f.identifications)
-        m = d.spectrum_matches.join(d.peptides, "peptide_id").withColumn("file_id", F.lit(k))
-        m = m.withColumn("psm_index", F.xxhash64("match_id", "peptide_id"))
-        e = quant.with_proteins(m.select("file_id", "psm_index", "peptide_id"), d.peptide_evidence.select("peptide_id", "db_sequence_id"), d.db_sequences)
-        psms = m if psms is None else psms.unionByName(m)
-        notes = e if notes is None else notes.unionByName(e)
-    return None if psms is None else (psms, notes)
-
-
-def dda_pipeline(spark: SparkSession, params: Parameters, files: list[RunFile], out: str, force: bool = False) -> dict[str, DataFrame]:
-    """Run all stages; returns every table by name. Result tables are also written as CSV."""
-    run, n_files = params.run, len(files)
+    """(psms, protein annotations) of all runs, read at once; annotations have psm_index, peptide_id, accession, description, decoy."""
+    given = {f.identifications: k for k, f in enumerate(files) if f.identifications}
+    if not given:
+        return None
+    d = identifications.read_mzidentml(spark, sorted(given))
+    matches = d.spectrum_matches.join(d.peptides, ["path", "peptide_id"]).withColumn("psm_index", F.xxhash64("match_id", "peptide_id"))
+    psms = spectra.numbered(matches, given)
+    evidence = d.peptide_evidence.select("path", "peptide_id", "db_sequence_id", "decoy").join(d.db_sequences, ["path", "db_sequence_id"])
+    # Inner: identifications without protein evidence have no annotation.
+    notes = psms.select("path", "file_id", "psm_index", "peptide_id").join(evidence, ["path", "peptide_id"])
+    return psms.drop("path"), notes.drop("path")
+
+
+def _cluster_tables(named: DataFrame, params: Parameters) -> tuple[DataFrame, DataFrame]:
+    """(annotations with their consensus, the same joined per cluster) of (cluster_id, file_id, ..., psm_sequence, protein_name, protein_description)."""
+    if params.consensus:
+        best = quant.sequence_consensus(named, "psm_sequence", params.consensus_min).select("cluster_id", F.col("psm_sequence").alias("consensus_sequence"), F.col("count").alias("consensus_count"))
+        named = named.join(best, "cluster_id", "left")
+        told = named.where("psm_sequence = consensus_sequence").select("cluster_id", F.col("protein_name").alias("consensus_protein_name"), F.col("protein_description").alias("consensus_protein_description")).distinct()
+        named = named.join(told, "cluster_id", "left")
+    return named, quant.aggregate_annotations(named, columns=ANNOTATED)
+
+
+#: Columns that are joined per cluster.
+ANNOTATED = [
+    "psm_sequence", "psm_charge_state", "psm_modifications_num", "protein_name", "protein_description", "consensus_sequence", "consensus_count", "consensus_protein_name",
+    "consensus_protein_description",
+]
+
+
+def qc_tables(params: Parameters, ms1: DataFrame, peaks_: DataFrame, maps: DataFrame, similarity_before: DataFrame, similarity_after: DataFrame) -> dict[str, DataFrame]:
+    """Values behind the quality plots: width densities, drift, chromatograms before and after alignment, similarities."""
+    tic, bpc = points.xic(ms1), points.xic(ms1, method="max")
+    aligned = lambda x: warp.warp_times(x, maps)
+    widths = peaks_.select("file_id", (F.col("fitted_sigma_mz") / sigma_mz("fitted_mz", params.run)).alias("mz"), (F.col("fitted_sigma_rt") / sigma_rt(params.run)).alias("rt"))
+    return {
+        "qc_tic": aligned(tic), "qc_base_peak": aligned(bpc), "qc_scatter": summary.scatter(peaks_),
+        "qc_sigma_mz_density": summary.histogram(widths, "mz", 0.05), "qc_sigma_rt_density": summary.histogram(widths, "rt", 0.05),
+        "qc_similarity_before": similarity_before, "qc_similarity_after": similarity_after,
+    }
+
+
+def dda_pipeline(spark: SparkSession, params: Parameters, files: list[RunFile], out: str, force: bool = False, save_grid: bool = False) -> dict[str, DataFrame]:
+    """Run all stages; returns every table by name.
+
+    Stage tables lie in ``out``, result tables are written as CSV to out/quant, out/qc and out/summary, parameters and a
+    log of the stages as text. ``save_grid`` keeps the smoothed grid as well. Stage tables made with other parameters are
+    made anew.
+    """
+    if params.identification_by not in ("theoretical_mz", "msms_event"):
+        raise ValueError(f"unknown identification_by: {params.identification_by}")
+    if params.quant_isotopes not in ("height", "volume"):
+        raise ValueError(f"unknown quant_isotopes: {params.quant_isotopes}")
+    if params.quant_features not in quant.MEASURES:
+        raise ValueError(f"unknown quant_features: {params.quant_features}")
+    run = params.run
     t: dict[str, DataFrame] = {}
+    log: list[str] = []
+    told = sinks.parameters_json(params)
+    force = force or sinks.read_text(spark, f"{out}/parameters.json") not in (None, told)
+    sinks.write_text(spark, told, f"{out}/parameters.json")
 
     def stage(name, make, by_file=True):
+        began = time.time()
         t[name] = sinks.stage(spark, make, f"{out}/{name}", force, by_file)
+        log.append(f"{name}: {time.time() - began:.1f} s")
         return t[name]
 
     ms1 = stage("ms1", lambda: spectra.to_points(_scans(spark, params, files, 1)))
-    ms2 = stage("ms2", lambda: spectra.events(_scans(spark, params, files, 2)))
+    # All levels are read, for an event may leave it to its place which scan it was chosen from.
+    ms2 = stage("ms2", lambda: spectra.events(spectra.with_parents(_scans(spark, params, files, 0).drop("points"))))
     bounds = stage("bounds", lambda: grid.bounds_of(ms1), False)
+    cells = grid.resample(ms1, bounds, run, params.resampling)
+    if save_grid:
+        cells = stage("grid", lambda c=cells: c)
 
     def detected():
-        cells = grid.resample(ms1, bounds, run, params.resampling)
         maxima = grid.local_maxima(cells, grid.shape(bounds, run, params.resampling).select("file_id", "n", "m"))
         return peaks.find_peaks(ms1, grid.locate(maxima, bounds, run, params.resampling), run, params.max_peaks, bin_mz=0.5).drop("fit")
 
@@ -82,8 +132,9 @@ def dda_pipeline(spark: SparkSession, params: Parameters, files: list[RunFile],
     maps = stage("time_maps", lambda: warp.time_map(found, reference, params.warping))
     own = found.where(F.col("file_id") == reference)
     aligned = stage("aligned_peaks", lambda: warp.warp_peaks(found.where(F.col("file_id") != reference), maps).unionByName(own))
-    stage("similarity_after", lambda: similarity.similarity(aligned, params.similarity_peaks, 1.0), False)
-    feats = stage("features", lambda: features.detect(aligned, list(params.charge_states)))
+    after = stage("similarity_after", lambda: similarity.similarity(aligned, params.similarity_peaks, 1.0), False)
+    time_bin = 4 * sigma_rt(run)
+    feats = stage("features", lambda: features.detect(aligned, list(params.charge_states), time_bin))
     peak_events = stage("peak_events", lambda: link.link_peaks(aligned, ms2, run, params.link_n_sig_mz, params.link_n_sig_rt))
     groups = match.group_numbers(spark.createDataFrame([(k, f.group) for k, f in enumerate(files)], "file_id int, group string"))
     sizes: dict[int, int] = {}
@@ -91,49 +142,83 @@ def dda_pipeline(spark: SparkSession, params: Parameters, files: list[RunFile],
         sizes[r.group_id] = sizes.get(r.group_id, 0) + 1
     least, sig_mz, sig_rt = (1.5, params.match_n_sig_rt, 1.5) if params.match_compat else (params.match_intensity, params.match_n_sig_mz, params.match_n_sig_rt)
     args = (sizes, params.match_fraction, least, sig_mz, sig_rt)
-    pc = stage("peak_clusters", lambda: match.clusters(match.peak_items(aligned, groups), *args, width=0.5))
-    fc = stage("feature_clusters", lambda: match.clusters(match.feature_items(feats, groups), *args, width=0.5))
+    pc = stage("peak_clusters", lambda: match.clusters(match.peak_items(aligned, groups), *args, width=0.5, width_rt=time_bin), False)
+    fc = stage("feature_clusters", lambda: match.clusters(match.feature_items(feats, groups), *args, width=0.5, width_rt=time_bin), False)
 
     part = F.lit(1 << 40)
-    members = pc.select("cluster_id", "file_id", (F.col("uid") % part).alias("peak_id")).join(quant.peak_table(aligned), ["file_id", "peak_id"])
-    members = members.withColumnRenamed("file_id", "file")
-    stems = list(range(n_files))
+    stems = list(range(len(files)))
     t["peak_table"] = quant.peak_table(aligned)
+    t["feature_table"] = feats.drop("peak_ids")
     t["feature_peaks"] = quant.feature_peaks(feats)
+    t["peak_clusters_peaks"] = pc.select("cluster_id", "file_id", (F.col("uid") % part).alias("peak_id"))
+    t["feature_clusters_features"] = fc.select("cluster_id", "file_id", (F.col("uid") % part).alias("feature_id"))
+    members = t["peak_clusters_peaks"].join(t["peak_table"], ["file_id", "peak_id"]).withColumnRenamed("file_id", "file")
     t["peak_clusters_metadata"] = quant.cluster_metadata(members)
-    t["peak_clusters_height"] = quant.wide_matrix(members, "height", stems)
-    t["peak_clusters_volume"] = quant.wide_matrix(members, "volume", stems)
-    fmembers = fc.select("cluster_id", "file_id", (F.col("uid") % part).alias("feature_id")).join(feats, ["file_id", "feature_id"]).withColumnRenamed("file_id", "file")
+    t[f"peak_clusters_{params.quant_isotopes}"] = quant.wide_matrix(members, params.quant_isotopes, stems)
+    fmembers = t["feature_clusters_features"].join(feats, ["file_id", "feature_id"]).withColumnRenamed("file_id", "file")
+    fmembers = fmembers.withColumn("rt", F.col("average_rt") + F.col("average_rt_delta"))
+    t["feature_clusters_metadata"] = fmembers.groupBy("cluster_id").agg(F.avg("monoisotopic_mz").alias("mz"), F.avg("rt").alias("rt"), F.avg("total_height").alias("avg_height"), F.min("charge_state").alias("charge_state"))
     t["feature_clusters_measure"] = quant.wide_matrix(fmembers, params.quant_features, stems, quant.MEASURES)
-    t["raw_summary"] = summary.raw_summary(ms1)
-    t["isotope_counts"] = summary.isotope_counts(feats)
-    t["peak_summary"] = summary.describe(aligned, "fitted_height", "file_id")
-    t["linking"] = summary.linking_efficiency(aligned, peak_events)
+    for name in ("metadata", "measure"):
+        t[f"feature_clusters_{name}"] = stage(f"feature_clusters_{name}", lambda name=name: t[f"feature_clusters_{name}"], False)
 
     got = _identifications(spark, files)
+    links = None
     if got:
-        psms, notes = got
-        psms = stage("psms", lambda: psms.withColumnRenamed("experimental_mz", "mz"))
-        links = stage("peak_psms", lambda: link.link_psm(aligned, psms, run, params.link_n_sig_mz, params.link_n_sig_rt))
-        told = links.join(psms.select("file_id", "psm_index", "sequence", "charge_state", "peptide_id"), ["file_id", "psm_index"])
-        told = told.join(notes.select("file_id", "psm_index", F.col("accession").alias("protein"), "description"), ["file_id", "psm_index"])
-        t["peak_annotations"] = quant.peak_table(aligned).join(told, ["file_id", "peak_id"], "left")
-        fp = quant.feature_peaks(feats).join(told.withColumnRenamed("charge_state", "psm_charge_state"), ["file_id", "peak_id"])
-        if params.charge_state_filter:
-            fp = fp.where("psm_charge_state = charge_state")
-        ids = fc.select("cluster_id", "file_id", (F.col("uid") % part).alias("feature_id"))
-        named = ids.join(fp.select("file_id", "feature_id", "sequence", "protein", "description"), ["file_id", "feature_id"])
-        named = stage("feature_annotations", lambda: named, False)
-        consensus = quant.sequence_consensus(named, "sequence", params.consensus_min)
-        t["feature_cluster_annotations"] = quant.aggregate_annotations(quant.consensus_proteins(consensus, named), columns=["sequence", "protein"])
+        psms = stage("psms", lambda: got[0].withColumnRenamed("experimental_mz", "mz"))
+        notes = stage("protein_notes", lambda: got[1])
+        ident_events = stage("ident_events", lambda: link.link_idents(psms, ms2, run, params.link_n_sig_mz, params.link_n_sig_rt))
+        ident_peaks = stage("ident_peaks", lambda: link.link_psm(aligned, psms, run, params.link_n_sig_mz, params.link_n_sig_rt))
+        links = ident_events if params.identification_by == "msms_event" else ident_peaks
+        about = psms.select(
+            "file_id", "psm_index", "peptide_id", F.col("charge_state").alias("psm_charge_state"), F.col("rank").alias("psm_rank"), F.col("theoretical_mz").alias("psm_theoretical_mz"),
+            F.col("sequence").alias("psm_sequence"), F.size("modifications").alias("psm_modifications_num"), quant.modification_text().alias("psm_modifications_info"),
+        )
+        told_peaks = quant.annotate_peaks(aligned.select("file_id", "peak_id"), peak_events, about, links, params.identification_by)
+        proof = notes.select("file_id", "psm_index", "peptide_id", F.col("accession").alias("protein_name"), F.col("description").alias("protein_description"), F.col("decoy").alias("psm_decoy"))
+        t["peak_annotations"] = stage("peak_annotations", lambda: told_peaks.join(proof.drop("psm_index").distinct(), ["file_id", "peptide_id"]))
+        t["feature_annotations"] = quant.feature_peaks(feats).join(t["peak_annotations"], ["file_id", "peak_id"], "left")
+        pn, joined = _cluster_tables(t["peak_clusters_peaks"].join(t["peak_annotations"], ["file_id", "peak_id"], "left"), params)
+        t["peak_clusters_annotations"] = pn
+        t["peak_clusters_metadata"] = t["peak_clusters_metadata"].join(joined, "cluster_id", "left")
+        fn, _ = _cluster_tables(t["feature_clusters_features"].join(t["feature_annotations"], ["file_id", "feature_id"], "left"), params)
+        fn = t["feature_clusters_annotations"] = stage("feature_clusters_annotations", lambda: fn, False)
+        sequence, name, text = ("consensus_sequence", "consensus_protein_name", "consensus_protein_description") if params.consensus else ("psm_sequence", "protein_name", "protein_description")
+        evidence = fn.select("cluster_id", F.col(sequence).alias("peptide"), F.col(name).alias("protein"), F.col(text).alias("description"))
         values = [str(k) for k in stems]
-        t["peptides_data"] = quant.peptide_table(t["feature_clusters_measure"], t["feature_cluster_annotations"], values)
-        t["peptides_metadata"] = quant.peptide_metadata(named.select("sequence", "protein", "description"), t["peptides_data"])
-        proof = named.withColumnRenamed("sequence", "peptide").select("cluster_id", "peptide", "protein", "description")
         t["protein_groups"], t["protein_groups_metadata"] = proteins.quantify(
-            t["feature_clusters_measure"], proof, values, params.protein_min_peptides, params.protein_remove_subsets, params.protein_ignore_ambiguous, params.protein_quant
+            t["feature_clusters_measure"], evidence, values, params.protein_min_peptides, params.protein_remove_subsets, params.protein_ignore_ambiguous, params.protein_quant
         )
-    for name in ("peak_clusters_metadata", "peak_clusters_height", "feature_clusters_measure", "peptides_data", "protein_groups"):
+        shown = fn.where("psm_charge_state = charge_state") if params.charge_state_filter else fn
+        joined = quant.aggregate_annotations(shown, columns=ANNOTATED)
+        t["feature_clusters_metadata"] = t["feature_clusters_metadata"].join(joined, "cluster_id", "left")
+        t["peptides_data"] = quant.peptide_table(t["feature_clusters_measure"], joined.select("cluster_id", sequence), values, sequence).withColumnRenamed(sequence, "sequence")
+        t["peptides_metadata"] = quant.peptide_metadata(shown.select(*[c for c in ANNOTATED if c in shown.columns and "count" not in c]), t["peptides_data"].select(F.col("sequence").alias(sequence)), sequence)
+
+    t["raw_summary"] = summary.raw_summary(ms1)
+    t["isotope_counts"] = summary.isotope_counts(feats)
+    t["isotope_summary"] = summary.isotope_summary(feats)
+    for value in ("height", "volume", "sigma_mz", "sigma_rt"):
+        t[f"peak_{value}_summary"] = summary.describe(aligned, f"fitted_{value}", "file_id")
+    t["peak_summary"] = t["peak_height_summary"]
+    t["peak_summary_over_files"] = summary.over_files(t["peak_summary"])
+    t["linking"] = summary.linking_efficiency(aligned, peak_events)
+    if got:
+        t["identification_linking"] = summary.linking_efficiency(aligned, ident_peaks)
+    qc = qc_tables(params, ms1, aligned, maps, before, after)
+    t |= qc
+    for name in RESULTS:
         if name in t:
-            sinks.write_csv(t[name], f"{out}/quant/{name}")
+            folder = "qc" if name in qc else "summary" if name in SUMMARIES else "quant"
+            sinks.write_csv(t[name], f"{out}/{folder}/{name}")
+    sinks.write_text(spark, "\n".join(log) + "\n", f"{out}/info.log")
     return t
+
+
+SUMMARIES = ["raw_summary", "isotope_counts", "isotope_summary", "peak_height_summary", "peak_volume_summary", "peak_sigma_mz_summary", "peak_sigma_rt_summary", "peak_summary_over_files", "linking", "identification_linking"]
+#: Tables written as CSV.
+RESULTS = [
+    "peak_table", "peak_annotations", "feature_table", "feature_annotations", "peak_clusters_height", "peak_clusters_volume", "peak_clusters_metadata", "peak_clusters_peaks", "peak_clusters_annotations",
+    "feature_clusters_measure", "feature_clusters_metadata", "feature_clusters_features", "feature_clusters_annotations", "protein_groups", "protein_groups_metadata", "peptides_data", "peptides_metadata",
+    *SUMMARIES, "qc_tic", "qc_base_peak", "qc_scatter", "qc_sigma_mz_density", "qc_sigma_rt_density", "qc_similarity_before", "qc_similarity_after",
+]

@@ -51,4 +51,15 @@ def test_pipeline(spark, tmp_path):
     assert t["protein_groups_metadata"].first().proteins == "P1"
     again = dda_pipeline(spark, params, files, str(tmp_path / "out"))  # reuses the stage tables
     assert again["peaks"].count() == t["peaks"].count()
-    assert '"fwhm_rt": 20.0' in parameters_json(params)
+    assert '"fwhm_rt": 20.0' in parameters_json(params) and (tmp_path / "out/parameters.json").read_text() == parameters_json(params)
+    row = t["peak_annotations"].first()
+    assert row.psm_sequence == "PEPTIDE" and row.protein_name == "P1" and row.psm_modifications_info.endswith("id: UNIMOD:35|Oxidation")
+    assert t["peak_clusters_metadata"].where("psm_sequence = 'PEPTIDE'").count() >= 1 and t["feature_clusters_metadata"].where("consensus_sequence = 'PEPTIDE'").count() == 1
+    assert t["ident_events"].count() == 2 and t["qc_tic"].count() == t["ms1"].select("file_id", "rt").distinct().count()
+    for name in ("quant/peak_table", "quant/peak_annotations", "quant/peptides_metadata", "summary/linking", "qc/qc_scatter"):
+        assert spark.read.csv(str(tmp_path / "out" / name), header=True).count() > 0, name
+    # Linked through fragmentation events, by volume: the peak annotations stay the same here.
+    other = Parameters(run=run, warping=params.warping, identification_by="msms_event", quant_isotopes="volume", consensus=False)
+    u = dda_pipeline(spark, other, files, str(tmp_path / "out2"), save_grid=True)
+    assert {(r.file_id, r.peak_id) for r in u["peak_annotations"].collect()} == {(r.file_id, r.peak_id) for r in t["peak_annotations"].collect()}
+    assert "peak_clusters_volume" in u and u["grid"].count() > 100 and [r.sequence for r in u["peptides_data"].collect()] == ["PEPTIDE"]
