@@ -5,9 +5,10 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mzloom.llm import decontaminate, packing, simhash
+from mzloom.llm import decontaminate, packing, secrets, simhash, toxicity
 from mzloom.operators.components import connected_components
 from tests.llm.data import DATA, docs_frame, needs_data
 
@@ -72,7 +73,7 @@ def test_near_duplicates_of_odd_rows(spark):
 
 @needs_data
 def test_near_duplicates_against_brute_force(spark):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").limit(300)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
     rows = docs.collect()
     want = brute_components([simhash.fingerprint(r.text) for r in rows], [r.doc_id for r in rows], 2)
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
@@ -209,7 +210,7 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, "alpha beta gamma delta epsilon")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r.doc_id for r in rows} == {0, 2, 4}
+    assert {r.doc_id for r in rows} == {0, 2, 4} and len(rows) == 3
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
 
@@ -227,3 +228,68 @@ def test_near_copies_against_brute_force(spark):
     assert len(pairs) >= 20 and sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs)
     linked = {x for p in pairs for x in p}
     assert sum(got[d] != d for d in got if d not in linked) <= 2
+
+
+def plain_pipeline(rows, chain, items, forest):
+    """What run() keeps of rows (doc_id, text), by plain loops: a list of (doc_id, text)."""
+    rows = [(d, t) for d, t in rows if not (t and chain.probabilities(toxicity.features(t, chain.words)[None, :])[0, 1] >= chain.threshold)]
+    sets = [set(simhash.shingle_hashes(t)) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for i, j in combinations(range(len(rows)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    groups: dict = {}
+    for i in range(len(rows)):
+        groups.setdefault(find(i), []).append(rows[i])
+    rows = [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
+
+    def leaks(text):
+        words = decontaminate.words_of(text)
+        for item in items:
+            said, answer = decontaminate.words_of(item), decontaminate.answer_of(item)
+            for start in decontaminate.starts(len(words)):
+                part = words[max(0, start - len(said)) : start + decontaminate.WIDTH + len(said)]
+                share = decontaminate.lcs(said, part) / len(said)
+                if share >= 0.7 or (share >= 0.55 and decontaminate.lcs(answer, part) >= 0.8 * len(answer)):
+                    return True
+        return False
+
+    out = []
+    for d, t in rows:
+        if not leaks(t):
+            for a, b, _ in reversed(secrets.secrets_in(t, forest)):
+                t = t[:a] + "[SECRET]" + t[b:]
+            out.append((d, t))
+    return out
+
+
+@needs_data
+def test_run_against_plain_python(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").limit(160)
+    labels, bench = spark.read.parquet(f"{DATA}/labels.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet").orderBy("item_id").limit(6)
+    items = [r.text for r in bench.collect()]
+    base = [r.text for r in docs.where("length(text) between 800 and 3000").orderBy("doc_id").limit(12).collect()]
+    near = [(10**6 + k, " ".join(w for j, w in enumerate(t.split()) if j != 5 + k)) for k, t in enumerate(base)]
+    more = near + [(5, "one text under a doc_id that others have " + "and more of it " * 3), (5, "another text entirely, with words of its own, under the same number"), (None, "no number " + base[0]), (None, items[0]), (None, items[1] + " " + base[1])]
+    more += [(10**6 + 50, base[2] + " " + items[2]), (10**6 + 51, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" in a text of its own'), (10**6 + 52, None), (10**6 + 53, ""), (10**6 + 54, "long " * 30_000), (None, "a row without number"), (None, "a row without number")]
+    more += [(10**6 + 55, "a repeated row of the corpus here")] * 3
+    whole = docs.unionByName(spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in more], docs.schema))
+    whole.withColumn("row", F.lit("clash")).withColumn("_gone", F.lit(1)).write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    chain = toxicity.fit(whole, labels)
+    kept = plain_pipeline([(r.doc_id, r.text) for r in whole.collect()], chain, items, secrets.fit())
+    path, want = packing.default_path(), []
+    for d, t in kept:
+        ids = packing.token_ids(t, path)
+        want += [(d is None, d or 0, at, len(ids[at : at + 2048]), zlib.crc32(ids[at : at + 2048].tobytes())) for at in range(0, len(ids), 2048)]
+    got = [(r.doc_id is None, r.doc_id or 0, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+    assert {5} <= {d for d, _ in kept} and sum(d == 5 for d, _ in kept) >= 2 and sum(d is None for d, _ in kept) == 1
