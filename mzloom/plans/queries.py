@@ -117,6 +117,18 @@ def grid_indexes(p):
     return p.select("file_id", "rt", "mz", *[at(r).alias(k) for k, r in runs.items()], X.y_index("rt", 0, runs["quad"], 5).alias("y"))
 
 
+@query(
+    "points",
+    sql="""WITH r AS (SELECT file_id, rt, mz, 0.1 / power(200, 1.5) AS a, CAST(floor((mz - 300) * 2) AS BIGINT) AS i FROM points)
+           SELECT file_id, rt, mz, round(power(1 / sqrt(300) - i * (a / 10), -2), 6) AS orbitrap, round(300 / (1 - i * 0.1 * 300 / (5 * 40000)), 6) AS fticr,
+                  round(300 * exp(i * 0.1 / (5 * 200)), 6) AS tof, round(300 + i * CAST(1100 AS DOUBLE) / 54999, 6) AS quad FROM r""",
+)
+def grid_mz_positions(p):
+    runs = {k: Run(k, resolution_ms1=2000) for k in X.EXPONENT}
+    p = p.withColumn("i", F.floor((F.col("mz") - 300) * 2))
+    return p.select("file_id", "rt", "mz", *[F.round(X.mz_at("i", 300, 1400, 55_000, r, 5), 6).alias(k) for k, r in runs.items()])
+
+
 # --- grid -------------------------------------------------------------------------------------
 
 _DIMS = """b AS (SELECT file_id, min(mz) AS min_mz, max(mz) AS max_mz, min(rt) AS min_rt, max(rt) AS max_rt FROM signal GROUP BY file_id),

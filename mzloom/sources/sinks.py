@@ -32,6 +32,11 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(*flat).write.mode("overwrite").csv(path, header=True)
 
 
+def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A result table written by ``write_csv``; without a schema types are found by reading."""
+    return spark.read.csv(path, header=True, schema=schema, inferSchema=schema is None)
+
+
 def write_text(spark: SparkSession, text: str, path: str) -> None:
     """A small text file on the driver's account, in any store."""
     sc = spark.sparkContext

@@ -291,6 +291,30 @@ def test_duration(spark):
     assert [r.s for r in got] == [3723.5, 90.0, 120.0]
 
 
+def test_files_need_groups(spark):
+    p, groups = _peaks(spark, _random_peaks(3)), spark.createDataFrame([(0, 0), (1, 0)], "file_id int, group_id int")
+    assert match.require_groups(p.where("file_id < 2"), groups).count() == 6
+    with pytest.raises(ValueError, match="without a group"):
+        match.require_groups(p, groups)
+
+
+def test_isotopes_wider_than_their_step(spark):
+    # Sigmas wider than the step make peaks their own neighbours; the walk ends all the same.
+    rows = [(0, k, 500.0 + k * 0.3, 100.0, 50.0 - k, 1.0, 5.0) for k in range(8)]
+    got = features.detect(_peaks(spark, rows), [5, 3, 1]).collect()
+    assert all(len(r.peak_ids) == len(set(r.peak_ids)) for r in got)
+
+
+def test_csv_round_trip(spark, tmp_path):
+    from mzloom.sources import sinks
+
+    df = spark.createDataFrame([(1, 2.5, "a,b", [1, 2]), (2, None, None, [])], "cluster_id int, height double, sequence string, peak_ids array<int>")
+    sinks.write_csv(df, str(tmp_path / "t"))
+    got = sorted(tuple(r) for r in sinks.read_csv(spark, str(tmp_path / "t"), "cluster_id int, height double, sequence string, peak_ids string").collect())
+    assert got == [(1, 2.5, "a,b", "1 2"), (2, None, None, None)]
+    assert dict(sinks.read_csv(spark, str(tmp_path / "t")).dtypes)["height"] == "double"
+
+
 def test_dense_rank(spark):
     df = spark.range(1000).withColumn("v", F.hash("id"))
     got = match.dense_rank(df, "v", "id").collect()
