@@ -310,21 +310,23 @@ def shingle_sets(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
 
 
 def _similar(docs: DataFrame, heads: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Those of ``pairs`` (x, y: sets of ``heads``) whose whole texts share enough shingles."""
-    wanted = pairs.select(F.col("x").alias("set")).unionByName(pairs.select(F.col("y").alias("set"))).distinct()
-    wanted = wanted.join(heads.select("set", "row"), "set").select("row")
+    """Those of ``pairs`` (x, y: ids of ``heads``) whose whole texts share enough shingles."""
+    wanted = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
+    wanted = wanted.join(heads.select("id", "row"), "id")
 
     def hashes(batches):
-        import xxhash
-
+        seen: set[int] = set()
         for t in slices(batches):
-            found = [_shingle_set(x, shingle) for x in t.column("text").to_pylist()]
-            digest = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([digest, pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))], names=["set", "s"])
-
-    texts = docs.select(row_key().alias("row"), "text").join(wanted, "row", "left_semi").select("text")
-    sets = materialise(texts.mapInArrow(hashes, "set binary, s array<long>").groupBy("set").agg(F.first("s").alias("s")))
-    both = pairs.join(sets.select(F.col("set").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("set").alias("y"), F.col("s").alias("sy")), "y")
+            ids = t.column("id").to_pylist()
+            new = [k for k, i in enumerate(ids) if not (i in seen or seen.add(i))]
+            t = t.take(pa.array(new, pa.int64()))
+            found = [_shingle_set(x, shingle).view(np.int64) for x in t.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([t.column("id"), pa.array(found, pa.list_(pa.int64()))], names=["id", "s"])
+
+    # Merging puts repeated rows side by side, so that each task hands on one of them.
+    texts = docs.select(row_key().alias("row"), "text").join(wanted.hint("merge"), "row").select("id", "text")
+    sets = materialise(texts.mapInArrow(hashes, "id long, s array<long>"))
+    both = pairs.join(sets.select(F.col("id").alias("x"), F.col("s").alias("sx")), "x").join(sets.select(F.col("id").alias("y"), F.col("s").alias("sy")), "y")
     shared = F.size(F.array_intersect("sx", "sy"))
     return materialise(both.where(shared >= similarity * (F.size("sx") + F.size("sy") - shared) - 1e-6).select("x", "y"), sets)
 
@@ -343,16 +345,16 @@ def _pair(x, y):
 
 def _fingerprint_pairs(heads: DataFrame, tau: int) -> DataFrame:
     """Pairs of sets whose SimHashes link, one for each linked pair of fingerprints, and stars of sets with the same one."""
-    first = materialise(heads.groupBy("fp").agg(F.min("set").alias("least")))
-    same = heads.select("set", "fp").join(first, "fp").where("set <> least").select(*_pair("set", "least"))
+    first = materialise(heads.groupBy("fp").agg(F.min("id").alias("least")))
+    same = heads.select("id", "fp").join(first, "fp").where("id <> least").select(*_pair("id", "least"))
     far = links(first, tau).join(first.select(F.col("fp").alias("a"), F.col("least").alias("one")), "a").join(first.select(F.col("fp").alias("b"), F.col("least").alias("other")), "b")
     return same.unionByName(far.select(*_pair("one", "other")))
 
 
 def _bounded_pairs(pairs: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
     """Distinct pairs that sizes and bitmaps don't rule out."""
-    info = heads.select("set", "size", *[f"b{i}" for i in range(BITMAP // 64)])
-    j = pairs.distinct().alias("k").join(info.alias("p"), F.col("k.x") == F.col("p.set")).join(info.alias("q"), F.col("k.y") == F.col("q.set"))
+    info = heads.select("id", "size", *[f"b{i}" for i in range(BITMAP // 64)])
+    j = pairs.distinct().alias("k").join(info.alias("p"), F.col("k.x") == F.col("p.id")).join(info.alias("q"), F.col("k.y") == F.col("q.id"))
     return materialise(j.where(_may_match("p", "q", similarity)).select("k.x", "k.y"))
 
 
@@ -360,38 +362,38 @@ def _bounded_pairs(pairs: DataFrame, heads: DataFrame, similarity: float) -> Dat
 SALT_ROWS = 1000
 
 
-def _open_pairs(held: DataFrame, buckets: DataFrame, comp: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
+def _open_pairs(members: DataFrame, comp: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
     """All pairs of a bucket's sets in different components; crowded buckets are dealt to several tasks."""
-    m = held.join(buckets.select("h"), "h").join(comp, held.set == comp.node, "left").select("h", "set", F.coalesce("component", "set").alias("comp"))
-    m = materialise(m)
-    left = m.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    left = left.select("h", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts"))
-    m = materialise(m.join(left, "h").join(heads.drop("row", "fp", "prefix", "n"), "set"), m)
-    p = m.withColumn("salt", F.pmod(F.xxhash64("set"), F.col("salts")).cast("int"))
+    m = materialise(members.select("h", "id").join(comp, F.col("id") == F.col("node"), "left").select("h", "id", F.coalesce("component", "id").alias("comp")))
+    mark = lambda k: F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"mark{k}")
+    open_ = m.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), mark(0), mark(1)).where("lo < hi")
+    # Groups of copies share many shingles: buckets of the same sets count once.
+    once = open_.groupBy("n", "mark0", "mark1").agg(F.min("h").alias("h")).select("h", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts"))
+    m = materialise(m.join(once, "h").join(heads.select("id", "size", *[f"b{i}" for i in range(BITMAP // 64)]), "id"), m)
+    p = m.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
     q = m.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    on = (F.col("p.h") == F.col("q.h")) & (F.col("p.salt") == F.col("q.salt")) & (F.col("p.set") < F.col("q.set")) & (F.col("p.comp") != F.col("q.comp"))
-    return materialise(p.alias("p").join(q.alias("q"), on & _may_match("p", "q", similarity)).select(*_pair("p.set", "q.set")).distinct(), m)
+    on = (F.col("p.h") == F.col("q.h")) & (F.col("p.salt") == F.col("q.salt")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.comp") != F.col("q.comp"))
+    return materialise(p.alias("p").join(q.alias("q"), on & _may_match("p", "q", similarity)).select(*_pair("p.id", "q.id")).distinct(), m)
 
 
 def similar_pairs(docs: DataFrame, heads: DataFrame, similarity: float, shingle: int, tau: int) -> DataFrame:
     """(x, y) that connect all sets of ``similarity`` or more, as all such pairs would: none is missed.
 
-    First come the pairs that SimHash finds, and of the sets that share a shingle of their prefixes each with one
-    or two of them; then all pairs of a prefix bucket whose components still differ. A set that has been linked
-    stays a candidate for the others. Every pair is verified on whole texts.
+    First come the pairs that SimHash finds, and of the sets that share a shingle of their prefixes each with the
+    first and the last of them; then all pairs of a prefix bucket whose components still differ. A set that has been
+    linked stays a candidate for the others. Every pair is verified on whole texts.
     """
-    held = heads.select("set", F.explode("prefix").alias("h"))
-    hub = lambda k: F.min(F.struct(F.xxhash64("set", F.lit(k)), "set"))["set"].alias(f"hub{k}")
-    mark = lambda k: F.bit_xor(F.xxhash64("set", F.lit(k))).alias(f"mark{k}")
-    buckets = held.groupBy("h").agg(F.count("*").alias("n"), mark(2), mark(3), hub(0), hub(1)).where("n > 1")
-    # Groups of copies share many shingles: buckets of the same sets count once.
-    buckets = materialise(buckets.groupBy("n", "mark2", "mark3").agg(F.min(F.struct("h", "hub0", "hub1")).alias("b")).select("b.*"))
-    members = held.join(buckets, "h")
-    stars = members.select("set", F.explode(F.array("hub0", "hub1")).alias("hub")).where("set <> hub").select(*_pair("set", "hub"))
-    first = _similar(docs, heads, _bounded_pairs(_fingerprint_pairs(heads, tau).unionByName(stars), heads, similarity), similarity, shingle)
-    comp = materialise(connected_components(first.select(F.col("x").alias("a"), F.col("y").alias("b"))))
-    rest = _similar(docs, heads, _open_pairs(held, buckets, comp, heads, similarity), similarity, shingle)
-    discard(comp, buckets)
+    held = heads.select("id", F.explode("prefix").alias("h"))
+    buckets = held.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
+    members = materialise(held.join(buckets, "h"))
+    stars = members.select("id", F.explode(F.array("lo", "hi")).alias("hub")).where("id <> hub").select(*_pair("id", "hub"))
+    pairs = _bounded_pairs(_fingerprint_pairs(heads, tau).unionByName(stars), heads, similarity)
+    first = _similar(docs, heads, pairs, similarity, shingle)
+    comp = materialise(connected_components(first.select(F.col("x").alias("a"), F.col("y").alias("b"))), pairs)
+    pairs = _open_pairs(members, comp, heads, similarity)
+    discard(members, comp)
+    rest = _similar(docs, heads, pairs, similarity, shingle)
+    discard(pairs)
     return first.unionByName(rest)
 
 
@@ -408,12 +410,13 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tau:
     place = F.struct(F.col("row.id").isNull().alias("last"), F.col("row.id").alias("id"), F.col("row.t").alias("t"))
     same = [c for c in sets.columns if c not in ("row", "set")]
     heads = sets.groupBy("set").agg(F.min(place).alias("first"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in same])
-    heads = materialise(heads.withColumn("row", F.struct("first.id", "first.t")))
-    good = similar_pairs(docs, heads.drop("first"), similarity, shingle, tau)
+    # The numbers are fixed by writing them: a set is one long from here on.
+    heads = materialise(heads.withColumn("row", F.struct("first.id", "first.t")).withColumn("id", F.monotonically_increasing_id()))
+    rows = materialise(sets.select("row", "set"), sets)
+    good = similar_pairs(docs, heads, similarity, shingle, tau)
     comp = connected_components(good.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    named = heads.join(comp, heads.set == comp.node, "left").select("set", "n", "first", F.coalesce("component", "set").alias("comp"))
-    named = materialise(named)
+    named = materialise(heads.select("set", "n", "first", "id").join(comp, F.col("id") == F.col("node"), "left").select("set", "n", "first", F.coalesce("component", "id").alias("comp")), heads)
     best = named.groupBy("comp").agg(F.min("first").alias("best"))
     named = materialise(named.join(best, "comp").select("set", "n", F.struct("best.id", "best.t").alias("best")), named)
-    out = spread(sets.select("row", "set"), named, "set")
+    out = spread(rows, named, "set")
     return out.select("row", F.col("best.id").alias("component_id"), (F.col("row") == F.col("best")).alias("kept"))
