@@ -130,9 +130,10 @@ def with_entities(df: DataFrame, found: str, names: str) -> DataFrame:
 
 def entities(docs: DataFrame) -> DataFrame:
     """Distinct (kind, norm) of the corpus."""
-    found = docs.where(F.col("text").rlike(HINT)).select(F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)).alias("m"))
-    m = with_entities(found, "m", "n").select(F.explode("m").alias("m"))
-    return m.select(F.explode(F.array_compact(F.array("m.main", "m.other"))).alias("e")).select("e.kind", "e.norm").distinct()
+    # Outer generators: inner ones would push a filter down that evaluates the patterns once more.
+    found = docs.where(F.col("text").rlike(HINT)).select(F.explode_outer(F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))).alias("x")).where("x is not null")
+    m = with_entities(found.select(F.array("x").alias("m")), "m", "n").select(F.get("m", F.lit(0)).alias("m"))
+    return m.select(F.explode_outer(F.array("m.main", "m.other")).alias("e")).where("e is not null").select("e.kind", "e.norm").distinct()
 
 
 # --- surrogates in normal form ----------------------------------------------------------------
@@ -346,8 +347,8 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     else:
         # The mentions of equal texts are equal: exceptions are looked up once per text, whoever shares it.
         told = docs.where(F.col("text").rlike(HINT)).select(F.xxhash64("text").alias("t"), mentions_in(F.col("text")).alias("m"))
-        told = with_entities(told, "m", "n").select("t", F.explode("m").alias("m"))
-        told = told.select("t", F.explode(F.array_compact(F.array("m.main", "m.other"))).alias("e")).select("t", "e.kind", "e.norm").distinct()
+        told = with_entities(told, "m", "n").select("t", F.explode_outer("m").alias("m"))
+        told = told.select("t", F.explode_outer(F.array("m.main", "m.other")).alias("e")).where("e is not null").select("t", "e.kind", "e.norm").distinct()
         late = told.join(special, ["kind", "norm"]).select("t", F.struct(_label(F.col("kind"), F.col("norm")).alias("key"), F.col("attempt").alias("value")).alias("e"))
         late = late.groupBy("t").agg(F.map_from_entries(F.collect_list("e")).alias(attempts)).withColumnRenamed("t", text_key)
         df = df.join(late, F.xxhash64("text") == F.col(text_key), "left")

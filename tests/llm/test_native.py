@@ -124,9 +124,13 @@ def test_surrogates_keep_type_format_and_identity(spark):
     assert re.search(r"ip 10\.\d+\.\d+\.\d+ and", t) and re.search(r"Mr\. [A-Z][a-z]+ met Frau [A-Z][a-z]+ [A-Z][a-z]+, г-жа [А-Я][а-яё]+ [А-Я][а-яё]+;", t)
 
 
-def test_collisions_are_resolved(spark):
+def test_collisions_are_resolved(spark, monkeypatch):
     # 300 short e-mail addresses with 26 ** 1 * 10 ** 1 shapes collide often.
     texts = [f"{c}{d}@x{d}.example.com" for c in "abcdefghijklmnopqrstuvwxyz" for d in range(6)]
-    out = [r.text for r in pii.replace_entities(docs_frame(spark, texts), "k").collect()]
+    out = [r.text for r in pii.replace_entities(docs_frame(spark, texts), "k").orderBy("doc_id").collect()]
     assert len(set(out)) == len(texts) and not set(out) & set(texts)
+    monkeypatch.setattr(pii, "LITERAL", 1)  # exceptions are joined instead
+    docs = docs_frame(spark, [*texts, *texts[:20], None])
+    joined = {r.doc_id: r.text for r in pii.replace_entities(docs, "k").collect()}
+    assert [joined[k] for k in range(len(texts))] == [r for r in out] and joined[len(texts)] == out[0] and joined[len(texts) + 20] is None
     assert pii.replace_entities(docs_frame(spark, []).limit(0), "k").count() == 0
