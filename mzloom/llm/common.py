@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mzloom.storage import discard, materialise, shared_dir
 
-__all__ = ["SPACE", "WORD", "bounded_ids", "byte_words", "discard", "labelled_texts", "materialise", "one_thread", "release_memory", "row_key", "shared_dir", "slices", "table"]
+__all__ = ["SPACE", "WORD", "bounded_ids", "byte_words", "discard", "labelled_texts", "materialise", "one_thread", "release_memory", "row_key", "shared_dir", "slices", "spread_lookup", "table"]
 
 #: Words are maximal runs without blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,6 +46,17 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, bound: int, seed: int = 0
     return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", *[c for c in labels.columns if c != "doc_id"])
 
 
+def spread_lookup(rows: DataFrame, keys: list[str], values: DataFrame, spread: Column, how: str = "inner", salts: int = 256) -> DataFrame:
+    """``rows`` joined with ``values``, which has one row per ``keys``, without sending all rows of a key to one task.
+
+    Rows of a key are dealt to ``salts`` parts by the hash of ``spread``; each part that a key has asks once for its value.
+    ``how`` may be left_semi. Keys must not be null.
+    """
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    told = dealt.select(*keys, "_salt").distinct().join(values, keys)
+    return dealt.join(told, [*keys, "_salt"], how).drop("_salt")
+
+
 def byte_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").split() if text else []
 

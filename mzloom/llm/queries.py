@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mzloom.llm import chat, decontaminate, importance, langid, packing, pii, rules, secrets, simhash, toxicity
+from mzloom.llm import chat, decontaminate, importance, langid, packing, pii, prefixes, rules, secrets, simhash, tokencount, toxicity
 from mzloom.llm.common import table
 
 
@@ -63,11 +63,21 @@ def op10_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return tokencount.count_tokens(docs, tokencount.default_path(), limit=4096)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_importance_resampling, op2_language_gru, op3_decision_list, op4_cutting_stock_packing, op5_toxicity_chain,
         op6_chat_format, op7_secret_forest, op8_simhash_groups, op9_pii_surrogates, op10_latent_decontamination,
+        op12_token_counts, op13_prefix_trie,
     )
 }
 
@@ -88,4 +98,34 @@ ORACLES = {
                sum(shown + length('<s>[role][/role]</s>'))::BIGINT AS formatted_chars
         FROM e GROUP BY conv_id
     """,
+    # The remainder of the checksum is computed bit by bit.
+    "op13_prefix_trie": """
+        WITH o AS (
+          SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) - 1 AS p
+          FROM conversations WHERE conv_id IS NOT NULL),
+        ids AS (
+          SELECT conv_id AS c, xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+                   lambda r, x: list_reduce(range(8), lambda v, k: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END), xor(r, x)), 4294967295), 4294967295) % 4 AS h
+          FROM (SELECT DISTINCT conv_id FROM o) q),
+        r AS (
+          SELECT c, 0 AS own, p, role, text FROM ids JOIN o ON o.conv_id = c - c % 20 WHERE p < h
+          UNION ALL SELECT c, 1, p, role, text FROM ids JOIN o ON o.conv_id = c WHERE p >= h),
+        s AS (
+          SELECT c, row_number() OVER w AS depth, string_agg(sha256(role) || sha256(text), '') OVER (w ROWS UNBOUNDED PRECEDING) AS key,
+                 len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words
+          FROM r WINDOW w AS (PARTITION BY c ORDER BY own, p)
+          UNION ALL SELECT c, 0, '', 0 FROM ids),
+        n AS (SELECT depth, key, min(c) AS conv_id, count(*) AS n_convs, min(words) AS words FROM s GROUP BY depth, key),
+        k AS (SELECT a.depth, a.key, count(b.key) AS n_children FROM n a LEFT JOIN n b ON b.depth = a.depth + 1 AND left(b.key, 128 * a.depth) = a.key GROUP BY a.depth, a.key),
+        u AS (
+          SELECT a.depth, a.key, count(*) FILTER (n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.words)::BIGINT AS saved_tokens
+          FROM n a JOIN n b ON b.depth >= a.depth AND left(b.key, 128 * a.depth) = a.key JOIN k ON k.depth = b.depth AND k.key = b.key GROUP BY a.depth, a.key),
+        e AS (
+          SELECT depth, key, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS ends
+          FROM (SELECT c, depth, key, max(depth) OVER (PARTITION BY c) AS most FROM s) q WHERE depth = most GROUP BY depth, key)
+        SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+        FROM n JOIN k USING (depth, key) JOIN u USING (depth, key) LEFT JOIN e USING (depth, key)
+        LEFT JOIN n up ON n.depth > 0 AND up.depth = n.depth - 1 AND up.key = left(n.key, 128 * (n.depth - 1))
+    """,
 }
