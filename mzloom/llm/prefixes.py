@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from mzloom.llm.common import WORD, discard, materialise, spread_lookup
+from mzloom.llm.common import WORD, materialise, spread_lookup
 
 FAMILY, MOST = 20, 4
 #: Ids of conversations that end in one node are joined in blocks of so many consecutive numbers.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mzloom.llm import chat, decontaminate, importance, langid, packing, pii, prefixes, rules, secrets, simhash, tokencount, toxicity
+from mzloom.llm import audit, chat, decontaminate, importance, langid, packing, pii, prefixes, rules, secrets, simhash, tokencount, toxicity
 from mzloom.llm.common import table
 
 
@@ -63,6 +63,10 @@ def op10_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return tokencount.count_tokens(docs, tokencount.default_path(), limit=4096)
@@ -77,7 +81,7 @@ QUERIES = {
     for f in (
         op1_importance_resampling, op2_language_gru, op3_decision_list, op4_cutting_stock_packing, op5_toxicity_chain,
         op6_chat_format, op7_secret_forest, op8_simhash_groups, op9_pii_surrogates, op10_latent_decontamination,
-        op12_token_counts, op13_prefix_trie,
+        op11_filter_audit, op12_token_counts, op13_prefix_trie,
     )
 }
 
@@ -98,6 +102,31 @@ ORACLES = {
                sum(shown + length('<s>[role][/role]</s>'))::BIGINT AS formatted_chars
         FROM e GROUP BY conv_id
     """,
+    "op11_filter_audit": """
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS least FROM d),
+        m AS (
+          SELECT part, coalesce(q.good, 0) AS good, coalesce(q.bad, 0) AS bad,
+                 CASE WHEN len(words) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+               + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 4 ELSE 0 END
+               + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN w.doc_id > least THEN 16 ELSE 0 END AS mask
+          FROM w LEFT JOIN (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS bad FROM labels GROUP BY doc_id) q ON q.doc_id = w.doc_id),
+        c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM m GROUP BY ALL),
+        f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) t(letter, bit)),
+        o AS (
+          SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order FROM f a, f b, f c, f d, f e
+          WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+        s AS (
+          SELECT filter_order, CAST(step AS INT) AS step, x.letter, x.bit, coalesce((SELECT sum(y.bit) FROM f y WHERE contains(left(filter_order, step - 1), y.letter)), 0)::INT AS before
+          FROM o, range(1, 6) r(step), f x WHERE x.letter = filter_order[step]),
+        r AS (
+          SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0)::BIGINT AS kept,
+                 coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before <> 0), 0)::BIGINT AS redundant,
+                 coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS good_lost,
+                 coalesce(sum(bad) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost
+          FROM c, s GROUP BY ALL)
+        SELECT * EXCLUDE (letter), (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM r
+    """,
     # The remainder of the checksum is computed bit by bit.
     "op13_prefix_trie": """
         WITH o AS (

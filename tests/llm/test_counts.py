@@ -4,12 +4,13 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
+from itertools import permutations
 
 import duckdb
 import pytest
 
-from mzloom.llm import prefixes, tokencount
+from mzloom.llm import audit, prefixes, tokencount
 from mzloom.llm.queries import ORACLES, QUERIES
 from tests.llm.data import DATA, docs_frame, needs_data
 
@@ -153,3 +154,54 @@ def test_a_long_conversation_is_a_linear_job(spark):
     assert (got[1].n_leaves, got[1].n_convs, got[n].saved_tokens) == (1, n + 1, 0)
     ends = ",".join(str(20 + 20 * k) for k in range(n))
     assert got[1].ends_sha256 == hashlib.sha256(ends.encode()).hexdigest()
+
+
+# --- filter audit -----------------------------------------------------------------------------
+
+
+def _plain_audit(rows, labels):
+    good, bad = ({d for d, *q in labels if d is not None and q[k] == 1} for k in (0, 1))
+    first = {}
+    for d, t, _ in rows:
+        if d is not None:
+            first[t or ""] = min(d, first.get(t or "", d))
+    docs = defaultdict(list)
+    for d, t, lang in rows:
+        t = t or ""
+        w = WORD.findall(t)
+        fails = {f for f, x in zip("ABCD", (len(w) < 200, 100 * len(set(w)) < 50 * len(w), 100 * len(re.findall("[A-Z]", t)) > 3 * len(t), bool(re.search(r"[#$%&*|]", t)))) if x}
+        docs[lang or ""].append((fails | {"E"} if d is not None and d > first[t] else fails, d in good, d in bad))
+    out, shapley = {}, Counter()
+    for part, held in docs.items():
+        for order in permutations("ABCDE"):
+            left = held
+            for step, f in enumerate(order, 1):
+                gone = [x for x in left if f in x[0]]
+                early = sum(f in x[0] and bool(x[0] & set(order[: step - 1])) for x in held)
+                left = [x for x in left if f not in x[0]]
+                out[part, "".join(order), step] = (len(left), len(gone), early, sum(x[0] == {f} for x in held), sum(x[1] for x in gone), sum(x[2] for x in gone))
+                shapley[part, f] += len(gone)
+    return {(*k, *v, shapley[k[0], k[1][k[2] - 1]]) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("bits", [64, 1])
+def test_audit_against_plain_loops(spark, bits):
+    r = random.Random(9)
+    base = [" ".join(r.choice(["aB", "CD", "e", "f#", "ñ", f"w{k}"]) for k in range(n)) for n in (0, 1, 5, 60, 210, 250, 900, 9000)]
+    base += [base[-1][:-1] + "!", base[-1][:40] + "?" + base[-1][41:], "x" * 20_000, "x" * 19_999 + "y", "é" * 70, "e" * 70, "a b", "b a", " \n", ""]
+    rows = [(r.randrange(90), r.choice([*base, None, base[3]]), r.choice(["en", "de", None, ""])) for _ in range(150)]
+    rows += [(None, base[4], "en"), (None, base[4], "fr"), (200, base[4], "en"), (200, base[4], "en"), (-5, base[4], "en"), (200, base[5], "en")]
+    labels = [(k, r.choice([0, 1, None]), r.choice([0, 1])) for k in range(0, 100, 2)] + [(2, 1, 1), (2, 0, 0), (None, 1, 1)]
+    docs = spark.createDataFrame([(*x, "x", 7) for x in rows], "doc_id long, text string, lang string, part string, mask int").repartition(5)
+    told = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    names = ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
+    got = [tuple(x[n] for n in names) for x in audit.audit(docs, told, bits).collect()]
+    assert len(got) == 600 * 4
+    assert set(got) == _plain_audit(rows, labels)
+    assert audit.audit(docs.limit(0), told).collect() == []
+
+
+def test_refinement_drops_what_is_alone(spark):
+    texts = ["a" * 100, "a" * 100, "a" * 99 + "b", "b" * 100, "a" * 64 + "c" * 36, "short", "a" * 64 + "c" * 36 + "d"]
+    slim = docs_frame(spark, texts).select("doc_id", audit.F.char_length("text").alias("length"), audit.block_hashes(audit.F.col("text")).alias("hashes"))
+    assert sorted(x.doc_id for x in audit.refine(slim).collect()) == [0, 1]
