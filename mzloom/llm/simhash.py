@@ -258,23 +258,22 @@ def _parity(h: np.ndarray) -> np.ndarray:
 
 
 def _frequencies(docs: DataFrame, shingle: int) -> np.ndarray:
-    """Texts per counter of their shingles, summed over all of ``docs``."""
-    blocks = 16
+    """Texts per counter of their shingles, summed over all of ``docs``: a task hands on its counters that aren't zero."""
 
     def run(batches):
-        out = np.zeros(COUNTERS, np.int32)
+        out = np.zeros(COUNTERS, np.int64)
         for b in slices(batches):
             for t in b.column("text").to_pylist():
                 np.add.at(out, _counter(_shingle_set(t, shingle)), 1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([p.tobytes() for p in np.split(out, blocks)], pa.binary())], names=["block", "data"])
-
-    def add(key, rows):
-        total = sum(np.frombuffer(d, np.int32).astype(np.int64) for d in rows.column("data").to_pylist())
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
-
-    parts = docs.select("text").mapInArrow(run, "block int, data binary").groupBy("block").applyInArrow(add, "block int, data binary").collect()
-    found = {p.block: np.frombuffer(p.data, np.int64) for p in parts}
-    return np.concatenate([found.get(k, np.zeros(COUNTERS // blocks, np.int64)) for k in range(blocks)])
+        hit = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(out[hit])], names=["counter", "n"])
+
+    found = np.zeros(COUNTERS, np.int64)
+    # COUNTERS rows at most, summed map-side per task and by counter in the shuffle.
+    sums = docs.select("text").mapInArrow(run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    got = sums.toArrow()
+    found[got.column("counter").to_numpy()] = got.column("n").to_numpy()
+    return found
 
 
 def shingle_sets(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:

@@ -293,3 +293,21 @@ def test_run_against_plain_python(spark, tmp_path):
     got = [(r.doc_id is None, r.doc_id or 0, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want)
     assert {5} <= {d for d, _ in kept} and sum(d == 5 for d, _ in kept) >= 2 and sum(d is None for d, _ in kept) == 1
+
+
+@pytest.mark.parametrize("space", [" ", "\n", " ", "　", " \t\n"])
+def test_long_runs_of_white_space_are_packed(spark, space):
+    path = packing.default_path()
+    text = "start" + space * (2_000_000 // len(space)) + "end <|endoftext|> of it"
+    want = packing.library(path).encode(text, add_special_tokens=False).ids
+    assert packing.token_ids(text, path).tolist() == [*want, packing.END]
+
+
+def test_counters_are_summed_over_all_tasks(spark):
+    texts = ["a b c d e f g", "a b c d e", None, "", "x y", "a b c d e f g"] * 3
+    want = np.zeros(simhash.COUNTERS, np.int64)
+    for t in texts:
+        np.add.at(want, simhash._counter(simhash._shingle_set(t, 5)), 1)
+    docs = docs_frame(spark, texts)
+    assert (simhash._frequencies(docs.repartition(5), 5) == want).all()
+    assert not simhash._frequencies(docs.limit(0), 5).any()
