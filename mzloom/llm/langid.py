@@ -3,8 +3,10 @@
 Whole texts are cut into windows of ``WINDOW`` bytes (the last one is shorter). Within a window a
 forward and a backward GRU read the bytes; a softmax over both states labels every position, and
 a document's probabilities are the mean over all its positions. Trained in numpy by
-backpropagation through time with Adam, on all windows of the whole texts of a bounded sample: at most
-``PER_LANGUAGE`` texts of each language, chosen by a hash of doc_id and text. All languages are learned.
+backpropagation through time with Adam. The bounded sample: of at most ``PER_LANGUAGE`` whole texts of each
+language, chosen by a hash of doc_id and text, at most ``SAMPLE`` / languages windows (16 at least), chosen by a hash
+as well. Training goes through shuffled epochs, in which every window of the sample is read, those of rarer
+languages more than once, until ``STEPS`` batches of ``BATCH`` windows are done and the epoch is over. All languages are learned.
 States start anew in every window, in training as in use, so a text of any length is read in parallel.
 
 Null texts and texts without a letter (Unicode categories L) get ``und`` and score 0, and so does every text
@@ -27,6 +29,8 @@ from mzloom.llm.common import one_thread
 WINDOW = 64
 HIDDEN = 8
 PER_LANGUAGE = 120
+#: Windows that are learned from, batches at least, windows of a batch.
+SAMPLE, STEPS, BATCH = 16_384, 160, 96
 NAMES = ("E", "U", "b", "O", "c")
 
 
@@ -143,18 +147,28 @@ def _gradients(m: Model, x: np.ndarray, y: np.ndarray):
     return loss, [gE, gU, gE.sum(0), gO, gc]
 
 
-def train(windows: np.ndarray, target: np.ndarray, languages: list[str], steps: int = 160, batch: int = 96, hidden: int = HIDDEN, seed: int = 5) -> Model:
-    """Adam on the mean cross-entropy of all positions; every language is drawn equally often."""
+def epoch(by: list[np.ndarray], rng: np.random.Generator) -> np.ndarray:
+    """A shuffled order in which every index of ``by`` (one array a language) comes up, each language equally often."""
+    most = max(map(len, by))
+    return rng.permutation(np.concatenate([np.resize(rng.permutation(k), most) for k in by]))
+
+
+def train(windows: np.ndarray, target: np.ndarray, languages: list[str], steps: int = STEPS, batch: int = BATCH, hidden: int = HIDDEN, seed: int = 5) -> Model:
+    """Adam on the mean cross-entropy of all positions, in whole epochs of at least ``steps`` batches together."""
     one_thread()
     rng = np.random.default_rng(seed)
     by = [k for k in (np.flatnonzero(target == j) for j in range(len(languages))) if len(k)]
+    per_epoch = -(-max(map(len, by)) * len(by) // batch)
+    steps = -(-steps // per_epoch) * per_epoch
     h2, L = 2 * hidden, len(languages)
     f = lambda *shape: (rng.normal(size=shape) / np.sqrt(shape[0])).astype(np.float32)
     m = Model(languages, f(257, 3 * h2) * 4, f(h2, 3 * h2) * _mask(hidden), np.zeros(3 * h2, np.float32), f(h2, L), np.zeros(L, np.float32))
     first = [np.zeros_like(getattr(m, k)) for k in NAMES]
     second = [np.zeros_like(v) for v in first]
     for step in range(1, steps + 1):
-        take = np.array([k[int(u * len(k))] for k, u in zip((by[j] for j in rng.integers(0, len(by), batch)), rng.random(batch))])
+        at = (step - 1) % per_epoch
+        order = epoch(by, rng) if at == 0 else order
+        take = order[at * batch : (at + 1) * batch]
         _, grads = _gradients(m, windows[take], target[take])
         rate = 0.03 * min(1.0, 2 * (1 - step / (steps + 1)))
         for k, (name, g) in enumerate(zip(NAMES, grads, strict=True)):
@@ -184,16 +198,22 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
 
     def run(batches):
         for b in batches:
-            data = [_windows(t.encode("utf-8", "replace")).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("k"), pa.array(data, pa.binary())], names=["lang", "k", "bytes"])
-
-    got = sorted((r for r in rows.mapInArrow(run, "lang string, k long, bytes binary").collect() if r.bytes), key=lambda r: (r.lang, r.k))
+            for lang, k, text in zip(*(b.column(c).to_pylist() for c in ("lang", "k", "text")), strict=True):
+                w = _windows(text.encode("utf-8", "replace"))
+                for at in range(0, len(w), 8_192):
+                    part = w[at : at + 8_192]
+                    columns = [pa.array([lang] * len(part)), pa.array([k] * len(part), pa.int64()), pa.array(range(at, at + len(part)), pa.int64()), pa.array([x.tobytes() for x in part], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "k", "at", "bytes"])
+
+    n = keys.select("lang").distinct().count()
+    place = W.partitionBy("lang").orderBy(F.xxhash64("k", "at"), "k", "at")
+    windows = rows.mapInArrow(run, "lang string, k long, at long, bytes binary").withColumn("n", F.row_number().over(place)).where(F.col("n") <= max(16, SAMPLE // max(n, 1)))
+    got = sorted(windows.select("lang", "k", "at", "bytes").collect(), key=lambda r: (r.lang, r.k, r.at))
     if not got:
         return None
     languages = sorted({r.lang for r in got})
-    parts = [np.frombuffer(r.bytes, np.int16).reshape(-1, WINDOW) for r in got]
-    y = np.repeat([languages.index(r.lang) for r in got], [len(p) for p in parts])
-    return train(np.concatenate(parts), y, languages)
+    y = np.array([languages.index(r.lang) for r in got])
+    return train(np.frombuffer(b"".join(r.bytes for r in got), np.int16).reshape(-1, WINDOW), y, languages)
 
 
 def pooled(m: Model, texts: list[bytes], at_once: int = 1024) -> np.ndarray:

@@ -69,6 +69,30 @@ def test_language_of_odd_texts(spark):
     assert not np.allclose(p[0], p[1])
 
 
+def test_epochs_read_every_window(monkeypatch):
+    by, rng = [np.arange(0, 50), np.arange(50, 57), np.arange(57, 90)], np.random.default_rng(1)
+    order = langid.epoch(by, rng)
+    assert len(order) == 150 and set(order) == set(range(90))
+    assert [sum(np.isin(order, k)) for k in by] == [50] * 3
+    seen = []
+    real = langid._gradients
+    monkeypatch.setattr(langid, "_gradients", lambda m, x, y: (seen.extend(x[:, 0]), real(m, x, y))[1])
+    windows = np.repeat(np.arange(90)[:, None], 4, 1)
+    target = np.repeat([0, 1, 2], [50, 7, 33])
+    langid.train(windows, target, ["a", "b", "c"], steps=20, batch=16, hidden=2)
+    assert len(seen) == 2 * 150 and set(seen[:150]) == set(seen[150:]) == set(range(90))
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    taken = {}
+    monkeypatch.setattr(langid, "train", lambda windows, target, languages, **_: taken.update(n=np.bincount(target), languages=languages))
+    monkeypatch.setattr(langid, "SAMPLE", 60)
+    texts = ["x" * 64 * 100, "y" * 64 * 5, None, "z" * 64, "long " * 20_000]
+    docs = docs_frame(spark, texts).withColumn("lang", F.element_at(F.array(*map(F.lit, ["aa", "bb", "aa", "cc", "aa"])), (F.col("doc_id") + 1).cast("int")))
+    langid.fit(docs)
+    assert taken["languages"] == ["aa", "bb", "cc"] and taken["n"].tolist() == [20, 5, 1]
+
+
 @needs_data
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang")
