@@ -1,16 +1,18 @@
 """Personal data: detection and surrogate generation with built-in functions only.
 
-Mentions: e-mail, IPv4, phone, card, social security number, names behind a title (the title gives the
-gender) and, in texts that have such names, bare mentions of them or of their parts. A mention consists of
+Mentions: e-mail, IPv4, phone, card, social security number, names behind one or two titles (the title gives the
+gender; behind "Dr." or "Prof." a listed given name does) and, in texts that have such names, bare mentions of them or of their
+parts. Words that are ordinary ones as well (``ORDINARY``, or written small in the same text) are no bare mentions. A mention consists of
 entities, each with a normal form: a name of its family and its given name, an e-mail of its domain and its
 local part. A secret key and the normal form determine an entity's surrogate, so all mentions of one entity
 agree, and "Mr. Smith" keeps the family of "Mr. John Smith". Surrogates keep the format of the mention:
 digits for digits, letters for letters, capitals for capitals, card checksums stay valid or invalid, private
-addresses stay private, names keep gender and script (Latin, Cyrillic, Greek).
+addresses stay private, names keep gender, script (Latin, Cyrillic, Greek), particles, apostrophes and hyphens.
 
 All distinct entities of the corpus are checked: two entities with one surrogate, or a surrogate that is a
 real entity, are given further attempts until all are distinct and unreal. Later attempts have more letters
-or digits, so no kind but IPv4 (2^32 addresses) can run out. Only these exceptions are looked up; every other
+or digits, so no kind but IPv4 can run out: at most half of a network can be replaced within it (about 8.1 million distinct
+addresses in 10.0.0.0/8). What has no surrogate after ``ATTEMPTS`` attempts raises an error. Only these exceptions are looked up; every other
 surrogate is computed in its row.
 
 Null texts stay null, empty ones empty. Repeated rows are rewritten alike. An empty table gives an
@@ -27,8 +29,12 @@ from pyspark.sql import functions as F
 
 from mzloom.llm.common import discard, materialise
 
-MALE = "Mr|Herr|Monsieur|Señor|Signor|г-н"
-FEMALE = "Mrs|Ms|Miss|Frau|Mme|Madame|Señora|Sra|Signora|г-жа"
+MALE = "Mr|MR|Herrn?|HERR|Monsieur|MONSIEUR|Señor|Signor|Sir|г-н"
+FEMALE = "Mrs|MRS|Ms|MS|Miss|MISS|Frau|FRAU|Mme|MME|Madame|MADAME|Señora|Sra|Signora|г-жа"
+NEUTRAL = "Dr|DR|Prof|PROF|Professor|Doctor"
+#: Small words within family names; the second list may also stand between given and family name.
+PARTICLES = "van|von|der|den|ter|ten|de|del|della|di|da|dos|du|la|le|zu|VAN|VON|DER|DEN|TER|TEN"
+INNER = "van|von|der|den|ter|ten|VAN|VON|DER|DEN|TER|TEN"
 # No group is repeated without a bound: the regex engine recurses for those, and a long text would end the task.
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-.]+(?<=[A-Za-z0-9\-]\.[A-Za-z]{2,24})(?![A-Za-z0-9])"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -37,14 +43,24 @@ PHONE = r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[
 SSN = r"(?<![0-9A-Za-z\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z\-])"
 CARD = r"(?<![0-9A-Za-z\-])(?:[0-9]{4}[ \-]){3}[0-9]{4}(?![0-9A-Za-z\-])|(?<![0-9A-Za-z\-])[0-9]{13,19}(?![0-9A-Za-z\-])"
 PART = r"\p{Lu}[\p{L}'\-]+"
-TITLE = rf"(?:{MALE}|{FEMALE})\.? "
-NAME = rf"(?<![\p{{L}}]){TITLE}{PART}(?: {PART})?"
+TITLE = rf"(?:(?:{MALE}|{FEMALE}|{NEUTRAL})\.? ){{1,2}}"
+LEAD, BETWEEN = rf"(?:(?:{PARTICLES}) ){{0,3}}", rf"(?:(?:{INNER}) ){{0,3}}"
+NAME = rf"(?<![\p{{L}}]){TITLE}{LEAD}{PART}(?: {BETWEEN}{PART})?"
 ENTITY = "|".join([EMAIL, IPV4, PHONE, SSN, CARD, NAME])
 #: In texts with names every capitalised word is looked at as well.
 WITH_WORDS = rf"{ENTITY}|(?<![\p{{L}}]){PART}"
-NAMED = rf"{TITLE}\p{{Lu}}"
+NAMED = rf"{TITLE}{LEAD}\p{{Lu}}"
 #: A text without any of these has no entity.
 HINT = rf"[@0-9]|{NAMED}"
+#: Names that are ordinary words, months, weekdays or places as well, in several languages.
+ORDINARY = (
+    "april august autumn bach baker banks bell berg best bill bishop black bloom blue bold bond book bright brook brown burns bush butler carpenter "
+    "chance christian church clay cliff cook cross dale day dean dove drew duke earl early east english fall faith farmer fisher forest fox frank french frost "
+    "fuchs gardener gene german glen good grace grant gray green grey groß guy hall hand heath herb hill holly hope house hunter iris ivy jack june kaiser king klein knight "
+    "koch lake land lane lang large law lee lily little long lord love mai major mark marsch martin mason may miller moon moore neu noble north page park pat penny "
+    "pope price prince queen ray read reed rich rob rock rose rusty schwarz scott sharp short sky small smart snow south spring star stern street strong summer sue "
+    "swift taylor tempel turner violet vogel wald walker ward weiss weiß west white will winter wise wolf wood woods young"
+)
 #: Given names by gender and script.
 GIVEN = {
     ("m", "latin"): "James Robert Michael David Thomas Daniel Paul Mark George Kevin Brian Peter Adam Henry Victor Oscar",
@@ -63,6 +79,7 @@ SOUNDS = {
 _HEX = "0123456789abcdef"
 #: So many exceptions at most ride in the plan as one literal; more are joined.
 LITERAL = 500
+ATTEMPTS = 64
 
 
 # --- mentions and entities --------------------------------------------------------------------
@@ -78,9 +95,12 @@ def kind_of(x: Column) -> Column:
 
 
 def name_of(x: Column) -> Column:
-    """Gender and lower-case name without title: ``m:john smith``."""
-    gender = F.when(x.rlike(rf"^(?:{FEMALE})\.? "), "f:").otherwise("m:")
-    return F.concat(gender, F.lower(F.regexp_replace(x, rf"^{TITLE}", "")))
+    """Gender and lower-case name without title and particles: ``m:john smith``."""
+    name = F.lower(F.regexp_replace(F.regexp_replace(x, rf"^{TITLE}", ""), rf"(?<![\p{{L}}'\-])(?:{PARTICLES}) ", ""))
+    women = [w for (g, _), words in GIVEN.items() if g == "f" for w in words.lower().split()]
+    by_given = F.when(F.substring_index(name, " ", 1).isin(women) & F.contains(name, F.lit(" ")), "f:").otherwise("m:")
+    gender = F.when(x.rlike(rf"^(?:(?:{NEUTRAL})\.? )?(?:{FEMALE})\.? "), "f:").when(x.rlike(rf"^(?:{NEUTRAL})\.? (?!(?:{MALE})\.? )"), by_given).otherwise("m:")
+    return F.concat(gender, name)
 
 
 def family_of(name: Column) -> Column:
@@ -102,7 +122,7 @@ def mentions_in(text: Column) -> Column:
     return F.when(text.rlike(NAMED), found(WITH_WORDS)).when(text.rlike(HINT), found(ENTITY)).otherwise(F.array().cast("array<string>"))
 
 
-def with_entities(df: DataFrame, found: str, names: str) -> DataFrame:
+def with_entities(df: DataFrame, found: str, names: str, text: str | None = None) -> DataFrame:
     """Turns the mentions in ``found`` into structs (x, kind, main, other); ``names`` gets the names of the text.
 
     The main and the other entity of a mention may be null. Every step is a loop of its own, so that nothing
@@ -111,7 +131,14 @@ def with_entities(df: DataFrame, found: str, names: str) -> DataFrame:
     df = df.withColumn(found, F.transform(found, lambda x: F.struct(x.alias("x"), kind_of(x).alias("kind"))))
     df = df.withColumn(found, F.transform(found, lambda m: F.struct(m["x"].alias("x"), m["kind"].alias("kind"), F.lower(m["x"]).alias("low"), F.when(m["kind"] == "name", name_of(m["x"])).alias("name"))))
     df = df.withColumn(names, F.array_distinct(F.transform(F.filter(found, lambda m: m["name"].isNotNull()), lambda m: m["name"])))
-    df = df.withColumn(names, F.transform(names, lambda n: F.struct(n.alias("name"), family_of(n).alias("family"), given_of(n).alias("given"))))
+
+    def bare(part: Column) -> Column:
+        """The part if a bare mention of it means the name; null for ordinary words."""
+        small = F.contains(F.col(text), F.concat(F.lit(" "), part, F.lit(" "))) if text else F.lit(False)
+        return F.when(~(part.isin(ORDINARY.split()) | small), part)
+
+    # Each part is looked up in the text once a name, not once a mention.
+    df = df.withColumn(names, F.transform(names, lambda n: F.struct(n.alias("name"), bare(family_of(n)).alias("family"), bare(given_of(n)).alias("given"))))
 
     def parts(m):
         k, low, name = m["kind"], m["low"], m["name"]
@@ -225,7 +252,11 @@ def _by_script(family: Column, make) -> Column:
 
 
 def _family(norm: Column, h: Column, attempt: Column) -> Column:
-    return _by_script(norm, lambda script: _syllables(script, h, attempt + 3))
+    """Invented syllables, with an apostrophe behind as many letters as in ``norm`` and a hyphen where it has one."""
+    at = F.instr(norm, "'")
+    made = _by_script(norm, lambda script: _syllables(script, h, attempt + 3))
+    cut = F.when(at.between(2, 3), at - 1).when(F.contains(norm, F.lit("-")), F.lit(6))
+    return F.when(cut.isNull(), made).otherwise(F.concat(F.substring(made, F.lit(1), cut), F.when(at.between(2, 3), "'").otherwise("-"), F.substring(made, cut + 1, F.lit(64))))
 
 
 def _given(norm: Column, h: Column, attempt: Column) -> Column:
@@ -233,6 +264,8 @@ def _given(norm: Column, h: Column, attempt: Column) -> Column:
 
     def make(script):
         listed = F.when(F.substring(norm, 1, 1) == "f", _listed(GIVEN["f", script], h)).otherwise(_listed(GIVEN["m", script], h))
+        second = F.when(F.substring(norm, 1, 1) == "f", _listed(GIVEN["f", script], F.reverse(h))).otherwise(_listed(GIVEN["m", script], F.reverse(h)))
+        listed = F.when(F.contains(given_of(norm), F.lit("-")), F.concat(listed, F.lit("-"), second)).otherwise(listed)
         return F.concat(listed, F.when(attempt > 0, F.concat(F.lit("-"), _syllables(script, h, attempt))).otherwise(""))
 
     return F.concat(F.substring(norm, 1, 2), _by_script(norm, make), F.lit(" "), family_of(norm))
@@ -283,9 +316,8 @@ def exceptions(known: DataFrame, key: str) -> DataFrame | None:
     pending, attempt = known, 0
     while True:
         tried = materialise(named(pending, attempt))
-        free = tried.join(real, ["kind", "s"], "left_anti")
-        for won in rounds:
-            free = free.join(won.select("kind", "s"), ["kind", "s"], "left_anti")
+        taken = reduce(DataFrame.unionByName, [real, *[won.select("kind", "s") for won in rounds]])
+        free = tried.join(taken, ["kind", "s"], "left_anti")
         rounds.append(materialise(free.groupBy("kind", "s").agg(F.min("norm").alias("norm"))))
         old = pending if attempt else None
         pending = materialise(tried.select("kind", "norm").join(rounds[-1].select("kind", "norm"), ["kind", "norm"], "left_anti"), tried)
@@ -293,6 +325,9 @@ def exceptions(known: DataFrame, key: str) -> DataFrame | None:
         if pending.isEmpty():
             break
         attempt += 1
+        if attempt >= ATTEMPTS:
+            left = {r.kind: r["count"] for r in pending.groupBy("kind").count().collect()}  # one row a kind
+            raise ValueError(f"no surrogates are left for so many entities of a kind: {left}")
     late = [won.select("kind", "norm", F.lit(k).alias("attempt")) for k, won in enumerate(rounds) if k]
     return reduce(DataFrame.unionByName, late) if late else None
 
@@ -302,8 +337,8 @@ def exceptions(known: DataFrame, key: str) -> DataFrame | None:
 
 def _cased(like: Column, s: Column) -> Column:
     """``s`` in capitals if the mention is, else with capital first letters."""
-    parts = F.transform(F.split(s, "-"), lambda p: F.initcap(p))
-    return F.when((like == F.upper(like)) & (F.length(like) > 1), F.upper(s)).otherwise(F.array_join(parts, "-"))
+    parts = F.transform(F.split(s, "(?<=[-'])"), lambda p: F.initcap(p))
+    return F.when((like == F.upper(like)) & (F.length(like) > 1), F.upper(s)).otherwise(F.array_join(parts, ""))
 
 
 def _given_text(s: Column) -> Column:
@@ -312,9 +347,9 @@ def _given_text(s: Column) -> Column:
 
 def _dress(x: Column, kind: Column, s: Column, other: Column) -> Column:
     """A mention rewritten in its own format with the surrogates of its main and other entity."""
-    title = F.regexp_extract(x, rf"^{TITLE}", 0)
-    bare = F.regexp_replace(x, rf"^{TITLE}", "")
-    name = F.concat(title, F.when(other.isNotNull(), F.concat(_cased(F.substring_index(bare, " ", 1), _given_text(other)), F.lit(" "))).otherwise(""), _cased(F.substring_index(bare, " ", -1), s))
+    piece = lambda k: F.regexp_extract(x, rf"^({TITLE})({LEAD})({PART})(?:( {BETWEEN})({PART}))?$", k)
+    given = F.when(other.isNotNull(), F.concat(_cased(piece(3), _given_text(other)), piece(4), _cased(piece(5), s))).otherwise(_cased(piece(3), s))
+    name = F.concat(piece(1), piece(2), given)
     n = F.length(F.regexp_replace(x, "[^0-9]", ""))
     shaped = F.concat(_shape(x, s), F.when(F.length(s) > n, F.concat(F.lit("-"), F.substring(s, n + 1, F.lit(64)))).otherwise(""))
     mail = F.concat(F.substring_index(s, "@", 1), F.lit("@"), other)
@@ -337,7 +372,7 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     while any(c.lower().startswith(free) for c in docs.columns):
         free += "_"
     found, names, attempts, surrogates, text_key = (f"{free}{k}" for k in ("found", "names", "attempts", "surrogates", "key"))
-    df = with_entities(docs.select(*columns, mentions_in(F.col("text")).alias(found)), found, names)
+    df = with_entities(docs.select(*columns, mentions_in(F.col("text")).alias(found)), found, names, "text")
     few = None if special is None else special.limit(LITERAL + 1).collect()
     if not few:
         df = df.withColumn(attempts, F.lit(None).cast("map<string,int>"))
@@ -346,8 +381,8 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
         df = df.withColumn(attempts, F.from_json(F.lit(table), "map<string,int>"))
     else:
         # The mentions of equal texts are equal: exceptions are looked up once per text, whoever shares it.
-        told = docs.where(F.col("text").rlike(HINT)).select(F.xxhash64("text").alias("t"), mentions_in(F.col("text")).alias("m"))
-        told = with_entities(told, "m", "n").select("t", F.explode_outer("m").alias("m"))
+        told = docs.where(F.col("text").rlike(HINT)).select(F.xxhash64("text").alias("t"), "text", mentions_in(F.col("text")).alias("m"))
+        told = with_entities(told, "m", "n", "text").select("t", F.explode_outer("m").alias("m"))
         told = told.select("t", F.explode_outer(F.array("m.main", "m.other")).alias("e")).where("e is not null").select("t", "e.kind", "e.norm").distinct()
         late = told.join(special, ["kind", "norm"]).select("t", F.struct(_label(F.col("kind"), F.col("norm")).alias("key"), F.col("attempt").alias("value")).alias("e"))
         late = late.groupBy("t").agg(F.map_from_entries(F.collect_list("e")).alias(attempts)).withColumnRenamed("t", text_key)

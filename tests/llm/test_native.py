@@ -134,3 +134,32 @@ def test_collisions_are_resolved(spark, monkeypatch):
     joined = {r.doc_id: r.text for r in pii.replace_entities(docs, "k").collect()}
     assert [joined[k] for k in range(len(texts))] == [r for r in out] and joined[len(texts)] == out[0] and joined[len(texts) + 20] is None
     assert pii.replace_entities(docs_frame(spark, []).limit(0), "k").count() == 0
+
+
+def test_names_of_many_forms(spark):
+    texts = [
+        "Mr. May came. In May it rained. May I go?",
+        "Mr. Will Green said: Will you come? The Green party",
+        "MR. JOHN SMITH and Dr. Alice Brown met Prof. Dr. Ada Byron, Mr. van der Berg and Frau Eva von Stein.",
+        "Mr. O'Brien told Mrs. Anne-Marie Smith-Jones that O'Brien left",
+        "Mr. Potter has a potter in town. Potter works. Mr. Klimt paints. Klimt paints.",
+        "Herr Dr. Kunz, Dr. Kunz und Frau Dr. Lang",
+    ]
+    out = [r.text for r in pii.replace_entities(docs_frame(spark, texts), "k").orderBy("doc_id").collect()]
+    assert re.fullmatch(r"Mr\. (?!May)[A-Z][a-z]+ came\. In May it rained\. May I go\?", out[0])
+    assert re.fullmatch(r"Mr\. [A-Z][a-z]+ (?!Green)[A-Z][a-z]+ said: Will you come\? The Green party", out[1])
+    m = re.fullmatch(r"MR\. [A-Z]+ (?!SMITH)[A-Z]+ and Dr\. ([A-Z][a-z]+) [A-Z][a-z]+ met Prof\. Dr\. [A-Z][a-z]+ [A-Z][a-z]+, Mr\. van der [A-Z][a-z]+ and Frau [A-Z][a-z]+ von [A-Z][a-z]+\.", out[2])
+    assert m and m[1] in pii.GIVEN["f", "latin"] and not re.search("SMITH|JOHN|Alice Brown|Ada|Byron|Berg|Stein", out[2])
+    m = re.fullmatch(r"Mr\. ([A-Z]'[A-Z][a-z]+) told Mrs\. [A-Z][a-z]+-[A-Z][a-z]+ [A-Z][a-z]+-[A-Z][a-z]+ that ([A-Z]'[A-Z][a-z]+) left", out[3])
+    assert m and m[1] == m[2] != "O'Brien" and "Anne" not in out[3]
+    assert re.fullmatch(r"Mr\. (?!Potter)\w+ has a potter in town\. Potter works\. Mr\. (\w+) paints\. \1 paints\.", out[4]) and "Klimt" not in out[4]
+    m = re.fullmatch(r"Herr Dr\. (\w+), Dr\. (\w+) und Frau Dr\. \w+", out[5])
+    assert m and m[1] == m[2] != "Kunz"
+
+
+def test_what_has_no_surrogate_raises(spark, monkeypatch):
+    monkeypatch.setattr(pii, "ATTEMPTS", 2)
+    known = spark.range(300).selectExpr("'ipv4' kind", "concat('192.168.7.', id) norm")
+    monkeypatch.setattr(pii, "_ip", lambda norm, h, attempt: pii.F.lit("192.168.7.1"))
+    with pytest.raises(ValueError, match="ipv4"):
+        pii.exceptions(known, "k")
