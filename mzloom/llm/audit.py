@@ -82,7 +82,9 @@ def copies(docs: DataFrame, slim: DataFrame, bits: int = 64) -> DataFrame:
     live = refine(slim)
     keyed = docs.withColumn("key", F.aggregate(block_hashes(F.col("text"), bits), _start(F.char_length("text")), chained))
     # Catalyst broadcasts the surviving parts if they are few; else both sides meet by salted keys.
-    texts = spread_lookup(keyed, ["key"], live.select("key").distinct(), F.col("doc_id"), "left_semi")
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(256)).cast("int")
+    asked = live.select("key", salt.alias("salt")).distinct()
+    texts = keyed.withColumn("salt", salt).join(asked, ["key", "salt"], "left_semi").drop("salt")
     least = materialise(texts.groupBy("key", "text").agg(F.min("doc_id").alias("least")))
     of_key = materialise(least.groupBy("key").agg(F.count("*").alias("texts"), F.min("least").alias("least")))
     alike = spread_lookup(live, ["key"], of_key.where("texts = 1").select("key", "least"), F.col("doc_id"))
