@@ -78,8 +78,8 @@ def wide_matrix(members: DataFrame, value: str, files: list, allowed: tuple[str,
     """cluster_id and a column per file (0 where the file has no member)."""
     if allowed and value not in allowed:
         raise ValueError(f"unknown quantity: {value}")
-    m = members.groupBy("cluster_id").pivot("file", files).agg(F.first(value)).na.fill(0)
-    return m.select("cluster_id", *[F.col(f"`{f}`").alias(str(f)) for f in files])
+    m = members.groupBy("cluster_id").pivot("file", files).agg(F.first(value))
+    return m.select("cluster_id", *[F.coalesce(F.col(f"`{f}`"), F.lit(0)).alias(str(f)) for f in files])
 
 
 def cluster_metadata(members: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def consensus_proteins(consensus: DataFrame, annotations: DataFrame, column: str
 def peptide_table(matrix: DataFrame, annotations: DataFrame, values: list[str], column: str = "sequence") -> DataFrame:
     """Sums per peptide of clusters with exactly one sequence."""
     s = annotations.select("cluster_id", column).where(F.col(column).isNotNull() & (F.col(column) != "") & ~F.contains(F.col(column), F.lit(".|.")))
-    return matrix.join(s, "cluster_id").groupBy(column).agg(*[F.sum(v).alias(v) for v in values])
+    return matrix.join(s, "cluster_id").groupBy(column).agg(*[F.sum(F.col(f"`{v}`")).alias(v) for v in values])
 
 
 def peptide_metadata(annotations: DataFrame, peptides: DataFrame, column: str = "sequence") -> DataFrame:

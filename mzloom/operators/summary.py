@@ -21,17 +21,23 @@ def over_files(per_file: DataFrame) -> DataFrame:
     return per_file.agg(F.count("*").alias("n_files"), *[F.avg(c).alias(c) for c in ("count", "mean", "median", "std")])
 
 
-def linking_efficiency(peaks: DataFrame, links: DataFrame) -> DataFrame:
-    """Percentage of peaks with a link, per file."""
-    linked = links.select("file_id", "peak_id").distinct().groupBy("file_id").agg(F.count("*").alias("linked"))
-    n = peaks.groupBy("file_id").agg(F.count("*").alias("n_peaks"))
-    return n.join(linked, "file_id", "left").select("file_id", "n_peaks", F.coalesce("linked", F.lit(0)).alias("linked"), (100.0 * F.coalesce("linked", F.lit(0)) / F.col("n_peaks")).alias("percent"))
+def linking_efficiency(linked: DataFrame, every: DataFrame) -> DataFrame:
+    """Per file how many of ``every`` (events or identifications) there are, how many links (one each at most), and their percentage."""
+    n = every.groupBy("file_id").agg(F.count("*").alias("n"))
+    m = linked.groupBy("file_id").agg(F.count("*").alias("linked"))
+    have = F.coalesce("linked", F.lit(0))
+    return n.join(m, "file_id", "left").select("file_id", "n", have.alias("linked"), (have / F.col("n") * 100.0).alias("percent"))
 
 
 def raw_summary(points: DataFrame) -> DataFrame:
     return points.groupBy("file_id").agg(F.min("mz").alias("min_mz"), F.max("mz").alias("max_mz"), F.min("rt").alias("min_rt"), F.max("rt").alias("max_rt"), F.countDistinct("rt").alias("n_scans"), F.count("*").alias("n_points"))
 
 
+def event_summary(events: DataFrame) -> DataFrame:
+    """The same of fragmentation events (file_id, mz, rt)."""
+    return events.groupBy("file_id").agg(F.count("*").alias("n_scans"), F.min("mz").alias("min_mz"), F.max("mz").alias("max_mz"), F.min("rt").alias("min_rt"), F.max("rt").alias("max_rt"))
+
+
 def isotope_counts(features: DataFrame) -> DataFrame:
     """How many features have how many isotopes, per file."""
     return features.groupBy("file_id", F.size("peak_ids").alias("isotopes")).agg(F.count("*").alias("features"))

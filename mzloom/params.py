@@ -67,16 +67,24 @@ class Parameters:
     #: Clusters as a known older pipeline made them: intensity threshold 1.5 and 1.5 sigma in time, whatever is set.
     match_compat: bool = False
     similarity_peaks: int = 2000
-    identification_by: str = "theoretical_mz"
+    #: Which identifications are read: the best rank of a spectrum, above the threshold, no decoys.
+    max_rank_only: bool = True
+    require_threshold: bool = True
+    ignore_decoy: bool = True
+    identification_by: str = "msms_event"
     quant_isotopes: str = "height"
     quant_features: str = "max_height"
     charge_state_filter: bool = True
     consensus: bool = True
-    consensus_min: int = 1
+    consensus_min: int = 2
+    #: Whether annotation tables are kept as results besides the tables per cluster.
+    save_annotations: bool = True
     protein_min_peptides: int = 1
     protein_remove_subsets: bool = True
-    protein_ignore_ambiguous: bool = False
+    protein_ignore_ambiguous: bool = True
     protein_quant: str = "razor"
+    #: Highest peaks of a run in the plot of widths over m/z.
+    scatter_peaks: int = 200_000
 
 
 def default_parameters(name: str = "orbitrap", avg_fwhm_rt: float = 9.0) -> Parameters:

@@ -603,10 +603,19 @@ def peak_summary_over_files(k):
     return rounded(summary.over_files(summary.describe(k, "fitted_height", "file_id")), 6, "count", "mean", "median", "std")
 
 
-@query("peaks", "msms", sql=_link_sql("msms", "event_id", "mz").replace("SELECT file_id, event_id, peak_id, round(distance, 6) AS distance FROM b WHERE k = 1 AND ok", """, l AS (SELECT file_id, count(DISTINCT peak_id) AS linked FROM b WHERE k = 1 AND ok GROUP BY file_id), n AS (SELECT file_id, count(*) AS n_peaks FROM peaks GROUP BY file_id)
-    SELECT n.file_id, n_peaks, coalesce(linked, 0) AS linked, round(100.0 * coalesce(linked, 0) / n_peaks, 6) AS percent FROM n LEFT JOIN l USING (file_id)"""))
+def _efficiency_sql(links: str, key: str, every: str) -> str:
+    return f"""SELECT n.file_id, n.n, coalesce(l.linked, 0) AS linked, round(coalesce(l.linked, 0) * 100.0 / n.n, 6) AS percent FROM (SELECT file_id, count(*) AS n FROM {every} GROUP BY file_id) n
+        LEFT JOIN (SELECT file_id, count({key}) AS linked FROM ({links}) x GROUP BY file_id) l USING (file_id)"""
+
+
+@query("peaks", "msms", sql=(lambda with_, _, last: with_ + ", " + "found AS (SELECT" + last + ") " + _efficiency_sql("SELECT * FROM found", "event_id", "msms"))(*_link_sql("msms", "event_id", "mz").rpartition("SELECT")))
 def linking_efficiency(k, e):
-    return rounded(summary.linking_efficiency(k, link.link_peaks(k, e, RUN)), 6, "percent")
+    return rounded(summary.linking_efficiency(link.link_peaks(k, e, RUN), e), 6, "percent")
+
+
+@query("peaks", "psms", sql=(lambda with_, _, last: with_ + ", " + "found AS (SELECT" + last + ") " + _efficiency_sql("SELECT * FROM found", "psm_index", "psms"))(*_link_sql("psms", "psm_index", "theoretical_mz").rpartition("SELECT")))
+def identification_efficiency(k, e):
+    return rounded(summary.linking_efficiency(link.link_psm(k, e, RUN), e), 6, "percent")
 
 
 @query("points", sql="SELECT file_id, min(mz) AS min_mz, max(mz) AS max_mz, min(rt) AS min_rt, max(rt) AS max_rt, count(DISTINCT rt) AS n_scans, count(*) AS n_points FROM points GROUP BY file_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import hashlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,13 +18,41 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def stage(spark: SparkSession, make, path: str, force: bool = False, by_file: bool = True) -> DataFrame:
-    """The table at ``path``, made and written first if it isn't there or ``force`` is set."""
-    if force or not exists(spark, path):
-        df = make()
-        w = df.write.mode("overwrite")
-        (w.partitionBy("file_id") if by_file and "file_id" in df.columns else w).parquet(path)
-    return spark.read.parquet(path)
+def fingerprint(spark: SparkSession, path: str) -> list:
+    """Path, size and time of an input file, in any store."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    status = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where)
+    return [path, status.getLen(), status.getModificationTime()]
+
+
+class Stages:
+    """Stage tables in a folder, each with the digest of what it was made from.
+
+    A digest covers the values that the stage uses (parameters, input files) and the digests of the stages it reads. It
+    is written beside the table once that is complete, so a table is taken up only if nothing it depends on
+    has changed and if it was finished; after a crash or a change the affected stages are made anew, the others stay.
+    """
+
+    def __init__(self, spark: SparkSession, out: str, force: bool = False):
+        self.spark, self.out, self.force = spark, out, force
+        self.digests: dict[str, str] = {}
+        self.made: list[str] = []
+
+    def table(self, name: str, make, uses: object = None, parents: tuple[str, ...] = (), by_file: bool = True) -> DataFrame:
+        told = json.dumps([name, uses, by_file, [self.digests[p] for p in parents]], sort_keys=True, default=str)
+        digest = self.digests[name] = hashlib.sha256(told.encode()).hexdigest()
+        path, mark = f"{self.out}/{name}", f"{self.out}/stages/{name}.sha256"
+        if self.force or read_text(self.spark, mark) != digest or not exists(self.spark, path):
+            self.made.append(name)
+            write_text(self.spark, "", mark)  # from here on the old table doesn't count
+            df = make()
+            if by_file and "file_id" in df.columns:
+                # A file's rows meet in few tasks, so that there aren't tasks x files small ones; large files are split.
+                df.hint("rebalance", "file_id").write.mode("overwrite").partitionBy("file_id").parquet(path)
+            else:
+                df.write.mode("overwrite").parquet(path)
+            write_text(self.spark, digest, mark)
+        return self.spark.read.parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
