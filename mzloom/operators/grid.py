@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mzloom.functions.exprs import SIGMA, mz_at, rt_at, sigma_mz, x_index, y_index
+from mzloom.operators.tiles import TILE, tiled
 from mzloom.params import Resampling, Run
 
 
@@ -96,9 +97,14 @@ def _smooth(cells: DataFrame, g: DataFrame, run: Run, how: Resampling, along_rt:
     return c.select("file_id", "i", "j", "value")
 
 
-def resample(points: DataFrame, bounds: DataFrame, run: Run, how: Resampling) -> DataFrame:
-    """Splat, then smooth along time, then along m/z."""
-    return smooth_mz(smooth_rt(splat(points, bounds, run, how), bounds, run, how), bounds, run, how)
+def resample(points: DataFrame, bounds: DataFrame, run: Run, how: Resampling, tile: int = TILE) -> DataFrame:
+    """Splat, then smooth along time, then along m/z: all three within dense tiles, after one shuffle of the points."""
+    return tiled(points, shape(bounds, run, how), run, how, half_widths(run, how), tile=tile)
+
+
+def maxima_of(points: DataFrame, bounds: DataFrame, run: Run, how: Resampling, digits: int | None = None, tile: int = TILE) -> DataFrame:
+    """The local maxima of the smoothed grid without its cells; the same as ``local_maxima`` of ``resample``, with values rounded to ``digits``."""
+    return tiled(points, shape(bounds, run, how), run, how, half_widths(run, how), True, digits, tile)
 
 
 def locate(cells: DataFrame, bounds: DataFrame, run: Run, how: Resampling) -> DataFrame:

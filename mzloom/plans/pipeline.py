@@ -124,12 +124,11 @@ def dda_pipeline(spark: SparkSession, params: Parameters, files: list[RunFile],
     # All levels are read, for an event may leave it to its place which scan it was chosen from.
     ms2 = stage("ms2", lambda: spectra.events(spectra.with_parents(_scans(spark, params, files, 0).drop("points"))), uses=[inputs, cut])
     bounds = stage("bounds", lambda: grid.bounds_of(ms1), "ms1", by_file=False)
-    cells = grid.resample(ms1, bounds, run, params.resampling)
     if save_grid:
-        cells = stage("grid", lambda c=cells: c, "ms1", "bounds", uses=mesh)
+        stage("grid", lambda: grid.resample(ms1, bounds, run, params.resampling), "ms1", "bounds", uses=mesh)
 
     def detected():
-        maxima = grid.local_maxima(cells, grid.shape(bounds, run, params.resampling).select("file_id", "n", "m"))
+        maxima = grid.maxima_of(ms1, bounds, run, params.resampling)
         return peaks.find_peaks(ms1, grid.locate(maxima, bounds, run, params.resampling), run, params.max_peaks, bin_mz=0.5).drop("fit")
 
     found = stage("peaks", detected, "ms1", "bounds", uses=[mesh, params.max_peaks])

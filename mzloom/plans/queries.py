@@ -194,9 +194,7 @@ def grid_resample(s):
     sql=_RESAMPLED + _MAXIMA + " SELECT * FROM top",
 )
 def grid_local_maxima(s):
-    b = _bounds(s)
-    cells = rounded(grid.resample(s, b, GRID_RUN, GRID), 6, "value")
-    return grid.local_maxima(cells, grid.shape(b, GRID_RUN, GRID).select("file_id", "n", "m"))
+    return grid.maxima_of(s, _bounds(s), GRID_RUN, GRID, digits=6)
 
 
 @query("signal", sql="WITH " + _SPLAT + " SELECT file_id, i, round(sum(value), 4) AS value FROM cells GROUP BY file_id, i")
@@ -235,7 +233,7 @@ def _maxima(s):
 
 @query("signal", sql=_ROI + " SELECT file_id, round(lm, 6) AS mz, round(lr, 2) AS rt, round(sw, 6) AS total, mw AS highest, np AS num_points, ns AS num_scans, round(am, 6) AS mean_mz, round(ar, 2) AS mean_rt, round(sqrt(m2), 5) AS sigma_mz, round(sqrt(r2), 1) AS sigma_rt, CASE WHEN m2 > 1e-9 THEN round(m3 / power(m2, 1.5), 3) END AS skewness_mz, round(r4 / power(r2, 2), 3) AS kurtosis_rt FROM c")
 def region_moments(p):
-    m = peaks.raw_moments(peaks.in_regions(p, peaks.regions(_maxima(p), _ROI_RUN), 4.0))
+    m = peaks.raw_moments(peaks.in_regions(p, peaks.regions(_maxima(p), _ROI_RUN), 4.0, 4 * X.sigma_rt(_ROI_RUN)))
     c = F.col
     return m.select(
         "file_id", F.round("local_max_mz", 6).alias("mz"), F.round("local_max_rt", 2).alias("rt"), F.round("raw_roi_total_intensity", 6).alias("total"), c("raw_roi_max_height").alias("highest"),
