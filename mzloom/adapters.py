@@ -28,6 +28,8 @@ VIEWS = {
                       300 + o_totalprice / 500 + (o_orderkey % 7 - 3) * CAST(0.01 AS DOUBLE) AS theoretical_mz,
                       CAST(substr(o_orderpriority, 1, 1) AS INT) AS psm_charge_state, concat('PEP', CAST(o_custkey % 500 AS VARCHAR(9))) AS sequence FROM orders""",
     "edges": "SELECT DISTINCT l_suppkey AS protein, l_partkey AS peptide FROM lineitem",
+    # Blocks of four customers whose months of ordering overlap: many small groups.
+    "block_edges": "SELECT DISTINCT o_custkey AS protein, CAST(floor(o_custkey / 4.0) AS BIGINT) * 16 + CAST(month(o_orderdate) AS BIGINT) AS peptide FROM orders",
     "annotations": """SELECT DISTINCT d.source AS cluster_id, CAST(d.doc_id % 5 AS INT) AS file_id, d.lang AS sequence, CAST(l.toxic AS VARCHAR(3)) AS protein
                       FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
     "time_map": """SELECT f.file_id, s.segment, s.segment * CAST(250 AS DOUBLE) AS rt_start, (s.segment + 1) * CAST(250 AS DOUBLE) AS rt_end,

@@ -353,7 +353,11 @@ def segment_lookup(p, t):
 # --- features ---------------------------------------------------------------------------------
 
 
-@query("peaks", sql="WITH a AS (SELECT p.*, z, CAST(floor(fitted_mz + CAST(1.0033 AS DOUBLE) / z) AS BIGINT) + k AS bin FROM peaks p, (VALUES (1), (2), (3)) c(z), generate_series(-2, 2) d(k)), b AS (SELECT *, CAST(floor(fitted_mz) AS BIGINT) AS bin FROM peaks) SELECT a.file_id, z AS charge, a.peak_id AS lower, b.peak_id AS upper FROM a JOIN b ON b.file_id = a.file_id AND a.bin = b.bin AND abs(b.fitted_mz - (a.fitted_mz + CAST(1.0033 AS DOUBLE) / z)) < a.fitted_sigma_mz AND abs(b.fitted_rt - a.fitted_rt) < a.fitted_sigma_rt")
+# Both sides are materialised with their bins, so that no planner takes the bins' joins apart and pairs all peaks first.
+@query("peaks", sql="""WITH a AS MATERIALIZED (SELECT file_id, peak_id, fitted_mz, fitted_rt, fitted_sigma_mz, fitted_sigma_rt, z, CAST(floor(fitted_mz + CAST(1.0033 AS DOUBLE) / z) AS BIGINT) + k AS bin FROM peaks, (VALUES (1), (2), (3)) c(z), (VALUES (-2), (-1), (0), (1), (2)) d(k)),
+    b AS MATERIALIZED (SELECT file_id, peak_id, fitted_mz, fitted_rt, CAST(floor(fitted_mz) AS BIGINT) AS bin FROM peaks)
+    SELECT a.file_id, z AS charge, a.peak_id AS lower, b.peak_id AS upper FROM a JOIN b ON a.bin = b.bin AND a.file_id = b.file_id
+    WHERE abs(b.fitted_mz - (a.fitted_mz + CAST(1.0033 AS DOUBLE) / z)) < a.fitted_sigma_mz AND abs(b.fitted_rt - a.fitted_rt) < a.fitted_sigma_rt""")
 def isotope_candidates(k):
     return features.candidate_graph(k, [1, 2, 3])
 
@@ -439,7 +443,10 @@ def _groups(k):
     return k.select("file_id").distinct().withColumn("group_id", (F.col("file_id") % 2).cast("int"))
 
 
-@query("peaks", sql="WITH a AS (SELECT p.*, CAST(floor(fitted_mz) AS BIGINT) + k AS bin FROM peaks p, generate_series(-3, 3) d(k)), b AS (SELECT *, CAST(floor(fitted_mz) AS BIGINT) AS bin FROM peaks) SELECT a.file_id AS file_a, a.peak_id AS peak_a, b.file_id AS file_b, b.peak_id AS peak_b FROM a JOIN b ON a.bin = b.bin AND b.fitted_mz BETWEEN a.fitted_mz - a.fitted_sigma_mz * 1.5 AND a.fitted_mz + a.fitted_sigma_mz * 1.5 AND b.fitted_rt + b.rt_delta BETWEEN a.fitted_rt + a.rt_delta - a.fitted_sigma_rt * 1.5 AND a.fitted_rt + a.rt_delta + a.fitted_sigma_rt * 1.5")
+@query("peaks", sql="""WITH a AS MATERIALIZED (SELECT file_id, peak_id, fitted_mz, fitted_rt + rt_delta AS rt, fitted_sigma_mz * 1.5 AS hm, fitted_sigma_rt * 1.5 AS hr, CAST(floor(fitted_mz) AS BIGINT) + k AS bin FROM peaks, (VALUES (-3), (-2), (-1), (0), (1), (2), (3)) d(k)),
+    b AS MATERIALIZED (SELECT file_id, peak_id, fitted_mz, fitted_rt + rt_delta AS rt, CAST(floor(fitted_mz) AS BIGINT) AS bin FROM peaks)
+    SELECT a.file_id AS file_a, a.peak_id AS peak_a, b.file_id AS file_b, b.peak_id AS peak_b FROM a JOIN b ON a.bin = b.bin
+    WHERE b.fitted_mz BETWEEN a.fitted_mz - hm AND a.fitted_mz + hm AND b.rt BETWEEN a.rt - hr AND a.rt + hr""")
 def match_candidates(k):
     e = match.candidates(match.peak_items(k, _groups(k)), 1.5, 1.5, 1.0)
     part = F.lit(1 << 40)
@@ -523,6 +530,29 @@ def protein_quantities(e):
 # --- quantification ---------------------------------------------------------------------------
 
 
+_BLOCK_GROUPS = "kept AS (SELECT * FROM block_edges WHERE protein NOT IN (SELECT a FROM (SELECT a.protein AS a, b.protein AS b, count(*) AS k FROM block_edges a JOIN block_edges b ON a.peptide = b.peptide AND a.protein <> b.protein GROUP BY ALL) s JOIN (SELECT protein, count(*) AS n FROM block_edges GROUP BY protein) x ON x.protein = a JOIN (SELECT protein, count(*) AS n FROM block_edges GROUP BY protein) y ON y.protein = b WHERE k = x.n AND x.n < y.n)), " + _CLASSES.replace("FROM edges", "FROM kept") + """,
+    single AS (SELECT DISTINCT protein FROM classes WHERE kind = 'unique'), rest AS (SELECT * FROM classes WHERE protein NOT IN (SELECT protein FROM single)),
+    step AS (SELECT DISTINCT a.protein AS a, b.protein AS b FROM rest a JOIN rest b USING (peptide)),
+    reach AS (SELECT a, b FROM step UNION SELECT r.a, s.b FROM reach r JOIN step s ON s.a = r.b),
+    grp AS (SELECT protein, protein AS leader, 0 AS late FROM single UNION ALL SELECT a, min(b), 1 FROM reach GROUP BY a),
+    ids AS (SELECT leader, row_number() OVER (ORDER BY late, leader) - 1 AS group_id FROM (SELECT DISTINCT leader, late FROM grp) d),
+    picked AS (SELECT DISTINCT group_id, leader, protein, peptide FROM classes JOIN grp USING (protein) JOIN ids USING (leader) WHERE kind IN ('unique', 'razor', 'ambiguous')),
+    own AS (SELECT CAST(floor(peptide / 32.0) AS BIGINT) * 16 + peptide % 16 AS cluster_id, max(group_id) AS group_id FROM picked GROUP BY cluster_id)"""
+
+
+@query("block_edges", sql="WITH " + _BLOCK_GROUPS + """
+    SELECT p.group_id, p.leader, max(h) AS height, max(c) AS clusters, string_agg(DISTINCT CAST(peptide AS VARCHAR), '.|.' ORDER BY CAST(peptide AS VARCHAR)) AS sequences, string_agg(DISTINCT CAST(protein AS VARCHAR), '.|.' ORDER BY CAST(protein AS VARCHAR)) AS proteins,
+           count(DISTINCT protein) AS n_proteins
+    FROM picked p LEFT JOIN (SELECT group_id, CAST(sum(cluster_id) AS DOUBLE) AS h, CAST(count(*) AS DOUBLE) AS c FROM own GROUP BY group_id) o ON o.group_id = p.group_id GROUP BY p.group_id, p.leader""")
+def competing_protein_groups(e):
+    """Many groups; a cluster holds the peptides of two blocks of proteins, so that groups compete for it."""
+    cluster = (F.floor(F.col("peptide") / 32).cast("long") * 16 + F.col("peptide") % 16).alias("cluster_id")
+    data = e.select(cluster).distinct().select("cluster_id", F.col("cluster_id").cast("double").alias("height"), F.lit(1.0).alias("clusters"))
+    notes = e.select(cluster, "peptide", "protein", F.lit("about it").alias("description"))
+    sums, about = proteins.quantify(data, notes, ["height", "clusters"], add_ambiguous=True)
+    return about.join(sums, ["group_id", "leader"], "left").select("group_id", "leader", "height", "clusters", "sequences", "proteins", "n_proteins")
+
+
 @query("peaks", sql="SELECT file_id, peak_id, fitted_mz AS mz, fitted_rt AS rt, rt_delta, fitted_height AS height, fitted_sigma_mz AS sigma_mz, fitted_sigma_rt AS sigma_rt, fitted_volume AS volume, fitted_rt + rt_delta AS aligned_rt FROM peaks")
 def peak_table(k):
     return quant.peak_table(k)
