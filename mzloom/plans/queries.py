@@ -5,6 +5,7 @@ The tables stand in for domain data through ``mzloom.adapters``; every query run
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ from mzloom.adapters import duckdb_view, view
 from mzloom.functions import exprs as X
 from mzloom.operators import features, grid, link, match, peaks, points, proteins, quant, similarity, summary, warp
 from mzloom.params import Resampling, Run, Warping
-from mzloom.sources import encode, spectra
+from mzloom.sources import encode, files, spectra
+from mzloom.storage import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -782,3 +784,23 @@ def read_mzxml(p):
 @query("points", sql="SELECT file_id, rt, mz, intensity FROM points WHERE intensity <> 0")
 def read_mzml(p):
     return _decoded(_encoded(p, encode.mzml_spectrum), spectra.parse_mzml, polarity="+", ms_level=1)
+
+
+def _from_files(p, kind):
+    """Points written as a file per run in the shared folder, and read back through the spectrum source."""
+    spark = files.register(p.sparkSession)
+    out = f"{shared_dir(spark)}/spectra-{uuid.uuid4().hex}"
+    s = p.groupBy("file_id", "rt").agg(F.sort_array(F.collect_list(F.struct("mz", "intensity"))).alias("v"))
+    s = s.select(F.col("file_id").cast("string").alias("path"), (F.col("rt").cast("long") + 1).alias("number"), "rt", F.col("v.mz").alias("mz"), F.col("v.intensity").alias("intensity"))
+    encode.write_files(s, out, kind)
+    return spark.read.format("spectra").option("format", kind).load(out).withColumn("file_id", F.regexp_extract("path", "path=([0-9]+)/", 1).cast("int"))
+
+
+@query("points", sql="SELECT file_id, rt, mz, intensity FROM points WHERE rt BETWEEN 100 AND 2000 AND intensity <> 0")
+def spectrum_files_mzxml(p):
+    return spectra.to_points(_from_files(p, "mzxml").where("retention_time between 100 and 2000 and ms_level = 1")).select("file_id", "rt", "mz", "intensity")
+
+
+@query("points", sql="SELECT file_id, rt, count(*) AS num_points, max(intensity) AS max_intensity, sum(intensity) AS total_intensity FROM points WHERE intensity <> 0 GROUP BY file_id, rt")
+def spectrum_files_mzml(p):
+    return _from_files(p, "mzml").where("polarity = 'positive'").select("file_id", F.col("retention_time").alias("rt"), "num_points", "max_intensity", "total_intensity")

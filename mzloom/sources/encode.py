@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def _packed(values, kind: str, compress: bool) -> str:
@@ -41,3 +42,17 @@ def pieces(scans: DataFrame, write) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("path"), pa.array([write(*r) for r in rows], pa.string())], names=["path", "value"])
 
     return scans.select("path", "number", "rt", "mz", "intensity").mapInArrow(run, "path string, value string")
+
+
+def write_files(scans: DataFrame, out: str, kind: str) -> None:
+    """A spectrum file per path of ``scans`` (path, number, rt, mz[], intensity[]) in the folder ``out``/path=..., by number."""
+    write, mark, lead, end = (mzxml_scan, "<scan ", '<?xml version="1.0"?>\n<mzXML><msRun>', "</msRun></mzXML>") if kind == "mzxml" else (mzml_spectrum, "<spectrum ", '<?xml version="1.0"?>\n<mzML><run><spectrumList>', "</spectrumList></run></mzML>")
+
+    def run(batches):
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("number", "rt", "mz", "intensity")), strict=True)
+            yield pa.RecordBatch.from_arrays([b.column("path"), b.column("number"), pa.array([mark + write(*r) for r in rows], pa.string())], names=["path", "number", "value"])
+
+    body = scans.select("path", "number", "rt", "mz", "intensity").mapInArrow(run, "path string, number long, value string")
+    ends = scans.select("path").distinct().select("path", F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("number"), F.lit(lead).alias("value")), F.struct(F.lit((1 << 63) - 1).alias("number"), F.lit(end).alias("value")))).alias("x")).select("path", "x.*")
+    body.unionByName(ends).repartition("path").sortWithinPartitions("path", "number").select("path", "value").write.partitionBy("path").text(out)

@@ -57,6 +57,10 @@ def decode(text: str, bits: int, big_endian: bool, compressed: bool) -> np.ndarr
     return np.frombuffer(raw, ("> f" if big_endian else "<f").replace(" ", "") + str(bits // 8)).astype(float)
 
 
+def _nothing() -> tuple[np.ndarray, np.ndarray]:
+    return np.zeros(0), np.zeros(0)
+
+
 def parse_mzxml(piece: str) -> dict | None:
     """One scan from the text behind a ``<scan`` mark, up to the next one."""
     head = piece.split(">", 1)[0]
@@ -65,7 +69,7 @@ def parse_mzxml(piece: str) -> dict | None:
         return None
     out = {
         "scan_number": int(a["num"]), "ms_level": int(a.get("msLevel", 1)), "retention_time": seconds(a.get("retentionTime", "PT0S")),
-        "polarity": {"+": "positive", "-": "negative"}.get(a.get("polarity", ""), "both"), "centroid": a.get("centroided") == "1", "precursor": None, "mz": np.zeros(0), "intensity": np.zeros(0),
+        "polarity": {"+": "positive", "-": "negative"}.get(a.get("polarity", ""), "both"), "centroid": a.get("centroided") == "1", "precursor": None, "stated": int(a.get("peaksCount", 0) or 0), "arrays": _nothing,
     }
     if m := _TAG["precursorMz"].search(piece):
         p, value = attributes(m.group(1) or ""), piece[m.end() :].split("<", 1)[0].strip()
@@ -76,8 +80,12 @@ def parse_mzxml(piece: str) -> dict | None:
         }
     if m := _TAG["peaks"].search(piece):
         p, body = attributes(m.group(1) or ""), piece[m.end() :].split("<", 1)[0]
-        values = decode(body, int(p.get("precision", 32)), p.get("byteOrder", "network") == "network", p.get("compressionType", "none") == "zlib")
-        out["mz"], out["intensity"] = values[0::2], values[1::2]
+
+        def arrays():
+            values = decode(body, int(p.get("precision", 32)), p.get("byteOrder", "network") == "network", p.get("compressionType", "none") == "zlib")
+            return values[0::2], values[1::2]
+
+        out["arrays"] = arrays
     return out
 
 
@@ -99,7 +107,7 @@ def parse_mzml(piece: str) -> dict | None:
     rt = cv.get("MS:1000016", {})
     out = {
         "scan_number": int(head["index"]) + 1, "ms_level": int(cv.get("MS:1000511", {}).get("value") or 1), "retention_time": float(rt.get("value") or 0) * (60 if rt.get("unitAccession") == "UO:0000031" else 1),
-        "polarity": "positive" if "MS:1000130" in cv else "negative" if "MS:1000129" in cv else "both", "centroid": "MS:1000127" in cv, "precursor": None, "mz": np.zeros(0), "intensity": np.zeros(0),
+        "polarity": "positive" if "MS:1000130" in cv else "negative" if "MS:1000129" in cv else "both", "centroid": "MS:1000127" in cv, "precursor": None, "stated": int(head.get("defaultArrayLength", 0) or 0),
     }
     if before:
         ref = attributes((_TAG["precursor"].search(before) or re.match("", "")).group(0)).get("spectrumRef", "")
@@ -110,14 +118,18 @@ def parse_mzml(piece: str) -> dict | None:
             "scan_number": int(num.group(1)) if num else None, "charge": int(number("MS:1000041")), "mz": number("MS:1000827") or number("MS:1000744"), "intensity": number("MS:1000042"),
             "activation": "HCD" if "MS:1000422" in p else "CID" if "MS:1000133" in p else "unknown", "window": number("MS:1000828") + number("MS:1000829"),
         }
-    for block in re.split(r"<binaryDataArray(?=[\s>])", data)[1:]:
-        p = {x.get("accession") for x in params(block)}
-        m = re.search(r"<binary\s*>(.*?)</binary\s*>", block, re.S)
-        values = decode(m.group(1) if m else "", 64 if "MS:1000523" in p else 32, False, "MS:1000574" in p)
-        if "MS:1000514" in p:
-            out["mz"] = values
-        elif "MS:1000515" in p:
-            out["intensity"] = values
+
+    def arrays():
+        mz, intensity = _nothing()
+        for block in re.split(r"<binaryDataArray(?=[\s>])", data)[1:]:
+            p = {x.get("accession") for x in params(block)}
+            m = re.search(r"<binary\s*>(.*?)</binary\s*>", block, re.S)
+            if "MS:1000514" in p or "MS:1000515" in p:
+                values = decode(m.group(1) if m else "", 64 if "MS:1000523" in p else 32, False, "MS:1000574" in p)
+                mz, intensity = (values, intensity) if "MS:1000514" in p else (mz, values)
+        return mz, intensity
+
+    out["arrays"] = arrays
     return out
 
 
@@ -143,37 +155,55 @@ def _whole(rows, mark: str | None):
 
 def decode_pieces(pieces: DataFrame, parse, min_mz=-1.0, max_mz=-1.0, min_rt=-1.0, max_rt=-1.0, polarity="", ms_level=0, mark: str | None = None) -> DataFrame:
     """Scans from (path, value), where value is one piece of a spectrum file (as it lies in the file, if it was split at ``mark``)."""
-    (lo_mz, hi_mz), (lo_rt, hi_rt), wanted = check_range(min_mz, max_mz, "mz"), check_range(min_rt, max_rt, "rt"), polarity_of(polarity)
-    names = ["path", "scan_number", "ms_level", "retention_time", "polarity", "centroid", "num_points", "max_intensity", "total_intensity", "precursor", "points"]
-    types = [
-        pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.string(), pa.bool_(), pa.int64(), pa.float64(), pa.float64(),
-        pa.struct([("scan_number", pa.int64()), ("charge", pa.int32()), ("mz", pa.float64()), ("intensity", pa.float64()), ("activation", pa.string()), ("window", pa.float64())]),
-        pa.list_(pa.struct([("mz", pa.float64()), ("intensity", pa.float64())])),
-    ]
+    bounds, (lo_rt, hi_rt), sign = check_range(min_mz, max_mz, "mz"), check_range(min_rt, max_rt, "rt"), polarity_of(polarity)
+
+    def wanted(s: dict) -> bool:
+        return not ((ms_level and s["ms_level"] != ms_level) or not lo_rt <= s["retention_time"] <= hi_rt or (sign != "both" and s["polarity"] not in (sign, "both")))
 
     def run(batches):
         pieces = ((p, t) for b in batches for p, t in zip(b.column("path").to_pylist(), b.column("value").to_pylist(), strict=True))
-        whole = _whole(pieces, mark)
-        while part := list(islice(whole, 256)):
-            rows, points = [], []
-            for p, text in part:
-                s = parse(text)
-                if s is None or (ms_level and s["ms_level"] != ms_level) or not lo_rt <= s["retention_time"] <= hi_rt or (wanted != "both" and s["polarity"] not in (wanted, "both")):
-                    continue
-                ok = (s["mz"] >= lo_mz) & (s["mz"] <= hi_mz) & (s["intensity"] != 0)
-                mz, v = s["mz"][ok], s["intensity"][ok]
-                if len(mz):
-                    points.append((mz, v))
-                    rows.append((p, s["scan_number"], s["ms_level"], s["retention_time"], s["polarity"], s["centroid"], len(mz), float(v.max()), float(v.sum()), s["precursor"]))
-            columns = list(zip(*rows, strict=True)) or [()] * (len(names) - 1)
-            offsets = np.cumsum([0, *[len(mz) for mz, _ in points]]).astype(np.int32)
-            flat = [np.concatenate([x[k] for x in points]) if points else np.zeros(0) for k in (0, 1)]
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(x) for x in flat], ["mz", "intensity"]))
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(columns, types[:-1], strict=True)], lists], names=names)
+        yield from batches_of(_whole(pieces, mark), parse, wanted, bounds)
 
     return pieces.mapInArrow(run, SCHEMA)
 
 
+def batches_of(pieces, parse, wanted, bounds: tuple[float, float], points: bool = True):
+    """Arrow batches of the scans of (path, piece) that are ``wanted`` by their heads; only their arrays are decoded, or none.
+
+    Points of zero intensity or outside the bounds are dropped, and scans without any point left.
+    """
+    names = ["path", "scan_number", "ms_level", "retention_time", "polarity", "centroid", "num_points", "max_intensity", "total_intensity", "precursor", "points"]
+    types = [
+        pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.string(), pa.bool_(), pa.int64(), pa.float64(), pa.float64(),
+        pa.struct([("scan_number", pa.int64()), ("charge", pa.int32()), ("mz", pa.float64()), ("intensity", pa.float64()), ("activation", pa.string()), ("window", pa.float64())]),
+    ]
+    point = [pa.field("mz", pa.float64()), pa.field("intensity", pa.float64())]
+    while part := list(islice(pieces, 256)):
+        rows, kept = [], []
+        for path, text in part:
+            s = parse(text)
+            if s is None or not wanted(s):
+                continue
+            head = (path, s["scan_number"], s["ms_level"], s["retention_time"], s["polarity"], s["centroid"])
+            if not points:
+                rows.append((*head, s["stated"], None, None, s["precursor"]))
+                continue
+            mz, v = s["arrays"]()
+            ok = (mz >= bounds[0]) & (mz <= bounds[1]) & (v != 0)
+            if ok.any():
+                mz, v = mz[ok], v[ok]
+                kept.append((mz, v))
+                rows.append((*head, len(mz), float(v.max()), float(v.sum()), s["precursor"]))
+        columns = list(zip(*rows, strict=True)) or [()] * len(types)
+        if points:
+            offsets = np.cumsum([0, *[len(mz) for mz, _ in kept]]).astype(np.int32)
+            flat = [np.concatenate([x[k] for x in kept]) if kept else np.zeros(0) for k in (0, 1)]
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(x) for x in flat], fields=point))
+        else:
+            lists = pa.nulls(len(rows), pa.list_(pa.struct(point)))
+        yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(columns, types, strict=True)], lists], names=names)
+
+
 def read_mzxml(spark: SparkSession, path, min_mz=-1.0, max_mz=-1.0, min_rt=-1.0, max_rt=-1.0, polarity="", ms_level=1) -> DataFrame:
     """Scans of mzXML files; ms_level 0 reads all levels."""
     return _read(spark, path, "<scan", parse_mzxml, min_mz, max_mz, min_rt, max_rt, polarity, ms_level)

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from mzloom.sources import identifications, spectra
+from mzloom.sources import files, identifications, spectra
 from tests.files import mzid, mzml, mzxml
 
 SCANS = [
@@ -81,3 +81,74 @@ def test_white_space_and_longer_tag_names(spark, tmp_path):
     (tmp_path / "b.mzML").write_text(text.replace("<spectrum ", "<spectrum\r\n ").replace("<binaryDataArray ", "<binaryDataArray\n").replace("<binary>", "<binary >"))
     plain, odd = (spectra.read_mzml(spark, str(tmp_path / f"{n}.mzML"), polarity="", ms_level=0).drop("path").orderBy("scan_number").collect() for n in "ab")
     assert plain == odd and len(plain) == 3
+
+
+def _indexed(path, kind, broken=""):
+    """Adds the format's index to a plain file; ``broken`` spoils it."""
+    raw = path.read_bytes()
+    mark, close = (b"<scan ", b"</mzXML>") if kind == "mzxml" else (b"<spectrum ", b"</mzML>")
+    at, offsets = raw.find(mark), []
+    while at >= 0:
+        offsets.append(at + (7 if broken == "shifted" else 0))
+        at = raw.find(mark, at + 1)
+    place = len(raw) - len(close) - 1 + (10**6 if broken == "place" else 0)
+    name = b"scan" if kind == "mzxml" else b"spectrum"
+    rows = b"".join(b'<offset id="%d">%d</offset>' % (k, o) for k, o in enumerate(offsets))
+    index = b'<index name="%s">%s</index>' % (name, rows)
+    tag = b"indexOffset" if kind == "mzxml" else b"indexListOffset"
+    index = index if kind == "mzxml" else b'<indexList count="1">' + index + b"</indexList>"
+    path.write_bytes(raw.replace(close + b"\n", index + b"<%s>%d</%s>" % (tag, place, tag) + close + b"\n"))
+
+
+MANY = [(k + 1, 1 + k % 2, 10.0 + k, "+-"[k % 3 == 0], np.arange(400.0, 400 + 5 + k % 7), np.arange(1.0, 6 + k % 7), (k, 2, 500.25) if k % 2 else None) for k in range(40)]
+
+
+@pytest.mark.parametrize("kind", ["mzxml", "mzml"])
+@pytest.mark.parametrize("index", ["none", "whole", "shifted", "place"])
+def test_spectrum_source(spark, tmp_path, kind, index):
+    files.register(spark)
+    write, read = (mzxml, spectra.read_mzxml) if kind == "mzxml" else (mzml, spectra.read_mzml)
+    for n in "ab":
+        write(tmp_path / f"{n}.{kind}", MANY)
+        if index != "none":
+            _indexed(tmp_path / f"{n}.{kind}", kind, index)
+    with files.opened(str(tmp_path / f"a.{kind}")) as f:
+        found = files.indexed_offsets(f, f.size(), kind)
+        assert (found is not None) == (index == "whole") and (found is None or len(found) == 40)
+        assert len(files.scanned_offsets(f, kind)) == 40
+    want = read(spark, str(tmp_path / f"a.{kind}"), polarity="", ms_level=0).drop("path").orderBy("scan_number").collect()
+    whole = spark.read.format("spectra").option("part_bytes", 1500).load(str(tmp_path))
+    assert whole.rdd.getNumPartitions() > 10 and whole.where("path like '%b." + kind + "'").count() == 40
+    assert whole.where("path like '%a." + kind + "'").drop("path").orderBy("scan_number").collect() == want and len(want) == 40
+    some = whole.where("ms_level = 1 and retention_time between 15 and 30 and polarity in ('positive', 'both') and num_points > 6 and path like '%/a." + kind + "'")
+    assert [r.scan_number for r in some.orderBy("scan_number").collect()] == [r.scan_number for r in want if r.ms_level == 1 and 15 <= r.retention_time <= 30 and r.polarity == "positive" and r.num_points > 6]
+    heads = spark.read.format("spectra").option("points", "false").option("format", kind).load(str(tmp_path / f"a.{kind}"))
+    assert heads.where("points is null").count() == 40
+
+
+def test_dropped_spectra_are_not_decoded(monkeypatch, tmp_path):
+    mzxml(tmp_path / "a.mzxml", MANY)
+    reader = files.SpectrumReader({"path": str(tmp_path / "a.mzxml")})
+    other = files.EqualTo(("centroid",), True)
+    assert list(reader.pushFilters([files.EqualTo(("ms_level",), 2), files.LessThan(("retention_time",), 20.0), other])) == [other]
+    decoded = []
+    real = spectra.decode
+    monkeypatch.setattr(spectra, "decode", lambda *a: (decoded.append(1), real(*a))[1])
+    got = [n for p in reader.partitions() for b in reader.read(p) for n in b.column("scan_number").to_pylist()]
+    assert got == [2, 4, 6, 8, 10] and len(decoded) == 5
+    with pytest.raises(ValueError):
+        files.kind_of("x.txt", None)
+
+
+def test_two_known_scans(spark, tmp_path):
+    """64-bit network order, nested scans, attributes over several lines, and a scan without points."""
+    (tmp_path / "k.mzxml").write_text(
+        '<?xml version="1.0"?>\n<mzXML><msRun scanCount="2">\n<scan num="1"\n scanType="Full" centroided="1" msLevel="1" peaksCount="2"\n polarity="-" retentionTime="PT1H2M3.5S">\n'
+        '<peaks compressionType="none" compressedLen="0" precision="64" byteOrder="network" contentType="m/z-int">' + "QHkAAAAAAABAFAAAAAAAAEB/RAAAAAAAQB4AAAAAAAA=" + '</peaks>\n'
+        '<scan num="2" msLevel="2" peaksCount="0" polarity="-" retentionTime="PT3725S"><precursorMz precursorScanNum="1" precursorIntensity="1.5" precursorCharge="3" activationMethod="HCD" windowWideness="2.0">557.64</precursorMz>\n'
+        '<peaks precision="64" byteOrder="network" contentType="m/z-int">QFkAAAAAAABACAAAAAAAAA==</peaks></scan>\n</scan>\n</msRun></mzXML>\n'
+    )
+    files.register(spark)
+    one, two = spark.read.format("spectra").load(str(tmp_path / "k.mzxml")).orderBy("scan_number").collect()
+    assert (one.retention_time, one.polarity, one.centroid, one.points) == (3723.5, "negative", True, [(400.0, 5.0), (500.25, 7.5)])
+    assert two.precursor.asDict() == {"scan_number": 1, "charge": 3, "mz": 557.64, "intensity": 1.5, "activation": "HCD", "window": 2.0} and two.points == [(100.0, 3.0)]
