@@ -69,55 +69,104 @@ def overlap_sum(ref: np.ndarray, src: np.ndarray) -> float:
 
 
 _COLUMNS = ["fitted_mz", "fitted_rt", "fitted_sigma_mz", "fitted_sigma_rt", "fitted_height"]
+#: Peaks of the reference run that every task may hold (48 bytes each); runs are cut to ``max_peaks`` before, a million by default.
+REFERENCE_PEAKS = 4_000_000
+
+
+def touching_pairs(ref: np.ndarray, src: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of pairs within three sigmas of each other in m/z, by a sweep over the sorted masses."""
+    order = np.argsort(ref[:, 0], kind="stable")
+    at = ref[order, 0]
+    reach = 3 * (src[:, 2] + (ref[:, 2].max() if len(ref) else 0.0))
+    lo, hi = np.searchsorted(at, src[:, 0] - reach, "left"), np.searchsorted(at, src[:, 0] + reach, "right")
+    n = hi - lo
+    j = np.repeat(np.arange(len(src)), n)
+    i = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[j]]
+    near = np.abs(ref[i, 0] - src[j, 0]) <= 3 * (ref[i, 2] + src[j, 2])
+    return i[near], j[near]
+
+
+def level_similarities(ref: np.ndarray, src: np.ndarray, rt_min: float, delta: float, level: int, starts: np.ndarray, ends: tuple[int, int], window: int, slack: int):
+    """(src_start, src_end, similarity) of the edges from ``starts`` to nodes within ``ends``.
+
+    Which peaks touch in m/z doesn't depend on the warping, so those pairs are found once for all edges; an
+    edge only moves their times. ``src`` is sorted by time.
+    """
+    i, j = touching_pairs(ref, src)
+    by_time = np.argsort(j, kind="stable")
+    p, q = ref[i[by_time]], src[j[by_time]]
+    vp, vq, rp, rq = p[:, 2] ** 2, q[:, 2] ** 2, p[:, 3] ** 2, q[:, 3] ** 2
+    fixed = vp * vq * np.exp(-0.5 * (p[:, 0] - q[:, 0]) ** 2 / (vp + vq)) / np.sqrt(vp + vq) * p[:, 4] * q[:, 4] * rp * rq / np.sqrt(rp + rq)
+    wide, reach = rp + rq, 3 * (p[:, 3] + q[:, 3])
+    start, end = rt_min + level * window * delta, rt_min + (level + 1) * window * delta
+    out = []
+    for s in starts.tolist():
+        to = np.arange(max(s + window - slack, ends[0]), min(s + window + slack, ends[1]) + 1)
+        if not len(to):
+            continue
+        a, b = rt_min + s * delta, rt_min + to * delta
+        lo, hi = np.searchsorted(q[:, 1], [a, b[-1]]) if len(q) else (0, 0)
+        rt = q[lo:hi, 1]
+        moved = start + (rt - a) / (b - a)[:, None] * (end - start)
+        off = np.abs(p[lo:hi, 1] - moved)
+        ok = (rt < b[:, None]) & (off <= reach[lo:hi])
+        value = np.where(ok, fixed[lo:hi] * np.exp(-0.5 * off**2 / wide[lo:hi]), 0.0).sum(1)
+        out.append((np.full(len(to), s), to, value))
+    return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+
+
+def highest(peaks: np.ndarray, lo: float, width: float, most: int) -> np.ndarray:
+    """The ``most`` highest of peaks (sorted by time, with their id last) in the segment from ``lo``, found as ``segment_peaks`` does."""
+    a, b = np.searchsorted(peaks[:, 1], [lo - 1e-6 * width, lo + width * (1 + 1e-6)])
+    part = peaks[a:b]
+    part = part[np.floor((part[:, 1] - lo) / width) == 0]
+    return part[np.lexsort((part[:, 5], -part[:, 4]))[:most], :5]
 
 
 def warped_similarities(peaks: DataFrame, reference: int, how: Warping, parts: int = 8) -> DataFrame:
     """(file_id, level, src_start, src_end, similarity) of every edge of every file.
 
-    Edges are grouped by file, level and a block of start nodes; a group holds the level's reference
-    peaks and the file's source peaks near them, both bounded by ``peaks_per_window`` per segment.
+    The reference run is sorted once and broadcast, checked against ``REFERENCE_PEAKS``; source segments are grouped by file and
+    level, bounded by ``peaks_per_window`` per segment, and their start nodes are dealt to ``parts`` tasks.
     """
     spark = peaks.sparkSession
     segments = how.num_points // how.window
     n_points = segments * how.window
     ranges = rt_range(peaks, reference, how.expand)
-    src = peaks.withColumn("rt", F.col("fitted_rt"))
-    kept = segment_peaks(src, ranges, segments, n_points, how.window, how.peaks_per_window)
-    files = [r.file_id for r in ranges.select("file_id").orderBy("file_id").collect()]  # one row per run
-    blocks = warpings(spark, segments, how.window, how.slack)
-    blocks = blocks.groupBy("level", F.pmod("src_start", F.lit(parts)).alias("part")).agg(F.sort_array(F.collect_list(F.struct("src_start", "src_end"))).alias("edges"))
-    jobs = blocks.withColumn("file_id", F.explode(F.array(*[F.lit(f) for f in files])))
-    source = kept.select("file_id", F.col("segment"), F.struct(*_COLUMNS).alias("p"), "rt_min", "delta")
-    # Reference peaks in each file's range: the reference is binned once per file, since ranges differ.
-    ref = peaks.where(F.col("file_id") == reference).drop("file_id").withColumn("file_id", F.explode(F.array(*[F.lit(f) for f in files])))
-    ref = segment_peaks(ref, ranges, segments, n_points, how.window, how.peaks_per_window).select("file_id", F.col("segment").alias("level"), F.struct(*_COLUMNS).alias("p"))
-    ref = ref.groupBy("file_id", "level").agg(F.collect_list("p").alias("ref"))
+    own = peaks.where(F.col("file_id") == reference).select(*_COLUMNS, F.col("peak_id").cast("double").alias("peak_id"))
+    if (n := own.count()) > REFERENCE_PEAKS:
+        raise ValueError(f"the reference run has {n} peaks: cut runs to {REFERENCE_PEAKS} at most")
+    table = own.orderBy("fitted_rt", "peak_id").toArrow()
+    ref = spark.sparkContext.broadcast(np.column_stack([table.column(c).to_numpy() for c in table.column_names]).astype(float).reshape(-1, 6))
+    source = segment_peaks(peaks, ranges, segments, n_points, how.window, how.peaks_per_window).select("file_id", "segment", F.struct(*_COLUMNS).alias("p"))
     # A source segment starts within level * slack points of its place, so only nearby segments matter.
     span = [math.ceil(how.slack * (k + 1) / how.window) + 1 for k in range(segments)]
-    widths = F.element_at(F.array(*[F.lit(x) for x in span]), (F.col("segment") + 1).cast("int"))
-    near = source.withColumn("level", F.explode(F.sequence(F.greatest(F.col("segment") - widths.cast("long") * 2 - 2, F.lit(0)), F.least(F.col("segment") + widths.cast("long") * 2 + 2, F.lit(segments - 1)))))
+    widths = F.element_at(F.array(*[F.lit(x) for x in span]), (F.col("segment") + 1).cast("int")).cast("long") * 2 + 2
+    near = source.withColumn("level", F.explode(F.sequence(F.greatest(F.col("segment") - widths, F.lit(0)), F.least(F.col("segment") + widths, F.lit(segments - 1)))))
     near = near.groupBy("file_id", "level").agg(F.collect_list("p").alias("src"))
-    g = jobs.join(near, ["file_id", "level"], "left").join(ref, ["file_id", "level"], "left").join(F.broadcast(ranges), "file_id")
-    window = how.window
+    jobs = ranges.withColumn("level", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(segments - 1).cast("long")))).join(near, ["file_id", "level"], "left")
+    jobs = jobs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition("file_id", "level", "part")
+    window, slack, most = how.window, how.slack, how.peaks_per_window
+    kind = peaks.schema["file_id"].dataType.simpleString()
+
+    def bounds(level: int) -> tuple[int, int]:
+        rest = segments - level
+        return max(level * (window - slack), n_points - rest * (window + slack)), min(level * (window + slack), n_points - rest * (window - slack))
 
     def run(batches):
         for x in batches:
             out = []
             for r in x.itertuples(index=False):
                 delta = (r.rt_max - r.rt_min) / (n_points - 1)
-                table = lambda v: np.array([[q[c] for c in _COLUMNS] for q in v], float).reshape(-1, 5) if v is not None else np.zeros((0, 5))
-                ref_peaks, peaks_ = table(r.ref), table(r.src)
-                peaks_ = peaks_[np.argsort(peaks_[:, 1], kind="stable")]
-                start, end = r.rt_min + r.level * window * delta, r.rt_min + (r.level + 1) * window * delta
-                for e in r.edges:
-                    a, b = r.rt_min + e["src_start"] * delta, r.rt_min + e["src_end"] * delta
-                    lo, hi = np.searchsorted(peaks_[:, 1], [a, b])
-                    part = peaks_[lo:hi].copy()
-                    part[:, 1] = start + (part[:, 1] - a) / (b - a) * (end - start)
-                    out.append((r.file_id, r.level, e["src_start"], e["src_end"], overlap_sum(ref_peaks, part)))
-            yield pd.DataFrame(out, columns=["file_id", "level", "src_start", "src_end", "similarity"])
-
-    return g.select("file_id", "level", "edges", "src", "ref", "rt_min", "rt_max").mapInPandas(run, "file_id int, level long, src_start long, src_end long, similarity double")
+                src = np.array([[q[c] for c in _COLUMNS] for q in r.src], float).reshape(-1, 5) if r.src is not None else np.zeros((0, 5))
+                src = src[np.argsort(src[:, 1], kind="stable")]
+                own = highest(ref.value, r.rt_min + r.level * window * delta, window * delta, most)
+                a, b = bounds(r.level)
+                s, e, v = level_similarities(own, src, r.rt_min, delta, r.level, np.arange(a + r.part, b + 1, parts), bounds(r.level + 1), window, slack)
+                out.append(pd.DataFrame({"file_id": r.file_id, "level": r.level, "src_start": s, "src_end": e, "similarity": v}))
+            yield pd.concat(out)
+
+    return jobs.select("file_id", "level", "part", "src", "rt_min", "rt_max").mapInPandas(run, f"file_id {kind}, level long, src_start long, src_end long, similarity double")
 
 
 def best_path(edges: pd.DataFrame, segments: int) -> list[int]:
