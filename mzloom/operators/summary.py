@@ -3,17 +3,80 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from mzloom.operators.rangejoin import touching
+from mzloom.storage import materialise
+
+
+#: Bins that a range of values is split into per pass.
+BINS = 1024
+
+
+def quantiles(df: DataFrame, value: str, probabilities: list[float], *keys: str) -> DataFrame:
+    """``keys`` and an array q of exact quantiles of ``value``, interpolated between neighbours as ``percentile`` does.
+
+    Every wanted order statistic has a range of values that holds it. A pass splits all ranges into bins, counts, and keeps the bin
+    with the wanted rank, with the least and greatest value in it; so no buffer holds more than BINS counts, whatever the number
+    of values, and all keys and quantiles share the passes. Nulls and NaN are left out.
+    """
+    keys_ = list(keys)
+    v = df.select(*keys_, F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
+    whole = v.groupBy(*keys_).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    places = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(p)).alias("p")) for k, p in enumerate(probabilities)]))
+    wanted = whole.withColumn("_q", places).withColumn("_at", (F.col("_n") - 1) * F.col("_q.p"))
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), f("_at").cast("long").alias("rank")) for s, f in ((0, F.floor), (1, F.ceil))]))
+    # One row per key, quantile and side; rank counts from the range's least value.
+    open_ = materialise(wanted.withColumn("_s", sides).select(*keys_, F.col("_q.k").alias("_k"), "_at", F.col("_s.side").alias("_side"), F.col("_s.rank").alias("_rank"), "_lo", "_hi"))
+    same = lambda a, b: reduce(and_, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys_], F.lit(True))
+    done = []
+    while True:
+        done.append(open_.where("_lo = _hi"))
+        left = open_.where("_lo < _hi")
+        if left.isEmpty():
+            break
+        ranges = left.select(*keys_, "_lo", "_hi").distinct()
+        width = F.col("t._hi") / BINS - F.col("t._lo") / BINS
+        at = F.when(width > 0, F.floor(F.least((F.col("p._v") - F.col("t._lo")) / width, F.lit(float(BINS))))).otherwise((F.col("p._v") == F.col("t._hi")).cast("long"))
+        inside = v.alias("p").join(F.broadcast(ranges).alias("t"), same("p", "t") & F.col("p._v").between(F.col("t._lo"), F.col("t._hi")))
+        counts = inside.groupBy(*[F.col(f"t.{k}").alias(k) for k in keys_], "t._lo", "t._hi", at.alias("_bin")).agg(F.count("*").alias("_c"), F.min("p._v").alias("_least"), F.max("p._v").alias("_most"))
+        before = F.sum("_c").over(W.partitionBy(*keys_, "_lo", "_hi").orderBy("_bin")) - F.col("_c")  # BINS + 1 rows a range
+        counts = counts.withColumn("_before", before)
+        hit = left.alias("l").join(counts.alias("c"), same("l", "c") & (F.col("l._lo") == F.col("c._lo")) & (F.col("l._hi") == F.col("c._hi")) & (F.col("l._rank") >= F.col("c._before")) & (F.col("l._rank") < F.col("c._before") + F.col("c._c")))
+        open_ = materialise(hit.select(*[F.col(f"l.{k}").alias(k) for k in keys_], "l._k", "l._at", "l._side", (F.col("l._rank") - F.col("c._before")).alias("_rank"), F.col("c._least").alias("_lo"), F.col("c._most").alias("_hi")))
+    found = reduce(DataFrame.unionByName, done)
+    both = found.groupBy(*keys_, "_k", "_at").agg(F.max(F.when(F.col("_side") == 0, F.col("_lo"))).alias("_a"), F.max(F.when(F.col("_side") == 1, F.col("_lo"))).alias("_b"))
+    share = F.col("_at") - F.floor("_at")
+    one = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise((F.ceil("_at") - F.col("_at")) * F.col("_a") + share * F.col("_b"))
+    return both.groupBy(*keys_).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", one.alias("v")))), lambda x: x["v"]).alias("q"))
+
+
+def _with_quantiles(summary: DataFrame, q: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """``summary`` with quantiles as columns ``names``."""
+    if not keys:
+        joined = summary.crossJoin(F.broadcast(q)) if not q.isEmpty() else summary.withColumn("q", F.lit(None).cast("array<double>"))  # one row each
+    else:
+        named = q.select(*[F.col(k).alias(f"_{k}") for k in keys], "q")
+        joined = summary.join(named, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "left").drop(*[f"_{k}" for k in keys])
+    return joined.withColumns({n: F.get("q", F.lit(k)) for k, n in enumerate(names)}).drop("q")
 
 
 def describe(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """count, mean, median and population deviation of ``value`` per key."""
-    return df.groupBy(*keys).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.expr(f"percentile({value}, 0.5)").alias("median"), F.stddev_pop(value).alias("std"))
+    out = df.groupBy(*keys).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    return _with_quantiles(out, quantiles(df, value, [0.5], *keys), list(keys), ["median"]).select(*keys, "count", "mean", "median", "std")
+
+
+def describe_all(df: DataFrame, values: list[str]) -> dict[str, DataFrame]:
+    """``describe`` per file_id of several columns, whose quantiles share their passes."""
+    each = df.select("file_id", F.explode(F.array(*[F.struct(F.lit(v).alias("what"), F.col(v).cast("double").alias("v")) for v in values])).alias("x")).select("file_id", "x.what", "x.v")
+    told = materialise(describe(each, "v", "file_id", "what"))
+    return {v: told.where(F.col("what") == v).drop("what") for v in values}
 
 
 def over_files(per_file: DataFrame) -> DataFrame:
@@ -45,14 +108,15 @@ def isotope_counts(features: DataFrame) -> DataFrame:
 
 def isotope_summary(features: DataFrame) -> DataFrame:
     n = features.select("file_id", F.size("peak_ids").alias("n"))
-    return n.groupBy("file_id").agg(F.count("*").alias("count"), F.avg("n").alias("mean"), F.expr("percentile(n, 0.5)").alias("median"), F.max("n").alias("max"))
+    out = n.groupBy("file_id").agg(F.count("*").alias("count"), F.avg("n").alias("mean"), F.max("n").alias("max"))
+    return _with_quantiles(out, quantiles(n, "n", [0.5], "file_id"), ["file_id"], ["median"]).select("file_id", "count", "mean", "median", "max")
 
 
 def ma_summary(pairs: DataFrame) -> DataFrame:
     """log2 ratios of (file_id, a, b): mean, median, sample deviation, 5th and 95th percentile."""
     m = pairs.where("a > 0 and b > 0").select("file_id", F.log2(F.col("a") / F.col("b")).alias("m"))
-    p = lambda q: F.expr(f"percentile(m, {q})")
-    return m.groupBy("file_id").agg(F.avg("m").alias("mean"), p(0.5).alias("median"), F.stddev_samp("m").alias("std"), p(0.05).alias("p5"), p(0.95).alias("p95"))
+    out = m.groupBy("file_id").agg(F.avg("m").alias("mean"), F.stddev_samp("m").alias("std"))
+    return _with_quantiles(out, quantiles(m, "m", [0.5, 0.05, 0.95], "file_id"), ["file_id"], ["median", "p5", "p95"]).select("file_id", "mean", "median", "std", "p5", "p95")
 
 
 def closest_peak(targets: DataFrame, peaks: DataFrame, n_mz: float = 3.0, n_rt: float = 3.0, width: float = 5.0, width_rt: float = 60.0) -> DataFrame:

@@ -214,10 +214,10 @@ def dda_pipeline(spark: SparkSession, params: Parameters, files: list[RunFile],
     t["event_summary"] = summary.event_summary(ms2)
     t["isotope_counts"] = summary.isotope_counts(feats)
     t["isotope_summary"] = summary.isotope_summary(feats)
-    for value in ("height", "volume", "sigma_mz", "sigma_rt"):
-        t[f"peak_{value}_summary"] = summary.describe(aligned, f"fitted_{value}", "file_id")
-    for value in ("max_height", "monoisotopic_height", "total_height"):
-        t[f"feature_{value}_summary"] = summary.describe(feats, value, "file_id")
+    for value, told in summary.describe_all(aligned, [f"fitted_{v}" for v in ("height", "volume", "sigma_mz", "sigma_rt")]).items():
+        t[f"peak_{value.removeprefix('fitted_')}_summary"] = told
+    for value, told in summary.describe_all(feats, ["max_height", "monoisotopic_height", "total_height"]).items():
+        t[f"feature_{value}_summary"] = told
     t["peak_summary"] = t["peak_height_summary"]
     t["peak_summary_over_files"] = summary.over_files(t["peak_summary"])
     t["linking"] = summary.linking_efficiency(peak_events, ms2)
