@@ -71,6 +71,25 @@ def nearest_pattern(mass: float, table: list[tuple[float, list[float]]]) -> list
     return table[k][1]
 
 
+def with_pattern(peaks: DataFrame) -> DataFrame:
+    """Adds averagine_mass and pattern, the nearest averagine peptide of (fitted_mz, charge); peaks beyond the last mass are dropped."""
+    table = averagine_table()
+    masses = [m for m, _ in table]
+
+    @F.pandas_udf("averagine_mass double, pattern array<double>")
+    def looked_up(mass: pd.Series) -> pd.DataFrame:
+        up = np.searchsorted(masses, mass)
+        near = np.minimum(up, len(masses) - 1)
+        low = np.maximum(near - 1, 0)
+        at = np.where((near > 0) & (mass - np.take(masses, low) < np.take(masses, near) - mass), low, near)
+        found = up < len(masses)
+        return pd.DataFrame({"averagine_mass": np.where(found, np.take(masses, at), np.nan), "pattern": [table[k][1] if ok else None for k, ok in zip(at, found, strict=True)]})
+
+    z = F.col("charge")
+    out = peaks.withColumn("_p", looked_up(F.col("fitted_mz") * z - z * PROTON)).where("_p.pattern is not null")
+    return out.withColumns({"averagine_mass": F.col("_p.averagine_mass"), "pattern": F.col("_p.pattern")}).drop("_p")
+
+
 def rolling_cosine(a: list[float], b: list[float], ratio: float = 4.0) -> tuple[float, int, int]:
     """Best (score, first, last) of laying the top of ``b`` on each place of ``a``.
 

@@ -15,7 +15,7 @@ from mzloom.adapters import duckdb_view, view
 from mzloom.functions import exprs as X
 from mzloom.operators import features, grid, link, match, peaks, points, proteins, quant, similarity, summary, warp
 from mzloom.params import Resampling, Run, Warping
-from mzloom.sources import encode, files, spectra
+from mzloom.sources import encode, files, identifications, sinks, spectra
 from mzloom.storage import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -256,6 +256,76 @@ def find_failed_peaks(p):
     return f.select("file_id", "peak_id", "fit_failure_code", "peak_fit_failure", peaks.failure_text("fit_failure_code").alias("errors"))
 
 
+#: Fit of the centroid model: three unknowns by Cramer's rule, then every failure bit that this model can have.
+_CENTROID = _ROI + """,
+    q3 AS (SELECT x.file_id, x.i, x.j, x.lm, x.lr, (x.mz - x.lm) / sm AS u, (x.rt - x.lr) / sr AS v, x.w FROM x JOIN c ON c.file_id = x.file_id AND c.i = x.i AND c.j = x.j, s),
+    z3 AS (SELECT *, CASE WHEN w > 0 THEN power(w * exp(-0.5 * (u * u + v * v)), 2) ELSE 0 END AS k, CASE WHEN w > 0 THEN ln(w) ELSE 0 END + 0.5 * u * u AS y FROM q3),
+    t3 AS (SELECT file_id, i, j, max(lm) AS lm, max(lr) AS lr, sum(k) AS s0, sum(k * v) AS s1, sum(k * v * v) AS s2, sum(k * v * v * v) AS s3, sum(k * v * v * v * v) AS s4, sum(k * y) AS t0, sum(k * v * y) AS t1, sum(k * v * v * y) AS t2 FROM z3 GROUP BY ALL),
+    d3 AS (SELECT *, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2) AS det FROM t3),
+    f3 AS (SELECT *, (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / det AS a, (s0 * (t1 * s4 - s3 * t2) - t0 * (s1 * s4 - s3 * s2) + s2 * (s1 * t2 - t1 * s2)) / det AS d,
+          (s0 * (s2 * t2 - t1 * s3) - s1 * (s1 * t2 - t1 * s2) + t0 * (s1 * s3 - s2 * s2)) / det AS e FROM d3),
+    g3 AS (SELECT f3.*, a - d * d / (4 * e) AS lnh, f3.lr - d / (2 * e) * sr AS frt, CASE WHEN e < 0 THEN sqrt(-0.5 / e) * sr END AS fs, sr, sqrt(greatest(c.m2, 0)) AS rm, sqrt(greatest(c.r2, 0)) AS rr, c.mw FROM f3 JOIN c ON c.file_id = f3.file_id AND c.i = f3.i AND c.j = f3.j, s),
+    fits AS (SELECT *, CASE WHEN e >= 0 THEN (1 << 12) | (1 << 17) ELSE 0 END + CASE WHEN rm <= 1e-6 THEN 1 << 28 ELSE 0 END + CASE WHEN rr <= 0 THEN 1 << 29 ELSE 0 END + CASE WHEN lnh > ln(2 * mw) THEN 1 << 30 ELSE 0 END
+          + CASE WHEN frt < lr - 3 * sr THEN CAST(1 AS BIGINT) << 33 ELSE 0 END + CASE WHEN frt > lr + 3 * sr THEN CAST(1 AS BIGINT) << 34 ELSE 0 END
+          + CASE WHEN fs <= sr / 3 THEN CAST(1 AS BIGINT) << 36 ELSE 0 END + CASE WHEN fs >= 3 * sr THEN CAST(1 AS BIGINT) << 38 ELSE 0 END AS code FROM g3)"""
+
+
+def _centroid_fits(p):
+    return peaks.find_peaks(p, _maxima(p), _ROI_RUN, 1_000_000, centroid=True, failed=True, bin_mz=4.0)
+
+
+@query("signal", sql=_CENTROID + " SELECT file_id, round(lm, 6) AS mz, round(lr, 2) AS rt, code AS fit_failure_code, code <> 0 AS peak_fit_failure FROM fits")
+def centroid_failures(p):
+    """Whether the width of a region of one m/z is zero or a rounding error is no question here: the bit is set for both."""
+    one = F.lit(1 << 28)
+    code = F.col("fit_failure_code").bitwiseAND(F.lit(~(1 << 28))).bitwiseOR(F.when(F.col("raw_roi_sigma_mz") <= 1e-6, one).otherwise(0))
+    return _centroid_fits(p).select("file_id", F.round("local_max_mz", 6).alias("mz"), F.round("local_max_rt", 2).alias("rt"), code.alias("fit_failure_code"), (code != 0).alias("peak_fit_failure"))
+
+
+@query("signal", sql=_CENTROID + " SELECT file_id, round(lm, 6) AS fitted_mz, round(frt, 1) AS fitted_rt, round(lnh, 4) + CAST(0 AS DOUBLE) AS log_height, round(fs / sr, 5) AS width, round(lnh + ln(fs / sr), 4) + CAST(0 AS DOUBLE) AS log_volume FROM fits WHERE code = 0")
+def centroid_peaks(p):
+    f = peaks.find_peaks(p, _maxima(p), _ROI_RUN, 1_000_000, centroid=True, bin_mz=4.0).where("raw_roi_sigma_mz > 1e-6")
+    width = F.col("fitted_sigma_rt") / X.sigma_rt(_ROI_RUN)
+    volume = F.col("fitted_volume") / (F.col("fitted_sigma_mz") * X.sigma_rt(_ROI_RUN) * 6.283185307179586)
+    return f.select("file_id", F.round("fitted_mz", 6).alias("fitted_mz"), F.round("fitted_rt", 1).alias("fitted_rt"), (F.round(F.log("fitted_height"), 4) + 0.0).alias("log_height"), F.round(width, 5).alias("width"), (F.round(F.log(volume), 4) + 0.0).alias("log_volume"))
+
+
+_TERM = ["1", "u", "u * u", "v", "v * v"]
+
+
+def _elimination() -> str:
+    """Gauss elimination of the 5 x 5 normal equations, one unknown per CTE, then the unknowns from the last to the first."""
+    ids, n = "file_id, i, j", range(5)
+    out = "e0 AS (SELECT " + ids + ", max(lm) AS lm, max(lr) AS lr, " + ", ".join([f"sum(k * {_TERM[r]} * {_TERM[c]}) AS a{r}{c}" for r in n for c in n] + [f"sum(k * y * {_TERM[r]}) AS b{r}" for r in n]) + f" FROM w3 GROUP BY {ids} HAVING count(DISTINCT mz) >= 3 AND count(DISTINCT rt) >= 5 AND count(*) >= 6)"
+    for k in range(4):
+        rows = [f"a{r}{c} - a{r}{k} / a{k}{k} * a{k}{c} AS a{r}{c}" if r > k else f"a{r}{c}" for r in n for c in n] + [f"b{r} - a{r}{k} / a{k}{k} * b{k} AS b{r}" if r > k else f"b{r}" for r in n]
+        out += f", e{k + 1} AS (SELECT {ids}, lm, lr, {', '.join(rows)} FROM e{k})"
+    for k in (4, 3, 2, 1, 0):
+        out += f", x{k} AS (SELECT *, (b{k}" + "".join(f" - a{k}{c} * p{c}" for c in range(k + 1, 5)) + f") / a{k}{k} AS p{k} FROM {'e4' if k == 4 else f'x{k + 1}'})"
+    return out
+
+
+@query("signal", sql=_ROI + """,
+    q3 AS (SELECT x.file_id, x.i, x.j, x.lm, x.lr, x.mz, x.rt, (x.mz - x.lm) / sm AS u, (x.rt - x.lr) / sr AS v, x.w FROM x, s),
+    w3 AS (SELECT *, CASE WHEN w > 0 THEN power(w * exp(-0.5 * (u * u + v * v)), 2) ELSE 0 END AS k, CASE WHEN w > 0 THEN ln(w) ELSE 0 END AS y FROM q3),
+    """ + _elimination() + """
+    SELECT file_id, round(lm, 6) AS mz, round(lr, 2) AS rt, round(p0, 3) + CAST(0 AS DOUBLE) AS a, round(p1, 3) + CAST(0 AS DOUBLE) AS b, round(p2, 3) + CAST(0 AS DOUBLE) AS c, round(p3, 3) + CAST(0 AS DOUBLE) AS d, round(p4, 3) + CAST(0 AS DOUBLE) AS e,
+           CASE WHEN p2 < 0 AND p4 < 0 THEN round(p0 - p1 * p1 / (4 * p2) - p3 * p3 / (4 * p4), 2) + CAST(0 AS DOUBLE) END AS log_height FROM x0""")
+def gaussian_fits(p):
+    """Parameters of the two-dimensional fit of all regions with enough points for five unknowns."""
+    members = peaks.in_regions(p, peaks.regions(_maxima(p), _ROI_RUN), 4.0, 4 * X.sigma_rt(_ROI_RUN))
+    enough = members.groupBy("file_id", "local_max_mz", "local_max_rt").agg(F.countDistinct("mz").alias("n_mz"), F.countDistinct("rt").alias("n_rt"), F.count("*").alias("n")).where("n_mz >= 3 and n_rt >= 5 and n >= 6")
+    f = peaks.fit(peaks.raw_moments(members)).join(enough.select("file_id", "local_max_mz", "local_max_rt"), ["file_id", "local_max_mz", "local_max_rt"])
+    height = F.when((F.col("fit.c") < 0) & (F.col("fit.e") < 0), F.round(F.log("fitted_height"), 2) + 0.0)
+    return f.select("file_id", F.round("local_max_mz", 6).alias("mz"), F.round("local_max_rt", 2).alias("rt"), *[(F.round(f"fit.{x}", 3) + 0.0).alias(x) for x in "abcde"], height.alias("log_height"))
+
+
+@query("peaks", sql="SELECT file_id, k - 1 AS peak_id, fitted_mz, fitted_rt, fitted_height FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY fitted_height DESC, fitted_mz, fitted_rt) AS k FROM peaks) x WHERE k <= 1000")
+def highest_peaks(k):
+    k = k.drop("peak_id").withColumn("local_max_mz", F.col("fitted_mz")).withColumn("local_max_rt", F.col("fitted_rt"))
+    return peaks.rank(k, 1000).select("file_id", "peak_id", "fitted_mz", "fitted_rt", "fitted_height")
+
+
 @query(
     "edges",
     sql="SELECT protein, peptide, code, 'Fit Failure Errors:' || chr(10) || CASE WHEN code = 0 THEN 'No errors detected.' ELSE array_to_string(list_transform(list_filter(range(1, 40), lambda n: (code >> (n - 1)) & 1 = 1), lambda n: '- ' || t[n]), chr(10)) END || chr(10) AS errors "
@@ -334,6 +404,47 @@ def time_maps(k):
     return warp.time_map(k, 0, Warping())
 
 
+#: Six segments; a level's edges start within its nodes and end within the next one's.
+_SMALL = Warping(slack=2, window=10, num_points=60, expand=0.2, peaks_per_window=25)
+_WARPED = """own AS (SELECT file_id, min(fitted_rt) AS lo, max(fitted_rt) AS hi FROM peaks GROUP BY file_id),
+    both_ AS (SELECT o.file_id, least(o.lo, r.lo) AS a, greatest(o.hi, r.hi) AS b FROM own o, (SELECT lo, hi FROM own WHERE file_id = 0) r),
+    wide AS (SELECT *, a - (b - a) * CAST(0.2 AS DOUBLE) AS rt_min FROM both_),
+    rg AS (SELECT file_id, rt_min, (b + (b - rt_min) * CAST(0.2 AS DOUBLE) - rt_min) / 59 AS delta FROM wide),
+    seg AS (SELECT rg.file_id, p.file_id AS own_file, p.fitted_mz AS mz, p.fitted_rt AS rt, p.fitted_sigma_mz AS sm, p.fitted_sigma_rt AS sr, p.fitted_height AS h, p.peak_id, CAST(floor((p.fitted_rt - rt_min) / (delta * 10)) AS BIGINT) AS segment FROM rg JOIN peaks p ON p.file_id = rg.file_id OR p.file_id = 0),
+    top_ AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id, own_file, segment ORDER BY h DESC, peak_id) AS k FROM seg) x WHERE k <= 25 AND segment BETWEEN 0 AND 5),
+    lv AS (SELECT CAST(i AS BIGINT) AS level, greatest(i * 8, 60 - (6 - i) * 12) AS lo, least(i * 12, 60 - (6 - i) * 8) AS hi FROM range(0, 7) t(i)),
+    ed AS (SELECT a.level, CAST(x AS BIGINT) AS src_start, CAST(x + 10 + u AS BIGINT) AS src_end FROM lv a JOIN lv b ON b.level = a.level + 1, range(0, 61) g(x), range(-2, 3) h(u) WHERE x BETWEEN a.lo AND a.hi AND x + 10 + u BETWEEN b.lo AND b.hi),
+    mv AS (SELECT rg.file_id, level, src_start, src_end, rt_min + level * 10 * delta AS start, rt_min + (level + 1) * 10 * delta AS fin, rt_min + src_start * delta AS a, rt_min + src_end * delta AS b FROM rg, ed),
+    pr AS MATERIALIZED (SELECT r.file_id, r.segment AS level, r.rt AS rrt, q.rt AS qrt, 3 * (r.sr + q.sr) AS reach, r.sr * r.sr + q.sr * q.sr AS wide, r.h * q.h * (r.sm * r.sm * q.sm * q.sm * exp(-0.5 * power(r.mz - q.mz, 2) / (r.sm * r.sm + q.sm * q.sm)) / sqrt(r.sm * r.sm + q.sm * q.sm)) * (r.sr * r.sr * q.sr * q.sr / sqrt(r.sr * r.sr + q.sr * q.sr)) AS f
+           FROM top_ r JOIN top_ q ON q.file_id = r.file_id WHERE r.own_file = 0 AND q.own_file = q.file_id AND abs(r.mz - q.mz) <= 3 * (r.sm + q.sm)),
+    ov AS (SELECT mv.file_id, mv.level, src_start, src_end, f * exp(-0.5 * power(rrt - (start + (qrt - a) / (b - a) * (fin - start)), 2) / wide) AS v FROM mv JOIN pr ON pr.file_id = mv.file_id AND pr.level = mv.level AND qrt >= a AND qrt < b AND abs(rrt - (start + (qrt - a) / (b - a) * (fin - start))) <= reach),
+    si AS MATERIALIZED (SELECT mv.file_id, mv.level, mv.src_start, mv.src_end, coalesce(sum(v), 0) AS similarity FROM mv LEFT JOIN ov USING (file_id, level, src_start, src_end) GROUP BY ALL)"""
+
+
+@query("peaks", sql="WITH " + _WARPED + " SELECT file_id, level, src_start, src_end, round(similarity, 4) AS similarity FROM si")
+def warped_similarities(k):
+    return rounded(warp.warped_similarities(k, 0, _SMALL), 4, "similarity")
+
+
+#: Backward dynamic programming, a level after the other: the best end of every start, ties to the first one.
+_BEST = "".join(
+    f""",
+    v{k} AS (SELECT si.file_id, si.src_start, si.src_end, similarity{f" + coalesce(n.total, 0)" if k < 5 else ""} AS v FROM si{f" LEFT JOIN b{k + 1} n ON n.file_id = si.file_id AND n.src_start = si.src_end" if k < 5 else ""} WHERE level = {k}),
+    b{k} AS MATERIALIZED (SELECT file_id, src_start, greatest(max(v), 0) AS total, CASE WHEN max(v) > 0 THEN (list(src_end ORDER BY v DESC, src_end))[1] ELSE (min(src_end) + max(src_end)) // 2 END AS step FROM v{k} GROUP BY file_id, src_start)"""
+    for k in (5, 4, 3, 2, 1, 0)
+)
+_PATH = ", ".join(["CAST(0 AS BIGINT) AS n0", *[f"b{k}.step AS n{k + 1}" for k in range(6)]])
+_JOINS = "b0" + "".join(f" JOIN b{k} ON b{k}.file_id = b0.file_id AND b{k}.src_start = b{k - 1}.step" for k in range(1, 6)) + " WHERE b0.src_start = 0"
+
+
+@query("peaks", sql="WITH " + _WARPED + _BEST + f""", path AS (SELECT b0.file_id, {_PATH} FROM {_JOINS}),
+    seg_ AS (""" + " UNION ALL ".join(f"SELECT file_id, CAST({k} AS BIGINT) AS segment, n{k} AS x, n{k + 1} AS y FROM path" for k in range(6)) + """)
+    SELECT q.file_id, segment, round(rt_min + segment * 10 * delta, 6) AS rt_start, round(rt_min + (segment + 1) * 10 * delta, 6) AS rt_end, round(rt_min + x * delta, 6) AS sample_rt_start, round(rt_min + y * delta, 6) AS sample_rt_end FROM seg_ q JOIN rg ON rg.file_id = q.file_id""")
+def segment_time_maps(k):
+    """Whole alignment of all peaks over six segments."""
+    return rounded(warp.time_map(k, 0, _SMALL), 6, "rt_start", "rt_end", "sample_rt_start", "sample_rt_end")
+
+
 @query("peaks", "time_map", sql="SELECT p.file_id, peak_id, fitted_rt, round(rt_start + (fitted_rt - sample_rt_start) / (sample_rt_end - sample_rt_start) * (rt_end - rt_start) - fitted_rt, 8) AS rt_delta FROM peaks p JOIN time_map t ON t.file_id = p.file_id AND fitted_rt >= sample_rt_start AND fitted_rt < sample_rt_end")
 def warp_peaks(k, t):
     return rounded(warp.warp_peaks(k, t).select("file_id", "peak_id", "fitted_rt", "rt_delta"), 8, "rt_delta")
@@ -387,6 +498,26 @@ def feature_table(k):
     return rounded(rounded(t, 6, "average_rt", "average_mz", "total_height"), 4, "total_volume")
 
 
+@query("peaks", sql="SELECT file_id, peak_id AS monoisotopic_id, row_number() OVER (PARTITION BY file_id ORDER BY fitted_volume DESC, peak_id) - 1 AS feature_id, fitted_volume AS total_volume FROM peaks")
+def feature_ids(k):
+    """Features of one peak each, so that sums are exact and ties real."""
+    one = k.select("file_id", F.col("peak_id").alias("first_id"), F.lit(1).alias("charge_state"), F.lit(1.0).alias("score"), F.array("peak_id").alias("peak_ids"))
+    return features.table_of(one, k).select("file_id", F.get("peak_ids", F.lit(0)).alias("monoisotopic_id"), "feature_id", "total_volume")
+
+
+_AVERAGINE = ", ".join(f"({i}, {m!r}, {len(p)}, {p[0]!r}, {p[1] if len(p) > 1 else 0.0!r})" for i, (m, p) in enumerate(features.averagine_table()))
+
+
+@query("peaks", sql="WITH t AS (SELECT CAST(k AS BIGINT) AS k, CAST(m AS DOUBLE) AS m, n, CAST(p0 AS DOUBLE) AS p0, CAST(p1 AS DOUBLE) AS p1 FROM (VALUES " + _AVERAGINE + """) v(k, m, n, p0, p1)),
+    a AS (SELECT file_id, peak_id, z, fitted_mz * z - z * CAST(1.00728 AS DOUBLE) AS mass FROM peaks, (VALUES (1), (2), (3)) c(z)),
+    b AS (SELECT a.*, up.k AS ku, up.m AS mu FROM a ASOF JOIN t up ON a.mass <= up.m),
+    d AS (SELECT b.*, CASE WHEN t.m IS NOT NULL AND mass - t.m < mu - mass THEN ku - 1 ELSE ku END AS k FROM b LEFT JOIN t ON t.k = ku - 1)
+    SELECT file_id, peak_id, z AS charge, t.m AS averagine_mass, CAST(t.n AS INT) AS isotopes, t.p0 AS first, t.p1 AS second FROM d JOIN t ON t.k = d.k""")
+def averagine_patterns(k):
+    return features.with_pattern(k.select("file_id", "peak_id", "fitted_mz", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("charge"))).select(
+        "file_id", "peak_id", "charge", "averagine_mass", F.size("pattern").alias("isotopes"), F.get("pattern", F.lit(0)).alias("first"), F.coalesce(F.get("pattern", F.lit(1)), F.lit(0.0)).alias("second"))
+
+
 @query("peaks", sql="WITH " + _FEATURES + ", n AS (SELECT file_id, first, count(*) AS isotopes FROM c GROUP BY ALL) SELECT file_id, isotopes, count(*) AS features FROM n GROUP BY ALL")
 def isotope_counts(k):
     return summary.isotope_counts(_triples(k)).withColumn("isotopes", F.col("isotopes").cast("long"))
@@ -762,6 +893,12 @@ def scatter_points(k):
     return summary.scatter(k, 200_000)
 
 
+@query("msms", sql="SELECT event_id, CAST((event_id % 24) * 3600 + (event_id % 60) * 60 + (event_id % 600) / CAST(10 AS DOUBLE) AS DOUBLE) AS seconds FROM msms")
+def durations(e):
+    text = F.concat(F.lit("PT"), (F.col("event_id") % 24).cast("string"), F.lit("H"), (F.col("event_id") % 60).cast("string"), F.lit("M"), ((F.col("event_id") % 600) / 10).cast("string"), F.lit("S"))
+    return e.select("event_id", X.duration_seconds(text).alias("seconds"))
+
+
 # --- sources ----------------------------------------------------------------------------------
 
 
@@ -804,3 +941,50 @@ def spectrum_files_mzxml(p):
 @query("points", sql="SELECT file_id, rt, count(*) AS num_points, max(intensity) AS max_intensity, sum(intensity) AS total_intensity FROM points WHERE intensity <> 0 GROUP BY file_id, rt")
 def spectrum_files_mzml(p):
     return _from_files(p, "mzml").where("polarity = 'positive'").select("file_id", F.col("retention_time").alias("rt"), "num_points", "max_intensity", "total_intensity")
+
+
+@query("peaks", sql="SELECT file_id, peak_id, fitted_mz, fitted_rt, rt_delta, fitted_height, fitted_sigma_mz, fitted_sigma_rt, fitted_volume FROM peaks")
+def csv_round_trip(k):
+    """A result table as CSV in the shared folder, read back with its types."""
+    out = f"{shared_dir(k.sparkSession)}/csv-{uuid.uuid4().hex}"
+    sinks.write_csv(k, out)
+    return sinks.read_csv(k.sparkSession, out, ", ".join(f"{c} {kind}" for c, kind in k.dtypes))
+
+
+@query("peaks", sql="SELECT file_id, count(*) AS n, min(fitted_mz) AS least, max(peak_id) AS last FROM peaks GROUP BY file_id")
+def stage_round_trip(k):
+    """A stage table by file with its digest, taken up by a second call."""
+    out = f"{shared_dir(k.sparkSession)}/stages-{uuid.uuid4().hex}"
+    sinks.Stages(k.sparkSession, out).table("peaks", lambda: k, uses=[1.5, "both"])
+    again = sinks.Stages(k.sparkSession, out).table("peaks", lambda: k.limit(0), uses=[1.5, "both"])
+    return again.groupBy("file_id").agg(F.count("*").alias("n"), F.min("fitted_mz").alias("least"), F.max("peak_id").alias("last"))
+
+
+def _identification_files(q) -> str:
+    """Identifications as mzIdentML files of the runs: two ranks a spectrum, a protein each, some decoys and some below the threshold."""
+    out = f"{shared_dir(q.sparkSession)}/identifications-{uuid.uuid4().hex}"
+    i, attribute = F.col("psm_index").cast("string"), lambda name, value: F.concat(F.lit(f' {name}="'), value.cast("string"), F.lit('"'))
+    name, decoy, good = F.concat(F.lit("P"), (F.col("psm_index") % 50).cast("string")), F.col("psm_index") % 7 == 0, F.col("psm_index") % 5 != 0
+
+    def item(kind, rank):
+        masses = attribute("experimentalMassToCharge", F.col("mz")), attribute("calculatedMassToCharge", F.col("theoretical_mz"))
+        return F.concat(F.lit("<SpectrumIdentificationItem"), attribute("id", F.concat(F.lit(kind), i)), attribute("peptide_ref", F.concat(F.lit("p"), i)), attribute("passThreshold", good), attribute("rank", F.lit(rank)), attribute("chargeState", F.col("psm_charge_state")), *masses, F.lit("/>"))
+
+    text = F.concat(
+        F.lit("<DBSequence"), attribute("id", F.concat(F.lit("d"), i)), attribute("accession", name), F.lit(' searchDatabase_ref="s"><cvParam accession="MS:1001088" name="protein description"'), attribute("value", F.concat(F.lit("about "), name)), F.lit("/></DBSequence><Peptide"),
+        attribute("id", F.concat(F.lit("p"), i)), F.lit("><PeptideSequence>"), F.col("sequence"), F.lit("</PeptideSequence></Peptide><PeptideEvidence"), attribute("id", F.concat(F.lit("e"), i)), attribute("peptide_ref", F.concat(F.lit("p"), i)),
+        attribute("dBSequence_ref", F.concat(F.lit("d"), i)), attribute("isDecoy", decoy), F.lit("/><SpectrumIdentificationResult"), attribute("id", F.concat(F.lit("r"), i)), attribute("spectrumID", F.concat(F.lit("scan="), i)), F.lit(">"),
+        item("second", 2), item("m", 1), F.lit('<cvParam accession="MS:1000016" name="time" unitAccession="UO:0000010"'), attribute("value", F.col("rt")), F.lit("/></SpectrumIdentificationResult>"),
+    )
+    ends = q.select("file_id").distinct().select("file_id", F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("k"), F.lit('<?xml version="1.0"?><MzIdentML>').alias("value")), F.struct(F.lit((1 << 63) - 1).alias("k"), F.lit("</MzIdentML>").alias("value")))).alias("x")).select("file_id", "x.*")
+    lines = q.select("file_id", F.col("psm_index").alias("k"), text.alias("value")).unionByName(ends)
+    lines.repartition("file_id").sortWithinPartitions("file_id", "k").select("file_id", "value").write.partitionBy("file_id").text(out)
+    return out
+
+
+@query("psms", sql="""SELECT file_id, 'm' || CAST(psm_index AS VARCHAR) AS match_id, sequence, CAST(psm_charge_state AS INT) AS charge_state, mz AS experimental_mz, theoretical_mz, rt, 1 AS rank, 'P' || CAST(psm_index % 50 AS VARCHAR) AS accession, 'about P' || CAST(psm_index % 50 AS VARCHAR) AS description
+    FROM psms WHERE psm_index % 5 <> 0 AND psm_index % 7 <> 0 AND mz BETWEEN 350 AND 900""")
+def identification_files(q):
+    d = identifications.read_mzidentml(q.sparkSession, _identification_files(q), min_mz=350.0, max_mz=900.0)
+    m = d.spectrum_matches.join(d.peptides, ["path", "peptide_id"]).join(d.peptide_evidence, ["path", "peptide_id"]).join(d.db_sequences, ["path", "db_sequence_id"])
+    return m.select(F.regexp_extract("path", "file_id=([0-9]+)/", 1).cast("int").alias("file_id"), "match_id", "sequence", "charge_state", "experimental_mz", "theoretical_mz", "rt", "rank", "accession", "description")
