@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from mzloom.operators.components import connected_components, dealt, materialise
-from mzloom.operators.rangejoin import bin_of, bins
+from mzloom.operators.rangejoin import boxed
 
 ISOTOPE_STEP = 1.0033
 PROTON = 1.00728
@@ -123,12 +123,13 @@ def candidate_graph(peaks: DataFrame, charges: list[int], width: float = 0.5, wi
     """Edges (file_id, charge, lower, upper): the next isotope lies one step on, within the lower peak's sigmas (strict)."""
     p = peaks.select("file_id", "peak_id", "fitted_mz", "fitted_rt", "fitted_sigma_mz", "fitted_sigma_rt")
     z = F.explode(F.array(*[F.lit(c) for c in charges if c != 0])).alias("charge")
-    lo = p.select("file_id", F.col("peak_id").alias("lower"), F.col("fitted_mz").alias("m"), F.col("fitted_rt").alias("r"), F.col("fitted_sigma_mz").alias("sm"), F.col("fitted_sigma_rt").alias("sr"), z)
-    lo = lo.withColumn("want", F.col("m") + ISOTOPE_STEP / F.col("charge"))
-    lo = lo.withColumn("_bin", bins(F.col("want") - F.col("sm"), F.col("want") + F.col("sm"), width)).withColumn("_time", bins(F.col("r") - F.col("sr"), F.col("r") + F.col("sr"), width_rt))
-    up = p.select(F.col("file_id").alias("f"), F.col("peak_id").alias("upper"), F.col("fitted_mz").alias("um"), F.col("fitted_rt").alias("ur"), bin_of(F.col("fitted_mz"), width).alias("_bin"), bin_of(F.col("fitted_rt"), width_rt).alias("_time"))
-    near = (F.abs(F.col("um") - F.col("want")) < F.col("sm")) & (F.abs(F.col("ur") - F.col("r")) < F.col("sr"))
-    return lo.join(up, (lo.file_id == up.f) & (lo._bin == up._bin) & (lo._time == up._time) & near).select("file_id", "charge", "lower", "upper")
+    c = F.col
+    lo = p.select("file_id", c("peak_id").alias("lower"), c("fitted_mz").alias("m"), c("fitted_rt").alias("at"), c("fitted_sigma_mz").alias("sm"), c("fitted_sigma_rt").alias("sr"), z)
+    lo = lo.withColumn("want", c("m") + ISOTOPE_STEP / c("charge")).withColumns({"lo_mz": c("want") - c("sm"), "hi_mz": c("want") + c("sm"), "lo_rt": c("at") - c("sr"), "hi_rt": c("at") + c("sr")})
+    up = p.select("file_id", c("peak_id").alias("upper"), c("fitted_mz").alias("um"), c("fitted_rt").alias("ur"))
+    j = boxed(up, lo, ["file_id"], "um", "ur", ("lo_mz", "hi_mz", "lo_rt", "hi_rt"), (width, width_rt))
+    near = (F.abs(c("um") - c("want")) < c("sm")) & (F.abs(c("ur") - c("at")) < c("sr"))
+    return j.where(near).select(c("r.file_id").alias("file_id"), "charge", "lower", "upper")
 
 
 def walk(peaks: pd.DataFrame, edges: dict[int, tuple[dict, dict]], charges: list[int]) -> list[tuple[int, float, list[int]]]:

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
-from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -13,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from mzloom.functions.exprs import sigma_mz, sigma_rt
-from mzloom.operators.rangejoin import bin_of, bins
+from mzloom.operators.rangejoin import boxed
 from mzloom.params import Run
 
 #: One text per failure bit, in bit order.
@@ -45,13 +43,11 @@ def regions(maxima: DataFrame, run: Run) -> DataFrame:
 def in_regions(points: DataFrame, rois: DataFrame, bin_mz: float, bin_rt: float) -> DataFrame:
     """Every point of every region, one row each; regions are identified by (file_id, local_max_mz, local_max_rt).
 
-    Both axes are binned, so that neither a narrow range of m/z nor a short time is one task.
+    Both axes are binned and crowded cells split, so that neither a dense range of m/z nor a short time is one task.
     """
-    p = points.select("file_id", "mz", "rt", "intensity", bin_of(F.col("mz"), bin_mz).alias("_bin"), bin_of(F.col("rt"), bin_rt).alias("_time")).alias("p")
-    r = rois.withColumn("_bin", bins(F.col("roi_min_mz"), F.col("roi_max_mz"), bin_mz)).withColumn("_time", bins(F.col("roi_min_rt"), F.col("roi_max_rt"), bin_rt)).alias("r")
-    same = reduce(and_, [F.col(f"p.{k}") == F.col(f"r.{k}") for k in ("file_id", "_bin", "_time")])
-    inside = F.col("p.mz").between(F.col("r.roi_min_mz"), F.col("r.roi_max_mz")) & F.col("p.rt").between(F.col("r.roi_min_rt"), F.col("r.roi_max_rt"))
-    return p.join(r, same & inside).select("r.*", F.col("p.mz").alias("mz"), F.col("p.rt").alias("rt"), F.col("p.intensity").alias("intensity")).drop("_bin", "_time")
+    box = ("roi_min_mz", "roi_max_mz", "roi_min_rt", "roi_max_rt")
+    j = boxed(points.select("file_id", "mz", "rt", "intensity"), rois, ["file_id"], "mz", "rt", box, (bin_mz, bin_rt))
+    return j.select(*[F.col(f"r.{c}").alias(c) for c in rois.columns], F.col("p.mz").alias("mz"), F.col("p.rt").alias("rt"), F.col("p.intensity").alias("intensity"))
 
 
 ROI_KEY = ["file_id", "local_max_mz", "local_max_rt", "local_max_height", "theory_mz", "theory_rt", "roi_min_mz", "roi_max_mz", "roi_min_rt", "roi_max_rt"]
