@@ -192,8 +192,12 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     key = F.xxhash64("doc_id", "text")
     known = docs.where("lang is not null and text is not null")
     # Only keys are ranked, and at most ``per_language`` of a language leave each task.
-    order = W.partitionBy("lang").orderBy("k")
-    keys = known.select("lang", key.alias("k")).distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).drop("n")
+    # A language of a third of all rows is ranked in parts first, so that the last ranking sees few rows.
+    keys = known.select("lang", key.alias("k")).distinct().withColumn("part", F.pmod("k", F.lit(64)))
+    for group in (["lang", "part"], ["lang"]):
+        order = W.partitionBy(*group).orderBy("k")
+        keys = keys.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
+    keys = keys.select("lang", "k")
     rows = known.select("lang", key.alias("k"), "text").join(keys, ["lang", "k"], "left_semi").groupBy("lang", "k").agg(F.min("text").alias("text"))
 
     def run(batches):
