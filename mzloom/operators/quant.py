@@ -82,6 +82,44 @@ def wide_matrix(members: DataFrame, value: str, files: list, allowed: tuple[str,
     return m.select("cluster_id", *[F.coalesce(F.col(f"`{f}`"), F.lit(0)).alias(str(f)) for f in files])
 
 
+#: Files of one block of a wide matrix, and files beyond which matrices are kept in blocks: a column a file would break plans and generated code.
+BLOCK, PIVOT = 256, 500
+
+
+def block_matrix(members: DataFrame, value: str, places: DataFrame, allowed: tuple[str, ...] | None = None) -> DataFrame:
+    """The wide matrix in blocks of files: (cluster_id, block, values), for any number of files; blocks without a member are absent.
+
+    ``places`` numbers the files (file, place) from 0. Values of a block are an array, 0 where a file has no member; of several members
+    of a file the least counts.
+    """
+    if allowed and value not in allowed:
+        raise ValueError(f"unknown quantity: {value}")
+    m = members.select("cluster_id", "file", F.col(value).cast("double").alias("_v")).join(F.broadcast(places), "file")  # one row per file
+    one = m.groupBy("cluster_id", "place").agg(F.min("_v").alias("_v"))
+    g = one.groupBy("cluster_id", F.floor(F.col("place") / BLOCK).cast("int").alias("block")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("place") % BLOCK).cast("int"), "_v"))).alias("_m"))
+    at = F.sequence(F.lit(0), F.lit(BLOCK - 1))
+    return g.select("cluster_id", "block", F.transform(at, lambda k: F.coalesce(F.try_element_at("_m", k), F.lit(0.0))).alias("values"))
+
+
+def sum_blocks(blocks: DataFrame, *keys: str) -> DataFrame:
+    """Sums of blocks per ``keys`` and block, place by place; partial sums are made in every task."""
+    each = blocks.select(*keys, "block", F.posexplode("values").alias("place", "v")).where("v <> 0")
+    total = each.groupBy(*keys, "block", "place").agg(F.sum("v").alias("v"))
+    g = total.groupBy(*keys, "block").agg(F.map_from_entries(F.collect_list(F.struct("place", "v"))).alias("_m"))
+    return g.select(*keys, "block", F.transform(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda k: F.coalesce(F.try_element_at("_m", k), F.lit(0.0))).alias("values"))
+
+
+def wide_lines(blocks: DataFrame, n_files: int, *keys: str) -> DataFrame:
+    """(keys, line): the blocks of a row side by side as text, ``n_files`` values joined by commas, absent blocks as zeros."""
+    last = -(-n_files // BLOCK) - 1
+    held = F.map_from_entries(F.collect_list(F.struct("block", F.array_join(F.transform("values", lambda v: v.cast("string")), ",").alias("t"))))
+    empty = F.lit(",".join(["0.0"] * BLOCK))
+    size = n_files - last * BLOCK
+    cut = lambda k, t: F.when(k == last, F.array_join(F.slice(F.split(t, ","), 1, size), ",")).otherwise(t)
+    g = blocks.groupBy(*keys).agg(held.alias("_m"))
+    return g.select(*keys, F.array_join(F.transform(F.sequence(F.lit(0), F.lit(last)), lambda k: cut(k, F.coalesce(F.try_element_at("_m", k), empty))), ",").alias("line"))
+
+
 def cluster_metadata(members: DataFrame) -> DataFrame:
     """Means and number of members of every cluster of peaks (cluster_id, mz, rt, height, volume)."""
     return members.groupBy("cluster_id").agg(F.avg("mz").alias("mz"), F.avg("rt").alias("rt"), F.avg("height").alias("avg_height"), F.avg("volume").alias("avg_volume"), F.count("*").alias("n_files"))
@@ -99,9 +137,11 @@ def consensus_proteins(consensus: DataFrame, annotations: DataFrame, column: str
     return consensus.join(annotations.select("cluster_id", column, "protein").distinct(), ["cluster_id", column], "left")
 
 
-def peptide_table(matrix: DataFrame, annotations: DataFrame, values: list[str], column: str = "sequence") -> DataFrame:
-    """Sums per peptide of clusters with exactly one sequence."""
+def peptide_table(matrix: DataFrame, annotations: DataFrame, values: list[str] | None, column: str = "sequence") -> DataFrame:
+    """Sums per peptide of clusters with exactly one sequence; without ``values``, ``matrix`` is in blocks."""
     s = annotations.select("cluster_id", column).where(F.col(column).isNotNull() & (F.col(column) != "") & ~F.contains(F.col(column), F.lit(".|.")))
+    if values is None:
+        return sum_blocks(matrix.join(s, "cluster_id"), column)
     return matrix.join(s, "cluster_id").groupBy(column).agg(*[F.sum(F.col(f"`{v}`")).alias(v) for v in values])
 
 

@@ -96,7 +96,7 @@ def dda_pipeline(spark: SparkSession, params: Parameters, files: list[RunFile],
     """Run all stages; returns every table by name.
 
     Stage tables lie in ``out``, result tables are written as CSV to out/quant, out/qc and out/summary, parameters, a
-    log of all calls' stages and the summary as text. ``save_grid`` keeps the smoothed grid as well. Stages whose
+    log of all calls' stages and the summary as text. Beyond ``quant.PIVOT`` runs matrices are frames of blocks (block, values); their CSV is the same. ``save_grid`` keeps the smoothed grid as well. Stages whose
     parameters, input files or earlier stages have changed are made anew.
     """
     if params.identification_by not in ("theoretical_mz", "msms_event"):
@@ -159,6 +159,9 @@ def dda_pipeline(spark: SparkSession, params: Parameters, files: list[RunFile],
     stems = stems_of(files)
     runs = F.broadcast(spark.createDataFrame(list(enumerate(stems)), "file_id int, stem string"))  # one row per run
     in_words = lambda df, c="file_id": df.join(runs.withColumnRenamed("file_id", c), c).withColumn(c, F.col("stem")).drop("stem").select(*df.columns)
+    wide = len(files) > quant.PIVOT
+    places = runs.select(F.col("file_id").alias("file"), F.col("file_id").alias("place"))
+    matrix = lambda m, *how: quant.block_matrix(m, how[0], places, *how[1:]) if wide else quant.wide_matrix(in_words(m, "file"), how[0], stems, *how[1:])
     t["peak_table"] = quant.peak_table(aligned)
     t["feature_table"] = feats.drop("peak_ids")
     t["feature_peaks"] = quant.feature_peaks(feats)
@@ -166,11 +169,11 @@ def dda_pipeline(spark: SparkSession, params: Parameters, files: list[RunFile],
     t["feature_clusters_features"] = fc.select("cluster_id", "file_id", (F.col("uid") % part).alias("feature_id"))
     members = t["peak_clusters_peaks"].join(t["peak_table"], ["file_id", "peak_id"]).withColumnRenamed("file_id", "file")
     t["peak_clusters_metadata"] = quant.cluster_metadata(members)
-    t[f"peak_clusters_{params.quant_isotopes}"] = quant.wide_matrix(in_words(members, "file"), params.quant_isotopes, stems)
+    t[f"peak_clusters_{params.quant_isotopes}"] = matrix(members, params.quant_isotopes)
     fmembers = t["feature_clusters_features"].join(feats, ["file_id", "feature_id"]).withColumnRenamed("file_id", "file")
     fmembers = fmembers.withColumn("rt", F.col("average_rt") + F.col("average_rt_delta"))
     t["feature_clusters_metadata"] = fmembers.groupBy("cluster_id").agg(F.avg("monoisotopic_mz").alias("mz"), F.avg("rt").alias("rt"), F.avg("total_height").alias("avg_height"), F.min("charge_state").alias("charge_state"))
-    t["feature_clusters_measure"] = quant.wide_matrix(in_words(fmembers, "file"), params.quant_features, stems, quant.MEASURES)
+    t["feature_clusters_measure"] = matrix(fmembers, params.quant_features, quant.MEASURES)
     for name in ("metadata", "measure"):
         t[f"feature_clusters_{name}"] = stage(f"feature_clusters_{name}", lambda name=name: t[f"feature_clusters_{name}"], "feature_clusters", "features", uses=[stems, params.quant_features], by_file=False)
 
@@ -200,7 +203,7 @@ def dda_pipeline(spark: SparkSession, params: Parameters, files: list[RunFile],
         fn = t["feature_clusters_annotations"] = stage("feature_clusters_annotations", lambda: fn, "feature_clusters", "features", "peak_annotations", uses=[params.consensus, params.consensus_min], by_file=False)
         sequence, name, text = ("consensus_sequence", "consensus_protein_name", "consensus_protein_description") if params.consensus else ("psm_sequence", "protein_name", "protein_description")
         evidence = fn.select("cluster_id", F.col(sequence).alias("peptide"), F.col(name).alias("protein"), F.col(text).alias("description"))
-        values = stems
+        values = None if wide else stems
         t["protein_groups"], t["protein_groups_metadata"] = proteins.quantify(
             t["feature_clusters_measure"], evidence, values, params.protein_min_peptides, params.protein_remove_subsets, params.protein_ignore_ambiguous, params.protein_quant
         )
@@ -208,7 +211,7 @@ def dda_pipeline(spark: SparkSession, params: Parameters, files: list[RunFile],
         joined = quant.aggregate_annotations(shown, columns=ANNOTATED)
         t["feature_clusters_metadata"] = t["feature_clusters_metadata"].join(joined, "cluster_id", "left")
         t["peptides_data"] = quant.peptide_table(t["feature_clusters_measure"], joined.select("cluster_id", sequence), values, sequence).withColumnRenamed(sequence, "sequence")
-        t["peptides_metadata"] = quant.peptide_metadata(shown.select(*[c for c in ANNOTATED if c in shown.columns and "count" not in c]), t["peptides_data"].select(F.col("sequence").alias(sequence)), sequence)
+        t["peptides_metadata"] = quant.peptide_metadata(shown.select(*[c for c in ANNOTATED if c in shown.columns and "count" not in c]), t["peptides_data"].select(F.col("sequence").alias(sequence)).distinct(), sequence)
 
     t["raw_summary"] = summary.raw_summary(ms1)
     t["event_summary"] = summary.event_summary(ms2)
@@ -231,7 +234,11 @@ def dda_pipeline(spark: SparkSession, params: Parameters, files: list[RunFile],
             folder = "qc" if name in qc else "summary" if name in SUMMARIES else "quant"
             for c in ("file_id", "file_a", "file_b"):
                 t[name] = in_words(t[name], c) if c in t[name].columns else t[name]
-            sinks.write_csv(t[name], f"{out}/{folder}/{name}")
+            if t[name].columns[-2:] == ["block", "values"]:
+                keys = t[name].columns[:-2]
+                sinks.write_wide_csv(quant.wide_lines(t[name], len(files), *keys), keys, stems, f"{out}/{folder}/{name}")
+            else:
+                sinks.write_csv(t[name], f"{out}/{folder}/{name}")
     sinks.write_text(spark, summary_text(t, stems), f"{out}/summary.log")
     sinks.write_text(spark, (sinks.read_text(spark, f"{out}/info.log") or "") + "\n".join(log) + "\n", f"{out}/info.log")
     return t

@@ -711,6 +711,15 @@ def _members(k):
     return k.select(F.col("peak_id").alias("cluster_id"), F.col("file_id").alias("file"), F.col("fitted_mz").alias("mz"), F.col("fitted_rt").alias("rt"), F.col("fitted_height").alias("height"), F.col("fitted_volume").alias("volume"))
 
 
+@query("peaks", sql="SELECT peak_id AS cluster_id, file_id AS place, max(fitted_height) AS height FROM peaks WHERE fitted_height <> 0 GROUP BY ALL")
+def cluster_height_blocks(k):
+    """The same matrix in blocks of files, read back cell by cell."""
+    places = k.select(F.col("file_id").alias("file"), F.col("file_id").alias("place")).distinct()
+    b = quant.block_matrix(_members(k), "height", places, ("height", "volume"))
+    cells = b.select("cluster_id", "block", F.posexplode("values").alias("at", "height")).where("height <> 0")
+    return cells.select("cluster_id", (F.col("block") * quant.BLOCK + F.col("at")).alias("place"), "height")
+
+
 @query("peaks", sql="SELECT peak_id AS cluster_id, " + ", ".join(f'coalesce(max(fitted_height) FILTER (file_id = {f}), 0) AS "{f}"' for f in FILES) + " FROM peaks GROUP BY peak_id")
 def cluster_heights(k):
     return quant.wide_matrix(_members(k), "height", FILES, ("height", "volume"))

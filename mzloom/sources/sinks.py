@@ -6,6 +6,7 @@ import dataclasses
 import hashlib
 import json
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +62,27 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(*flat).write.mode("overwrite").csv(path, header=True)
 
 
+def write_wide_csv(lines: DataFrame, keys: list[str], names: list[str], path: str) -> None:
+    """CSV files of rows (keys, line), where line has the values of the columns ``names``: no plan has these as columns, however many there are."""
+    head = ",".join(_quoted(c) for c in [*keys, *names])
+    schema = lines.sparkSession.createDataFrame([], "value string").schema
+
+    def run(batches):
+        begun = False
+        for b in batches:
+            columns = [b.column(k).to_pylist() for k in range(len(keys) + 1)]
+            rows = [",".join([*[_quoted("" if v is None else str(v)) for v in r[:-1]], r[-1]]) for r in zip(*columns, strict=True)]
+            if rows and not begun:
+                rows, begun = [head, *rows], True
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["value"])
+
+    lines.select(*keys, "line").mapInArrow(run, schema).write.mode("overwrite").option("lineSep", "\n").text(path)
+
+
+def _quoted(text: str) -> str:
+    return '"' + text.replace('"', '\\"') + '"' if any(c in text for c in ',"\n\r') else text
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A result table written by ``write_csv``; without a schema types are found by reading."""
     return spark.read.csv(path, header=True, schema=schema, inferSchema=schema is None)
