@@ -384,19 +384,32 @@ def reference_run(k):
     return similarity.reference_run(similarity.similarity(k, 2000))
 
 
-def warp_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warp.levels(spark, 20, 100, 30)
+_RANGES = """own AS (SELECT file_id, min(fitted_rt) AS lo, max(fitted_rt) AS hi FROM peaks GROUP BY file_id),
+    both_ AS (SELECT o.file_id, least(o.lo, r.lo) AS a, greatest(o.hi, r.hi) AS b FROM own o, (SELECT lo, hi FROM own WHERE file_id = 0) r),
+    wide AS (SELECT *, a - (b - a) * CAST(0.2 AS DOUBLE) AS rt_min FROM both_),
+    rg AS (SELECT file_id, rt_min, (b + (b - rt_min) * CAST(0.2 AS DOUBLE) - rt_min) / 1999 AS delta FROM wide),
+    l AS (SELECT i AS level, greatest(i * 70, 2000 - (20 - i) * 130) AS start, least(i * 130, 2000 - (20 - i) * 70) AS "end" FROM range(0, 21) t(i))"""
+
+
+def _node_times(nodes, ranges, *columns):
+    """Times of nodes in the ranges of runs; both sides are small (levels and runs)."""
+    delta = (F.col("rt_max") - F.col("rt_min")) / 1999
+    j = ranges.crossJoin(F.broadcast(nodes))
+    return j.select("file_id", *nodes.columns, *[F.round(F.col("rt_min") + F.col(c) * delta, 6).alias(f"{c}_rt") for c in columns])
 
 
-def warp_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warp.warpings(spark, 20, 100, 30)
+@query("peaks", sql="WITH " + _RANGES + ' SELECT file_id, level, start, "end", round(rt_min + start * delta, 6) AS start_rt, round(rt_min + "end" * delta, 6) AS end_rt FROM rg, l')
+def warp_levels(k):
+    """Where the nodes of every level lie in every run."""
+    return _node_times(warp.levels(k.sparkSession, 20, 100, 30), warp.rt_range(k, 0, 0.2), "start", "end")
 
 
-QUERIES |= {"warp_levels": warp_levels, "warp_edges": warp_edges}
-_LEVELS = 'WITH l AS (SELECT i AS level, greatest(i * 70, 2000 - (20 - i) * 130) AS start, least(i * 130, 2000 - (20 - i) * 70) AS "end" FROM range(0, 21) t(i))'
-ORACLES["warp_levels"] = _LEVELS + " SELECT * FROM l"
-ORACLES["warp_edges"] = _LEVELS + """, e AS (SELECT a.level, a.start, a."end", b.start AS s2, b."end" AS e2 FROM l a JOIN l b ON b.level = a.level + 1)
-    SELECT level, x AS src_start, x + 100 + u AS src_end FROM e, generate_series(start, "end") g(x), generate_series(-30, 30) h(u) WHERE x + 100 + u BETWEEN s2 AND e2"""
+@query("peaks", sql="WITH " + _RANGES + """, e AS (SELECT a.level, a.start, a."end", b.start AS s2, b."end" AS e2 FROM l a JOIN l b ON b.level = a.level + 1),
+    w AS (SELECT level, x AS src_start, x + 100 + u AS src_end FROM e, generate_series(start, "end") g(x), generate_series(-30, 30) h(u) WHERE x + 100 + u BETWEEN s2 AND e2)
+    SELECT file_id, level, src_start, src_end, round(rt_min + src_start * delta, 6) AS src_start_rt, round(rt_min + src_end * delta, 6) AS src_end_rt FROM w, rg WHERE file_id = 0""")
+def warp_edges(k):
+    """All warpings of the segments of the reference run, in nodes and in its times."""
+    return _node_times(warp.warpings(k.sparkSession, 20, 100, 30), warp.rt_range(k, 0, 0.2).where("file_id = 0"), "src_start", "src_end")
 
 
 @query("peaks")
