@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mzloom.operators.rangejoin import binned
+from mzloom.operators.rangejoin import binned, boxed
 
 
 def raw_points(points: DataFrame, min_mz: float, max_mz: float, min_rt: float, max_rt: float) -> DataFrame:
@@ -37,3 +37,10 @@ def peak_xic(points: DataFrame, peaks: DataFrame, bin_rt: float, method: str = "
     hit = F.when(F.col("p.mz").between(F.col("r.roi_min_mz"), F.col("r.roi_max_mz")), F.col("p.intensity")).otherwise(0.0)
     value = F.sum(hit) if method == "sum" else F.greatest(F.lit(0.0), F.max(hit))
     return j.groupBy("p.file_id", "r.peak_id", "p.rt").agg(value.alias("intensity"))
+
+
+def peak_points(points: DataFrame, peaks: DataFrame, bin_mz: float, bin_rt: float) -> DataFrame:
+    """Raw points of every peak's region, as a plot of a peak shows them: (file_id, peak_id, mz, rt, intensity, shade); shade is the root of the intensity."""
+    rois = peaks.select("file_id", "peak_id", "roi_min_mz", "roi_max_mz", "roi_min_rt", "roi_max_rt")
+    j = boxed(points.select("file_id", "mz", "rt", "intensity"), rois, ["file_id"], "mz", "rt", ("roi_min_mz", "roi_max_mz", "roi_min_rt", "roi_max_rt"), (bin_mz, bin_rt))
+    return j.select("r.file_id", "r.peak_id", "p.mz", "p.rt", "p.intensity", F.sqrt("p.intensity").alias("shade"))

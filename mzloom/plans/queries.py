@@ -320,6 +320,15 @@ def gaussian_fits(p):
     return f.select("file_id", F.round("local_max_mz", 6).alias("mz"), F.round("local_max_rt", 2).alias("rt"), *[(F.round(f"fit.{x}", 3) + 0.0).alias(x) for x in "abcde"], height.alias("log_height"))
 
 
+@query("points", "peaks", sql="""WITH a AS MATERIALIZED (SELECT file_id, peak_id, fitted_mz - fitted_sigma_mz AS m0, fitted_mz + fitted_sigma_mz AS m1, fitted_rt - fitted_sigma_rt AS r0, fitted_rt + fitted_sigma_rt AS r1, CAST(floor(fitted_mz) AS BIGINT) + k AS bin FROM peaks, (VALUES (-2), (-1), (0), (1), (2)) d(k)),
+    b AS MATERIALIZED (SELECT file_id, mz, rt, intensity, CAST(floor(mz) AS BIGINT) AS bin FROM points)
+    SELECT a.file_id, peak_id, mz, rt, intensity, round(sqrt(intensity), 9) AS shade FROM a JOIN b ON a.bin = b.bin AND a.file_id = b.file_id WHERE mz BETWEEN m0 AND m1 AND rt BETWEEN r0 AND r1""")
+def peak_raw_points(p, k):
+    for axis in ("mz", "rt"):
+        k = k.withColumns({f"roi_min_{axis}": F.col(f"fitted_{axis}") - F.col(f"fitted_sigma_{axis}"), f"roi_max_{axis}": F.col(f"fitted_{axis}") + F.col(f"fitted_sigma_{axis}")})
+    return rounded(points.peak_points(p, k, 2.0, 30.0), 9, "shade")
+
+
 @query("peaks", sql="SELECT file_id, k - 1 AS peak_id, fitted_mz, fitted_rt, fitted_height FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY fitted_height DESC, fitted_mz, fitted_rt) AS k FROM peaks) x WHERE k <= 1000")
 def highest_peaks(k):
     k = k.drop("peak_id").withColumn("local_max_mz", F.col("fitted_mz")).withColumn("local_max_rt", F.col("fitted_rt"))

@@ -51,10 +51,12 @@ def seconds(duration: str) -> float:
     return h * 3600 + mi * 60 + s
 
 
-def decode(text: str, bits: int, big_endian: bool, compressed: bool) -> np.ndarray:
+def decode(text: str, bits: int, big_endian: bool, compressed: bool, kind: str = "f") -> np.ndarray:
+    """Numbers of a base64 text: floats (``f``), signed (``i``) or unsigned (``u``) integers of 32 or 64 bits."""
     raw = base64.b64decode("".join(text.split()))
     raw = zlib.decompress(raw) if compressed and raw else raw
-    return np.frombuffer(raw, ("> f" if big_endian else "<f").replace(" ", "") + str(bits // 8)).astype(float)
+    values = np.frombuffer(raw, f"{'>' if big_endian else '<'}{kind}{bits // 8}")
+    return values.astype(float) if kind == "f" else values
 
 
 def _nothing() -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +127,9 @@ def parse_mzml(piece: str) -> dict | None:
             p = {x.get("accession") for x in params(block)}
             m = re.search(r"<binary\s*>(.*?)</binary\s*>", block, re.S)
             if "MS:1000514" in p or "MS:1000515" in p:
-                values = decode(m.group(1) if m else "", 64 if "MS:1000523" in p else 32, False, "MS:1000574" in p)
+                whole = p & {"MS:1000519", "MS:1000522"}  # integers of 32 and 64 bits
+                wide = p & {"MS:1000522", "MS:1000523"}
+                values = decode(m.group(1) if m else "", 64 if wide else 32, False, "MS:1000574" in p, "i" if whole else "f").astype(float)
                 mz, intensity = (values, intensity) if "MS:1000514" in p else (mz, values)
         return mz, intensity
 

@@ -1,3 +1,6 @@
+import base64
+import zlib
+
 import numpy as np
 import pytest
 
@@ -152,3 +155,26 @@ def test_two_known_scans(spark, tmp_path):
     one, two = spark.read.format("spectra").load(str(tmp_path / "k.mzxml")).orderBy("scan_number").collect()
     assert (one.retention_time, one.polarity, one.centroid, one.points) == (3723.5, "negative", True, [(400.0, 5.0), (500.25, 7.5)])
     assert two.precursor.asDict() == {"scan_number": 1, "charge": 3, "mz": 557.64, "intensity": 1.5, "activation": "HCD", "window": 2.0} and two.points == [(100.0, 3.0)]
+
+
+@pytest.mark.parametrize(("kind", "bits"), [("f", 32), ("f", 64), ("u", 32), ("u", 64), ("i", 32), ("i", 64)])
+@pytest.mark.parametrize("big", [True, False])
+@pytest.mark.parametrize("packed", [True, False])
+def test_numbers_of_every_kind(kind, bits, big, packed):
+    values = np.array([0, 1, 2**bits // 2 - 1 if kind != "f" else 1.5, 77, 2**bits - 1 if kind == "u" else -3], f"{'>' if big else '<'}{kind}{bits // 8}")
+    raw = zlib.compress(values.tobytes()) if packed else values.tobytes()
+    text = base64.b64encode(raw).decode()
+    got = spectra.decode(text[:5] + "\n " + text[5:], bits, big, packed, kind)
+    assert got.tolist() == values.tolist() and len(spectra.decode("", bits, big, packed, kind)) == 0
+
+
+def test_integer_intensities(spark, tmp_path):
+    mzml(tmp_path / "a.mzML", SCANS[:1])
+    text = (tmp_path / "a.mzML").read_text()
+    ints = base64.b64encode(np.array([5, 0, 9], "<i4").tobytes()).decode()
+    head, mid, tail = text.partition('<cvParam cvRef="MS" accession="MS:1000515"')
+    cut = head.rindex('<cvParam cvRef="MS" accession="MS:1000523"')
+    tail = mid + tail[: tail.index("<binary>") + 8] + ints + tail[tail.index("</binary>") :]
+    (tmp_path / "b.mzML").write_text(head[:cut] + '<cvParam cvRef="MS" accession="MS:1000519" name="x" value=""/>' + tail)
+    row = spectra.read_mzml(spark, str(tmp_path / "b.mzML")).first()
+    assert [(p.mz, p.intensity) for p in row.points] == [(400.0, 5.0), (600.0, 9.0)]
