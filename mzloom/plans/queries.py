@@ -1013,9 +1013,20 @@ def _identification_files(q) -> str:
     return out
 
 
-@query("psms", sql="""SELECT file_id, 'm' || CAST(psm_index AS VARCHAR) AS match_id, sequence, CAST(psm_charge_state AS INT) AS charge_state, mz AS experimental_mz, theoretical_mz, rt, 1 AS rank, 'P' || CAST(psm_index % 50 AS VARCHAR) AS accession, 'about P' || CAST(psm_index % 50 AS VARCHAR) AS description
-    FROM psms WHERE psm_index % 5 <> 0 AND psm_index % 7 <> 0 AND mz BETWEEN 350 AND 900""")
+_IDENTIFIED = """SELECT file_id, 'm' || CAST(psm_index AS VARCHAR) AS match_id, sequence, CAST(psm_charge_state AS INT) AS charge_state, mz AS experimental_mz, theoretical_mz, rt, 1 AS rank, 'P' || CAST(psm_index % 50 AS VARCHAR) AS accession, 'about P' || CAST(psm_index % 50 AS VARCHAR) AS description
+    FROM psms WHERE psm_index % 5 <> 0 AND psm_index % 7 <> 0 AND mz BETWEEN 350 AND 900"""
+
+
+@query("psms", sql=_IDENTIFIED)
 def identification_files(q):
-    d = identifications.read_mzidentml(q.sparkSession, _identification_files(q), min_mz=350.0, max_mz=900.0)
+    return _identified(identifications.read_mzidentml(q.sparkSession, _identification_files(q), min_mz=350.0, max_mz=900.0))
+
+
+@query("psms", sql=_IDENTIFIED)
+def identification_files_in_one_pass(q):
+    return _identified(identifications.read_mzidentml(q.sparkSession, _identification_files(q), min_mz=350.0, max_mz=900.0, one_pass=True))
+
+
+def _identified(d):
     m = d.spectrum_matches.join(d.peptides, ["path", "peptide_id"]).join(d.peptide_evidence, ["path", "peptide_id"]).join(d.db_sequences, ["path", "db_sequence_id"])
     return m.select(F.regexp_extract("path", "file_id=([0-9]+)/", 1).cast("int").alias("file_id"), "match_id", "sequence", "charge_state", "experimental_mz", "theoretical_mz", "rt", "rank", "accession", "description")

@@ -196,8 +196,75 @@ class SpectrumSource(DataSource):
         return SpectrumReader(dict(self.options))
 
 
+#: The elements of an identification file that make its four tables; none lies within another.
+IDENTIFIED = ("DBSequence", "PeptideEvidence", "Peptide", "SpectrumIdentificationResult")
+_BEGIN = re.compile(rb"<(" + "|".join(IDENTIFIED).encode() + rb")(?=[\s>/])")
+_HEAD = re.compile(rb"<[\w:.-]+(?:\s+[\w:.-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'))*\s*(/?)>")
+_CLOSE = {t.encode(): re.compile(rb"</" + t.encode() + rb"\s*>") for t in IDENTIFIED}
+_LONGEST = 64  # a mark with the character behind it is shorter
+
+
+def elements(f, start: int, end: int) -> Iterator[tuple[str, bytes]]:
+    """(tag, text) of the elements that begin in the range of bytes, each to its end; one element and one block are held."""
+    f.seek(start)
+    base, text, at = start, b"", 0
+    while True:
+        m = _BEGIN.search(text, at)
+        if m and base + m.start() >= end:
+            return
+        if m:
+            head = _HEAD.match(text, m.start())
+            close = head if head and head[1] else _CLOSE[m[1]].search(text, head.end()) if head else None
+            if close:
+                yield m[1].decode(), text[m.start() : close.end()]
+                at = close.end()
+                continue
+        keep = m.start() if m else max(at, len(text) - _LONGEST)
+        if not m and base + keep >= end:
+            return
+        block = f.read(_BLOCK)
+        if not block:
+            return
+        base, text, at = base + keep, text[keep:] + block, 0
+
+
+@dataclass
+class ElementReader(DataSourceReader):
+    options: dict
+
+    def partitions(self) -> list[Part]:
+        if not self.options.get("path"):
+            raise ValueError("identifications: no path")
+        step, out = int(self.options.get("part_bytes", PART_BYTES)), []
+        for path in listed(self.options["path"]):
+            with opened(path) as f:
+                out += [Part(path, a, min(a + step, f.size())) for a in range(0, f.size(), step)]
+        return out
+
+    def read(self, part: Part) -> Iterator[tuple[str, str, str]]:
+        if part.path:
+            with opened(part.path) as f:
+                for tag, text in elements(f, part.start, part.end):
+                    yield part.path, tag, text.decode("utf-8", "replace")
+
+
+class ElementSource(DataSource):
+    """``identifications``: (path, tag, value), the elements of mzIdentML files in one pass, in parts of ``part_bytes``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "identifications"
+
+    def schema(self) -> str:
+        return "path string, tag string, value string"
+
+    def reader(self, schema) -> ElementReader:
+        return ElementReader(dict(self.options))
+
+
 def register(spark: SparkSession) -> SparkSession:
-    """Makes ``spectra`` known to a session and lets filters reach it."""
+    """Makes ``spectra`` and ``identifications`` known to a session and lets filters reach them."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SpectrumSource)
+    spark.dataSource.register(ElementSource)
     return spark

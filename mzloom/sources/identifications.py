@@ -1,4 +1,8 @@
-"""mzIdentML reader on Spark's XML source: four relational tables."""
+"""mzIdentML reader: four relational tables.
+
+With ``one_pass`` the files are cut into elements once (``files.ElementSource``, for stores that pyarrow opens), those are written to the shared folder, and the
+tables come from there; else Spark's XML source reads the files once for each table.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mzloom.sources import files
 from mzloom.sources.spectra import check_range
+from mzloom.storage import materialise
 
 _CV = "array<struct<_accession:string,_name:string,_value:string,_unitAccession:string>>"
 _MOD = "array<struct<_location:int,_residues:string,_monoisotopicMassDelta:double,_avgMassDelta:double,cvParam:" + _CV + ">>"
@@ -28,16 +34,25 @@ class Identifications:
     spectrum_matches: DataFrame
 
 
-def _rows(spark: SparkSession, path, tag: str, schema: str) -> DataFrame:
+def _by_tag(spark: SparkSession, path, tag: str, schema: str) -> DataFrame:
     rows = spark.read.format("xml").option("rowTag", tag).option("attributePrefix", "_").schema(schema)
     return rows.load(path).select(F.col("_metadata.file_path").alias("path"), "*")
 
 
+def _parsed(pieces: DataFrame, tag: str, schema: str) -> DataFrame:
+    return pieces.where(F.col("tag") == tag).select("path", F.from_xml("value", schema, {"attributePrefix": "_"}).alias("x")).select("path", "x.*")
+
+
 def _value(params, *accessions: str):
     return F.get(F.filter(params, lambda p: p["_accession"].isin(*accessions)), F.lit(0))
 
 
-def read_mzidentml(spark: SparkSession, path: str | list[str], ignore_decoy=True, require_threshold=True, max_rank_only=True, min_mz=-1.0, max_mz=-1.0, min_rt=-1.0, max_rt=-1.0) -> Identifications:
+def read_mzidentml(spark: SparkSession, path: str | list[str], ignore_decoy=True, require_threshold=True, max_rank_only=True, min_mz=-1.0, max_mz=-1.0, min_rt=-1.0, max_rt=-1.0, one_pass: bool = False) -> Identifications:
+    if one_pass:
+        pieces = materialise(files.register(spark).read.format("identifications").load(path if isinstance(path, str) else ",".join(path)))
+        _rows = lambda spark, path, tag, schema: _parsed(pieces, tag, schema)
+    else:
+        _rows = _by_tag
     (lo_mz, hi_mz), (lo_rt, hi_rt) = check_range(min_mz, max_mz, "mz"), check_range(min_rt, max_rt, "rt")
     seq = _rows(spark, path, "DBSequence", f"_id string, _accession string, _searchDatabase_ref string, cvParam {_CV}")
     seq = seq.select("path", F.col("_id").alias("db_sequence_id"), F.col("_accession").alias("accession"), F.col("_searchDatabase_ref").alias("db_reference"), _value("cvParam", "MS:1001088")["_value"].alias("description"))

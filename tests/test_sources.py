@@ -178,3 +178,27 @@ def test_integer_intensities(spark, tmp_path):
     (tmp_path / "b.mzML").write_text(head[:cut] + '<cvParam cvRef="MS" accession="MS:1000519" name="x" value=""/>' + tail)
     row = spectra.read_mzml(spark, str(tmp_path / "b.mzML")).first()
     assert [(p.mz, p.intensity) for p in row.points] == [(400.0, 5.0), (600.0, 9.0)]
+
+
+def test_elements_are_cut_once(tmp_path):
+    """Elements of every form, in ranges of any size: each is found once, by the range that it begins in."""
+    text = '<?xml version="1.0"?><MzIdentML><!-- x --><DBSequence id="a" name="x &gt; y > z"/><DBSequence\n id=\'b\'><cvParam value="/>"/></DBSequence ><Peptide id="p"><PeptideSequence>PEP</PeptideSequence></Peptide>'
+    text += '<PeptideEvidence id="e" peptide_ref="p"/><SpectrumIdentificationResult id="r"><SpectrumIdentificationItem id="i"><PeptideEvidenceRef peptideEvidence_ref="e"/></SpectrumIdentificationItem></SpectrumIdentificationResult></MzIdentML>'
+    (tmp_path / "a.mzid").write_text(text)
+    for step in (1, 7, 50, 10_000):
+        with files.opened(str(tmp_path / "a.mzid")) as f:
+            found = [x for a in range(0, len(text), step) for x in files.elements(f, a, a + step)]
+        assert [t for t, _ in found] == ["DBSequence", "DBSequence", "Peptide", "PeptideEvidence", "SpectrumIdentificationResult"]
+        assert all(text.count(v.decode()) == 1 for _, v in found) and found[1][1].endswith(b"</DBSequence >") and found[4][1].endswith(b"</SpectrumIdentificationResult>")
+
+
+def test_one_pass_gives_the_same_tables(spark, tmp_path, monkeypatch):
+    rows = [(k, f"PEP{k}", f"P{k % 3}", 2, 400.0 + k, 30 + k, 1 + k % 2, k % 4 > 0, k % 5 == 0) for k in range(40)]
+    for n in "ab":
+        mzid(tmp_path / f"{n}.mzid", rows)
+    monkeypatch.setattr(files, "PART_BYTES", 700)
+    for strict in (True, False):
+        one, four = (identifications.read_mzidentml(spark, [str(tmp_path / f"{n}.mzid") for n in "ab"], strict, strict, strict, one_pass=p) for p in (True, False))
+        for name in ("db_sequences", "peptides", "peptide_evidence", "spectrum_matches"):
+            a, b = ([r[1:] for r in getattr(x, name).collect()] for x in (one, four))
+            assert sorted(map(str, a)) == sorted(map(str, b)) and a, name
