@@ -84,7 +84,7 @@ def copies(docs: DataFrame, slim: DataFrame, bits: int = 64) -> DataFrame:
     # Both sides meet by salted keys at every size: the surviving parts grow with the input, so they are never broadcast.
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(256)).cast("int")
     asked = live.select("key", salt.alias("salt")).distinct()
-    texts = keyed.withColumn("salt", salt).join(asked.hint("merge"), ["key", "salt"], "left_semi").drop("salt")
+    texts = keyed.withColumn("salt", salt).join(asked.hint("shuffle_hash"), ["key", "salt"], "left_semi").drop("salt")
     least = materialise(texts.groupBy("key", "text").agg(F.min("doc_id").alias("least")))
     of_key = materialise(least.groupBy("key").agg(F.count("*").alias("texts"), F.min("least").alias("least")))
     alike = spread_lookup(live, ["key"], of_key.where("texts = 1").select("key", "least"), F.col("doc_id"))
