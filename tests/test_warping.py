@@ -57,3 +57,13 @@ def test_the_reference_must_fit(spark, monkeypatch):
     frame = spark.createDataFrame(_peaks(11, 1), "file_id int, peak_id long, fitted_mz double, fitted_rt double, rt_delta double, fitted_height double, fitted_sigma_mz double, fitted_sigma_rt double")
     with pytest.raises(ValueError, match="11 peaks"):
         warp.warped_similarities(frame, 0, Warping())
+
+
+def test_the_reference_may_have_any_size(spark, monkeypatch):
+    schema = "file_id int, peak_id long, fitted_mz double, fitted_rt double, rt_delta double, fitted_height double, fitted_sigma_mz double, fitted_sigma_rt double"
+    frame = spark.createDataFrame(_peaks(150, 3) + _peaks(170, 4, 1, 30.0), schema)
+    how = Warping(slack=3, window=10, num_points=60, expand=0.1, peaks_per_window=2)
+    read = lambda: sorted(tuple(r) for r in warp.warped_similarities(frame, 0, how).collect())
+    want = read()
+    monkeypatch.setattr(warp, "REFERENCE_PEAKS", 20)  # 150 peaks, of which six segments keep two each
+    assert read() == want and any(x[-1] > 0 for x in want)
