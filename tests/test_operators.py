@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mzloom.functions import exprs
-from mzloom.operators import components, features, grid, link, match, peaks, proteins, quant, similarity, summary, warp
+from mzloom.operators import components, features, grid, link, match, peaks, points, proteins, quant, similarity, summary, warp
 from mzloom.params import Resampling, Run, Warping, default_parameters, instrument
 
 RNG = np.random.default_rng(7)
@@ -326,3 +327,13 @@ def test_empty_tables(spark):
     p = _peaks(spark, [])
     assert similarity.similarity(p).count() == 0 and features.detect(p, [1, 2]).count() == 0
     assert summary.isotope_counts(features.detect(p, [1])).count() == 0
+
+
+def test_peaks_are_numbered_in_parts_of_a_run(spark):
+    from mzloom.adapters import view
+
+    k = view(spark, "/root/testdata/sf0.001", "peaks")
+    assert "windowspecdefinition(file_id" in (plan := k._jdf.queryExecution().optimizedPlan().toString())
+    assert not re.search(r"row_number\(\) windowspecdefinition\(file_id#\d+, fitted_height#\d+ DESC", plan), "a run is one window"
+    ids = k.groupBy("file_id").agg(F.count("*").alias("n"), F.countDistinct("peak_id").alias("d"), F.max("peak_id").alias("m")).collect()
+    assert ids and all(r.n == r.d == r.m + 1 for r in ids)
