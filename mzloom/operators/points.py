@@ -30,13 +30,28 @@ def xic(points: DataFrame, min_mz: float = 0, max_mz: float = math.inf, min_rt:
 
 
 def peak_xic(points: DataFrame, peaks: DataFrame, bin_rt: float, method: str = "sum") -> DataFrame:
-    """Chromatogram of every peak over its region: (file_id, peak_id, rt, intensity), zero rows included."""
+    """Chromatogram of every peak over its region: (file_id, peak_id, rt, intensity), zero rows included.
+
+    Scans (not points) are paired with the regions' times for the zero rows; points only with the regions that hold them, after points of equal m/z in
+    a scan are put together. So pairs grow with the result, not with the points of all scans that a region crosses.
+    """
     if method not in ("sum", "max"):
         raise ValueError(f"unknown xic method: {method}")
-    j = binned(points, peaks, ["file_id"], F.col("rt"), F.col("roi_min_rt"), F.col("roi_max_rt"), bin_rt)
-    hit = F.when(F.col("p.mz").between(F.col("r.roi_min_mz"), F.col("r.roi_max_mz")), F.col("p.intensity")).otherwise(0.0)
-    value = F.sum(hit) if method == "sum" else F.greatest(F.lit(0.0), F.max(hit))
-    return j.groupBy("p.file_id", "r.peak_id", "p.rt").agg(value.alias("intensity"))
+    fold = F.sum if method == "sum" else F.max
+    rois = peaks.select("file_id", "peak_id", "roi_min_mz", "roi_max_mz", "roi_min_rt", "roi_max_rt")
+    scans = points.groupBy("file_id", "rt").agg(F.count("*").alias("n"))
+    crossed = binned(scans, rois, ["file_id"], F.col("rt"), F.col("roi_min_rt"), F.col("roi_max_rt"), bin_rt)
+    # Cells of four mean regions along either axis.
+    size = rois.agg(*[F.avg(F.col(f"roi_max_{x}") - F.col(f"roi_min_{x}")) for x in ("mz", "rt")]).first()
+    widths = tuple(4 * w if w and 0 < w < math.inf else bin_rt for w in size)
+    merged = points.groupBy("file_id", "rt", "mz").agg(fold("intensity").alias("intensity"), F.count("*").alias("n"))
+    held = boxed(merged, rois, ["file_id"], "mz", "rt", ("roi_min_mz", "roi_max_mz", "roi_min_rt", "roi_max_rt"), widths)
+    key = ["r.file_id", "r.peak_id", "p.rt"]
+    rows = crossed.select(*key, F.lit(None).cast("double").alias("intensity"), "p.n").unionByName(held.select(*key, "p.intensity", (-F.col("p.n")).alias("n")))
+    # n is left over if a scan has points outside the region: they count as zero.
+    out = rows.groupBy("file_id", "peak_id", "rt").agg(fold("intensity").alias("_v"), F.sum("n").alias("_outside"))
+    value = F.when(F.col("_outside") > 0, F.coalesce("_v", F.lit(0.0))).otherwise(F.col("_v"))
+    return out.select("file_id", "peak_id", "rt", (value if method == "sum" else F.greatest(F.lit(0.0), "_v")).alias("intensity"))
 
 
 def peak_points(points: DataFrame, peaks: DataFrame, bin_mz: float, bin_rt: float) -> DataFrame:

@@ -337,3 +337,22 @@ def test_peaks_are_numbered_in_parts_of_a_run(spark):
     assert not re.search(r"row_number\(\) windowspecdefinition\(file_id#\d+, fitted_height#\d+ DESC", plan), "a run is one window"
     ids = k.groupBy("file_id").agg(F.count("*").alias("n"), F.countDistinct("peak_id").alias("d"), F.max("peak_id").alias("m")).collect()
     assert ids and all(r.n == r.d == r.m + 1 for r in ids)
+
+
+@pytest.mark.parametrize("method", ["sum", "max"])
+def test_chromatograms_pair_scans_with_regions(spark, monkeypatch, method):
+    r = np.random.default_rng(8)
+    rows = [(0, float(r.integers(0, 5)), float(r.integers(400, 420)), float(r.integers(-3, 9))) for _ in range(400)] + [(0, 9.0, 405.0, None), (0, 3.0, 500.0, 7.0)]
+    rois = [(0, k, float(m := r.uniform(400, 420)), m + 3.0, float(t := r.uniform(0, 8)), t + 2.0) for k in range(30)]
+    seen, joined = [], points.binned
+    monkeypatch.setattr(points, "binned", lambda p, *a, **k: seen.append(p.count()) or joined(p, *a, **k))
+    p = spark.createDataFrame(rows, "file_id int, rt double, mz double, intensity double")
+    k = spark.createDataFrame(rois, "file_id int, peak_id long, roi_min_mz double, roi_max_mz double, roi_min_rt double, roi_max_rt double")
+    got = {(x.peak_id, x.rt): x.intensity for x in points.peak_xic(p, k, 2.0, method).collect()}
+    want = {}
+    for _, peak, m0, m1, t0, t1 in rois:
+        for t in {x[1] for x in rows if t0 <= x[1] <= t1}:
+            each = [x[3] if m0 <= x[2] <= m1 else 0.0 for x in rows if x[1] == t]
+            each = [x for x in each if x is not None]
+            want[peak, t] = (sum(each) if each else None) if method == "sum" else max([0.0, *each])
+    assert got == want and seen == [6]
