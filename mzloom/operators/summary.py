@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from mzloom.operators.rangejoin import touching
+from mzloom.operators.rangejoin import bin_of, touching
 from mzloom.storage import materialise
 
 
@@ -119,18 +119,45 @@ def ma_summary(pairs: DataFrame) -> DataFrame:
     return _with_quantiles(out, quantiles(m, "m", [0.5, 0.05, 0.95], "file_id"), ["file_id"], ["median", "p5", "p95"]).select("file_id", "mean", "median", "std", "p5", "p95")
 
 
+def _cells(targets: DataFrame, peaks: DataFrame, reach: float, otherwise: tuple[float, float]) -> tuple[tuple[float, float], tuple[float, float]]:
+    """Widths of cells that hold about four peaks on average, at least 1/16 of the farthest search, and the largest sigmas of the peaks."""
+    axes = (("fitted_mz", "fitted_sigma_mz", "t_sigma_mz"), ("_rt", "fitted_sigma_rt", "t_sigma_rt"))
+    f = peaks.groupBy("file_id").agg(F.count("*").alias("n"), *[F.max(x) - F.min(x) for x, _, _ in axes], *[F.max(s) for _, s, _ in axes])
+    f = f.agg(*[F.max(f"`{x}`") for x in f.columns[1:]]).first()
+    t = targets.agg(*[F.max(s) for _, _, s in axes]).first()
+    n, spans, most, own = f[0], f[1:3], [x or 0.0 for x in f[3:]], [x or 0.0 for x in t]
+    units = [a + b for a, b in zip(most, own, strict=True)]
+    if not n or not all(x and 0 < x < math.inf for x in (*spans, *units)):
+        return otherwise, (most[0], most[1])
+    scale = max(math.sqrt(4 / n * spans[0] * spans[1] / (units[0] * units[1])), reach / 16)
+    return (scale * units[0], scale * units[1]), (most[0], most[1])
+
+
 def closest_peak(targets: DataFrame, peaks: DataFrame, n_mz: float = 3.0, n_rt: float = 3.0, width: float = 5.0, width_rt: float = 60.0) -> DataFrame:
     """(target_id, peak_id, distance): the nearest peak in units of both sigmas, then a tolerance box.
 
-    A peak in the box is at most sqrt(n_mz^2 + n_rt^2) away, so only peaks within that are joined.
+    A peak in the box is at most sqrt(n_mz^2 + n_rt^2) away, and at most as far as any peak of the target's own cell. Cells hold a few peaks at every
+    density, so the pairs grow with the targets; equal peaks are one, the first by id.
     """
     r = math.hypot(n_mz, n_rt) * (1 + 1e-9)
-    t = targets.select("file_id", "target_id", "t_mz", "t_rt", "t_sigma_mz", "t_sigma_rt")
-    p = peaks.select("file_id", "peak_id", "fitted_mz", (F.col("fitted_rt") + F.col("rt_delta")).alias("_rt"), "fitted_sigma_mz", "fitted_sigma_rt")
     c = F.col
-    j = touching(t, p, ["file_id"], [(c("t_mz"), r * c("t_sigma_mz"), c("fitted_mz"), r * c("fitted_sigma_mz"), width), (c("t_rt"), r * c("t_sigma_rt"), c("_rt"), r * c("fitted_sigma_rt"), width_rt)])
+    t = materialise(targets.select("file_id", "target_id", "t_mz", "t_rt", "t_sigma_mz", "t_sigma_rt"))
+    p = peaks.select("file_id", "peak_id", "fitted_mz", (c("fitted_rt") + c("rt_delta")).alias("_rt"), "fitted_sigma_mz", "fitted_sigma_rt")
+    p = materialise(p.groupBy("file_id", "fitted_mz", "_rt", "fitted_sigma_mz", "fitted_sigma_rt").agg(F.min("peak_id").alias("peak_id")))
     dm, dr = F.abs(c("t_mz") - c("fitted_mz")), F.abs(c("t_rt") - c("_rt"))
-    j = j.withColumn("_d", F.sqrt(F.pow(dr / (c("t_sigma_rt") + c("fitted_sigma_rt")), F.lit(2.0)) + F.pow(dm / (c("t_sigma_mz") + c("fitted_sigma_mz")), F.lit(2.0))))
+    d = F.sqrt(F.pow(dr / (c("t_sigma_rt") + c("fitted_sigma_rt")), F.lit(2.0)) + F.pow(dm / (c("t_sigma_mz") + c("fitted_sigma_mz")), F.lit(2.0)))
+    (wx, wy), (sx, sy) = _cells(t, p, r, (width, width_rt))
+    bound = None
+    for k in (1, 4):  # the own cell, then a larger one for those whose own is empty
+        at = lambda mz, rt, k=k: {"_cx": bin_of(c(mz), k * wx), "_cy": bin_of(c(rt), k * wy)}
+        left = t if bound is None else t.join(bound, ["file_id", "target_id"], "left_anti")
+        found = left.withColumns(at("t_mz", "t_rt")).join(p.withColumns(at("fitted_mz", "_rt")), ["file_id", "_cx", "_cy"]).groupBy("file_id", "target_id").agg(F.min(d).alias("_bound"))
+        found = materialise(found.where("_bound is not null"))
+        bound = found if bound is None else bound.unionByName(found)
+    t = t.join(bound, ["file_id", "target_id"], "left").withColumn("_bound", F.least(F.coalesce("_bound", F.lit(r)) * (1 + 1e-9), F.lit(r)))
+    reach = lambda s, most: c("_bound") * (c(s) + most) + 1e-9
+    j = touching(t, p, ["file_id"], [(c("t_mz"), reach("t_sigma_mz", sx), c("fitted_mz"), F.lit(0.0), wx), (c("t_rt"), reach("t_sigma_rt", sy), c("_rt"), F.lit(0.0), wy)])
+    j = j.withColumn("_d", d).where(c("_d") <= c("_bound"))
     ok = (dm <= n_mz * c("t_sigma_mz")) & (dr <= n_rt * c("t_sigma_rt"))
     best = j.groupBy(c("a.file_id").alias("file_id"), "target_id").agg(F.min_by(F.struct("peak_id", c("_d").alias("d"), ok.alias("ok")), F.struct("_d", "peak_id")).alias("b"))
     return best.where("b.ok").select("file_id", "target_id", c("b.peak_id").alias("peak_id"), c("b.d").alias("distance"))

@@ -356,3 +356,21 @@ def test_chromatograms_pair_scans_with_regions(spark, monkeypatch, method):
             each = [x for x in each if x is not None]
             want[peak, t] = (sum(each) if each else None) if method == "sum" else max([0.0, *each])
     assert got == want and seen == [6]
+
+
+def test_closest_peaks_pairs_grow_with_targets(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    ks = [(0, k, float(r.uniform(400, 410)), float(r.uniform(0, 200)), 0.5, 0.1, float(r.uniform(2, 9))) for k in range(2000)]
+    ks += [(*x[:1], x[1] + 5000, *x[2:]) for x in ks[:50]]  # equal peaks: the first one wins
+    ts = [(0, k, float(r.uniform(399, 411)), float(r.uniform(-20, 220)), 0.5, 10.0) for k in range(150)] + [(0, 900, 430.0, 50.0, 0.5, 10.0), (1, 901, 405.0, 50.0, 0.5, 10.0)]
+    pairs, joined = [], summary.touching
+    monkeypatch.setattr(summary, "touching", lambda *a: pairs.append((j := joined(*a)).count()) or j)
+    t = spark.createDataFrame(ts, "file_id int, target_id long, t_mz double, t_rt double, t_sigma_mz double, t_sigma_rt double")
+    k = spark.createDataFrame(ks, "file_id int, peak_id long, fitted_mz double, fitted_rt double, rt_delta double, fitted_sigma_mz double, fitted_sigma_rt double")
+    got = {x.target_id: (x.peak_id, round(x.distance, 9)) for x in summary.closest_peak(t, k).collect()}
+    want = {}
+    for f, i, mz, rt, sm, sr in ts:
+        each = [(math.hypot((rt - x[3] - x[4]) / (sr + x[6]), (mz - x[2]) / (sm + x[5])), x[1], abs(mz - x[2]) <= 3 * sm and abs(rt - x[3] - x[4]) <= 3 * sr) for x in ks if x[0] == f]
+        if each and min(each)[2]:
+            want[i] = (min(each)[1], round(min(each)[0], 9))
+    assert got == want and len(got) > 140 and pairs[0] < 50 * len(ts)
