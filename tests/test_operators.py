@@ -374,3 +374,13 @@ def test_closest_peaks_pairs_grow_with_targets(spark, monkeypatch):
         if each and min(each)[2]:
             want[i] = (min(each)[1], round(min(each)[0], 9))
     assert got == want and len(got) > 140 and pairs[0] < 50 * len(ts)
+
+
+def test_top_peaks_are_cut_in_parts_of_a_run(spark):
+    k = spark.range(5000).select((F.col("id") % 2).cast("int").alias("file_id"), F.col("id").alias("peak_id"), (F.col("id") * 7919 % 900).cast("double").alias("fitted_height"))
+    top = similarity.top_peaks(k, 1200)
+    want = {f: sorted(((-(i * 7919 % 900), i) for i in range(5000) if i % 2 == f))[:1200] for f in (0, 1)}
+    rows = top.collect()
+    assert len(rows) == 2400 and {f: sorted((-int(r.fitted_height), r.peak_id) for r in rows if r.file_id == f) for f in (0, 1)} == want
+    plan = top._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"^[ +:-]*Window \[row_number", plan, re.M)) == 2
