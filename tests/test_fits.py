@@ -16,3 +16,8 @@ def test_heights_beyond_doubles_have_the_codes_of_the_sql(spark):
     rows = ", ".join(f"(CAST({v} AS DOUBLE))" for v in logs)
     want = dict(duckdb.sql(f"SELECT lnh, code FROM ({case} FROM (SELECT *, -0.5 AS e, 1 AS rm, 1 AS rr, 10 AS mw, 9 AS frt, 9 AS lr, 1 AS sr, 1 AS fs FROM (VALUES {rows}) t(lnh)) g3)").fetchall())
     assert got == want and want[-800.0] == 1 << 23 and want[800.0] == 1 << 18 | 1 << 30
+
+
+def test_log_height_stays_finite(spark):
+    x = spark.sql("SELECT explode(array(struct(800D AS a, 0D AS b, -0.5D AS c, 0D AS d, -0.5D AS e), struct(-800D AS a, 2D AS b, -0.5D AS c, 0D AS d, -0.5D AS e))) AS fit")
+    assert [r[0] for r in x.select(peaks.log_height()).collect()] == [800.0, -798.0]
