@@ -384,3 +384,16 @@ def test_top_peaks_are_cut_in_parts_of_a_run(spark):
     assert len(rows) == 2400 and {f: sorted((-int(r.fitted_height), r.peak_id) for r in rows if r.file_id == f) for f in (0, 1)} == want
     plan = top._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"^[ +:-]*Window \[row_number", plan, re.M)) == 2
+
+
+def test_razor_state_is_a_few_numbers_an_edge():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    at = np.unique(rng.integers(0, 1000 * 20000, 300_000))
+    protein, psm = (at // 20000).astype(np.int32), (at % 20000).astype(np.int32)
+    tracemalloc.start()
+    kept = proteins._owned(protein, psm, np.arange(1000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(psm[kept]) == sorted(set(psm)) and peak < 100 * len(at)
