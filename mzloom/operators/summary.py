@@ -114,7 +114,8 @@ def isotope_summary(features: DataFrame) -> DataFrame:
 
 def ma_summary(pairs: DataFrame) -> DataFrame:
     """log2 ratios of (file_id, a, b): mean, median, sample deviation, 5th and 95th percentile."""
-    m = pairs.where("a > 0 and b > 0").select("file_id", F.log2(F.col("a") / F.col("b")).alias("m"))
+    # Written once: every pass of the quantiles reads the ratios, not what made them.
+    m = materialise(pairs.where("a > 0 and b > 0").select("file_id", F.log2(F.col("a") / F.col("b")).alias("m")))
     out = m.groupBy("file_id").agg(F.avg("m").alias("mean"), F.stddev_samp("m").alias("std"))
     return _with_quantiles(out, quantiles(m, "m", [0.5, 0.05, 0.95], "file_id"), ["file_id"], ["median", "p5", "p95"]).select("file_id", "mean", "median", "std", "p5", "p95")
 
