@@ -202,3 +202,36 @@ def test_one_pass_gives_the_same_tables(spark, tmp_path, monkeypatch):
         for name in ("db_sequences", "peptides", "peptide_evidence", "spectrum_matches"):
             a, b = ([r[1:] for r in getattr(x, name).collect()] for x in (one, four))
             assert sorted(map(str, a)) == sorted(map(str, b)) and a, name
+
+
+def test_scans_are_written_and_decoded_a_few_at_a_time(monkeypatch):
+    """Batches of large scans are cut by their points and characters; nothing is lost at the cuts."""
+    import pyarrow as pa
+
+    from mzloom.sources import encode, spectra
+
+    monkeypatch.setattr(encode, "POINTS", 1000)
+    monkeypatch.setattr(spectra, "CHARS", 1000)
+    size = [0, 400, 700, 1500, 3, 0, 5]
+    mz = [[100.0 + k for k in range(n)] for n in size]
+    b = pa.RecordBatch.from_pydict({"path": ["a"] * 7, "number": list(range(1, 8)), "rt": [float(k) for k in range(7)], "mz": pa.array(mz, pa.list_(pa.float64())), "intensity": pa.array([[1.0] * n for n in size], pa.list_(pa.float64()))})
+    out = list(encode.written([b], encode.mzxml_scan))
+    assert [x.num_rows for x in out] == [2, 1, 1, 3]
+    rows = [r for x in out for r in x.to_pylist()]
+    assert [r["number"] for r in rows] == list(range(1, 8))
+    parts = list(spectra.batches_of([(r["path"], r["value"]) for r in rows], spectra.parse_mzxml, lambda s: True, (0.0, float("inf"))))
+    assert len(parts) > 2 and [n for p in parts for n in p.column("num_points").to_pylist()] == [n for n in size if n]
+
+
+def test_identification_files_have_a_bounded_size(spark, monkeypatch):
+    import glob
+
+    from mzloom.plans import queries
+
+    monkeypatch.setattr(queries, "FILE_ROWS", 30)
+    q = spark.range(200).selectExpr("CAST(id % 2 AS INT) AS file_id", "id AS psm_index", "500D AS mz", "10D AS rt", "500D AS theoretical_mz", "2 AS psm_charge_state", "'PEP' AS sequence")
+    out = queries._identification_files(q)
+    texts = [open(f).read() for f in glob.glob(f"{out}/file_id=*/part=*/*.txt")]
+    assert len(texts) == 8 and all(t.count("<MzIdentML>") == t.count("</MzIdentML>") == 1 and t.count("<DBSequence") < 60 for t in texts)
+    got = {r.match_id for r in queries.identification_files(q).collect()} if not hasattr(queries.identification_files, "__wrapped__") else None
+    assert got == {f"m{k}" for k in range(200) if k % 5 and k % 7}
