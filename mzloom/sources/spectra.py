@@ -7,7 +7,6 @@ from __future__ import annotations
 import base64
 import re
 import zlib
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -165,12 +164,30 @@ def decode_pieces(pieces: DataFrame, parse, min_mz=-1.0, max_mz=-1.0, min_rt=-1.
         return not ((ms_level and s["ms_level"] != ms_level) or not lo_rt <= s["retention_time"] <= hi_rt or (sign != "both" and s["polarity"] not in (sign, "both")))
 
     def run(batches):
-        pieces = ((p, t) for b in batches for p, t in zip(b.column("path").to_pylist(), b.column("value").to_pylist(), strict=True))
+        slices = (b.slice(k, 64) for b in batches for k in range(0, b.num_rows, 64))
+        pieces = ((p, t) for b in slices for p, t in zip(b.column("path").to_pylist(), b.column("value").to_pylist(), strict=True))
         yield from batches_of(_whole(pieces, mark), parse, wanted, bounds)
 
     return pieces.mapInArrow(run, SCHEMA)
 
 
+#: Characters of the pieces that are decoded at a time.
+CHARS = 4 << 20
+
+
+def _parts(pieces):
+    """Lists of up to 256 (path, piece), and of no more than the first beyond CHARS characters."""
+    part, held = [], 0
+    for x in pieces:
+        part.append(x)
+        held += len(x[1])
+        if len(part) == 256 or held >= CHARS:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
 def batches_of(pieces, parse, wanted, bounds: tuple[float, float], points: bool = True):
     """Arrow batches of the scans of (path, piece) that are ``wanted`` by their heads; only their arrays are decoded, or none.
 
@@ -182,7 +199,7 @@ def batches_of(pieces, parse, wanted, bounds: tuple[float, float], points: bool
         pa.struct([("scan_number", pa.int64()), ("charge", pa.int32()), ("mz", pa.float64()), ("intensity", pa.float64()), ("activation", pa.string()), ("window", pa.float64())]),
     ]
     point = [pa.field("mz", pa.float64()), pa.field("intensity", pa.float64())]
-    while part := list(islice(pieces, 256)):
+    for part in _parts(pieces):
         rows, kept = [], []
         for path, text in part:
             s = parse(text)
