@@ -21,3 +21,15 @@ def test_heights_beyond_doubles_have_the_codes_of_the_sql(spark):
 def test_log_height_stays_finite(spark):
     x = spark.sql("SELECT explode(array(struct(800D AS a, 0D AS b, -0.5D AS c, 0D AS d, -0.5D AS e), struct(-800D AS a, 2D AS b, -0.5D AS c, 0D AS d, -0.5D AS e))) AS fit")
     assert [r[0] for r in x.select(peaks.log_height()).collect()] == [800.0, -798.0]
+
+
+def test_equal_points_are_one_row_of_a_region(spark):
+    """Moments of regions from merged points are those of all points."""
+    rows = [(0, 400.0 + dm / 10, 9.0 + dr, 1.0 + dm * dm) for dm in range(-3, 4) for dr in range(-2, 3)]
+    p = spark.createDataFrame(rows * 3, "file_id int, mz double, rt double, intensity double")
+    roi = spark.sql("SELECT 0 AS file_id, 400D AS local_max_mz, 9D AS local_max_rt, 5D AS local_max_height, 1D AS theory_mz, 1D AS theory_rt, 399D AS roi_min_mz, 401D AS roi_max_mz, 0D AS roi_min_rt, 20D AS roi_max_rt")
+    merged = peaks.in_regions(p, roi, 4.0, 4.0)
+    assert merged.count() == len(rows)
+    every = merged.withColumn("again", queries.F.explode(queries.F.array_repeat(queries.F.lit(1), 3))).drop("n", "again")
+    a, b = peaks.raw_moments(merged).first().asDict(), peaks.raw_moments(every).first().asDict()
+    assert a["raw_roi_num_points"] == 3 * len(rows) and all(abs(a[k] - b[k]) < 1e-9 for k in a)
