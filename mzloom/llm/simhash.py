@@ -359,6 +359,8 @@ def _bounded_pairs(pairs: DataFrame, heads: DataFrame, similarity: float) -> Dat
 
 #: Sets of an open bucket that are compared with the whole bucket in one task.
 SALT_ROWS = 1000
+#: Open buckets of a set, its smallest, that its rows list.
+LISTED = 64
 
 
 def _open_pairs(members: DataFrame, comp: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
@@ -368,11 +370,15 @@ def _open_pairs(members: DataFrame, comp: DataFrame, heads: DataFrame, similarit
     open_ = m.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), mark(0), mark(1)).where("lo < hi")
     # Groups of copies share many shingles: buckets of the same sets count once.
     once = open_.groupBy("n", "mark0", "mark1").agg(F.min("h").alias("h")).select("h", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts"))
-    m = materialise(m.join(once, "h").join(heads.select("id", "size", *[f"b{i}" for i in range(BITMAP // 64)]), "id"), m)
+    m = materialise(m.join(once, "h"), m)
+    # Near copies share many buckets: a pair is made in the first one that both sets list, or wherever they meet if their lists have none in common.
+    listed = m.groupBy("id").agg(F.slice(F.array_sort(F.collect_list("h")), 1, LISTED).alias("listed"))
+    m = materialise(m.join(listed, "id").join(heads.select("id", "size", *[f"b{i}" for i in range(BITMAP // 64)]), "id"), m)
+    first = F.coalesce(F.array_min(F.array_intersect("p.listed", "q.listed")), F.col("p.h")) == F.col("p.h")
     p = m.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
     q = m.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     on = (F.col("p.h") == F.col("q.h")) & (F.col("p.salt") == F.col("q.salt")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.comp") != F.col("q.comp"))
-    return materialise(p.alias("p").join(q.alias("q"), on & _may_match("p", "q", similarity)).select(*_pair("p.id", "q.id")).distinct(), m)
+    return materialise(p.alias("p").join(q.alias("q"), on & F.when(_may_match("p", "q", similarity), first)).select(*_pair("p.id", "q.id")).distinct(), m)
 
 
 def similar_pairs(docs: DataFrame, heads: DataFrame, similarity: float, shingle: int, tau: int) -> DataFrame:

@@ -6,6 +6,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 import corpus_pipeline
 from mzloom.llm import decontaminate, packing, secrets, simhash, toxicity
@@ -215,6 +216,24 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
 
 
+@pytest.mark.parametrize("listed", [64, 3])
+def test_open_pairs_are_made_once(spark, monkeypatch, listed):
+    """Sets that share many buckets make one row a pair; with short lists some make more, but none is lost."""
+    monkeypatch.setattr(simhash, "LISTED", listed)
+    rng = np.random.default_rng(5)
+    held = {i: sorted({int(x) for x in rng.choice(40, 12, replace=False)}) for i in range(60)}
+    zero = [0] * (simhash.BITMAP // 64)
+    heads = spark.createDataFrame([(i, 40, *zero) for i in held], "id long, size int, " + ", ".join(f"b{k} long" for k in range(len(zero))))
+    members = spark.createDataFrame([(h, i) for i, hs in held.items() for h in hs], "h long, id long")
+    comp = spark.createDataFrame([(1, 0), (2, 0), (0, 0)], "node long, component long")
+    want = [(a, b) for a, b in combinations(sorted(held), 2) if set(held[a]) & set(held[b]) and b > 2]
+    got = sorted((r.x, r.y) for r in simhash._open_pairs(members, comp, heads, 0.8).collect())
+    assert got == want
+    monkeypatch.setattr(DataFrame, "distinct", lambda df: df)
+    made = simhash._open_pairs(members, comp, heads, 0.8).count()
+    assert made == len(want) if listed == 64 else len(want) <= made < sum(len(set(held[a]) & set(held[b])) for a, b in want)
+
+
 @needs_data
 def test_near_copies_against_brute_force(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
