@@ -119,6 +119,40 @@ def test_toxicity_of_odd_texts(spark):
     assert not any(r.toxic for r in toxicity.score(docs, None, "doc_id").collect())
 
 
+def test_toxicity_is_learnt_from_all_labels(spark):
+    rng, plain = np.random.default_rng(5), ["fine", "words", "here", "and", "there", "about", "lines", "of", "text"]
+    texts = [" ".join(rng.choice(plain, 6)) + f" {k}" + " rude" * (k % 4 == 0 and k % 3 > 0) + " junk" * (k % 5 == 0) for k in range(400)]
+    docs = docs_frame(spark, [*texts, *ODD, texts[0]]).repartition(40)
+    docs = docs.unionByName(docs.where("doc_id < 7").withColumn("text", F.concat("text", F.lit(" rude"))))  # other texts of the same doc_ids
+    labels = spark.createDataFrame([(k, int(k % 5 > 0), int(k % 4 == 0)) for k in range(402)] + [(3, 1, 1)], "doc_id long, quality int, toxic int")
+    whole, spread = toxicity.fit(docs, labels), toxicity.fit(docs, labels, 30)
+    assert whole.words == spread.words and {"rude", "junk"} <= set(whole.words) and whole.threshold == spread.threshold
+    assert all(np.allclose(a, b, atol=1e-3) for a, b in zip(whole.weights, spread.weights, strict=True))
+
+
+def test_partial_sums_are_added_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "ADDED", 3)
+    rng = np.random.default_rng(4)
+    x, y, fold = rng.random((200, 5)).astype(np.float32), rng.integers(0, 2, (200, 2)), rng.integers(0, 5, 200)
+    rows = spark.createDataFrame([(int(f), int(j), int(t), v.tobytes()) for f, (j, t), v in zip(fold, y, x, strict=True)], "fold int, junk int, toxic int, x binary").repartition(17)
+    earlier = [rng.normal(size=(5, 6))]
+    models = [(rng.normal(size=7), -1), (rng.normal(size=7), 2)]
+    want = toxicity.sums_of(toxicity.with_ones(toxicity.chained(x, fold, earlier)), y[:, 1].astype(float), fold, models)
+    for a, b in zip(toxicity.spread_sums(rows, 1, earlier, models), want, strict=True):
+        assert np.allclose(a[0], b[0], atol=1e-3) and np.allclose(a[1], b[1], atol=1e-3)
+    p = toxicity.chained(x, fold, earlier)[:, -1]
+    assert (toxicity.spread_cuts(rows, 1, earlier) == toxicity.cut_counts(p, y[:, 1])).all()
+
+
+def test_marks_give_the_features_of_the_text(spark):
+    texts = ["Some WORDS, some words again! #", "", "x", "word " * 9 + "\nline\nline", "ÄÖ längere Wörter"]
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(5)], "doc_id long, quality int, toxic int")
+    words = {w: k for k, w in enumerate(["word", "some", "läng*", "none"])}
+    b = toxicity.labelled_marks(docs_frame(spark, texts), labels).coalesce(1).toArrow().combine_chunks().to_batches()[0]
+    for k, row in zip(b.column("doc_id").to_pylist(), toxicity.matrix(b, words), strict=True):
+        assert np.allclose(row, toxicity.features(texts[k], words), atol=1e-6)
+
+
 @needs_data
 def test_toxicity_on_labels(spark):
     labels = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", F.col("toxic").alias("y"))
