@@ -48,3 +48,28 @@ def test_candidates_on_crowded_cells(spark, monkeypatch):
     monkeypatch.setattr(rangejoin, "FULL", 10)
     assert {(a.ref, a.other) for a in match.candidates(items, 1.5, 1.5, 2.0).collect()} == plain and len(plain) > 200
     assert {tuple(e) for e in features.candidate_graph(peaks, [1, 2, 3]).collect()} == edges and len(edges) > 20
+
+
+def test_isotope_cells_follow_the_density(spark, monkeypatch):
+    rng, held = np.random.default_rng(7), []
+    real = features.boxed
+
+    def boxed(points, boxes, keys, x, y, box, widths):
+        cells = points.groupBy(*keys, F.floor(F.col(x) / widths[0]), F.floor(F.col(y) / widths[1])).count()
+        held.append(cells.agg(F.avg("count")).first()[0])
+        return real(points, boxes, keys, x, y, box, widths)
+
+    monkeypatch.setattr(features, "boxed", boxed)
+    for n in (500, 8_000):
+        s = (500 / n) ** 0.5
+        peaks = [(0, k, 300 + 4 * float(a), 100 * float(b), 0.02 * s, 2.0 * s) for k, (a, b) in enumerate(rng.random((n, 2)))]
+        df = spark.createDataFrame(peaks, "file_id int, peak_id long, fitted_mz double, fitted_rt double, fitted_sigma_mz double, fitted_sigma_rt double")
+        got = sorted((r.charge, r.lower, r.upper) for r in features.candidate_graph(df, [1, 2]).collect())
+        mz, rt = np.array([p[2] for p in peaks]), np.array([p[3] for p in peaks])
+        want = []
+        for z in (1, 2):
+            for k in range(n):
+                near = (np.abs(mz - (mz[k] + features.ISOTOPE_STEP / z)) < 0.02 * s) & (np.abs(rt - rt[k]) < 2.0 * s)
+                want += [(z, k, int(u)) for u in np.flatnonzero(near)]
+        assert got == sorted(want) and got
+    assert max(held) < 20
