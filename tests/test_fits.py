@@ -1,4 +1,5 @@
 import duckdb
+import numpy as np
 
 from mzloom.operators import peaks
 from mzloom.plans import queries
@@ -33,3 +34,17 @@ def test_equal_points_are_one_row_of_a_region(spark):
     every = merged.withColumn("again", queries.F.explode(queries.F.array_repeat(queries.F.lit(1), 3))).drop("n", "again")
     a, b = peaks.raw_moments(merged).first().asDict(), peaks.raw_moments(every).first().asDict()
     assert a["raw_roi_num_points"] == 3 * len(rows) and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+
+
+def test_scans_of_a_region_are_counted_without_their_times(spark):
+    """Scans are those of a plain loop, and no aggregation has the times of points among its keys."""
+    r = np.random.default_rng(5)
+    rows = [(int(f), float(m), float(t), float(v)) for f, m, t, v in zip(r.integers(0, 2, 400), r.integers(3980, 4020, 400) / 10, r.integers(0, 30, 400), r.integers(1, 4, 400))]
+    p = spark.createDataFrame(rows + rows[:50], "file_id int, mz double, rt double, intensity double")
+    boxes = [(f, 400.0 + k / 10, 9.0 + k, 5.0, 1.0, 1.0, 399.5 + k / 10, 400.5 + k / 10, 2.0, 16.0 + k) for f in (0, 1) for k in (0, 3, 7)]
+    roi = spark.createDataFrame(boxes, ", ".join(f"{c} {'int' if c == 'file_id' else 'double'}" for c in peaks.ROI_KEY))
+    m = peaks.raw_moments(peaks.in_regions(p, roi, 0.3, 4.0))
+    got = {(r.file_id, r.local_max_mz): (r.raw_roi_num_scans, r.raw_roi_num_points) for r in m.collect()}
+    inside = {(b[0], b[1]): [x for x in rows + rows[:50] if x[0] == b[0] and b[6] <= x[1] <= b[7] and b[8] <= x[2] <= b[9]] for b in boxes}
+    assert got == {k: (len({x[2] for x in v}), len(v)) for k, v in inside.items()} and min(n for n, _ in got.values()) > 5
+    assert "distinct" not in m._jdf.queryExecution().optimizedPlan().toString().lower()
