@@ -45,6 +45,16 @@ def opened(path: str):
     return system.open_input_file(inner)
 
 
+def packed(path: str) -> bool:
+    """Whether a file is compressed, and so read from its beginning."""
+    return path.endswith((".gz", ".bz2"))
+
+
+def unpacked(path: str):
+    system, inner = _store(path)
+    return system.open_input_stream(inner)
+
+
 def listed(path: str) -> list[str]:
     """The files of a path; those of a folder by name, hidden ones left out."""
     out = []
@@ -206,7 +216,8 @@ _LONGEST = 64  # a mark with the character behind it is shorter
 
 def elements(f, start: int, end: int) -> Iterator[tuple[str, bytes]]:
     """(tag, text) of the elements that begin in the range of bytes, each to its end; one element and one block are held."""
-    f.seek(start)
+    if start:
+        f.seek(start)
     base, text, at = start, b"", 0
     while True:
         m = _BEGIN.search(text, at)
@@ -237,19 +248,22 @@ class ElementReader(DataSourceReader):
             raise ValueError("identifications: no path")
         step, out = int(self.options.get("part_bytes", PART_BYTES)), []
         for path in listed(self.options["path"]):
+            if packed(path):
+                out.append(Part(path, 0, 1 << 62))
+                continue
             with opened(path) as f:
                 out += [Part(path, a, min(a + step, f.size())) for a in range(0, f.size(), step)]
         return out
 
     def read(self, part: Part) -> Iterator[tuple[str, str, str]]:
         if part.path:
-            with opened(part.path) as f:
+            with (unpacked if packed(part.path) else opened)(part.path) as f:
                 for tag, text in elements(f, part.start, part.end):
                     yield part.path, tag, text.decode("utf-8", "replace")
 
 
 class ElementSource(DataSource):
-    """``identifications``: (path, tag, value), the elements of mzIdentML files in one pass, in parts of ``part_bytes``."""
+    """``identifications``: (path, tag, value), the elements of mzIdentML files in one pass, in parts of ``part_bytes``; a compressed file (gz, bz2) is one part."""
 
     @classmethod
     def name(cls) -> str:

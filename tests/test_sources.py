@@ -235,3 +235,32 @@ def test_identification_files_have_a_bounded_size(spark, monkeypatch):
     assert len(texts) == 8 and all(t.count("<MzIdentML>") == t.count("</MzIdentML>") == 1 and t.count("<DBSequence") < 60 for t in texts)
     got = {r.match_id for r in queries.identification_files(q).collect()} if not hasattr(queries.identification_files, "__wrapped__") else None
     assert got == {f"m{k}" for k in range(200) if k % 5 and k % 7}
+
+
+def test_identification_files_are_small(spark, tmp_path):
+    """What a query leaves on disk beside its result: compressed files, and elements without their text."""
+    import gzip
+
+    from mzloom.plans import queries
+    from mzloom.storage import shared_dir
+
+    mzid(tmp_path / "a.mzid", [(k, "PEPTIDE", f"P{k}", 2, 400.2, 30, 1, True, k % 3 == 0) for k in range(50)])
+    with gzip.open(tmp_path / "b.mzid.gz", "wt") as f:
+        f.write((tmp_path / "a.mzid").read_text())
+    tables = []
+    for one_pass in (False, True):
+        for name in ("a.mzid", "b.mzid.gz"):
+            d = identifications.read_mzidentml(spark, str(tmp_path / name), one_pass=one_pass)
+            tables.append([sorted(map(str, t.drop("path").collect())) for t in (d.db_sequences, d.peptides, d.peptide_evidence, d.spectrum_matches)])
+    assert all(t == tables[0] for t in tables) and len(tables[0][3]) == 33
+
+    import os
+
+    def size(found):
+        return sum(os.path.getsize(os.path.join(r, f)) for p in found for r, _, fs in os.walk(p) for f in fs)
+
+    root = shared_dir(spark).removeprefix("file:")
+    q = spark.range(20_000).selectExpr("CAST(id % 2 AS INT) AS file_id", "id AS psm_index", "500 + id / 7D AS mz", "10D AS rt", "500 + id / 7D AS theoretical_mz", "2 AS psm_charge_state", "'PEP' AS sequence")
+    before = set(os.listdir(root))
+    assert queries.identification_files_in_one_pass(q).count() == spark.range(20_000).where("id % 5 <> 0 and id % 7 <> 0 and 500 + id / 7D between 350 and 900").count()
+    assert size([os.path.join(root, x) for x in set(os.listdir(root)) - before]) < 300 * 20_000
