@@ -73,3 +73,21 @@ def test_isotope_cells_follow_the_density(spark, monkeypatch):
                 want += [(z, k, int(u)) for u in np.flatnonzero(near)]
         assert got == sorted(want) and got
     assert max(held) < 20
+
+
+def test_isotope_search_asks_once_for_all_charges(spark, monkeypatch):
+    """The boxes are one a peak, and the edges those of all pairs, also where steps of several charges meet in one box."""
+    rng, asked = np.random.default_rng(8), []
+    real = features.boxed
+
+    def boxed(points, boxes, *more):
+        asked.append(boxes.count())
+        return real(points, boxes, *more)
+
+    monkeypatch.setattr(features, "boxed", boxed)
+    n, charges = 400, [5, 4, 3, 2, 1]
+    peaks = [(k % 2, k, 300 + 6 * float(a), 50 * float(b), 0.05 + 0.1 * float(c), 3.0) for k, (a, b, c) in enumerate(rng.random((n, 3)))]
+    df = spark.createDataFrame(peaks, "file_id int, peak_id long, fitted_mz double, fitted_rt double, fitted_sigma_mz double, fitted_sigma_rt double")
+    got = sorted((r.charge, r.lower, r.upper) for r in features.candidate_graph(df, charges).collect())
+    want = [(z, a[1], b[1]) for z in charges for a in peaks for b in peaks if a[0] == b[0] and abs(b[2] - (a[2] + features.ISOTOPE_STEP / z)) < a[4] and abs(b[3] - a[3]) < a[5]]
+    assert got == sorted(want) and len(got) > 500 and asked == [n]
