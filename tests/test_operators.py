@@ -397,3 +397,30 @@ def test_razor_state_is_a_few_numbers_an_edge():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert sorted(psm[kept]) == sorted(set(psm)) and peak < 100 * len(at)
+
+
+def test_razor_searches_components_of_proteins(spark, monkeypatch):
+    """The component search gets pairs of proteins, not edges to psms as text; edges without a psm stay with a protein that has others."""
+    asked = []
+    real = proteins.connected_components
+
+    def components(edges):
+        asked.append((edges.count(), [kind for _, kind in edges.dtypes]))
+        return real(edges)
+
+    monkeypatch.setattr(proteins, "connected_components", components)
+    rows = [(20 * b + p, 1000 * b + (p * 7 + k * k) % 60) for b in range(3) for p in range(20) for k in range(12)] + [(500, 9000), (501, 9001), (501, None), (502, None)]
+    e = spark.createDataFrame(rows, "protein long, psm long").distinct()
+    got = sorted(((r.protein, r.psm) for r in proteins.razor(e).collect()), key=str)
+    held = {}
+    for p, m in sorted({r for r in rows if r[0] != 502}, key=str):
+        held.setdefault(p, set()).add(m)
+    want, order = [], sorted(held)
+    while order:
+        order.sort(key=lambda p: -len(held[p]))
+        p = order.pop(0)
+        want += [(p, m) for m in held[p]]
+        for q in order:
+            held[q] -= held[p]
+        order = [q for q in order if held[q]]
+    assert got == sorted(want, key=str) and asked[0][0] < 0.75 * len(set(rows)) and asked[0][1] == ["bigint", "bigint"]
