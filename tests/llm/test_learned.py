@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mzloom.llm import importance, langid, queries, secrets, toxicity
+from mzloom.llm import decontaminate, importance, langid, queries, secrets, toxicity
 from tests.llm.data import DATA, docs_frame, needs_data
 
 ODD = [None, "", " ", "12 34", "word", "a " * 50_000]
@@ -180,3 +180,29 @@ def test_scan_and_redact(spark):
     out = {x.doc_id: x for x in secrets.redact(docs, f).collect()}
     assert out[6].text == 'é token = "[SECRET]" x' and out[6].fp == "x" and out[0].text is None and out[1].text == ""
     assert secrets.redact(docs.limit(0), f).count() == 0
+
+
+def test_latent_index_learns_from_every_passage(spark, monkeypatch):
+    """One pass gives A'(A T) of all passages of all texts; terms of texts that the start leaves out are in the index."""
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 60, n)) for n in (0, 1, 16, 17, 32, 33, 100, 700)] + [None, "w1 w1 w1 w2"]
+    texts += [f"w{k} " + " ".join(f"late{j}" for j in rng.integers(0, 9, 20)) for k in range(12)]
+    docs = docs_frame(spark, texts + texts[-1:])
+    monkeypatch.setattr(decontaminate, "AT_ONCE", 64)
+    idf = rng.uniform(0.5, 2.0, decontaminate.TERMS)
+    t = rng.normal(size=(decontaminate.TERMS, decontaminate.RANK + decontaminate.OVER)).astype(np.float32)
+    want, n = np.zeros(t.shape), 0
+    for x in texts:
+        ids = decontaminate.term_ids(decontaminate.words_of(x))
+        for s in decontaminate.starts(len(ids)):
+            j, times = np.unique(ids[s : s + decontaminate.WIDTH], return_counts=True)
+            a = times * idf[j] / np.sqrt(((times * idf[j]) ** 2).sum())
+            want[j] += a[:, None] * (a @ t[j])
+            n += 1
+    got = decontaminate._product(decontaminate.encoded(docs.select("text")).distinct(), idf, t)
+    assert n > 50 and np.allclose(got, want, atol=1e-3 * np.abs(want).max())
+    monkeypatch.setattr(decontaminate, "START_DOCS", 1)
+    items = spark.createDataFrame([(0, " ".join(f"w{k}" for k in range(40)))], "item_id long, text string")
+    table, _ = decontaminate.fit(decontaminate.encoded(docs.select("text")), items)
+    late = [int(decontaminate.term_ids([f"late{j}".encode()])[0]) for j in range(9)]
+    assert (np.abs(table[late]).max(1) > 1e-3 * np.abs(table).max()).all()
